@@ -25,6 +25,8 @@ from ._stage import likely, saved
 FREQUENT = 65_536
 #: An n-gram counts as locally frequent from so many documents of an Arrow batch.
 LOCAL = 4
+#: Longs of a signature.
+LANES = 16
 #: Seeds of the token orders.
 ORDERS = (11, 23, 47)
 
@@ -61,8 +63,8 @@ def prefix(tokens: np.ndarray, seed: int, threshold: int, frequent: np.ndarray,
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """512 parity bits: the number of bits that differ is at most the size of the symmetric difference."""
-    bits = np.bincount((mix(tokens, 3) >> U64(55)).astype(np.int64), minlength=512) & 1
+    """1024 parity bits: the number of bits that differ is at most the size of the symmetric difference."""
+    bits = np.bincount((mix(tokens, 3) >> U64(54)).astype(np.int64), minlength=64 * LANES) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -126,13 +128,16 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     )
     groups = saved(index, "ngram-groups")
 
-    pairs = groups.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    marks = described.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *[F.col("signature")[k].alias(f"s{k}") for k in range(LANES)])
+    pairs = groups.where("rep <> leader").select("rep", "leader").distinct()
+    pairs = _bounded(pairs.join(marks, "rep").alias("l").join(marks.withColumnRenamed("rep", "leader").alias("r"), "leader"), threshold)
+    pairs = pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(docs, saved(pairs, "ngram-pairs"), threshold, size, frequent)
     same = named.select("doc_id", "class").distinct().join(classes, "class").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     links = saved(links.unionByName(same.where("a <> b").select("a", "b")), "ngram-links")
     found = components(links)
 
-    pairs = saved(_across(groups, found, described, threshold), "ngram-across")
+    pairs = saved(_across(groups, found, marks, threshold), "ngram-across")
     if not pairs.isEmpty():
         links = saved(links.unionByName(_verified(docs, pairs, threshold, size, frequent)), "ngram-links")
         found = components(links)
@@ -172,22 +177,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"token": t[several], "rep": r[several], "n": n[several], "leader": first[several]})
 
 
-def _across(groups: DataFrame, found: DataFrame, described: DataFrame, threshold: int) -> DataFrame:
+def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs with sides l and r: those whose sizes and signatures allow the threshold. It drops no pair that reaches it."""
+    differ = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(LANES))
+    sizes = f"{threshold} * greatest(l.n, r.n) <= 100 * least(l.n, r.n)"
+    return pairs.where(f"{sizes} and {100 + threshold} * ({differ}) <= {100 - threshold} * (l.n + r.n)")
+
+
+def _across(groups: DataFrame, found: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     """Candidates (a, b) of different components that share a prefix token and pass the size and signature bounds."""
-    placed = groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
     placed = saved(placed, "ngram-placed")
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rest = placed.join(open_tokens, "token", "left_semi")
-    marks = described.select(F.col("doc_id").alias("rep"), "n", "signature").dropDuplicates(["rep", "n"])
-    rest = saved(rest.join(marks, ["rep", "n"]).select("token", "rep", "n", "component", *[F.col("signature")[k].alias(f"s{k}") for k in range(8)]), "ngram-open")
-    left, right = rest.alias("l"), rest.alias("r")
-    differ = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(8))
-    fits = (
-        "l.token = r.token and l.component < r.component"
-        f" and {threshold} * greatest(l.n, r.n) <= 100 * least(l.n, r.n)"
-        f" and {100 + threshold} * ({differ}) <= {100 - threshold} * (l.n + r.n)"
-    )
-    return left.join(right, F.expr(fits)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    rest = saved(placed.join(open_tokens, "token", "left_semi").join(marks, "rep"), "ngram-open")
+    pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.token = r.token and l.component < r.component"))
+    return _bounded(pairs, threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int, frequent) -> DataFrame:
