@@ -22,9 +22,9 @@ from ._ragged import U64, mix, ragged, sets
 from ._stage import likely, saved
 
 #: The list of frequent n-grams never holds more entries (16 bytes each on the driver and in the broadcast).
-FREQUENT = 65_536
+FREQUENT = 1 << 20
 #: An n-gram counts as locally frequent from so many documents of an Arrow batch.
-LOCAL = 4
+LOCAL = 3
 #: Longs of a signature.
 LANES = 16
 #: Seeds of the token orders.
@@ -63,11 +63,17 @@ def prefix(tokens: np.ndarray, seed: int, threshold: int, frequent: np.ndarray,
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """1024 parity bits: the number of bits that differ is at most the size of the symmetric difference."""
-    bits = np.bincount((mix(tokens, 3) >> U64(54)).astype(np.int64), minlength=64 * LANES) & 1
+    """Parity bits of a set, at least four a token: where two sets' bits differ counts at most their symmetric difference."""
+    lanes = max(LANES, 1 << max(0, len(tokens) * 4 - 1).bit_length() - 6) if len(tokens) else LANES
+    bits = np.bincount(((mix(tokens, 3) >> U64(20)) % U64(64 * lanes)).astype(np.int64), minlength=64 * lanes) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The shorter signature of the same set."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, lanes), 0)
+
+
 def frequent_ngrams(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted n-grams, their rank) of the most frequent n-grams over all documents, at most ``FREQUENT``.
 
@@ -79,7 +85,7 @@ def frequent_ngrams(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             found = sets(batch.column(0), size)
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
-                keep = n >= max(LOCAL, len(found) // 1000)
+                keep = n >= LOCAL
                 yield pa.record_batch({"token": token[keep].view(np.int64), "n": n[keep]})
 
     rows = (
@@ -111,13 +117,14 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
         for batch in batches:
             found = sets(batch.column("text"), size)
             keys = [b"".join(int(f(mix(x, s))).to_bytes(8, "big") for f, s in ((np.sum, 71), (np.bitwise_xor.reduce, 73))) if len(x) else None for x in found]
+            wide = [signature(x) for x in found]
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "class": pa.array(keys, pa.binary()),
-                "signature": ragged([signature(x) for x in found], pa.int64()),
+                "signature": ragged(wide, pa.int64()), "short": ragged([folded(x) for x in wide], pa.int64()),
                 "prefix": ragged([prefix(x, ORDERS[0], threshold, common, rank).view(np.int64) for x in found], pa.int64()),
             })
 
-    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, prefix array<long>"), "ngram-sets")
+    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, short array<long>, prefix array<long>"), "ngram-sets")
     named = described.where("class is not null and doc_id is not null")
     classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = named.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi")
@@ -128,16 +135,17 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     )
     groups = saved(index, "ngram-groups")
 
-    marks = described.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *[F.col("signature")[k].alias(f"s{k}") for k in range(LANES)])
+    marks = described.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *[F.col("short")[k].alias(f"s{k}") for k in range(LANES)])
+    wide = described.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("signature").alias("bits"), "n")
     pairs = groups.where("rep <> leader").select("rep", "leader").distinct()
     pairs = _bounded(pairs.join(marks, "rep").alias("l").join(marks.withColumnRenamed("rep", "leader").alias("r"), "leader"), threshold)
     pairs = pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _verified(docs, saved(pairs, "ngram-pairs"), threshold, size, frequent)
+    links = _verified(docs, _narrowed(saved(pairs, "ngram-pairs"), wide, threshold), threshold, size, frequent)
     same = named.select("doc_id", "class").distinct().join(classes, "class").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     links = saved(links.unionByName(same.where("a <> b").select("a", "b")), "ngram-links")
     found = components(links)
 
-    pairs = saved(_across(groups, found, marks, threshold), "ngram-across")
+    pairs = _narrowed(saved(_across(groups, found, marks, threshold), "ngram-across"), wide, threshold)
     if not pairs.isEmpty():
         links = saved(links.unionByName(_verified(docs, pairs, threshold, size, frequent)), "ngram-links")
         found = components(links)
@@ -194,6 +202,30 @@ def _across(groups: DataFrame, found: DataFrame, marks: DataFrame, threshold: in
     return _bounded(pairs, threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
+def _narrowed(pairs: DataFrame, wide: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full signatures still allow the threshold, written."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sides = []
+            for bits, n in ((2, 3), (4, 5)):
+                column = batch.column(bits)
+                sides.append((column.values.to_numpy(), column.offsets.to_numpy(), batch.column(n).to_numpy()))
+            (x, xo, xn), (y, yo, yn) = sides
+            for k in range(len(keep)):
+                p, q = x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]
+                lanes = min(len(p), len(q))
+                differ = int(np.bitwise_count((folded(p, lanes) ^ folded(q, lanes)).view(np.uint64)).sum())
+                keep[k] = (100 + threshold) * differ <= (100 - threshold) * (xn[k] + yn[k])
+            rows = pa.array(np.flatnonzero(keep))
+            yield pa.record_batch({"a": batch.column(0).take(rows), "b": batch.column(1).take(rows)})
+
+    first, second = (wide.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
+    full = pairs.join(first, "a").join(second, "b").select("a", "b", "a_bits", "a_n", "b_bits", "b_n")
+    return saved(full.mapInArrow(check, "a long, b long").distinct(), "ngram-narrowed")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int, frequent) -> DataFrame:
     """The pairs that pass the prefix filters of the other orders and then the exact count.
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
 from .language import identify
+from .mixing import mix_plan
 from .ngram_join import ngram_join
+from .oracles import MIXING, URLS
 from .quality import quality
 from .token_counts import token_counts
 from .token_files import token_files
+from .url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +48,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +62,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_classifier, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_files, op8_language_id, op9_token_counts)
+    for f in (
+        op1_url_filters, op2_quality_classifier, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_files, op6_source_mixing,
+        op8_language_id, op9_token_counts,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": URLS, "op6_source_mixing": MIXING}
