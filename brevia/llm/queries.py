@@ -11,6 +11,7 @@ from .language import identify
 from .mixing import mix_plan
 from .ngram_join import ngram_join
 from .oracles import MIXING, URLS
+from .pii import pseudonymise
 from .quality import quality
 from .token_counts import token_counts
 from .token_files import token_files
@@ -60,11 +61,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_quality_classifier, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_files, op6_source_mixing,
-        op8_language_id, op9_token_counts,
+        op8_language_id, op9_token_counts, op10_pii_surrogates,
     )
 }
 
