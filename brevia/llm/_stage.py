@@ -38,8 +38,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 WORDS = 1 << 18
 
 
-def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose ``column`` may be among the single-column ``ids`` (all that are, few others).
+def likely(df: DataFrame, column: str, ids: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of df whose ``column`` may be among the single-column ``ids`` (all that are, few others), or the other rows.
 
     A Bloom-like bitmap of fixed size is broadcast, so wide rows are thinned before an exact join shuffles them.
     The more ids, the less it thins; the join that follows keeps the result exact.
@@ -53,4 +53,4 @@ def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     )
     marked = df.withColumn("_at", spot(F.col(column))).withColumn("_mark", F.shiftright("_at", 6))
     hit = (marked["_mark"] == bitmap["_word"]) & (F.expr("_bits & shiftleft(1L, int(_at % 64))") != 0)
-    return marked.join(F.broadcast(bitmap), hit, "left_semi").drop("_at", "_mark")
+    return marked.join(F.broadcast(bitmap), hit, "left_anti" if others else "left_semi").drop("_at", "_mark")

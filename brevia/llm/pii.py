@@ -31,20 +31,32 @@ GIVEN = {
 SYLLABLES = {"latin": "bar bel dan dor fen gar hal kel lan lor mar mon nor pel ran ros sel tan tor vel wil zan".split(), "cyrillic": "бел вол гор дан зор кал лев мир нов рад сев тор".split()}
 
 _TITLE = "|".join(MALE + FEMALE + EITHER)
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-_SECRET = r"(?<=password=|passwd=|token=|secret=|api_key=|token = \"|password = \"|secret = \")[\p{L}\p{N}_+/=-]{8,}"
+_EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
+SECRET = r"(?:password|passwd|pwd|token|secret|api_key)\s?[=:]\s?\"?"
+_SECRET = SECRET + r"[\p{L}\p{N}_+/=-]{8,}"
 _NUMBERS = [
-    r"\+?\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}", r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}", r"\d{3}[.-]\d{3}[.-]\d{4}", r"\d{3}-\d{2}-\d{4}",
-    r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{13,19}",
+    r"\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}", r"\d{3}[.-]\d{3}[.-]\d{4}", r"\d{3}-\d{2}-\d{4}", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+    r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{13,19}",
 ]
 _CODES = [r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", r"[0-9a-f]{32,128}"]
-#: A country's calling code stays as it is.
-COUNTRY = r"^\+?\d{1,3}[ .-]?(?=\()"
-_EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NAME = rf"(?:{_TITLE})\.?\s\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
+_PAREN = r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
+#: Every entity begins a word (or a bracketed area code), so most positions of a text are left at the first test.
+ENTITY = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|(?=[0-9A-Z])(?:{'|'.join(_CODES)}|{'|'.join(_NUMBERS)})(?![\p{{L}}\p{{N}}])|(?=[a-f])[0-9a-f]{{32,128}}(?![\p{{L}}\p{{N}}])"
+    rf"|(?=[ptsa]){_SECRET}|(?=\p{{Lu}}){_NAME}(?![\p{{L}}\p{{N}}])|{_PAREN}(?![\p{{L}}\p{{N}}]))"
+)
+#: Texts without any of these hold no entity; one look at each character tells.
+_HINT = rf"[0-9@=]|(?:password|passwd|pwd|token|secret|api_key):|[MHSDPFГ](?:r|rs|s|iss|err|onsieur|eñor|ir|rau|adame|me|eñora|ra|rof|осподин|оспожа)\.?\s"
+#: A country's calling code stays as it is.
+COUNTRY = r"^\d{1,3}[ .-]?(?=\()"
+
+
+def matches(text: Column) -> Column:
+    """All entities of a text, in order; null for a null text."""
+    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
-ENTITY = f"{_EMAIL}|{_SECRET}|{_EDGE}(?:{'|'.join(_CODES)}|{_NAME}){_END}|(?<![\\p{{L}}\\p{{N}}+])(?:{'|'.join(_NUMBERS)}){_END}"
 #: Surrogates are drawn again at most so often; more means that a type has more entities than its shape can tell apart.
 ATTEMPTS = 64
 
@@ -52,7 +64,8 @@ ATTEMPTS = 64
 def _kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
-        F.when(m.contains("@"), "email").when(whole(_NAME), "name").when(whole(_NUMBERS[4]), "ip").when(whole("|".join(_NUMBERS)), "number").otherwise("code")
+        F.when(m.rlike(f"^{SECRET}"), "secret").when(m.contains("@"), "email").when(whole(_NAME), "name").when(whole(_NUMBERS[3]), "ip").when(whole("|".join([*_NUMBERS, _PAREN])), "number")
+        .otherwise("code")
     )
 
 
@@ -67,8 +80,8 @@ def parts(m: Column) -> Column:
     surname = one(F.concat(F.lit("surname "), script), F.element_at(words, -1))
     given = one(F.concat(F.lit("given "), gender, script), F.element_at(words, 1))
     kind = _kind(m)
-    norm = F.when(kind == "email", F.lower(m)).when(kind == "number", F.regexp_replace(F.regexp_replace(m, COUNTRY, ""), r"\D", "")).otherwise(m)
-    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(kind, norm)))
+    norm = F.when(kind == "secret", F.regexp_replace(m, f"^{SECRET}", "")).when(kind == "email", F.lower(m)).when(kind == "number", F.regexp_replace(F.regexp_replace(m, COUNTRY, ""), r"\D", "")).otherwise(m)
+    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(F.when(kind == "secret", "code").otherwise(kind), norm)))
 
 
 def _hash(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -108,16 +121,16 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     prefix = F.regexp_extract(norm, "^(?:AKIA|ASIA)", 0)
     code = F.concat(prefix, _shaped(F.substr(norm, F.length(prefix) + 1), h))
 
-    def syllables(script: str, count: Column) -> Column:
-        choice = SYLLABLES[script]
-        return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.element_at(F.array(*map(F.lit, choice)), _number(h, 11 + 4 * i, 4) % len(choice) + 1)), "")
+    def chosen(lists: dict[str, list[str]], name: Column, at: Column) -> Column:
+        """The entry of a named list that a number picks."""
+        every = F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[name]
+        return F.element_at(every, at % F.size(every) + 1)
 
-    made = F.when(kind == "email", email).when(kind == "number", _shaped(norm, h)).when(kind == "ip", ip)
-    for script in SYLLABLES:
-        made = made.when(kind == f"surname {script}", syllables(script, F.lit(3) + attempt))
-    for who, names in GIVEN.items():
-        first = F.lower(F.element_at(F.array(*map(F.lit, names)), _number(h, 3, 4) % len(names) + 1))
-        made = made.when(kind == f"given {who}", F.when(attempt == 0, first).otherwise(F.concat(first, F.lit("-"), syllables(who.split()[1], attempt))))
+    script = F.substring_index(kind, " ", -1)
+    syllables = lambda count: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: chosen(SYLLABLES, script, _number(h, 11 + 4 * i, 4))), "")
+    given = F.lower(chosen(GIVEN, F.regexp_replace(kind, "^given ", ""), _number(h, 3, 4)))
+    made = F.when(kind == "email", email).when(kind == "number", _shaped(norm, h)).when(kind == "ip", ip).when(kind.startswith("surname"), syllables(attempt + 3))
+    made = made.when(kind.startswith("given"), F.when(attempt == 0, given).otherwise(F.concat(given, F.lit("-"), syllables(attempt))))
     return made.otherwise(code)
 
 
@@ -138,12 +151,12 @@ def replacement(m: Column, attempts: Column | None, key: str) -> Column:
     values = F.transform(found, value)
     title = F.regexp_extract(m, rf"^(?:{_TITLE})\.?\s", 0)
     kind = _kind(m)
-    return F.when(kind == "name", F.concat(title, F.initcap(F.array_join(values, " ")))).when(kind == "number", F.concat(F.regexp_extract(m, COUNTRY, 0), _refit(F.regexp_replace(m, COUNTRY, ""), F.element_at(values, 1)))).otherwise(F.element_at(values, 1))
+    return F.when(kind == "secret", F.concat(F.regexp_extract(m, f"^{SECRET}", 0), F.element_at(values, 1))).when(kind == "name", F.concat(title, F.initcap(F.array_join(values, " ")))).when(kind == "number", F.concat(F.regexp_extract(m, COUNTRY, 0), _refit(F.regexp_replace(m, COUNTRY, ""), F.element_at(values, 1)))).otherwise(F.element_at(values, 1))
 
 
 def _identities(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(text_hash, matches) of texts with entities; (kind, norm, attempt) of every distinct identity, none colliding."""
-    found = docs.select(F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("matches")).where(F.size("matches") > 0)
+    found = docs.select(F.xxhash64("text").alias("text_hash"), matches(F.col("text")).alias("matches")).where(F.size("matches") > 0)
     found = saved(found, "pii-found")
     distinct = found.select(F.explode("matches").alias("m")).distinct().select(F.explode(parts(F.col("m"))).alias("p")).select("p.kind", "p.norm").distinct()
     known = saved(distinct.withColumn("attempt", F.lit(0)).withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.lit(0), key)), "pii-known")
@@ -169,23 +182,22 @@ def pseudonymise(docs: DataFrame, key: str = "brevia") -> DataFrame:
     found, known = _identities(docs, key)
     redrawn = known.where("attempt > 0")
     columns = [c for c in docs.columns if c != "n_entities"]
-    rows = docs.select(*columns, F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("_m"))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"))
     if redrawn.isEmpty():
         return _rewritten(rows, None, key, columns)
     named = found.distinct().select("text_hash", F.explode("matches").alias("m")).select("text_hash", F.explode(parts(F.col("m"))).alias("p")).select("text_hash", "p.kind", "p.norm").distinct()
-    attempts = named.join(redrawn, ["kind", "norm"]).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
+    attempts = named.join(redrawn, ["kind", "norm"]).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("attempts"))
     attempts = saved(attempts, "pii-attempts")
-    hashed = docs.withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    moving = likely(hashed, "_hash", attempts.select("text_hash"))
-    joined = hashed.join(attempts, hashed["_hash"] == attempts["text_hash"], "left")
-    rows = joined.select(*columns, "_attempts", F.regexp_extract_all("text", F.lit(ENTITY), 0).alias("_m"))
-    return _rewritten(rows, F.col("_attempts"), key, columns)
+    moving = likely(rows, "text_hash", attempts.select("text_hash")).join(attempts, "text_hash", "left")
+    staying = likely(rows, "text_hash", attempts.select("text_hash"), others=True)
+    return _rewritten(moving, F.col("attempts"), key, columns).unionByName(_rewritten(staying, None, key, columns))
 
 
 def _rewritten(rows: DataFrame, attempts: Column | None, key: str, columns: list[str]) -> DataFrame:
-    """rows with text rebuilt from the pieces between the matches in _m and the surrogates of those."""
-    fill = F.transform("_m", lambda m: replacement(m, attempts, key))
+    """Rows of (_row, text, attempts) with text rebuilt from the pieces between its matches and the surrogates of those."""
+    found = rows.withColumn("matches", matches(F.col("text")))
+    fill = F.transform("matches", lambda m: replacement(m, attempts, key))
     text = F.array_join(F.flatten(F.zip_with(F.split("text", ENTITY, -1), fill, lambda piece, s: F.array(piece, F.coalesce(s, F.lit(""))))), "")
-    n = F.coalesce(F.size("_m"), F.lit(0))
+    n = F.greatest(F.coalesce(F.size("matches"), F.lit(0)), F.lit(0))
     new = F.when(n > 0, text).otherwise(F.col("text"))
-    return rows.select(*[new.alias(c) if c == "text" else F.col(c) for c in columns], F.greatest(n, F.lit(0)).alias("n_entities"))
+    return found.select(*[new.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns], n.alias("n_entities"))
