@@ -139,8 +139,8 @@ def rows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, owner, length
 
 
-def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.02, batch: int = 256, seed: int = 7) -> Network:
-    """Train on (text, label) pairs with Adam; every byte of every text is used in each epoch. Without samples: one label, und."""
+def fit(samples: list[tuple[str, str]], epochs: int = 3, steps: int = 600, rate: float = 0.02, batch: int = 256, seed: int = 7) -> Network:
+    """Train on (text, label) pairs with Adam, at least ``epochs`` times over every byte and at least ``steps`` updates. Without samples: one label, und."""
     labels = sorted({label for _, label in samples}) or ["und"]
     net = fresh(labels, seed)
     column = pa.array([t for t, _ in samples], pa.large_string())
@@ -148,8 +148,10 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, rate: float = 0.02, bat
     target = np.array([labels.index(label) for _, label in samples], np.int64)[owner] if len(owner) else owner
     rng, values = np.random.default_rng(seed), net.parameters()
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    total = max(1, epochs * -(-len(rows) // batch))
-    for _ in range(epochs if len(labels) > 1 else 0):
+    each = max(1, -(-len(rows) // batch))
+    epochs = max(epochs, -(-steps // each)) if len(labels) > 1 else 0
+    total = max(1, epochs * each)
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             take = order[at : at + batch]
