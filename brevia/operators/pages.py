@@ -9,49 +9,59 @@ EDGE, LEAST_LINES, LEAST_PAGES = 2, 5, 4
 PAGE_NUMBER = r"(?i)^[\t\n\f\r \-–—]*(?:page[\t\n\f\r ]*)?([0-9]+)(?:[\t\n\f\r ]*(?:of|/)[\t\n\f\r ]*[0-9]+)?[\t\n\f\r \-–—]*\z"
 
 
-def placed(lines: DataFrame, doc: str) -> DataFrame:
-    """Non-blank lines of (doc, page_no, line_no, line) with top and bottom (rank from either end), n (lines of the page) and pages."""
-    full = lines.where(F.col("line").rlike(r"[^\s]"))
-    page = Window.partitionBy(doc, "page_no")
-    n_pages = lines.groupBy(doc).agg(F.max("page_no").alias("pages"))
-    ranked = full.withColumn("top", F.row_number().over(page.orderBy("line_no"))).withColumn("n", F.count("*").over(page))
-    return ranked.withColumn("bottom", F.col("n") - F.col("top") + 1).join(n_pages, doc)
-
-
-def edge_keys(lines: DataFrame, doc: str) -> DataFrame:
-    """The first and last two lines of pages of five or more, with key: position and text, digits as #; three letters at least."""
-    edges = placed(lines, doc).where((F.col("n") >= LEAST_LINES) & (F.least("top", "bottom") <= EDGE))
+def marked(lines: DataFrame, doc: str) -> DataFrame:
+    """Lines of (doc, page_no, line_no, line) with what decides about page furniture, in one shuffle by document.
+
+    key: of the first and last two non-blank lines of a page of five or more, the position and the text with digits as #, if
+    it has three letters; key_pages: pages with that key. value: the number of a first or last line that is only a page number;
+    page_offset: its difference to the page; best (page_offset, n): the document's most frequent one, of equals the smaller
+    distance, then the smaller value. pages: the document's last page.
+    """
+    page, whole = Window.partitionBy(doc, "page_no"), Window.partitionBy(doc)
+    full = F.col("line").rlike(r"[^\s]").cast("int")
+    ranked = lines.repartition(doc).withColumn("full", full).withColumn("n", F.sum("full").over(page)).withColumn("pages", F.max("page_no").over(whole))
+    ranked = ranked.withColumn("top", F.sum("full").over(page.orderBy("line_no"))).withColumn("bottom", F.col("n") - F.col("top") + 1)
     text = F.regexp_replace(F.regexp_replace("line", r"^\s+|\s+\z", ""), "[0-9]+", "#")
-    key = F.concat(F.when(F.col("top") <= EDGE, "top:").otherwise("bottom:"), text)
-    return edges.withColumn("key", key).where(text.rlike(r"\pL.*\pL.*\pL"))
+    edge = (F.col("full") == 1) & (F.col("n") >= LEAST_LINES) & (F.least("top", "bottom") <= EDGE) & text.rlike(r"\pL.*\pL.*\pL")
+    keyed = ranked.withColumn("key", F.when(edge, F.concat(F.when(F.col("top") <= EDGE, "top:").otherwise("bottom:"), text)))
+    first = F.when(F.col("key").isNotNull() & (F.row_number().over(Window.partitionBy(doc, "key", "page_no").orderBy("line_no")) == 1), 1)
+    counted = keyed.withColumn("first", first).withColumn("key_pages", F.sum("first").over(Window.partitionBy(doc, "key")))
+    end = (F.col("full") == 1) & ((F.col("top") == 1) | (F.col("bottom") == 1))
+    valued = counted.withColumn("value", F.when(end, F.expr("try_cast(regexp_extract(line, r'" + PAGE_NUMBER + "', 1) as bigint)"))).withColumn("page_offset", F.col("value") - F.col("page_no"))
+    often = valued.withColumn("often", F.count("value").over(Window.partitionBy(doc, "page_offset")))
+    order = F.struct("often", -F.abs("page_offset"), -F.col("page_offset"))
+    return often.withColumn("best", F.max_by(F.struct("page_offset", F.col("often").alias("n")), F.when(F.col("value").isNotNull(), order)).over(whole))
+
+
+def _is_running() -> Column:
+    """A key on at least three and 60 % of the pages, in a document of four or more."""
+    return F.col("key").isNotNull() & (F.col("pages") >= LEAST_PAGES) & (F.col("key_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") * 6 / 10)))
+
+
+def _numbers_track() -> Column:
+    """The best offset on at least two and half of the pages, in a document of four or more."""
+    return (F.col("pages") >= LEAST_PAGES) & (F.col("best.n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))
 
 
 def running_lines(lines: DataFrame, doc: str) -> DataFrame:
-    """doc, key and n_pages of running lines: keys on at least three and 60 % of the pages, in documents of four or more."""
-    counted = edge_keys(lines, doc).groupBy(doc, "key", "pages").agg(F.count_distinct("page_no").alias("n_pages"))
-    enough = F.greatest(F.lit(3), F.floor(F.col("pages") * 6 / 10))
-    return counted.where((F.col("pages") >= LEAST_PAGES) & (F.col("n_pages") >= enough)).select(doc, "key", "n_pages")
+    """doc, key and n_pages of running headers and footers."""
+    return marked(lines, doc).where(_is_running() & F.col("first").isNotNull()).groupBy(doc, "key").agg(F.max("key_pages").alias("n_pages"))
 
 
 def page_numbers(lines: DataFrame, doc: str) -> DataFrame:
     """doc, page_no, line_no and value of first and last lines that are only a page number."""
-    ends = placed(lines, doc).where((F.col("top") == 1) | (F.col("bottom") == 1))
-    return ends.withColumn("value", F.expr("try_cast(regexp_extract(line, r'" + PAGE_NUMBER + "', 1) as bigint)")).where("value is not null").select(doc, "page_no", "line_no", "value", "pages")
+    return marked(lines, doc).where("value is not null").select(doc, "page_no", "line_no", "value")
 
 
 def page_offsets(lines: DataFrame, doc: str) -> DataFrame:
-    """doc, page_offset and n: the most frequent difference of number and page; of equals the smaller distance, then the smaller value."""
-    counted = page_numbers(lines, doc).groupBy(doc, (F.col("value") - F.col("page_no")).alias("page_offset"), "pages").agg(F.count("*").alias("n"))
-    best = counted.groupBy(doc, "pages").agg(F.max_by(F.struct("page_offset", "n"), F.struct(F.col("n"), -F.abs("page_offset"), -F.col("page_offset"))).alias("b"))
-    return best.where((F.col("pages") >= LEAST_PAGES) & (F.col("b.n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2)))).select(doc, "b.page_offset", "b.n")
+    """doc, page_offset and n where page numbers track the pages."""
+    return marked(lines, doc).where(F.col("value").isNotNull() & _numbers_track()).groupBy(doc).agg(F.max("best").alias("b")).select(doc, "b.page_offset", "b.n")
 
 
 def without_furniture(lines: DataFrame, doc: str) -> DataFrame:
-    """lines without running headers, footers and page numbers: two anti joins on (doc, page_no, line_no)."""
-    at = [doc, "page_no", "line_no"]
-    repeated = edge_keys(lines, doc).join(running_lines(lines, doc), [doc, "key"], "left_semi").select(*at)
-    numbered = page_numbers(lines, doc).withColumn("page_offset", F.col("value") - F.col("page_no")).join(page_offsets(lines, doc), [doc, "page_offset"], "left_semi")
-    return lines.join(repeated.unionByName(numbered.select(*at)).distinct(), at, "left_anti")
+    """lines without running headers and footers and without page numbers that track the pages."""
+    number = F.col("value").isNotNull() & _numbers_track() & (F.col("page_offset") == F.col("best.page_offset"))
+    return marked(lines, doc).where(~F.coalesce(_is_running() | number, F.lit(False))).select(*lines.columns)
 
 
 def page_clamp(most: Column, default: int = 20_000) -> Column:
