@@ -45,6 +45,49 @@ def strip(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[\s ]+", " "))
 
 
+#: Character references (fixed values); the ampersand comes last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+
+
+def _gone(tag: str) -> tuple[str, str]:
+    return rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " "
+
+
+#: What a page loses first: comments, unreadable elements.
+CLEANING = [(r"(?s)<!--.*?-->", " "), *map(_gone, DROPPED)]
+#: Tags to Markdown, in order, as (pattern, replacement with $1 and $2).
+MARKDOWN = [
+    (r"(?is)<head(?:\s[^>]*)?>.*?</head>", ""), (r"[\s ]+", " "),
+    *[(rf"(?i)<h{n}(?:\s[^>]*)?> ?(.*?) ?</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
+    (r'(?i)<a\s[^>]*?href="([^"]*)"[^>]*> ?(.*?) ?</a>', "[$2]($1)"), (r"(?i)</?(?:code|kbd|samp)>", "`"), (r"(?i)<(?:b|strong)> ?(.*?) ?</(?:b|strong)>", "**$1**"),
+    (r"(?i)<(?:i|em)> ?(.*?) ?</(?:i|em)>", "*$1*"), (r"(?i)<li(?:\s[^>]*)?> ?", "\n- "), (r"(?i)<br ?/?>", "\n"), (r"(?i)<hr ?/?>", "\n\n---\n\n"), (r"(?i)<blockquote(?:\s[^>]*)?> ?", "\n\n> "),
+    (r"(?i)</?t[dh](?:\s[^>]*)?>", " | "), (r"(?i)</?(?:p|div|ul|ol|table|tr|section|article|main|figure|header|footer|nav|aside|form|blockquote|body)(?:\s[^>]*)?>", "\n\n"), (r"(?s)<[^>]*>", ""),
+]
+
+
+def _through(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def markdown(html: Column) -> Column:
+    """A page as Markdown: its article, or else the body without page furniture; the title first unless a heading opens with it.
+
+    Headings, links, emphasis, code, lists, quotes and breaks keep their meaning; other tags go. All of it is a chain of
+    expressions over the source text, so malformed pages give what their tags say, never an error.
+    """
+    clean = _through(html, CLEANING)
+    article = F.regexp_extract(clean, r"(?is)<article(?:\s[^>]*)?>(.*)</article>", 1)
+    body = F.when(article != "", article).otherwise(_through(clean, [_gone(tag) for tag in CHROME]))
+    text = _through(body, MARKDOWN)
+    for name, character in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(character))
+    tidy = F.trim(_through(text, [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")]))
+    name = title(html)
+    return F.when((name == "") | tidy.startswith("# "), tidy).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), tidy))
+
+
 def needs_js(html: Column) -> Column:
     """Little text and a script: the page builds itself in a browser."""
     return (F.octet_length(strip(html)) < 300) & F.lower(html).contains("<script")

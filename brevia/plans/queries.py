@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevia import api
 from brevia.functions import text as t
 from brevia.operators import diffs, grids, html, json_docs, logs, outline, pages, relations, report, trees
+from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
 from brevia.plans.sql import SQL
@@ -309,6 +311,35 @@ def html_strip(spark, d):
     return read(spark, d, "pages").select("page_id", html.strip(F.col("html")).alias("text"))
 
 
+@query
+def html_markdown(spark, d):
+    return read(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
+
+
+def _corpus(spark, d):
+    """Pages, documents, logs and diffs under one kind of id."""
+    web = read(spark, d, "pages").selectExpr("concat('page ', cast(page_id as string)) as id", "html as text", "cast(null as string) as path", "'text/html' as content_type")
+    docs = read(spark, d, "documents").selectExpr("concat('document ', cast(doc_id as string)) as id", "text", "'notes.txt' as path", "cast(null as string) as content_type")
+    log = inputs.logs(spark, d).groupBy("user_id").agg(joined("line_no", "line").alias("text")).selectExpr("concat('log ', cast(user_id as string)) as id", "text", "'run.log' as path", "cast(null as string) as content_type")
+    patch = inputs.diffs(spark, d).groupBy("conv_id").agg(joined("line_no", "line").alias("text")).selectExpr("concat('diff ', cast(conv_id as string)) as id", "text", "cast(null as string) as path", "cast(null as string) as content_type")
+    return web.unionByName(docs).unionByName(log).unionByName(patch)
+
+
+@query
+def read_docs(spark, d):
+    return api.read_docs(_corpus(spark, d))
+
+
+@query
+def read_outlines(spark, d):
+    return api.read_outlines(_corpus(spark, d))
+
+
+@query
+def read_page(spark, d):
+    return api.read_page(_corpus(spark, d), 2, 1000)
+
+
 @query
 def html_summary(spark, d):
     return html.pages_summary(read(spark, d, "pages"))

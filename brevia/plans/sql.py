@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brevia.operators.html import DROPPED
+from brevia.operators.html import CHROME, CLEANING, DROPPED, ENTITIES, MARKDOWN, _gone
 
 _CR = "chr(10)"
 _CEIL4 = "((length({0}) + 3) // 4)::bigint"
@@ -136,6 +136,35 @@ def _stripped() -> str:
     return rf"trim(regexp_replace(regexp_replace({bare}, '(?s)<[^>]*>', ' ', 'g'), '[\s\x0B\x{{A0}}]+', ' ', 'g'))"
 
 
+def _quoted(text: str) -> str:
+    """A SQL literal; line ends are escapes, which the pattern language and string_split know."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _through(text: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, replacement in rules:
+        made = " || chr(10) || ".join(_quoted(x) for x in replacement.replace("$", "\\").split("\n"))
+        text = f"regexp_replace({text}, {_quoted(pattern.replace(chr(92) + 'z', '$'))}, {made}, 'g')"
+    return text
+
+
+def _markdown_sql() -> str:
+    text = _through("body", MARKDOWN)
+    for name, character in ENTITIES.items():
+        text = f"replace({text}, {_quoted(name)}, {_quoted(character)})"
+    tidy = _through(text, [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")])
+    return rf"""with cleaned as (
+  select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title, {_through("html", CLEANING)} as clean from pages
+), articles as (
+  select *, regexp_extract(clean, '(?is)<article(?:\s[^>]*)?>(.*)</article>', 1) as article from cleaned
+), bodies as (
+  select *, case when article <> '' then article else {_through("clean", [_gone(tag) for tag in CHROME])} end as body from articles
+), tidied as (
+  select page_id, title, trim({tidy}) as tidy from bodies
+)
+select page_id, case when title = '' or starts_with(tidy, '# ') then tidy else '# ' || title || chr(10) || chr(10) || tidy end as markdown from tidied"""
+
+
 _LINK = r"""parts as (
   select page_id, url, regexp_extract(url, '#.*$') as fragment, regexp_replace(url, '#.*$', '') as bare, regexp_extract(url, '^[a-z]+') as scheme,
     case when page_id % 2 = 0 then regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) else 'other.example' end as host
@@ -240,6 +269,7 @@ with found as (select page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([
 select page_id, generate_subscripts(hrefs, 1)::int - 1 as n, unnest(hrefs) as href from found""",
     "html_link_rewrite": f"with {_LINK} select page_id, local || case when rest <> '' then '?' || rest else '' end || fragment as link from cleaned",
     "html_strip": f"select page_id, {_stripped()} as text from pages",
+    "html_markdown": _markdown_sql(),
     "html_summary": f"""
 select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1))::int as n_links,
   length({_stripped()})::int as n_chars, strlen({_stripped()}) < 300 and contains(lower(html), '<script') as needs_js from pages""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brevia import api
 from brevia.functions import text as t
 from brevia.operators import diffs, grids, html, json_docs, logs, outline, pages, relations, report, trees
 from brevia.operators.lines import explode_lines
@@ -168,3 +169,24 @@ def test_ttl_counts_from_insert(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, user_id long").selectExpr("event_id", "to_timestamp(ts) as ts", "user_id").write.parquet(str(tmp_path / "events"))
     done = events.run_available(events.ttl_cache(events.event_stream(spark, str(tmp_path / "events")), 600), str(tmp_path / "out"), "update")
     assert tuple(done.agg(F.max("n_reads"), F.max("n_hits")).first()) == (4, 2)
+
+
+def test_markdown_of_a_page(spark):
+    page = "<html><head><title>The page</title></head><body><nav><a href='/'>no</a></nav><article><h2>Part &amp; more</h2><p>Some <b>bold</b> and <a href=\"/x\">link</a>.<ul><li>one<li>two</ul></article><footer>no</footer></body></html>"
+    assert value(spark, html.markdown(F.lit(page))) == "# The page\n\n## Part & more\n\nSome **bold** and [link](/x).\n\n- one\n- two"
+    bare = "<title>T</title><h1>T</h1><nav>menu</nav><p>text<br>next"
+    assert value(spark, html.markdown(F.lit(bare))).endswith("# T\n\ntext\nnext")
+
+
+def test_reading_a_mixed_corpus(spark):
+    rows = [
+        ("a", "<html><body><h1>Hi</h1><p>x</body></html>", None, None), ("b", "ok\nERROR x\n", "run.log", None), ("c", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b", "x.patch", None),
+        ("d", "plain  \n\n\n\ntext", None, None), ("e", None, None, None), ("f", "%PDF-1.4", None, None), ("g", "no diff here", "y.diff", None),
+    ]
+    docs = spark.createDataFrame(rows, "id string, text string, path string, content_type string")
+    got = {r["id"]: r for r in api.read_docs(docs).collect()}
+    assert [got[k]["kind"] for k in "abcdf"] == ["html", "logfile", "diff", "text", "pdf"]
+    assert got["a"]["markdown"] == "# Hi\n\nx" and got["d"]["markdown"] == "plain\n\ntext" and got["c"]["markdown"].startswith("**1 file(s) changed** (+1 -1)")
+    assert [got[k]["error"] for k in "defg"] == [None, "source is empty", "unsupported file type", "not a recognizable diff/patch"]
+    assert {r["id"]: r["outline"][:10] for r in api.read_outlines(docs).collect()}["a"] == "1 sections"
+    assert {r["id"]: r["error"] for r in api.read_page(docs, 2).collect()}["a"] == "page 2 out of range: there are 1 page(s)"
