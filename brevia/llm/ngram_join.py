@@ -27,6 +27,8 @@ FREQUENT = 1 << 20
 LOCAL = 3
 #: Longs of a signature.
 LANES = 16
+#: Documents of a token that all others of it are held against first.
+LEADERS = 4
 #: Seeds of the token orders.
 ORDERS = (11, 23, 47)
 
@@ -64,7 +66,9 @@ def prefix(tokens: np.ndarray, seed: int, threshold: int, frequent: np.ndarray,
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """Parity bits of a set, at least four a token: where two sets' bits differ counts at most their symmetric difference."""
-    lanes = max(LANES, 1 << max(0, len(tokens) * 4 - 1).bit_length() - 6) if len(tokens) else LANES
+    lanes = LANES
+    while lanes * 16 < len(tokens):
+        lanes *= 2
     bits = np.bincount(((mix(tokens, 3) >> U64(20)) % U64(64 * lanes)).astype(np.int64), minlength=64 * lanes) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -107,6 +111,10 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     with nothing; fewer words than ``size`` make one n-gram of the whole sequence. Repeated rows with one doc_id are one
     node of the graph and all come back; a null doc_id comes back with a null component. No partner is ever capped:
     copies are joined through their class, and pairs inside a component that is already connected need no check.
+
+    Candidates come in three steps. First each document is held against a few leaders of each of its prefix tokens, taken in
+    a random order; then, for tokens whose documents are still in several components, against those that share the most
+    tokens (the middle of a group of near copies); at last all pairs across components are made, which few tokens still need.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -128,27 +136,21 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     named = described.where("class is not null and doc_id is not null")
     classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep")), "ngram-classes")
     reps = named.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    index = (
-        reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), "n", F.xxhash64("doc_id").alias("first"))
-        .repartition("token").sortWithinPartitions("token", "first", "rep")
-        .select("token", "rep", "n").mapInArrow(_shared, "token long, rep long, n long, leader long")
-    )
-    groups = saved(index, "ngram-groups")
-
     marks = described.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *[F.col("short")[k].alias(f"s{k}") for k in range(LANES)])
     wide = described.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("signature").alias("bits"), "n")
-    pairs = groups.where("rep <> leader").select("rep", "leader").distinct()
-    pairs = _bounded(pairs.join(marks, "rep").alias("l").join(marks.withColumnRenamed("rep", "leader").alias("r"), "leader"), threshold)
-    pairs = pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    links = _verified(docs, _narrowed(saved(pairs, "ngram-pairs"), wide, threshold), threshold, size, frequent)
+    verify = lambda pairs: _verified(docs, _narrowed(saved(pairs, "ngram-pairs"), wide, threshold), threshold, size, frequent)
+
+    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("first"))), "ngram-groups")
     same = named.select("doc_id", "class").distinct().join(classes, "class").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    links = saved(links.unionByName(same.where("a <> b").select("a", "b")), "ngram-links")
+    links = saved(verify(_led(groups, marks, threshold)).unionByName(same.where("a <> b").select("a", "b")), "ngram-links")
+    found = components(links)
+    opened = _open(groups, found)
+    central = opened.join(groups.groupBy("rep").agg((-F.count("*")).alias("first")), "rep").select("token", "rep", "first")
+    links = saved(links.unionByName(verify(_apart(_led(_index(central), marks, threshold), found))), "ngram-links")
+    found = components(links)
+    pairs = _across(_open(groups, found), marks, threshold)
+    links = saved(links.unionByName(verify(pairs)), "ngram-links")
     found = components(links)
-
-    pairs = _narrowed(saved(_across(groups, found, marks, threshold), "ngram-across"), wide, threshold)
-    if not pairs.isEmpty():
-        links = saved(links.unionByName(_verified(docs, pairs, threshold, size, frequent)), "ngram-links")
-        found = components(links)
 
     ends = classes.join(found, classes["rep"] == found["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     ends = saved(ends, "ngram-ends")
@@ -156,33 +158,61 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     return NgramJoin(links, rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
+def _index(rows: DataFrame) -> DataFrame:
+    """Of (token, rep, first): the tokens with two documents or more, and the leaders of each row: those before it by (first, rep)."""
+    ordered = rows.repartition("token").sortWithinPartitions("token", "first", "rep").select("token", "rep")
+    return ordered.mapInArrow(_shared, "token long, rep long, " + ", ".join(f"leader{k} long" for k in range(LEADERS)))
+
+
+def _led(groups: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a, b) of a document and a leader of one of its tokens, within the bounds."""
+    leaders = F.array(*[f"leader{k}" for k in range(LEADERS)])
+    pairs = groups.select("rep", F.explode(leaders).alias("leader")).where("rep <> leader").distinct()
+    pairs = _bounded(pairs.join(marks, "rep").alias("l").join(marks.withColumnRenamed("rep", "leader").alias("r"), "leader"), threshold)
+    return pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return placed.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+
+
+def _open(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(token, rep, component) of the tokens whose documents are not all in one component yet, written."""
+    placed = saved(groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "ngram-placed")
+    tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    return saved(placed.join(tokens, "token", "left_semi"), "ngram-open")
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token: those whose token has two documents or more, with the token's first as leader.
+    """Of rows sorted by token: those whose token has two documents or more, with up to ``LEADERS`` documents before them.
 
-    It streams: a token of any number of rows needs the memory of one batch.
+    The leaders of a token are its first documents in an order that is the same for all tokens, so documents that share many
+    tokens share their leaders. It streams: a token of any number of rows needs the memory of one batch.
     """
-    token, leader, held = None, None, None
+    held, sent = (np.zeros(0, np.int64),) * 2, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, r, n = (batch.column(k).to_numpy() for k in range(3))
-        new = np.empty(len(t), bool)
-        new[0] = token is None or t[0] != token
-        new[1:] = t[1:] != t[:-1]
-        group = np.cumsum(new)
-        begins = np.flatnonzero(new)
-        first = np.concatenate([[leader if leader is not None else 0], r[begins]])[group]
-        size = np.bincount(group, minlength=group[-1] + 1)
-        several = size[group] >= 2
-        several |= group == 0
-        head = held if held is not None and not new[0] else None
-        if head is not None:
-            t, r, n, first, several = (np.concatenate([[x], y]) for x, y in zip((*head, head[1], True), (t, r, n, first, several), strict=True))
-        tail = bool(size[group[-1]] == 1 and group[-1] > 0)
-        held = (t[-1], r[-1], n[-1]) if tail else None
-        token, leader = t[-1], first[-1]
+        token, rep = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] >= 2
+        old = len(held[0])
+        several[: old if sent or old > 1 else 0] = False
+        at = np.arange(len(token))
+        leaders = {}
+        for k in range(LEADERS):
+            spot = start[group] + k
+            leaders[f"leader{k}"] = pa.array(rep[np.minimum(spot, len(rep) - 1)], mask=spot >= at).filter(pa.array(several))
+        last = start[-1]
+        sent = len(token) - last >= 2
+        held = tuple(x[last : last + LEADERS] for x in (token, rep))
         if several.any():
-            yield pa.record_batch({"token": t[several], "rep": r[several], "n": n[several], "leader": first[several]})
+            yield pa.record_batch({"token": token[several], "rep": rep[several], **leaders})
 
 
 def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -192,12 +222,9 @@ def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.where(f"{sizes} and {100 + threshold} * ({differ}) <= {100 - threshold} * (l.n + r.n)")
 
 
-def _across(groups: DataFrame, found: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
-    """Candidates (a, b) of different components that share a prefix token and pass the size and signature bounds."""
-    placed = groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = saved(placed, "ngram-placed")
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rest = saved(placed.join(open_tokens, "token", "left_semi").join(marks, "rep"), "ngram-open")
+def _across(opened: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a prefix token and keep the size and signature bounds."""
+    rest = saved(opened.join(marks, "rep"), "ngram-marked")
     pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.token = r.token and l.component < r.component"))
     return _bounded(pairs, threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
