@@ -3,7 +3,7 @@
 Texts become sequences of word tokens in which numbers, names and units are typed placeholders (slots). Windows of
 ``WINDOW`` tokens are hash-joined between documents and benchmark items; matches on one diagonal (document position
 minus item position) must fill the slots consistently, so that a re-parameterised question counts and a chance likeness
-of shape does not.
+of shape does not. Windows with too few literal tokens for that are joined by their exact tokens.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ._ragged import _BASE, FOLDED, SEGMENT, U64, mix, pieces, powers, texts
 from ._stage import WORDS, saved
 
 WINDOW = 8
-#: A window counts only with so many literal (not slot) tokens.
+#: A window is a template only with so many literal (not slot) tokens; with fewer it must match verbatim.
 LITERALS = 5
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Units that turn into a placeholder when they follow a number (fixed values).
@@ -95,27 +95,46 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return value, kind, bounds
 
 
-def windows(value: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, owner, token position) of every window of ``size`` tokens inside one text with enough literals."""
+TEMPLATE, VERBATIM = 0, 1
+
+
+def forms(kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The kinds that each form of a window sees: a template all slots, a verbatim window none."""
+    return kind, np.zeros_like(kind)
+
+
+def windows(value: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(hash, owner, token position, form) of every window of ``size`` tokens inside one text: a template, or verbatim
+    where it has too few literals. Case is folded in both."""
     count = np.diff(bounds)
     runs = np.maximum(count - size + 1, 0)
     owner = np.repeat(np.arange(len(count)), runs)
     at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[owner]
-    shape = np.where(kind > 0, mix(kind.astype(np.uint64), 31), value)
-    total = np.full(len(at), size, np.uint64)
-    literals = np.zeros(len(at), np.int64)
-    for k in range(size):
-        total += shape[at + k] * U64(pow(_BASE, 2 * k + 1, 2**64))
-        literals += kind[at + k] == 0
-    keep = literals >= min(size, LITERALS)
-    return mix(total[keep], 37), owner[keep], at[keep]
+    slots = _within(kind > 0, at, size)
+    enough = size - slots >= min(size, LITERALS)
+    found = []
+    for form, (seen, keep) in enumerate(zip(forms(kind), (enough, ~enough), strict=True)):
+        spot = at[keep]
+        shape = np.where(seen > 0, mix(seen.astype(np.uint64), 31), value)
+        total = np.full(len(spot), size, np.uint64)
+        for k in range(size):
+            total += shape[spot + k] * U64(pow(_BASE, 2 * k + 1, 2**64))
+        found.append((mix(total, 37), owner[keep], spot, np.full(len(spot), form)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_SCHEMA = "id {kind}, window long, at int, n int, kinds array<int>, filled array<long>"
+def _within(mask: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """How many of the ``size`` tokens from each position are in mask."""
+    cum = np.concatenate([[0], np.cumsum(mask)])
+    return cum[at + size] - cum[at]
+
+
+_SCHEMA = "id {kind}, window long, at int, template boolean, n int, n_templates int, kinds array<int>, filled array<long>"
 
 
 def _table(df: DataFrame, keep, short: tuple[int, ...] | None) -> DataFrame:
-    """The windows of df (id, text): id, window, at (token position), n (windows of the text), kinds and filled (its slots).
+    """The windows of df (id, text): id, window, at (token position), template (whether it has that form at all), n and
+    n_templates (positions of the text with a window, with a template), kinds and filled (the slots of its form).
 
     keep: a broadcast bitmap of window hashes, others are dropped. short: window sizes besides ``WINDOW``, or None to give
     each text of fewer tokens one window of its own size.
@@ -129,24 +148,27 @@ def _table(df: DataFrame, keep, short: tuple[int, ...] | None) -> DataFrame:
                 count = np.diff(bounds)
                 found = []
                 for size in {WINDOW, *(short if short is not None else np.unique(count[(count > 0) & (count < WINDOW)]).tolist())}:
-                    w, owner, at = windows(value, kind, bounds, size)
+                    w, owner, at, form = windows(value, kind, bounds, size)
                     if short is None:
                         right = (count[owner] >= WINDOW) if size == WINDOW else (count[owner] == size)
                     else:
                         spot = w >> U64(40)
                         right = (keep.value[(spot >> U64(6)).astype(np.int64)] >> (spot & U64(63))) & U64(1) == 1
-                    found.append((w[right], owner[right], at[right], np.full(int(right.sum()), size)))
-                w, owner, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
-                slots = kind > 0
-                cum = np.concatenate([[0], np.cumsum(slots)])
-                begin, end = cum[at], cum[at + size]
-                each = end - begin
-                flat = np.arange(each.sum()) + np.repeat(begin - (np.cumsum(each) - each), each)
-                place = np.flatnonzero(slots)[flat]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
-                n = np.bincount(owner, minlength=len(count))
+                    found.append((w[right], owner[right], at[right], np.full(int(right.sum()), size), form[right]))
+                w, owner, at, size, form = (np.concatenate(x) for x in zip(*found, strict=True))
+                width = np.minimum(count, WINDOW)
+                n = np.where(count > 0, count - width + 1, 0)
+                n_templates = np.bincount(owner[form == TEMPLATE], minlength=len(count))
+                template = size - _within(kind > 0, at, size) >= np.minimum(size, LITERALS)
+                span = np.arange(WINDOW)
+                spots = at[:, None] + span
+                seen = np.stack(forms(kind))[form[:, None], np.minimum(spots, len(kind) - 1)] if len(at) else np.zeros((0, WINDOW), np.int8)
+                slots = (seen > 0) & (span < size[:, None])
+                place = spots[slots]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(slots.sum(1))]).astype(np.int32))
                 yield pa.record_batch({
-                    "id": part.column(0).take(pa.array(owner)), "window": w.view(np.int64), "at": (at - bounds[owner]).astype(np.int32), "n": n[owner].astype(np.int32),
+                    "id": part.column(0).take(pa.array(owner)), "window": w.view(np.int64), "at": (at - bounds[owner]).astype(np.int32), "template": template,
+                    "n": n[owner].astype(np.int32), "n_templates": n_templates[owner].astype(np.int32),
                     "kinds": pa.ListArray.from_arrays(offsets, pa.array(kind[place].astype(np.int32))), "filled": pa.ListArray.from_arrays(offsets, pa.array(value[place].view(np.int64))),
                 })
 
@@ -154,14 +176,18 @@ def _table(df: DataFrame, keep, short: tuple[int, ...] | None) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, coverage, n_matched): documents that hold at least ``coverage`` of an item's template windows.
+    """(doc_id, item_id, coverage, n_matched): documents that hold at least ``coverage`` of an item's windows.
+
+    coverage is a share of all its windows or, where that is more, of those that are templates: a question with new
+    values can't match the others. n_matched counts all.
 
     Windows of the items go into a bitmap of fixed size (2**24 bits), which thins the documents' windows before the
     exact join, so a shuffle carries little besides true matches; a larger benchmark thins less and stays exact.
     Items of fewer than ``WINDOW`` tokens are matched whole. Slots must be filled consistently along a diagonal: one
-    value of the item always stands for one value in the document, and different names stay different.
-    Null and empty texts, and items without a window of enough literals, leak nothing; null ids are kept as null;
-    repeated rows count once per id; other columns are ignored.
+    value of the item always stands for one value in the document, and different names stay different. Windows without
+    slots are verbatim and count whatever the others on their diagonal hold.
+    Null and empty texts leak nothing; null ids are kept as null; repeated rows count once per id; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     items = saved(_table(benchmark.select(F.col("item_id").alias("id"), "text"), None, None), "benchmark-windows")
@@ -172,14 +198,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     kept = spark.sparkContext.broadcast(bitmap)
     hits = _table(docs.select(F.col("doc_id").alias("id"), "text"), kept, short)
     hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("filled").alias("doc_filled"))
-    items = items.select(F.col("id").alias("item_id"), "window", "at", "n", "kinds", "filled").dropDuplicates(["item_id", "window", "at"])
-    matched = hits.join(items, "window").select("doc_id", "item_id", "n", "at", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
-    runs = matched.groupBy("doc_id", "item_id", "n", "diagonal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    items = items.withColumnRenamed("id", "item_id").dropDuplicates(["item_id", "window", "at"])
+    item, spot = ["doc_id", "item_id", "n", "n_templates"], F.struct("at", "template")
+    matched = hits.join(items, "window").select(*item, spot.alias("spot"), F.size("kinds").alias("n_slots"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
+    verbatim = F.collect_set(F.when(F.col("n_slots") == 0, F.col("spot")))
+    runs = matched.groupBy(*item, "diagonal").agg(F.collect_set("spot").alias("spots"), verbatim.alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     names = F.filter("slots", lambda s: s["kinds"] == NAME)
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kinds"], s["filled"])))) == F.size("slots")
     back = F.size(F.array_distinct(F.transform(names, lambda s: s["doc_filled"]))) == F.size(names)
-    whole = runs.where(one_way & back).groupBy("doc_id", "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"))
-    share = F.col("n_matched") / F.col("n")
+    held = runs.withColumn("spots", F.when(one_way & back, F.col("spots")).otherwise(F.col("verbatim")))
+    whole = held.groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots")).withColumn("n_matched", F.size("spots"))
+    templates = F.when(F.col("n_templates") > 0, F.size(F.filter("spots", lambda s: s["template"])) / F.col("n_templates"))
+    share = F.greatest(F.col("n_matched") / F.col("n"), templates)
     return whole.where(share >= coverage).select("doc_id", "item_id", share.alias("coverage"), F.col("n_matched").cast("long").alias("n_matched"))
 
 

@@ -208,6 +208,15 @@ def test_reparameterised_questions(spark):
     assert decontaminate.leaks(documents(spark, []), items).count() == 0 and decontaminate.leaks(documents(spark), items.limit(0)).count() == 0
 
 
+def test_verbatim_items_dense_in_slots(spark):
+    texts = ["Add 12 and 30", "What is 3 plus 4", "Compute 12 * 7 + 5 - 3 + 9 / 4 * 2 now", "12 13 14", "Please tell me now how many of 3 4 5 6 7 8 9 there are"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(i, f"Before it. {t} and so on.") for i, t in enumerate(texts)]
+    docs += [(10, "Before it. Add 12 and 31 and so on."), (11, "Before it. Compute 1 * 2 + 3 - 4 + 5 / 6 * 8 now"), (12, "Please tell me now how many of 1 2 6 7 8 9 0 there were")]
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_matched"]) for r in decontaminate.leaks(documents(spark, docs), items).collect()}
+    assert got == {(0, 0): (1, 1), (1, 1): (1, 1), (2, 2): (1, 2), (3, 3): (1, 1), (4, 4): (1, 9), (12, 4): (1, 3)}
+
+
 @pytest.fixture(scope="module")
 def fuzz():
     rng = np.random.default_rng(2)
