@@ -3,7 +3,8 @@
 Texts become sequences of word tokens in which numbers, names and units are typed placeholders (slots). Windows of
 ``WINDOW`` tokens are hash-joined between documents and benchmark items; matches on one diagonal (document position
 minus item position) must fill the slots consistently, so that a re-parameterised question counts and a chance likeness
-of shape does not. Windows with too few literal tokens for that are joined by their exact tokens.
+of shape does not. What counts as a name depends on capitals and stops around it, so windows are also joined with
+names as literals and by their exact tokens, all without case: one passage meets itself in any surroundings.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from ._ragged import _BASE, FOLDED, SEGMENT, U64, mix, pieces, powers, texts
 from ._stage import WORDS, saved
 
 WINDOW = 8
-#: A window is a template only with so many literal (not slot) tokens; with fewer it must match verbatim.
+#: A window is a template only with so many literal (not slot) tokens; with fewer it can only match verbatim.
 LITERALS = 5
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Units that turn into a placeholder when they follow a number (fixed values).
@@ -95,25 +96,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return value, kind, bounds
 
 
-TEMPLATE, VERBATIM = 0, 1
+TEMPLATE, NAMED, VERBATIM = 0, 1, 2
 
 
 def forms(kind: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The kinds that each form of a window sees: a template all slots, a verbatim window none."""
-    return kind, np.zeros_like(kind)
+    """The kinds that each form of a window sees: a template all slots, a named one all but names, a verbatim one none."""
+    return kind, np.where(kind == NAME, 0, kind), np.zeros_like(kind)
 
 
 def windows(value: np.ndarray, kind: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """(hash, owner, token position, form) of every window of ``size`` tokens inside one text: a template, or verbatim
-    where it has too few literals. Case is folded in both."""
+    """(hash, owner, token position, form) of every window of ``size`` tokens inside one text, in each form it has.
+
+    Forms that see the same slots are one and have one hash: a window without slots is a template and verbatim alike.
+    """
     count = np.diff(bounds)
     runs = np.maximum(count - size + 1, 0)
     owner = np.repeat(np.arange(len(count)), runs)
     at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + bounds[owner]
-    slots = _within(kind > 0, at, size)
-    enough = size - slots >= min(size, LITERALS)
+    slots, names = _within(kind > 0, at, size), _within(kind == NAME, at, size)
+    need = min(size, LITERALS)
+    keeps = (size - slots >= need), (0 < names) & (names < slots) & (size - slots + names >= need), slots > 0
     found = []
-    for form, (seen, keep) in enumerate(zip(forms(kind), (enough, ~enough), strict=True)):
+    for form, (seen, keep) in enumerate(zip(forms(kind), keeps, strict=True)):
         spot = at[keep]
         shape = np.where(seen > 0, mix(seen.astype(np.uint64), 31), value)
         total = np.full(len(spot), size, np.uint64)
@@ -129,12 +133,13 @@ def _within(mask: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndar
     return cum[at + size] - cum[at]
 
 
-_SCHEMA = "id {kind}, window long, at int, template boolean, n int, n_templates int, kinds array<int>, filled array<long>"
+_SCHEMA = "id {kind}, window long, at int, template boolean, form int, n int, n_templates int, kinds array<int>, filled array<long>"
 
 
 def _table(df: DataFrame, keep, short: tuple[int, ...] | None) -> DataFrame:
-    """The windows of df (id, text): id, window, at (token position), template (whether it has that form at all), n and
-    n_templates (positions of the text with a window, with a template), kinds and filled (the slots of its form).
+    """The windows of df (id, text): id, window, at (token position), template (whether it has that form at all), form
+    (verbatim for all without slots), n and n_templates (positions of the text with a window, with a template), kinds and
+    filled (the slots of its form).
 
     keep: a broadcast bitmap of window hashes, others are dropped. short: window sizes besides ``WINDOW``, or None to give
     each text of fewer tokens one window of its own size.
@@ -167,7 +172,7 @@ def _table(df: DataFrame, keep, short: tuple[int, ...] | None) -> DataFrame:
                 place = spots[slots]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(slots.sum(1))]).astype(np.int32))
                 yield pa.record_batch({
-                    "id": part.column(0).take(pa.array(owner)), "window": w.view(np.int64), "at": (at - bounds[owner]).astype(np.int32), "template": template,
+                    "id": part.column(0).take(pa.array(owner)), "window": w.view(np.int64), "at": (at - bounds[owner]).astype(np.int32), "template": template, "form": np.where(slots.any(1), form, VERBATIM).astype(np.int32),
                     "n": n[owner].astype(np.int32), "n_templates": n_templates[owner].astype(np.int32),
                     "kinds": pa.ListArray.from_arrays(offsets, pa.array(kind[place].astype(np.int32))), "filled": pa.ListArray.from_arrays(offsets, pa.array(value[place].view(np.int64))),
                 })
@@ -184,8 +189,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     Windows of the items go into a bitmap of fixed size (2**24 bits), which thins the documents' windows before the
     exact join, so a shuffle carries little besides true matches; a larger benchmark thins less and stays exact.
     Items of fewer than ``WINDOW`` tokens are matched whole. Slots must be filled consistently along a diagonal: one
-    value of the item always stands for one value in the document, and different names stay different. Windows without
-    slots are verbatim and count whatever the others on their diagonal hold.
+    value of the item always stands for one value in the document, and different names stay different. Each form is
+    held to that by itself, and verbatim windows need no slots to agree.
     Null and empty texts leak nothing; null ids are kept as null; repeated rows count once per id; other columns are
     ignored.
     """
@@ -200,14 +205,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("filled").alias("doc_filled"))
     items = items.withColumnRenamed("id", "item_id").dropDuplicates(["item_id", "window", "at"])
     item, spot = ["doc_id", "item_id", "n", "n_templates"], F.struct("at", "template")
-    matched = hits.join(items, "window").select(*item, spot.alias("spot"), F.size("kinds").alias("n_slots"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
-    verbatim = F.collect_set(F.when(F.col("n_slots") == 0, F.col("spot")))
-    runs = matched.groupBy(*item, "diagonal").agg(F.collect_set("spot").alias("spots"), verbatim.alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    matched = hits.join(items, "window").select(*item, "form", spot.alias("spot"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
+    runs = matched.groupBy(*item, "form", "diagonal").agg(F.collect_set("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     names = F.filter("slots", lambda s: s["kinds"] == NAME)
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kinds"], s["filled"])))) == F.size("slots")
     back = F.size(F.array_distinct(F.transform(names, lambda s: s["doc_filled"]))) == F.size(names)
-    held = runs.withColumn("spots", F.when(one_way & back, F.col("spots")).otherwise(F.col("verbatim")))
-    whole = held.groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots")).withColumn("n_matched", F.size("spots"))
+    whole = runs.where(one_way & back).groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots")).withColumn("n_matched", F.size("spots"))
     templates = F.when(F.col("n_templates") > 0, F.size(F.filter("spots", lambda s: s["template"])) / F.col("n_templates"))
     share = F.greatest(F.col("n_matched") / F.col("n"), templates)
     return whole.where(share >= coverage).select("doc_id", "item_id", share.alias("coverage"), F.col("n_matched").cast("long").alias("n_matched"))

@@ -217,6 +217,17 @@ def test_verbatim_items_dense_in_slots(spark):
     assert got == {(0, 0): (1, 1), (1, 1): (1, 1), (2, 2): (1, 2), (3, 3): (1, 1), (4, 4): (1, 9), (12, 4): (1, 3)}
 
 
+def test_copies_in_other_surroundings(spark):
+    short, long = "What is the boiling point of water", "The train left Paris at noon. It came to Lyon before night. Then Anna met Tom there and they took 2 km of road. Who paid for it?"
+    items = spark.createDataFrame([(1, short), (2, long), (3, "Add the 12 apples to the basket")], "item_id long, text string")
+    docs = [
+        (1, f'he asked "{short}" twice'), (2, f"Well, {short.lower()}"), (3, f"x {short.title()}"), (4, f"x {short.upper()}"), (5, f"so\n{short}"), (6, long.title()), (7, long.lower()),
+        (8, long.replace(". ", ", ")), (9, long.replace(" ", "\n")), (10, 'he asked "Add the 15 apples to the basket" twice'), (11, "What was the boiling point of tar"), (12, "add the twelve apples to the basket"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.leaks(documents(spark, docs), items).collect()}
+    assert got == {(i, 1): 1 for i in (1, 2, 3, 4, 5)} | {(i, 2): 1 for i in (6, 7, 8, 9)} | {(10, 3): 1}
+
+
 @pytest.fixture(scope="module")
 def fuzz():
     rng = np.random.default_rng(2)
