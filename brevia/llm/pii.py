@@ -32,24 +32,35 @@ SYLLABLES = {"latin": "bar bel dan dor fen gar hal kel lan lor mar mon nor pel r
 
 _TITLE = "|".join(MALE + FEMALE + EITHER)
 _EMAIL = r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-SECRET = r"(?:password|passwd|pwd|token|secret|api_key)\s?[=:]\s?\"?"
-_SECRET = SECRET + r"[\p{L}\p{N}_+/=-]{8,}"
+SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\\?[\"']?\s?[ \t]*+[=:]\s?[ \t]*+\\?[\"']?"
+#: A value goes to its closing quote, or to a blank or a delimiter; signs behind its last letter or digit are left out
+#: where 8 others remain. Masks without letters and digits stay.
+_VALUE = (
+    r"(?:(?<=\")(?=[^\"\r\n]*[\p{L}\p{N}])[^\"\r\n]{7,}[^\"\r\n\\](?=\\?\")|(?<=')(?=[^'\r\n]*[\p{L}\p{N}])[^'\r\n]{7,}[^'\r\n\\](?=\\?')"
+    r"|(?=[^\s\"'<>,;&]*[\p{L}\p{N}])(?:[^\s\"'<>,;&]{7,}[\p{L}\p{N}_+/=-]|[^\s\"'<>,;&]{8,}))"
+)
+_SECRET = SECRET + _VALUE
 _NUMBERS = [
     r"\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}", r"\d{3}[.-]\d{3}[.-]\d{4}", r"\d{3}-\d{2}-\d{4}", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
-    r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{13,19}",
+    r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{13,19}", r"\d{3} \d{3}[ .-]\d{4}", r"\d{3}[.-]\d{3} \d{4}", r"[2-9]\d{2}[2-9]\d{6}",
 ]
 _CODES = [r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", r"[0-9a-f]{32,128}"]
-_NAME = rf"(?:{_TITLE})\.?\s\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?"
-_PAREN = r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}"
+_PART = rf"(?!(?:{_TITLE})(?![\p{{L}}\p{{N}}]))\p{{Lu}}(?:['’](?=\p{{L}}{{2}}))?(?:['’]?\p{{Lu}}|[\p{{Ll}}\p{{M}}])+"
+#: Initials and particles are parts of a name too (fixed values).
+_SMALL = r"(?:\p{Lu}\. ?|(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|al|el|bin|ibn|ter|ten|zu) )"
+_NAME = rf"(?:{_TITLE})\.?\s{_SMALL}*{_PART}(?:[ -]{_SMALL}*{_PART})*"
+_PAREN = r"\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}"
+#: A number with + and calling code, besides the form with the area code in brackets: 8 to 15 digits.
+_ABROAD = rf"\+(?!{_NUMBERS[0]}(?![\p{{L}}\p{{N}}]))[1-9](?:[ .()/-]{{0,2}}\d){{7,14}}"
 #: Every entity begins a word (or a bracketed area code), so most positions of a text are left at the first test.
 ENTITY = (
     rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|(?=[0-9A-Z])(?:{'|'.join(_CODES)}|{'|'.join(_NUMBERS)})(?![\p{{L}}\p{{N}}])|(?=[a-f])[0-9a-f]{{32,128}}(?![\p{{L}}\p{{N}}])"
-    rf"|(?=[ptsa]){_SECRET}|(?=\p{{Lu}}){_NAME}(?![\p{{L}}\p{{N}}])|{_PAREN}(?![\p{{L}}\p{{N}}]))"
+    rf"|(?=[ptsaPTSA]){_SECRET}|(?=\p{{Lu}}){_NAME}(?![\p{{L}}\p{{N}}])|(?:{_PAREN}|{_ABROAD})(?![\p{{L}}\p{{N}}]))"
 )
-#: Texts without any of these hold no entity; one look at each character tells.
-_HINT = rf"[0-9@=]|(?:password|passwd|pwd|token|secret|api_key):|[MHSDPFГ](?:r|rs|s|iss|err|onsieur|eñor|ir|rau|adame|me|eñora|ra|rof|осподин|оспожа)\.?\s"
+#: Texts without any of these hold no entity: each form has a digit, an @, or one of these beginnings.
+_HINT = rf"[0-9@]|{SECRET}|(?:{_TITLE})\.?\s|AKIA|ASIA|[a-f]{{32}}"
 #: A country's calling code stays as it is.
-COUNTRY = r"^\d{1,3}[ .-]?(?=\()"
+COUNTRY = r"^\+?\d{1,3}[ .-]?(?=\()|^\+\d{1,3}[ .-](?=\d)|^\+1(?=\d{10}$)"
 
 
 def matches(text: Column) -> Column:
@@ -64,24 +75,24 @@ ATTEMPTS = 64
 def _kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
-        F.when(m.rlike(f"^{SECRET}"), "secret").when(m.contains("@"), "email").when(whole(_NAME), "name").when(whole(_NUMBERS[3]), "ip").when(whole("|".join([*_NUMBERS, _PAREN])), "number")
+        F.when(m.rlike(f"^{SECRET}"), "secret").when(m.contains("@"), "email").when(whole(_NAME), "name").when(whole(_NUMBERS[3]), "ip").when(whole("|".join([*_NUMBERS, _PAREN, _ABROAD])), "number")
         .otherwise("code")
     )
 
 
 def parts(m: Column) -> Column:
-    """The identities in a match, as an array of (kind, norm): a name has its given name and surname, others are one."""
+    """The identities in a match, as an array of (kind, norm): a name has its given names and surname, others are one."""
     bare = F.regexp_replace(m, rf"^(?:{_TITLE})\.?\s", "")
-    words = F.split(F.lower(bare), "[ -]")
+    words = F.filter(F.split(F.translate(F.lower(bare), "’", "'"), r"[ -]|(?<=\.)"), lambda w: w != "")
     script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     titled = lambda names: m.rlike(rf"^(?:{'|'.join(names)})\.?\s")
     gender = F.when(titled(MALE), "male ").when(titled(FEMALE), "female ").otherwise("either ")
     one = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
     surname = one(F.concat(F.lit("surname "), script), F.element_at(words, -1))
-    given = one(F.concat(F.lit("given "), gender, script), F.element_at(words, 1))
+    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: one(F.concat(F.lit("given "), gender, script), w))
     kind = _kind(m)
     norm = F.when(kind == "secret", F.regexp_replace(m, f"^{SECRET}", "")).when(kind == "email", F.lower(m)).when(kind == "number", F.regexp_replace(F.regexp_replace(m, COUNTRY, ""), r"\D", "")).otherwise(m)
-    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(one(F.when(kind == "secret", "code").otherwise(kind), norm)))
+    return F.when(kind == "name", F.concat(given, F.array(surname))).otherwise(F.array(one(F.when(kind == "secret", "code").otherwise(kind), norm)))
 
 
 def _hash(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -94,8 +105,11 @@ def _number(h: Column, at: Column | int, digits: int = 2) -> Column:
     return F.conv(F.substr(h, F.lit(at) if isinstance(at, int) else at, F.lit(digits)), 16, 10).cast("int")
 
 
-def _shaped(norm: Column, h: Column) -> Column:
-    """norm with every digit and letter drawn anew; hex stays hex, case and script stay, punctuation stays."""
+def _shaped(norm: Column, h: Column, signs: bool = False) -> Column:
+    """norm with every digit and letter drawn anew; hex stays hex, case and script stay, punctuation stays.
+
+    signs: those besides _ + / = - and blanks are drawn anew too.
+    """
     hexadecimal = norm.rlike(r"^(?=.*\d)(?=.*[a-f])[0-9a-f]+$")
 
     def one(c: Column, i: Column) -> Column:
@@ -104,7 +118,7 @@ def _shaped(norm: Column, h: Column) -> Column:
         return (
             F.when(c.rlike(r"\d"), F.when(hexadecimal, pick("0123456789abcdef")).otherwise(pick("0123456789")))
             .when(hexadecimal, pick("0123456789abcdef")).when(c.rlike(r"[\p{Lu}&&\p{IsCyrillic}]"), pick("АБВГДЕЖЗИКЛМНОПРСТУФ")).when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуф"))
-            .when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz")).otherwise(c)
+            .when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz")).when(F.lit(signs) & c.rlike(r"[^_+/=\s-]"), pick("!#$%*?@^~.:")).otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(norm, ""), one), "")
@@ -119,7 +133,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     octet = lambda i: (_number(h, 1 + 4 * i, 4) % 254 + 1).cast("string")
     ip = F.concat_ws(".", *[octet(i) for i in range(4)])
     prefix = F.regexp_extract(norm, "^(?:AKIA|ASIA)", 0)
-    code = F.concat(prefix, _shaped(F.substr(norm, F.length(prefix) + 1), h))
+    code = F.concat(prefix, _shaped(F.substr(norm, F.length(prefix) + 1), h, signs=True))
 
     def chosen(lists: dict[str, list[str]], name: Column, at: Column) -> Column:
         """The entry of a named list that a number picks."""
