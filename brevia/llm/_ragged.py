@@ -1,9 +1,9 @@
 """Ragged text kernels: many texts of one Arrow batch as one byte buffer.
 
 Words are maximal runs of bytes other than the ASCII blanks 0x20 and 0x09-0x0D.
-They are hashed with a 64-bit polynomial over random byte codes; all work is
-vectorised, and temporaries stay near ``SEGMENT`` bytes times forty whatever the
-length of a text.
+Their hashes are sums of mixed 8-byte blocks, each keyed by its place, so no
+regular pattern of letters makes two words collide. All work is vectorised, and
+temporaries stay near ``SEGMENT`` bytes times forty whatever the length of a text.
 """
 
 from __future__ import annotations
@@ -15,43 +15,61 @@ import pyarrow as pa
 
 SEGMENT = 1 << 20
 U64 = np.uint64
-_rng = np.random.default_rng(20240229)
-_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Byte codes: blanks weigh nothing, so a run of blanks never changes a word's sum.
-EXACT = np.where(BLANK, U64(0), _CODES)
-FOLDED = EXACT.copy()
-FOLDED[65:91] = FOLDED[97:123]
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    have = len(_powers["up"])
-    if have < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            out = np.empty(max(n, SEGMENT + 1), np.uint64)
-            out[0] = 1
-            done = 1
-            while done < len(out):
-                step = min(done, len(out) - done)
-                np.multiply(out[:step], U64(pow(base, done, 2**64)), out=out[done : done + step])
-                done += step
-            _powers[name] = out
-    return _powers["up"][:n], _powers["down"][:n]
+#: Bytes with A-Z in lower case.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: Masks of the first k bytes of a block of eight.
+_FIRST = np.array([256**k - 1 for k in range(9)], np.uint64)
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position, as one number each; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every byte range: its first eight blocks one after another, what is left of a longer one as a keyed sum."""
+    view, size = blocks(data), ends - starts
+    out = mix((view[starts] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * U64(_BASE))
+    at, more = 8, np.flatnonzero(size > 8)
+    while len(more) and at < 64:
+        block = view[starts[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]
+        out[more] = mix(out[more] * U64(_BASE) + block)
+        at += 8
+        more = more[size[more] > at]
+    if len(more):
+        left = size[more] - at
+        count = (left + 7) >> 3
+        first = np.cumsum(count) - count
+        place = np.arange(first[-1] + count[-1]) - np.repeat(first, count)
+        block = view[np.repeat(starts[more] + at, count) + 8 * place] & _FIRST[np.minimum(np.repeat(left, count) - 8 * place, 8)]
+        out[more] = mix(out[more] * U64(_BASE) + np.add.reduceat(mix(block ^ mix(place.astype(np.uint64), 91)), first))
+    return out
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ranges of more than 8 * k bytes, their block k) for k from 0: all bytes of a range of up to 8 * count."""
+    view, size = blocks(data), ends - starts
+    out, which = [], np.arange(len(starts))
+    for k in range(count):
+        which = which[size[which] > 8 * k]
+        out.append((which, view[starts[which] + 8 * k] & _FIRST[np.minimum(size[which] - 8 * k, 8)]))
+    return out
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser; different seeds give unrelated orders."""
     x = x ^ U64((seed * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) % 2**64)
     for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
-        x = (x ^ (x >> U64(shift))) * U64(factor)
-    return x ^ (x >> U64(31))
+        x ^= x >> U64(shift)
+        x *= U64(factor)
+    x ^= x >> U64(31)
+    return x
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +112,8 @@ def cuts(data: np.ndarray, blank: np.ndarray, edges: np.ndarray) -> Iterator[tup
         start = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word; a word never crosses a text's edge."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word, A-Z in lower case; a word never crosses a text's edge."""
     hashes, starts, ends = [], [], []
     edges = offsets[1:]
     for low, high in cuts(data, BLANK, edges):
@@ -115,11 +133,10 @@ def words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = FOLDED) ->
         start = np.flatnonzero(first)
         if not len(start):
             continue
-        up, down = powers(len(part))
-        sums = np.add.reduceat(codes[part] * up, start)
-        hashes.append(mix(sums * down[start]))
+        end = np.flatnonzero(last) + 1
+        hashes.append(hashes_of(FOLD[part], start, end))
         starts.append(start + low)
-        ends.append(np.flatnonzero(last) + 1 + low)
+        ends.append(end + low)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._ragged import _BASE, FOLDED, SEGMENT, U64, mix, pieces, powers, texts
+from ._ragged import _BASE, FOLD, SEGMENT, U64, hashes_of, mix, pieces, texts
 from ._stage import WORDS, saved
 
 WINDOW = 8
@@ -38,17 +38,7 @@ _stop = np.isin(np.arange(256), list(b".!?:\n"))
 _inner = np.isin(np.arange(256), list(b".,"))
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Case-folded hashes of byte ranges that lie in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    edges = np.stack([starts, ends], 1).ravel()
-    weights = np.append(FOLDED[data] * up[: len(data)], U64(0))
-    return mix(np.add.reduceat(weights, edges)[::2] * down[starts])
-
-
-_UNIT_HASHES = np.sort(np.concatenate([_hash(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)])) for u in UNITS]))
+_UNIT_HASHES = np.sort(np.concatenate([hashes_of(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)])) for u in UNITS]))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +61,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(starts, offsets)
-    value = _hash(data, starts, ends)
+    value = hashes_of(FOLD[data], starts, ends)
     kind = np.zeros(len(starts), np.int8)
     if not len(starts):
         return value, kind, bounds

@@ -1,7 +1,8 @@
 """Token counts of byte-level BPE by rank-synchronous merging of ragged numpy arrays.
 
 Batched pre-tokens are one flat symbol array with bounds. In each round every sequence merges its lowest-rank pair;
-sequences without a known pair leave, and the symbols they still have are counted.
+sequences without a known pair leave, and the symbols they still have are counted. Long sequences go rank by rank over
+all of them, and only pairs beside a merge are ranked again.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cache import Slots
-from ._ragged import SEGMENT, mix, pieces, powers, texts
+from ._cache import Pieces, Slots
+from ._ragged import SEGMENT, pieces, texts
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Unicode's White_Space property (fixed values).
@@ -25,6 +27,8 @@ WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x
 #: Suffixes that stand apart behind an apostrophe (fixed values of the public pre-tokenizer pattern).
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 NONE = np.int32(2**31 - 1)
+#: Sequences of more symbols are merged rank by rank.
+LONG = 200
 
 
 @lru_cache(1)
@@ -36,12 +40,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(1)
-def letter_codes() -> np.ndarray:
-    """A random odd code for every code point."""
-    return mix(np.arange(0x110000, dtype=np.uint64), 17) | np.uint64(1)
-
-
 class Merges:
     """The merge table of a byte-level BPE file of the tokenizers library."""
 
@@ -71,21 +69,85 @@ class Merges:
         #: the pair that is being merged, and all its places can be merged in one round.
         self.ordered = len(np.unique(made)) == len(made) and bool((born[left] < np.arange(len(made))).all() and (born[right] < np.arange(len(made))).all())
 
-    def rank(self, symbols: np.ndarray) -> np.ndarray:
-        """The rank of each neighbouring pair, NONE where there is no merge."""
-        keys = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE where there is no merge."""
+        keys = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NONE)
 
     def counts(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The number of symbols that each byte sequence ends with; sequences follow each other in data."""
+        long = (lengths > LONG) & self.ordered
+        if not long.any():
+            return self._in_rounds(data, lengths)
+        out, inside = np.zeros(len(lengths), np.int64), np.repeat(long, lengths)
+        out[long] = self._by_rank(data[inside], lengths[long])
+        out[~long] = self._in_rounds(data[~inside], lengths[~long])
+        return out
+
+    def _by_rank(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``counts`` where a new pair never ranks before the merge that made it: each rank is applied once, everywhere.
+
+        ``waiting`` has the places of each rank still to come, and a heap their order; a merge ranks anew only the pair
+        that begins with it and the pair before it. So work grows with merges, not with rounds times symbols.
+        """
+        n, stops = len(data), np.cumsum(lengths)
+        symbols = np.append(self.first[data], np.int32(-1))
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        after[stops - 1], before[stops - lengths] = n, -1
+        rank = self.rank(symbols[:-1], symbols[after])
+        gone = np.zeros(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(spot: np.ndarray) -> None:
+            found = rank[spot]
+            spot = spot[found != NONE]
+            if len(spot) == 0:
+                return
+            found = rank[spot]
+            order = np.argsort(found, kind="stable")
+            spot, found = spot[order], found[order]
+            cut = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(spot)]
+            for a, b, r in zip(cut[:-1], cut[1:], found[cut[:-1]].tolist(), strict=True):
+                if r in waiting:
+                    waiting[r].append(spot[a:b])
+                else:
+                    waiting[r] = [spot[a:b]]
+                    heappush(ranks, r)
+
+        wait(np.arange(n))
+        heapify(ranks)
+        while ranks:
+            low = heappop(ranks)
+            spot = waiting.pop(low)
+            spot = spot[0] if len(spot) == 1 else np.unique(np.concatenate(spot))
+            spot = spot[rank[spot] == low]
+            if len(spot) > 1:  # of overlapping places (one symbol repeated) every second, from the left
+                spot = np.sort(spot)
+                run = np.cumsum(np.concatenate([[True], after[spot[:-1]] != spot[1:]])) - 1
+                spot = spot[(np.arange(len(spot)) - np.searchsorted(run, run)) % 2 == 0]
+            if not len(spot):
+                continue
+            right = after[spot]
+            far = after[right]
+            symbols[spot], after[spot], gone[right] = self.made[low], far, True
+            rank[right] = NONE
+            before[far[far < n]] = spot[far < n]
+            near = before[spot]
+            near = np.unique(np.concatenate([spot, near[near >= 0]]))
+            rank[near] = self.rank(symbols[near], symbols[after[near]])
+            wait(near)
+        return lengths - np.add.reduceat(gone, stops - lengths, dtype=np.int64)
+
+    def _in_rounds(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out = lengths.astype(np.int64)
         live, sizes, symbols = np.arange(len(lengths)), out.copy(), self.first[data]
         while len(live):
             starts = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(live)), sizes)
             rank = np.empty(len(symbols), np.int32)
-            rank[:-1] = self.rank(symbols)
+            rank[:-1] = self.rank(symbols[:-1], symbols[1:])
             rank[starts + sizes - 1] = NONE
             low = np.minimum.reduceat(rank, starts)
             spot = np.flatnonzero((rank == low[owner]) & (rank != NONE))
@@ -185,20 +247,19 @@ def _pretoken_sums(data: np.ndarray, offsets: np.ndarray, merges: Merges, slots:
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     char_offsets = np.searchsorted(head, offsets)
     start = pretoken_starts(points, char_offsets[:-1][np.diff(char_offsets) > 0])
-    up, down = powers(len(points))
-    hashes = mix(np.add.reduceat(letter_codes()[points] * up, start) * down[start])
-    at, hit = slots.get(hashes)
+    begin = head[start]
+    end = np.append(begin[1:], len(data))
+    found = Pieces(data, begin, end)
+    at, hit = slots.get(found)
     n = slots.values[0][at].astype(np.int64)
     if not hit.all():
         miss = np.flatnonzero(~hit)
-        key, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-        begin = head[start[miss[first]]]
-        end = np.append(head[start[1:]], len(data))[miss[first]]
-        size = end - begin
-        flat = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        which, back = found.distinct(miss)
+        size = found.sizes[which]
+        flat = np.arange(size.sum()) + np.repeat(begin[which] - (np.cumsum(size) - size), size)
         counted = merges.counts(data[flat], size)
         n[miss] = counted[back]
-        slots.put(key, counted)
+        slots.put(found, which, counted)
     total = np.concatenate([[0], np.cumsum(n)])
     return np.diff(total[np.searchsorted(start, char_offsets)])
 

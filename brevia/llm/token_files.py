@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._cache import Slots
-from ._ragged import BLANK, FOLDED, SEGMENT, cuts, mix, pieces, powers, texts
+from ._cache import Pieces, Slots
+from ._ragged import BLANK, FOLD, SEGMENT, cuts, pieces, texts
 from ._stage import place
 
 #: Token ids that a worker keeps for words seen before (4 bytes each).
@@ -35,13 +35,13 @@ _TAIL = np.zeros(256, bool)
 _TAIL[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(case-folded hash, start, end, whether it is one pre-token) of the pieces that are encoded on their own.
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, whether it is one pre-token) of the pieces that are encoded on their own.
 
     A run of non-blank bytes is one piece, unless it holds only ASCII but ' and < (contractions, special strings) and the
     Latin-1 letters: then it falls into runs of letters, single digits and runs of marks, as the pre-tokenizer cuts it.
     """
-    found = [], [], [], []
+    found = [], [], []
     for low, high in cuts(data, BLANK, offsets[1:]):
         part = data[low:high]
         kind = _CLASS[part]
@@ -76,13 +76,11 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ends[-1] = True
         ends[inner] = True
         ends = np.flatnonzero(ends)
-        up, down = powers(len(part))
-        found[0].append(mix(np.add.reduceat(FOLDED[part] * up, start) * down[start]))
-        found[1].append(start + low)
-        found[2].append(ends[np.searchsorted(ends, start, "right")] + low)
-        found[3].append(plain[start])
+        found[0].append(start + low)
+        found[1].append(ends[np.searchsorted(ends, start, "right")] + low)
+        found[2].append(plain[start])
     if not found[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in found)
 
 
@@ -112,7 +110,7 @@ class WordEncoder:
 
         def joined(t: str) -> list[int]:
             data = np.frombuffer(t.encode(), np.uint8)
-            _, starts, ends, _ = units(data, np.array([0, len(data)]))
+            starts, ends, _ = units(data, np.array([0, len(data)]))
             return [i for a, b in zip(starts, ends, strict=True) for i in ids(data[a:b].tobytes().decode())]
 
         return any(ids(t) != joined(t) for t in probe)
@@ -150,14 +148,15 @@ class WordEncoder:
             found = [e.ids for e in self.tokenizer.encode_batch(column.fill_null("").to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int64)
         data, offsets = texts(column)
-        hashes, starts, ends, plain = units(data, offsets)
-        at, hit = self.slots.get(hashes)
+        starts, ends, plain = units(data, offsets)
+        found = Pieces(FOLD[data], starts, ends)
+        at, hit = self.slots.get(found)
         begin, size = self.slots.values[0][at].astype(np.int64), self.slots.values[1][at].astype(np.int64)
         if not hit.all():
             miss = np.flatnonzero(~hit)
-            key, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            places, sizes = self._found(data.tobytes(), starts[miss[first]], ends[miss[first]], plain[miss[first]])
-            self.slots.put(key, places, sizes)
+            which, back = found.distinct(miss)
+            places, sizes = self._found(data.tobytes(), starts[which], ends[which], plain[which])
+            self.slots.put(found, which, places, sizes)
             begin[miss], size[miss] = places[back], sizes[back]
         flat = np.repeat(begin - (np.cumsum(size) - size), size)
         flat += np.arange(len(flat))
@@ -200,9 +199,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1) -> None:
     ranged.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, part int, part_start long, n_ids long, ids array<int>").write.options(**OPTIONS).orc(out)
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """The rows of ``write_tokens``; filters on doc_id skip files, stripes and row groups by their metadata."""
-    return spark.read.orc(out)
+def read_tokens(spark: SparkSession, out: str, ids: Sequence[int] | None = None) -> DataFrame:
+    """The rows of ``write_tokens``, of all documents or those with the doc_ids in ``ids``.
+
+    A filter on doc_id skips files, stripes and row groups by their metadata: ranges first, then Bloom filters.
+    """
+    stored = spark.read.orc(out)
+    return stored if ids is None else stored.where(F.col("doc_id").isin(*ids))
 
 
 def token_digest(stored: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brevia.llm import decontaminate, embedding_dedup, language, mixing, ngram_join, oracles, pii, quality, token_counts, token_files, url_filter
+from brevia.llm import _cache, decontaminate, embedding_dedup, language, mixing, ngram_join, oracles, pii, quality, token_counts, token_files, url_filter
 from brevia.llm._graph import components
 from brevia.llm._ragged import per_text, sets, texts, words
 from brevia.llm.queries import ORACLE_SQL, QUERIES, vocabulary
@@ -436,3 +437,65 @@ def test_no_entity_of_the_tables_is_left(spark):
     assert found and not any(m in after[d] for d, m in found)
     clean = before[~before.text.fillna("").str.contains(r"[0-9@=]")]
     assert (clean.text == clean.doc_id.map(after)).all()
+
+
+def thue_morse(n, a="a", b="m"):
+    """A word and its letter-for-letter complement, which sums of powers can't tell apart."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_no_regular_pattern_collides(spark):
+    """Complementary patterns of any length keep their own hashes, tokens, ids and shingles; cache hits are the same bytes."""
+    from tokenizers import Tokenizer
+
+    for n in (8, 16, 64, 1024, 2048, 8192):
+        x, y = thue_morse(n)
+        hashes, _, _ = words(*texts(pa.array([x, y, x + y, y + x])))
+        assert len(set(hashes.tolist())) == 4
+    pair = list(thue_morse(2048))
+    byte, word = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    assert token_counts.count_tokens(pa.array(pair), byte).tolist() == [len(Tokenizer.from_file(byte).encode(t).ids) for t in pair]
+    flat, sizes = token_files.WordEncoder(word).encode(pa.array(pair))
+    assert flat.tolist() == [i for t in pair for i in Tokenizer.from_file(word).encode(t, add_special_tokens=False).ids] and len(sizes) == 2
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(documents(spark, list(enumerate(pair)))).rows.collect()}
+    assert rows == {0: 0, 1: 1}
+
+
+def test_words_of_any_length_hash_apart():
+    """Words that share a prefix, end in zero bytes, or differ in one block only."""
+    rng = np.random.default_rng(9)
+    base = bytes(rng.integers(33, 127, 400).tolist()).decode()
+    rows = [base[:k] for k in range(1, 400)] + [base[:k] + "\0" for k in range(1, 80)] + [base[: 8 * k] + "!" + base[8 * k + 1 :] for k in range(50)]
+    hashes, _, _ = words(*texts(pa.array(list(dict.fromkeys(folded(r) for r in rows)))))
+    assert len(set(hashes.tolist())) == len({folded(r) for r in rows})
+
+
+def test_cache_never_takes_one_piece_for_another(monkeypatch):
+    """With two slots and one hash for all, hits are still only equal pieces."""
+    monkeypatch.setattr(_cache, "mix", lambda x, seed=0: np.zeros_like(x) + np.uint64(1 << 62))
+    rows = ["ab", "abc", "x" * 9, "x" * 9 + "y", "z" * 32, "z" * 33, "ab"]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    ends = np.cumsum([len(r) for r in rows])
+    pieces, slots = _cache.Pieces(data, ends - [len(r) for r in rows], ends), _cache.Slots(1, 1)
+    which, back = pieces.distinct(np.arange(len(rows)))
+    assert [rows[which[b]] for b in back] == rows
+    for k in range(len(rows)):
+        slots.put(pieces, np.array([k]), np.array([k]))
+        at, hit = slots.get(pieces)
+        assert all(rows[slots.values[0][at[j]]] == rows[j] for j in np.flatnonzero(hit)) and hit[k] == (len(rows[k]) <= _cache.LIMIT)
+
+
+def test_long_pretokens_merge_like_the_library():
+    """Runs of up to 200,000 letters, many of them random, in one batch with short ones."""
+    from tokenizers import Tokenizer
+
+    rng, path = np.random.default_rng(4), vocabulary("byte_bpe_50k.json")
+    rows = ["".join(rng.choice(list(letters), n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 60_000), ("ab", 5000), ("aé漢", 3000), ("a", 10_001), ("etaoin", 200), ("etaoin", 201))] + ["short words here"]
+    tokenizer = Tokenizer.from_file(path)
+    assert token_counts.count_tokens(pa.array(rows), path).tolist() == [len(tokenizer.encode(t).ids) for t in rows]
+    began = time.perf_counter()
+    token_counts.count_tokens(pa.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))]), path)
+    assert time.perf_counter() - began < 20
