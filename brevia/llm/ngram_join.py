@@ -1,8 +1,8 @@
 """Exact Jaccard join on word n-grams with filters under several global token orders.
 
 A pair can reach the threshold only if its sets share a prefix token under *every* total order of tokens. The first
-order finds candidates through an inverted index of prefix tokens; a candidate stays only if the prefixes of the other
-orders meet as well; what is left is counted exactly.
+order finds candidates through an inverted index of prefix tokens; a candidate stays only if the prefixes of all other
+orders meet as well, which is tested on hashed prefixes before any text moves; what is left is counted exactly.
 
 All orders put frequent n-grams (passages that many documents share) last, so that those seldom stand in a prefix.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -23,14 +23,16 @@ from ._stage import likely, saved
 
 #: The list of frequent n-grams never holds more entries (16 bytes each on the driver and in the broadcast).
 FREQUENT = 1 << 20
-#: An n-gram counts as locally frequent from so many documents of an Arrow batch.
-LOCAL = 3
+#: Documents that an n-gram needs to be on that list at all.
+LEAST = 3
 #: Longs of a signature.
 LANES = 16
 #: Documents of a token that all others of it are held against first.
 LEADERS = 4
-#: Seeds of the token orders.
+#: Seeds of the token orders: the first indexes, the others filter.
 ORDERS = (11, 23, 47)
+#: Classes and n-grams of a component that are compared in one block; a larger component is cut into blocks.
+BLOCK, BLOCK_TOKENS = 1_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -41,135 +43,186 @@ class NgramJoin:
     rows: DataFrame
 
 
+class Frequent:
+    """The frequent n-grams, sorted, and their ranks by frequency; a bitmap tells most others at once."""
+
+    def __init__(self, tokens: np.ndarray, ranks: np.ndarray) -> None:
+        self.tokens, self.ranks = tokens, ranks
+        self.known = np.zeros(1 << 22, bool)
+        self.known[(tokens >> U64(42)).astype(np.int64)] = True
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in tokens of frequent ones, their ranks)."""
+        place = np.flatnonzero(self.known[(tokens >> U64(42)).astype(np.int64)])
+        if not len(place):
+            return place, np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens[place]), len(self.tokens) - 1)
+        hit = self.tokens[at] == tokens[place]
+        return place[hit], self.ranks[at[hit]]
+
+
+NONE = Frequent(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
 def prefix_length(n: int, threshold: int) -> int:
     """Two sets of which one has n tokens can reach threshold/100 only if the first so many tokens of both meet."""
     return n + (-threshold * n // 100) + 1 if n else 0
 
 
-def order_keys(tokens: np.ndarray, seed: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Sort keys of one global order: rare tokens by a seeded hash, then frequent ones by their frequency."""
-    keys = mix(tokens, seed) >> U64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        known = frequent[at] == tokens
-        keys[known] = U64(1 << 63) + rank[at[known]]
-    return keys
-
+def prefixes(found: list[np.ndarray], seed: int, threshold: int, frequent: Frequent = NONE, longer: float = 1.0) -> list[np.ndarray]:
+    """The prefix tokens of every set under one order: rare tokens by a seeded hash, then frequent ones by their frequency.
 
-def prefix(tokens: np.ndarray, seed: int, threshold: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The prefix tokens of one set under one order."""
-    length = prefix_length(len(tokens), threshold)
-    if length >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(order_keys(tokens, seed, frequent, rank), length - 1)[:length]]
+    longer: a factor on the prefix's length.
+    """
+    if not found:
+        return []
+    keys = mix(np.concatenate(found), seed) >> U64(1)
+    place, rank = frequent.find(np.concatenate(found))
+    keys[place] = U64(1 << 63) + rank
+    out, start = [], 0
+    for tokens in found:
+        length = int(prefix_length(len(tokens), threshold) * longer)
+        own = keys[start : start + len(tokens)]
+        start += len(tokens)
+        out.append(tokens if length >= len(tokens) else tokens[np.argpartition(own, length - 1)[:length]])
+    return out
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Parity bits of a set, at least four a token: where two sets' bits differ counts at most their symmetric difference."""
-    lanes = LANES
-    while lanes * 16 < len(tokens):
-        lanes *= 2
-    bits = np.bincount(((mix(tokens, 3) >> U64(20)) % U64(64 * lanes)).astype(np.int64), minlength=64 * lanes) & 1
+    """Parity bits of a set: where two sets' bits differ counts at most their symmetric difference."""
+    bits = np.bincount((mix(tokens, 3) >> U64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def folded(bits: np.ndarray, lanes: int = LANES) -> np.ndarray:
-    """The shorter signature of the same set."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, lanes), 0)
+def same_set(tokens: np.ndarray) -> bytes | None:
+    """A key that equal sets share: two sums over the tokens, 128 bits; None for an empty set."""
+    return b"".join(int(f(mix(tokens, s))).to_bytes(8, "big") for f, s in ((np.sum, 71), (np.bitwise_xor.reduce, 73))) if len(tokens) else None
 
 
-def frequent_ngrams(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted n-grams, their rank) of the most frequent n-grams over all documents, at most ``FREQUENT``.
+def frequent_ngrams(docs: DataFrame, size: int, threshold: int) -> Frequent:
+    """The most frequent n-grams over all documents, at most ``FREQUENT``, counted where a prefix could hold them.
 
-    It only chooses the token order; the join is exact under any order.
+    Every document gives the tokens of a prefix half as long again under the first order without a list; they are
+    summed exactly. The list's least count comes from a histogram of counts, so nothing is sorted as a whole. It only
+    chooses the token order; the join is exact under any order.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sets(batch.column(0), size)
+            found = prefixes(sets(batch.column(0), size), ORDERS[0], threshold, longer=1.5)
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
-                keep = n >= LOCAL
-                yield pa.record_batch({"token": token[keep].view(np.int64), "n": n[keep]})
-
-    rows = (
-        docs.select("text").mapInArrow(count, "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    )
-    token = rows.column("token").to_numpy().view(np.uint64)
-    rank = np.arange(len(token), dtype=np.uint64)[::-1]
+                yield pa.record_batch({"token": token.view(np.int64), "n": n})
+
+    summed = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    counted = saved(summed.where(F.col("n") >= LEAST).withColumn("level", level), "ngram-frequent")
+    held, least = 0, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # some 500 levels at most
+        held += r["count"]
+        if held > FREQUENT:
+            least = r["level"] + 1
+            break
+    rows = counted.where(F.col("level") >= least).select("token", "n").toArrow()
+    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    rank = np.empty(len(token), np.uint64)
+    rank[np.lexsort((token, n))] = np.arange(len(token), dtype=np.uint64)
     order = np.argsort(token)
-    return token[order], rank[order].copy()
+    return Frequent(token[order], rank[order])
 
 
 def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin:
     """Link documents whose sets of ``size``-word n-grams have 100 * |A n B| >= threshold * |A u B|.
 
     ``docs`` needs doc_id (long) and text; other columns are ignored. ``rows`` has doc_id, n_shingles (set size),
-    component_id (smallest doc_id reachable by links, itself included). Null and empty texts have an empty set and link
-    with nothing; fewer words than ``size`` make one n-gram of the whole sequence. Repeated rows with one doc_id are one
-    node of the graph and all come back; a null doc_id comes back with a null component. No partner is ever capped:
-    copies are joined through their class, and pairs inside a component that is already connected need no check.
-
-    Candidates come in three steps. First each document is held against a few leaders of each of its prefix tokens, taken in
-    a random order; then, for tokens whose documents are still in several components, against those that share the most
-    tokens (the middle of a group of near copies); at last all pairs across components are made, which few tokens still need.
+    component_id (smallest doc_id reachable by links, itself included) and n_links (rows linked directly). Null and empty
+    texts have an empty set and link with nothing; fewer words than ``size`` make one n-gram of the whole sequence.
+    Repeated rows with one doc_id are one node of the graph and all come back, and each counts in n_links; a null doc_id
+    comes back with a null component and 0 links. No partner is ever capped: copies are joined through their class.
+
+    Components come first, in three steps: each document is held against a few leaders of each of its prefix tokens;
+    then, for tokens whose documents are still in several components, against those that share the most tokens (the
+    middle of a group of near copies); at last all pairs across components are made, which few tokens still need. A link
+    joins members of one component only, so n_links then counts all pairs inside each component, block by block, without
+    listing them.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size))
+    frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size, threshold))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = frequent.value
         for batch in batches:
             found = sets(batch.column("text"), size)
-            keys = [b"".join(int(f(mix(x, s))).to_bytes(8, "big") for f, s in ((np.sum, 71), (np.bitwise_xor.reduce, 73))) if len(x) else None for x in found]
-            wide = [signature(x) for x in found]
+            first, *others = (prefixes(found, seed, threshold, frequent.value) for seed in ORDERS)
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "class": pa.array(keys, pa.binary()),
-                "signature": ragged(wide, pa.int64()), "short": ragged([folded(x) for x in wide], pa.int64()),
-                "prefix": ragged([prefix(x, ORDERS[0], threshold, common, rank).view(np.int64) for x in found], pa.int64()),
+                "doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "class": pa.array([same_set(x) for x in found], pa.binary()),
+                "signature": ragged([signature(x) for x in found], pa.int64()), "prefix": ragged([x.view(np.int64) for x in first], pa.int64()),
+                **{f"filter{k}": ragged([(x >> U64(32)).astype(np.uint32).view(np.int32) for x in other], pa.int32()) for k, other in enumerate(others)},
             })
 
-    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, short array<long>, prefix array<long>"), "ngram-sets")
+    filters = [f"filter{k}" for k in range(len(ORDERS) - 1)]
+    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, prefix array<long>, " + ", ".join(f"{f} array<int>" for f in filters)), "ngram-sets")
     named = described.where("class is not null and doc_id is not null")
-    classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
+    again = saved(named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "ngram-again")
+    repeated = not again.isEmpty()
     reps = named.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    marks = described.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "n", *[F.col("short")[k].alias(f"s{k}") for k in range(LANES)])
-    wide = described.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("signature").alias("bits"), "n")
-    verify = lambda pairs: _verified(docs, _narrowed(saved(pairs, "ngram-pairs"), wide, threshold), threshold, size, frequent)
-
-    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("first"))), "ngram-groups")
-    same = named.select("doc_id", "class").distinct().join(classes, "class").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    links = saved(verify(_led(groups, marks, threshold)).unionByName(same.where("a <> b").select("a", "b")), "ngram-links")
+    reps = saved((reps.dropDuplicates(["class"]) if repeated else reps).withColumnRenamed("doc_id", "rep"), "ngram-reps")
+    marks = reps.select("rep", "n", *[F.col("signature")[k].alias(f"s{k}") for k in range(LANES)])
+    heads = reps.select("rep", *filters)
+    verify = lambda pairs: _verified(docs, _met(saved(pairs, "ngram-pairs"), heads, filters), threshold, size)
+
+    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), "rep")), "ngram-groups")
+    links = verify(_led(groups, marks, threshold))
+    if repeated:  # texts of one doc_id are one node
+        own = named.join(again, "doc_id", "left_semi").select("doc_id", "class").distinct().join(classes, "class").select("doc_id", "rep")
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    links = saved(links, "ngram-links")
     found = components(links)
     opened = _open(groups, found)
     central = opened.join(groups.groupBy("rep").agg((-F.count("*")).alias("first")), "rep").select("token", "rep", "first")
-    links = saved(links.unionByName(verify(_apart(_led(_index(central), marks, threshold), found))), "ngram-links")
+    links = saved(links.unionByName(verify(_apart(_led(_index(central, "first"), marks, threshold), found))), "ngram-links")
     found = components(links)
-    pairs = _across(_open(groups, found), marks, threshold)
-    links = saved(links.unionByName(verify(pairs)), "ngram-links")
+    links = saved(links.unionByName(verify(_across(_open(groups, found), marks, threshold))), "ngram-links")
     found = components(links)
 
-    ends = classes.join(found, classes["rep"] == found["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
+    ends = classes.join(found, classes["rep"] == found["node"], "left").select("class", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     ends = saved(ends, "ngram-ends")
-    rows = described.select("doc_id", "n", "class").join(ends, "class", "left")
-    return NgramJoin(links, rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    counted = _link_counts(docs, ends, reps.select("class", "n"), threshold, size)
+    rows = described.select("doc_id", "n", "class").join(ends.join(counted, "class").select("class", "component", "n_links"), "class", "left")
+    known = F.col("doc_id").isNotNull()
+    return NgramJoin(links, rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")))
 
 
-def _index(rows: DataFrame) -> DataFrame:
-    """Of (token, rep, first): the tokens with two documents or more, and the leaders of each row: those before it by (first, rep)."""
-    ordered = rows.repartition("token").sortWithinPartitions("token", "first", "rep").select("token", "rep")
-    return ordered.mapInArrow(_shared, "token long, rep long, " + ", ".join(f"leader{k} long" for k in range(LEADERS)))
+def _index(rows: DataFrame, first: str | None = None) -> DataFrame:
+    """Of (token, rep): the rows whose token has two documents or more, each with up to ``LEADERS`` leaders of its token.
+
+    The documents of a token are dealt to a few parts; leaders are the first ones of each part by the column ``first`` and
+    rep, or the smallest and largest rep. That order is the same for all tokens, so documents that share many tokens share
+    their leaders. It is an aggregation with partial results and a join that can split a frequent token.
+    """
+    parts = LEADERS if first else LEADERS // 2
+    inside = lambda k, value: F.when(F.pmod(F.xxhash64("rep"), F.lit(parts)) == k, value)
+    if first:
+        leaders = [F.min(inside(k, F.struct(first, "rep")))["rep"] for k in range(parts)]
+    else:
+        leaders = [f(inside(k, F.col("rep"))) for k in range(parts) for f in (F.min, F.max)]
+    shared = rows.groupBy("token").agg(F.count("*").alias("_n"), *[x.alias(f"leader{k}") for k, x in enumerate(leaders)]).where("_n > 1").drop("_n")
+    return rows.select("token", "rep").join(shared, "token")
 
 
 def _led(groups: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of a document and a leader of one of its tokens, within the bounds."""
-    leaders = F.array(*[f"leader{k}" for k in range(LEADERS)])
-    pairs = groups.select("rep", F.explode(leaders).alias("leader")).where("rep <> leader").distinct()
-    pairs = _bounded(pairs.join(marks, "rep").alias("l").join(marks.withColumnRenamed("rep", "leader").alias("r"), "leader"), threshold)
-    return pairs.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    """Distinct pairs (a, b), a > b, of a document and a leader of one of its tokens, within the bounds."""
+    pairs = groups.select("rep", F.explode(F.array(*[f"leader{k}" for k in range(LEADERS)])).alias("leader")).where("rep <> leader")
+    pairs = pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+    return _bounded(_marked(pairs, marks), threshold).select("a", "b")
+
+
+def _marked(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) with size and signature of both ends, as a_n, a_s0, ... and b_n, ..."""
+    for end in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "rep"]), end)
+    return pairs
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -186,105 +239,162 @@ def _open(groups: DataFrame, found: DataFrame) -> DataFrame:
     return saved(placed.join(tokens, "token", "left_semi"), "ngram-open")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token: those whose token has two documents or more, with up to ``LEADERS`` documents before them.
-
-    The leaders of a token are its first documents in an order that is the same for all tokens, so documents that share many
-    tokens share their leaders. It streams: a token of any number of rows needs the memory of one batch.
-    """
-    held, sent = (np.zeros(0, np.int64),) * 2, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, rep = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] >= 2
-        old = len(held[0])
-        several[: old if sent or old > 1 else 0] = False
-        at = np.arange(len(token))
-        leaders = {}
-        for k in range(LEADERS):
-            spot = start[group] + k
-            leaders[f"leader{k}"] = pa.array(rep[np.minimum(spot, len(rep) - 1)], mask=spot >= at).filter(pa.array(several))
-        last = start[-1]
-        sent = len(token) - last >= 2
-        held = tuple(x[last : last + LEADERS] for x in (token, rep))
-        if several.any():
-            yield pa.record_batch({"token": token[several], "rep": rep[several], **leaders})
-
-
 def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs with sides l and r: those whose sizes and signatures allow the threshold. It drops no pair that reaches it."""
-    differ = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(LANES))
-    sizes = f"{threshold} * greatest(l.n, r.n) <= 100 * least(l.n, r.n)"
-    return pairs.where(f"{sizes} and {100 + threshold} * ({differ}) <= {100 - threshold} * (l.n + r.n)")
+    """Of marked pairs: those whose sizes and signatures allow the threshold. It drops no pair that reaches it."""
+    differ = " + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(LANES))
+    sizes = f"{threshold} * greatest(a_n, b_n) <= 100 * least(a_n, b_n)"
+    return pairs.where(f"{sizes} and {100 + threshold} * ({differ}) <= {100 - threshold} * (a_n + b_n)")
 
 
 def _across(opened: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     """All pairs (a, b) of different components that share a prefix token and keep the size and signature bounds."""
     rest = saved(opened.join(marks, "rep"), "ngram-marked")
-    pairs = rest.alias("l").join(rest.alias("r"), F.expr("l.token = r.token and l.component < r.component"))
-    return _bounded(pairs, threshold).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+    side = lambda end: rest.select("token", F.col("component").alias(f"{end}_component"), F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "rep"])
+    pairs = side("a").join(side("b"), "token").where("a_component < b_component")
+    return _bounded(pairs, threshold).select("a", "b").distinct()
 
 
-def _narrowed(pairs: DataFrame, wide: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose full signatures still allow the threshold, written."""
+def _met(pairs: DataFrame, heads: DataFrame, filters: list[str]) -> DataFrame:
+    """The pairs whose prefixes meet under the other orders too, written. Only hashed prefixes travel."""
+    for end in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("rep").alias(end), *[F.col(f).alias(f"{end}_{f}") for f in filters]), end)
+    meet: Column = F.lit(True)
+    for f in filters:
+        meet &= F.arrays_overlap(f"a_{f}", f"b_{f}")
+    return saved(pairs.where(meet).select("a", "b"), "ngram-met")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            sides = []
-            for bits, n in ((2, 3), (4, 5)):
-                column = batch.column(bits)
-                sides.append((column.values.to_numpy(), column.offsets.to_numpy(), batch.column(n).to_numpy()))
-            (x, xo, xn), (y, yo, yn) = sides
-            for k in range(len(keep)):
-                p, q = x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]]
-                lanes = min(len(p), len(q))
-                differ = int(np.bitwise_count((folded(p, lanes) ^ folded(q, lanes)).view(np.uint64)).sum())
-                keep[k] = (100 + threshold) * differ <= (100 - threshold) * (xn[k] + yn[k])
-            rows = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch({"a": batch.column(0).take(rows), "b": batch.column(1).take(rows)})
-
-    first, second = (wide.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
-    full = pairs.join(first, "a").join(second, "b").select("a", "b", "a_bits", "a_n", "b_bits", "b_n")
-    return saved(full.mapInArrow(check, "a long, b long").distinct(), "ngram-narrowed")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int, frequent) -> DataFrame:
-    """The pairs that pass the prefix filters of the other orders and then the exact count.
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents whose doc_id is among ``ids`` (id); only those are shuffled."""
+    own = likely(docs.where("text is not null"), "doc_id", ids)
+    return own.join(ids, own["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int) -> DataFrame:
+    """The pairs that pass the exact count.
 
     Texts travel, not sets: a text is smaller than its hashes. Only texts that a pair names are shuffled.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = frequent.value
         for batch in batches:
             a, b = (batch.column(k).to_numpy() for k in (0, 1))
             sides = []
             for column in (2, 3):
                 coded = batch.column(column).dictionary_encode()
-                distinct = sets(coded.dictionary, size)
-                heads = [[prefix(x, seed, threshold, common, rank) for seed in ORDERS[1:]] for x in distinct]
-                sides.append((coded.indices.to_numpy(), distinct, heads))
-            (ia, xs, px), (ib, ys, py) = sides
+                sides.append((coded.indices.to_numpy(), sets(coded.dictionary, size)))
+            (ia, xs), (ib, ys) = sides
             keep = np.zeros(len(a), bool)
             for k, (i, j) in enumerate(zip(ia, ib, strict=True)):
                 x, y = xs[i], ys[j]
-                if threshold * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                    continue
-                if not all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(px[i], py[j], strict=True)):
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = 100 * both >= threshold * (len(x) + len(y) - both)
             yield pa.record_batch({"a": a[keep], "b": b[keep]})
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = likely(docs.where("text is not null"), "doc_id", named)
-    own = saved(own.join(named, own["doc_id"] == named["id"], "left_semi"), "ngram-texts")
-    first = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    second = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(check, "a long, b long")
+    own = saved(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "ngram-texts")
+    for end in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("id").alias(end), F.col("text").alias(f"{end}_text")), end)
+    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
+
+
+def _link_counts(docs: DataFrame, ends: DataFrame, sizes: DataFrame, threshold: int, size: int) -> DataFrame:
+    """(class, n_links) of every class of ``ends`` (class, rep, copies, component): the rows that link with one of it.
+
+    Where a component has one or two classes, all its rows link with each other. The classes of others are compared in
+    blocks of a bounded number of documents and n-grams; a pair is counted where it is compared and never listed.
+    """
+    grown = ends.join(sizes, "class").groupBy("component").agg(F.count("*").alias("classes"), F.sum("copies").alias("total"), F.sum("n").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    placed = saved(ends.join(grown, "component").select("class", "rep", "copies", "component", "classes", "total", blocks.alias("blocks")), "ngram-placed")
+    small = placed.where("classes <= 2").select("class", (F.col("total") - 1).alias("n_links"))
+
+    large = placed.where("classes > 2").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    large = large.select("class", "rep", "copies", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("class", "rep", "copies", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    own = saved(_texts(docs, large.select(F.col("rep").alias("id")).distinct()), "ngram-texts")
+    loaded = large.join(own, large["rep"] == own["id"]).select("component", "low", "high", "block", "class", "copies", "text")
+    keys = ["component", "low", "high"]
+    compared = loaded.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, size), "class binary, links long")
+    linked = compared.groupBy("class").agg(F.sum("links").alias("links"))
+    return small.unionByName(placed.where("classes > 2").join(linked, "class", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+
+
+def _compare(threshold: int, size: int):
+    """Rows of one (component, low, high) after another -> per class the rows of other classes that it links with."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3):
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            found, names = sets(group.column("text").combine_chunks(), size), group.column("class").to_pylist()
+            at = {}  # a doc_id may have several texts, and a text several rows: of each class one row with its own text
+            for k, (x, name) in enumerate(zip(found, names, strict=True)):
+                if name not in at and same_set(x) == name:
+                    at[name] = k
+            at = np.array(list(at.values()), np.int64)
+            block, copies = group.column("block").to_numpy()[at], group.column("copies").to_numpy()[at]
+            found = [found[k] for k in at]
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            n = np.array([len(x) for x in found], np.int64)
+            both = shared(found, left, right)
+            linked = 100 * both >= threshold * (n[left][:, None] + n[right] - both)
+            links = np.zeros(len(at), np.int64)
+            links[left] = linked @ copies[right]
+            if low == high:
+                links -= copies
+            else:
+                links[right] = linked.T @ copies[left]
+            yield pa.record_batch({"class": pa.array([names[k] for k in at], pa.binary()), "links": links})
+
+    return compare
+
+
+def shared(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many tokens each set at ``left`` has in common with each at ``right``.
+
+    Tokens of up to 8 sets are counted pair by pair, all others as products of 0/1 matrices of ``width`` tokens.
+    """
+    both = np.zeros((len(found), len(found)), np.int64)
+    token = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    count = np.bincount(group)[group] if len(token) else group
+    few = (count > 1) & (count <= 8)
+    t, o = group[few], owner[few]
+    for step in range(1, 8):
+        same = np.flatnonzero(t[step:] == t[:-step])
+        if not len(same):
+            break
+        both += np.bincount(o[same] * len(found) + o[same + step], minlength=both.size).reshape(both.shape)
+    many = count > 8
+    t, o = group[many], owner[many]
+    t = np.cumsum(np.concatenate([[False], t[1:] != t[:-1]])) if len(t) else t
+    both += both.T
+    for start in range(0, int(t[-1]) + 1 if len(t) else 0, width):
+        low, high = np.searchsorted(t, (start, start + width))
+        x = np.zeros((len(found), min(width, int(t[-1]) + 1 - start)), np.float32)
+        x[o[low:high], t[low:high] - start] = 1
+        both += (x @ x.T).astype(np.int64)
+    np.fill_diagonal(both, [len(x) for x in found])
+    return both[np.ix_(left, right)]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal first ``keys`` columns (longs or ints) as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)], 1)
+        cut = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(values)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if held and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(values[a])
+    if held:
+        yield pa.Table.from_batches(held)

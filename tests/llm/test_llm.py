@@ -95,32 +95,58 @@ def test_components(spark):
 def test_prefixes_of_any_order_meet():
     """Every pair that reaches the threshold shares a prefix token under each order, and passes the signature bound."""
     rng = np.random.default_rng(0)
-    none = np.zeros(0, np.uint64)
     for _ in range(300):
         x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 80))).astype(np.uint64))
         y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(len(x) * 0.9))], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)]))
+        common = np.sort(rng.permutation(x)[: len(x) // 2])
+        frequent = ngram_join.Frequent(common, rng.permutation(len(common)).astype(np.uint64))
         both = len(np.intersect1d(x, y))
         if 100 * both >= 80 * (len(x) + len(y) - both):
             for seed in ngram_join.ORDERS:
-                assert len(np.intersect1d(ngram_join.prefix(x, seed, 80, none, none), ngram_join.prefix(y, seed, 80, none, none)))
-        differ = int(np.bitwise_count((ngram_join.folded(ngram_join.signature(x)) ^ ngram_join.folded(ngram_join.signature(y))).view(np.uint64)).sum())
+                assert len(np.intersect1d(*ngram_join.prefixes([x, y], seed, 80, frequent)))
+        differ = int(np.bitwise_count((ngram_join.signature(x) ^ ngram_join.signature(y)).view(np.uint64)).sum())
         assert differ <= len(x) + len(y) - 2 * both
 
 
-def test_jaccard_join_matches_brute_force(spark):
-    rows = list(enumerate(near_copies(160)))
+def brute_force_join(rows):
+    """(components, links of each) of (id, text) with different ids, by comparing all pairs."""
     own = {i: shingles(t) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(own, 2) if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
-    want = groups(own, links)
+    count = dict.fromkeys(own, 0)
+    for pair in links:
+        for i in pair:
+            count[i] += 1
+    return groups(own, links), count
+
+
+def test_jaccard_join_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rows = list(enumerate(near_copies(160)))
+    rows += [(1000 + i, rows[7 * i][1].upper()) for i in range(12)]
+    want, count = brute_force_join(rows)
     got = ngram_join.ngram_join(documents(spark, rows)).rows.collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
-    assert all(r["n_shingles"] == len(own[r["doc_id"]]) for r in got)
-    assert len(set(want.values())) < len(want)
+    assert {r["doc_id"]: r["n_links"] for r in got} == count
+    assert all(r["n_shingles"] == len(shingles(dict(rows)[r["doc_id"]])) for r in got)
+    assert len(set(want.values())) < len(want) and max(count.values()) >= 5
+
+
+def test_common_tokens_are_counted_exactly():
+    rng = np.random.default_rng(3)
+    found = [np.unique(rng.integers(0, 400, int(rng.integers(0, 200))).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)]
+    left, right = np.arange(0, 61, 2), np.arange(61)
+    want = [[len(np.intersect1d(found[i], found[j])) for j in right] for i in left]
+    assert ngram_join.shared(found, left, right, width=32).tolist() == want
+    rare = [np.arange(5 * i, 5 * i + 9).astype(np.uint64) for i in range(30)]
+    assert ngram_join.shared(rare, np.arange(30), np.arange(30)).tolist() == [[len(np.intersect1d(x, y)) for y in rare] for x in rare]
 
 
 def test_jaccard_join_on_odd_rows(spark):
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(documents(spark)).rows.collect()), key=str)
-    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 2, None), (5, 1, 5), (6, 1, 5), (7, 1, 7)], key=str)
+    """Nulls, empty and blank texts, repeated rows, null ids, one doc_id with several texts, clashing columns, a very long word."""
+    rows = [*ODD, (8, "p q r s t"), (8, "u v w x y"), (8, "k l m n o"), (9, "u v w x y"), (10, "k l m n o")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_join(documents(spark, rows)).rows.collect()), key=str)
+    want = [(1, 2, 1, 1), (1, 2, 1, 1), (2, 0, 2, 0), (3, 0, 3, 0), (4, 0, 4, 0), (None, 2, None, 0), (5, 1, 5, 1), (6, 1, 5, 1), (7, 1, 7, 0)]
+    assert got == sorted([*want, (8, 1, 8, 0), (8, 1, 8, 1), (8, 1, 8, 1), (9, 1, 8, 1), (10, 1, 8, 1)], key=str)
     assert ngram_join.ngram_join(documents(spark, [])).rows.count() == 0
 
 
