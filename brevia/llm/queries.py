@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from .token_files import token_files
 from .url_filter import judge_urls
 
 
+_keys: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,8 +70,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of ``spark.brevia.pii.key``; where it is unset, a random one that lasts as long as the application."""
+    named = spark.conf.get("spark.brevia.pii.key", None)
+    return named or _keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
