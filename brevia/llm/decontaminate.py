@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._ragged import _BASE, FOLD, SEGMENT, U64, hashes_of, mix, pieces, texts
@@ -181,9 +181,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     Items of fewer than ``WINDOW`` tokens are matched whole. Slots must be filled consistently along a diagonal: one
     value of the item always stands for one value in the document, and different names stay different. Each form is
     held to that by itself, and verbatim windows need no slots to agree.
+    A window that many items share would pair its documents with all of them. So documents first meet only the rarest
+    windows of each item, as many as a document with enough coverage can't all miss; other windows are joined for the
+    pairs that met.
+
     Null and empty texts leak nothing; null ids are kept as null; repeated rows count once per id; other columns are
     ignored.
     """
+    return _leaks(docs.select(F.col("doc_id").alias("id"), "text"), benchmark, coverage).withColumnRenamed("id", "doc_id")
+
+
+def _rarest(items: DataFrame, coverage: float) -> DataFrame:
+    """(window, item_id) of the rarest positions of each item; a document with ``coverage`` of it holds one of them.
+
+    Of n positions at least coverage * n must match, so any n - ceil(coverage * n) + 1 of them hold a match; the same of
+    the positions that are templates. A position is as common as the most common of its windows, by the items that have it.
+    """
+    common = items.groupBy("window").agg(F.count_distinct("item_id").alias("k"))
+    spot = ["item_id", "n", "n_templates", "at", "template"]
+    spots = items.join(common, "window").groupBy(*spot).agg(F.max("k").alias("k"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy("item_id", "n", "n_templates", *keys).orderBy("k", "at"))
+    enough = lambda n: F.col(n) - F.ceil(F.col(n) * coverage - 1e-9) + 1
+    chosen = spots.withColumn("place", place()).withColumn("inner", place("template"))
+    chosen = chosen.where((F.col("place") <= enough("n")) | (F.col("template") & (F.col("inner") <= enough("n_templates"))))
+    return items.join(chosen.select(*spot), spot, "left_semi").select("window", "item_id").distinct()
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """``leaks`` of documents (id, text), by any id."""
     spark = docs.sparkSession
     items = saved(_table(benchmark.select(F.col("item_id").alias("id"), "text"), None, None), "benchmark-windows")
     short = tuple(_short_sizes(benchmark))
@@ -191,11 +216,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     bitmap = np.zeros(WORDS, np.uint64)
     bitmap[spots.column("word").to_numpy()] = spots.column("bits").to_numpy().view(np.uint64)
     kept = spark.sparkContext.broadcast(bitmap)
-    hits = _table(docs.select(F.col("doc_id").alias("id"), "text"), kept, short)
-    hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("at").alias("doc_at"), F.col("filled").alias("doc_filled"))
-    items = items.withColumnRenamed("id", "item_id").dropDuplicates(["item_id", "window", "at"])
-    item, spot = ["doc_id", "item_id", "n", "n_templates"], F.struct("at", "template")
-    matched = hits.join(items, "window").select(*item, "form", spot.alias("spot"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
+    hits = _table(docs, kept, short).select("id", "window", F.col("at").alias("doc_at"), F.col("filled").alias("doc_filled"))
+    hits = saved(hits.withColumn("key", F.xxhash64("id")), "document-windows")
+    items = saved(items.withColumnRenamed("id", "item_id").dropDuplicates(["item_id", "window", "at"]), "benchmark-items")
+    met = hits.join(_rarest(items, coverage), "window").select("key", "item_id").distinct()
+    item, spot = ["id", "item_id", "n", "n_templates"], F.struct("at", "template")
+    matched = hits.join(met, "key").join(items, ["window", "item_id"])
+    matched = matched.select(*item, "form", spot.alias("spot"), (F.col("doc_at") - F.col("at")).alias("diagonal"), F.arrays_zip("kinds", "filled", "doc_filled").alias("slots"))
     runs = matched.groupBy(*item, "form", "diagonal").agg(F.collect_set("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     names = F.filter("slots", lambda s: s["kinds"] == NAME)
     one_way = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kinds"], s["filled"])))) == F.size("slots")
@@ -203,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     whole = runs.where(one_way & back).groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots")).withColumn("n_matched", F.size("spots"))
     templates = F.when(F.col("n_templates") > 0, F.size(F.filter("spots", lambda s: s["template"])) / F.col("n_templates"))
     share = F.greatest(F.col("n_matched") / F.col("n"), templates)
-    return whole.where(share >= coverage).select("doc_id", "item_id", share.alias("coverage"), F.col("n_matched").cast("long").alias("n_matched"))
+    return whole.where(share >= coverage).select("id", "item_id", share.alias("coverage"), F.col("n_matched").cast("long").alias("n_matched"))
 
 
 def _short_sizes(benchmark: DataFrame) -> list[int]:
@@ -218,6 +245,7 @@ def _short_sizes(benchmark: DataFrame) -> list[int]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id leaks no item; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, coverage).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(saved(bad, "leaked-ids"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, whose text leaks no item; each row is judged by its own text, whatever its id."""
+    row = F.concat_ws(" ", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.hex(F.xxhash64(docs["text"])), F.hex(F.hash(docs["text"])))
+    bad = saved(_leaks(docs.select(row.alias("id"), "text"), benchmark, coverage).select(F.col("id").alias("leaked")).distinct(), "leaked-rows")
+    return docs.join(bad, row == bad["leaked"], "left_anti")
