@@ -8,17 +8,22 @@ path begins the URL's.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._ragged import U64, texts
+
 #: Keys that are looked at to choose range borders (short strings on the driver), and borders at most.
 SAMPLE, BORDERS = 20_000, 4_096
+#: Bytes of a key that borders look at; keys alike so far are told apart by their tie.
+HEAD = 64
 #: The production rules of the query: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 RULE_TYPE = "rule_host string, rule_path string, rule_verdict string"
@@ -58,17 +63,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ties = batch.column("key").to_pylist(), batch.column("tie").to_pylist()
-            spot = [bisect_right(borders.value, x) for x in zip(keys, ties, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int32()), *batch.columns], ["range", *batch.schema.names])
+            spot = np.searchsorted(borders.value, _points(batch.column("key"), batch.column("tie").to_numpy()), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), *batch.columns], ["range", *batch.schema.names])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            first = [bisect_right(borders.value, (r["key"], -(2**63))) for r in rows]
-            last = [bisect_right(borders.value, (r["key"] + chr(0x10FFFF), 2**63)) for r in rows]
-            out = [{"range": k, **r} for r, a, b in zip(rows, first, last, strict=True) for k in range(a, b + 1)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("range", pa.int32()), *batch.schema]))
+            low = np.searchsorted(borders.value, _points(batch.column("key"), np.full(batch.num_rows, -(2**63))), "right")
+            high = np.searchsorted(borders.value, _points(batch.column("key"), np.full(batch.num_rows, 2**63 - 1), 255), "right")
+            count = high - low + 1
+            owner = np.repeat(np.arange(batch.num_rows), count)
+            spot = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + low[owner]
+            out = batch.take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32)), *out.columns], ["range", *batch.schema.names])
 
     urls = parts.mapInArrow(place, T.StructType([T.StructField("range", T.IntegerType()), *parts.schema.fields]))
     spread = clean.mapInArrow(reach, T.StructType([T.StructField("range", T.IntegerType()), *clean.schema.fields]))
@@ -78,43 +84,91 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     return swept.mapInArrow(lambda batches: _sweep(batches, default), result)
 
 
-def _borders(parts: DataFrame) -> list[tuple[str, int]]:
-    """At most ``BORDERS`` (key, tie) pairs that cut the URLs into even ranges, from a sample of bounded size."""
+def _points(keys: pa.Array, ties: np.ndarray, pad: int = 0) -> np.ndarray:
+    """Places in the order of (first ``HEAD`` bytes of the key, tie), as byte strings; pad fills up shorter keys."""
+    data, offsets = texts(keys)
+    size = np.minimum(np.diff(offsets), HEAD)
+    out = np.full((len(ties), HEAD + 8), pad, np.uint8)
+    owner = np.repeat(np.arange(len(ties)), size)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    out[owner, inner] = data[offsets[:-1][owner] + inner]
+    out[:, HEAD:] = (ties.astype(np.int64).view(np.uint64) ^ U64(1 << 63)).astype(">u8")[:, None].view(np.uint8)
+    return out.view(f"S{HEAD + 8}").ravel()
+
+
+def _borders(parts: DataFrame) -> np.ndarray:
+    """At most ``BORDERS`` places that cut the URLs into even ranges, from a sample of bounded size."""
     spark = parts.sparkSession
     wanted = min(BORDERS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))
-    sample = parts.select("key", "tie", F.xxhash64("page_id", F.lit("sample")).alias("_order")).orderBy("_order", "key").limit(min(SAMPLE, 40 * wanted)).collect()
-    keys = sorted((r["key"], r["tie"]) for r in sample)
-    return sorted({keys[len(keys) * k // wanted] for k in range(1, wanted)}) if keys else []
+    sample = parts.select("key", "tie", F.xxhash64("page_id", F.lit("sample")).alias("_order")).orderBy("_order", "key").limit(min(SAMPLE, 40 * wanted)).toArrow()
+    points = np.sort(_points(sample.column("key"), sample.column("tie").to_numpy()))
+    return np.unique(points[len(points) * np.arange(1, wanted) // wanted]) if len(points) else points
+
+
+class _Rules:
+    """The rules of one host, by the length of their paths: each length is one lookup for all URLs of a stretch."""
+
+    def __init__(self, key: str, host: str) -> None:
+        self.key, self.host, self.paths = key, host, {}
+
+    def add(self, path: str, verdict: str | None) -> None:
+        known = self.paths.setdefault(len(path), {})
+        if path not in known or (verdict or "") < (known[path] or ""):
+            known[path] = verdict
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
-    """Judge URLs in key order; the stack holds (key, rules with that key) for every host around the current key."""
-    stack: list[tuple[str, list[tuple]]] = []
+    """Judge URLs in key order; the stack holds the rules of every host around the current key.
+
+    Between two rules, or to where the innermost host ends, the stack stays as it is, so such a stretch of URLs is judged at once.
+    """
+    stack: list[_Rules] = []
     place = None
     for batch in batches:
-        spot, keys, is_url, hosts, paths, verdicts = (batch.column(k).to_pylist() for k in range(6))
-        url_paths = batch.column("path").to_pylist()
-        judged: list[tuple[str | None, str]] = []
-        last, fitting = None, []
-        for k, key in enumerate(keys):
-            if spot[k] != place:
-                place, stack, last = spot[k], [], None
-            if key != last:
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                last, fitting = key, None
-            if not is_url[k]:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((len(hosts[k]) + len(paths[k]), len(hosts[k]), hosts[k], paths[k], verdicts[k]))
+        spot, is_url = batch.column("range").to_numpy(), batch.column("is_url").to_numpy().astype(bool)
+        keys, paths = batch.column("key"), batch.column("path")
+        stops = np.flatnonzero(~is_url | np.concatenate([[True], spot[1:] != spot[:-1]])) if len(spot) else np.zeros(0, int)
+        rules, verdicts = np.full(len(spot), None, object), np.full(len(spot), default, object)
+        at = 0
+        while at < len(spot):
+            if spot[at] != place:
+                place, stack = spot[at], []
+            key = keys[at].as_py()
+            while stack and not key.startswith(stack[-1].key):
+                stack.pop()
+            if not is_url[at]:
+                if not stack or stack[-1].key != key:
+                    stack.append(_Rules(key, batch.column("rule_host")[at].as_py()))
+                stack[-1].add(batch.column("rule_path")[at].as_py(), batch.column("rule_verdict")[at].as_py())
+                at += 1
                 continue
-            if fitting is None:
-                fitting = sorted((r for _, rules in stack for r in rules), key=lambda r: (-r[0], -r[1], r[4] or ""))
-            path = url_paths[k]
-            best = next((r for r in fitting if path.startswith(r[3])), None)
-            judged.append((best[2] + best[3], best[4]) if best else (None, default))
-        urls = batch.filter(pa.array(np.array(is_url, bool)))
+            after = np.searchsorted(stops, at, "right")
+            end = int(stops[after]) if after < len(stops) else len(spot)
+            if stack:
+                inner = stack[-1].key
+                end = bisect_left(range(at + 1, end), True, key=lambda k: not keys[k].as_py().startswith(inner)) + at + 1  # noqa: B023
+                _judge(stack, paths.slice(at, end - at), rules[at:end], verdicts[at:end])
+            at = end
+        chosen = pa.array(is_url)
+        urls = batch.filter(chosen)
         yield pa.RecordBatch.from_arrays(
-            [urls.column("page_id"), urls.column("host"), urls.column("path"), pa.array([r for r, _ in judged], pa.string()), pa.array([v for _, v in judged], pa.string())],
+            [urls.column("page_id"), urls.column("host"), urls.column("path"), pa.array(rules[is_url], pa.string()), pa.array(verdicts[is_url], pa.string())],
             ["page_id", "host", "path", "rule", "verdict"],
         )
+
+
+def _judge(stack: list[_Rules], paths: pa.Array, rules: np.ndarray, verdicts: np.ndarray) -> None:
+    """Write the longest fitting rule of each path and its verdict; of one length the longer host wins."""
+    open_ = np.ones(len(paths), bool)
+    every = sorted(((len(own.host) + n, len(own.host), n, own) for own in stack for n in own.paths), key=lambda x: (-x[0], -x[1]))
+    for _, _, n, own in every:
+        known = own.paths[n]
+        heads = pc.utf8_slice_codeunits(paths, 0, n)
+        found = pc.index_in(heads, pa.array(list(known), pa.string())).to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(open_ & ~np.isnan(found.astype(float)))
+        if len(hit):
+            names, decided = np.array([own.host + p for p in known], object), np.array(list(known.values()), object)
+            rules[hit], verdicts[hit] = names[found[hit].astype(int)], decided[found[hit].astype(int)]
+            open_[hit] = False
+            if not open_.any():
+                return
