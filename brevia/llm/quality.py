@@ -161,11 +161,26 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(*(np.stack(m) for m in made), base)
 
 
-def learn(features: DataFrame, labels: DataFrame, most: int) -> Trees:
-    """Fit on at most ``most`` labelled rows of the learning split (smallest hashes of doc_id first)."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, quality, text) with features in place of the text."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"doc_id": batch.column(0), "quality": batch.column(1), "features": ragged(list(statistics(batch.column(2))), pa.float32())})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "quality")}
+    return rows.mapInArrow(measure, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, features array<float>")
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
+    """Fit on at most ``most`` labelled ids of the learning split (smallest hashes of doc_id first) and twice as many rows.
+
+    The chosen ids are broadcast (their number is the bound), so only labelled texts are measured and none is shuffled.
+    """
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "quality").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = features.select("doc_id", "features").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("features")).limit(2 * most).toArrow()
+    chosen = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most), "quality-chosen")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = _measured(rows).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("features")).limit(2 * most).toArrow()
     x = rows.column("features").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, rows.column("quality").to_numpy().astype(float))
 
@@ -173,27 +188,29 @@ def learn(features: DataFrame, labels: DataFrame, most: int) -> Trees:
 def quality(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier quality 1) and predicted (score >= 0.5) of every row.
 
-    Statistics of each whole text are computed once, without a shuffle, and written; at most ``most`` labelled rows (a
-    documented bound) outside the held-out third train the trees. labels, lang, source and doc_id never enter a score.
+    Each whole text is measured and scored in one pass without a shuffle, by trees that ``learn`` fits on at most ``most``
+    labelled ids (a documented bound) outside the held-out third. labels, lang, source and doc_id never enter a score.
     Null and empty texts have zero statistics and a score like any; repeated rows repeat; a doc_id with both labels counts
     for both; without labels every score is 0.5. Other columns are ignored.
     """
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, most))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = statistics(batch.column(1))
-            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(2), "features": ragged(list(found), pa.float32())})
+            score = model.value.score(statistics(batch.column(1)))
+            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(2), "score": score, "predicted": (score >= 0.5).astype(np.int32)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(measure, f"doc_id {kind}, held_out boolean, features array<float>")
-    measured = saved(measured, "quality-features")
-    model = docs.sparkSession.sparkContext.broadcast(learn(measured, labels, most))
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(judge, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, whose text scores 0.5 or more; each row is judged by its own text, whatever its id."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, most))
+    text = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            x = column.flatten().to_numpy().reshape(-1, len(FEATURES))
-            score = model.value.score(x)
-            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+            yield batch.filter(pa.array(model.value.score(statistics(batch.column(text))) >= 0.5))
 
-    return measured.mapInArrow(judge, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(judge, docs.schema)
