@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     Sources in code point order, null last, take the weights in turn. Together they get share times all sizes; a target
     stops at most times its source's size, and the excess is shared anew by weight until none is above. That end state
     gives every source min(cap, level * weight): with sources sorted by cap / weight, the level follows from running sums.
-    Only the per-source sums, aggregated before the shuffle, reach the ordering window.
+    Only the per-source sums, aggregated before the shuffle, reach the ordering windows, which are one task: one short row
+    a source, so a million sources are some 50 MB there.
     """
     summed = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -55,22 +56,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """doc_id, source, size (words), source_size, target, copies and taken (size * copies) of every row.
 
-    Each text is read once for its size; sizes and ids, not texts, go on. Null and empty texts have size 0; a null source
-    is a source of its own; repeated rows draw alike; reruns agree. A source without words gets target 0 and no copies.
-    Other columns are ignored.
+    Each text is read once for its size and its draw; sizes and ids, not texts, go on. Null and empty texts have size 0; a
+    null source is a source of its own. A row draws by its id and text, so rows without an id draw apart; rows that repeat
+    both draw alike; reruns agree. A source without words gets target 0 and no copies. Other columns are ignored.
     """
-    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    sizes = saved(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _draw(seed).alias("draw")), "mix-sizes")
     targets = saved(source_targets(sizes, weights, share, most), "mix-targets")
-    return _planned(sizes, targets, most, seed)
+    return _planned(sizes, targets, most).drop("draw")
 
 
-def _planned(rows: DataFrame, targets: DataFrame, most: float, seed: str) -> DataFrame:
-    """rows with source_size, target and copies. The targets are joined by broadcast while their file is small, else by a join that splits hot sources."""
+def _draw(seed: str) -> Column:
+    return draw(F.col("doc_id"), F.md5("text"), seed=seed)
+
+
+def _planned(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """rows (source, draw) with source_size, target and copies. The targets are joined by broadcast while their file is small, else by a join that splits hot sources."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     named = targets.select(key.alias("_source"), "source_size", "target")
     joined = rows.withColumn("_source", key).join(named, "_source").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed=seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
     planned = joined.withColumn("copies", copies.cast("long"))
     return planned.withColumn("taken", F.col("size") * F.col("copies")) if "size" in rows.columns else planned
 
@@ -79,6 +84,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """The mix itself: every row of docs, all columns, as many times as the plan says."""
     sizes = saved(docs.select("source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = saved(source_targets(sizes, weights, share, most), "mix-targets")
-    packed = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    emitted = _planned(packed, targets, most, seed).where("copies > 0")
+    packed = docs.select("source", _draw(seed).alias("draw"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    emitted = _planned(packed, targets, most).where("copies > 0")
     return emitted.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

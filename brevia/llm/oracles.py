@@ -6,7 +6,7 @@ _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MIXING = r"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, coalesce(md5(text), 'null') as mark from documents
 ), ranked as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from sizes group by source
 ), weighted as (
@@ -21,11 +21,11 @@ with sizes as (
 ), targets as (
   select source, source_size, case when final.level is null then cap else least(cap, final.level * weight) end as target from leveled, final
 ), rated as (
-  select doc_id, size, source_size, target, case when source_size > 0 then least(target / source_size, 2.0) else 0.0 end as rate
+  select doc_id, mark, size, source_size, target, case when source_size > 0 then least(target / source_size, 2.0) else 0.0 end as rate
   from sizes join targets on sizes.source is not distinct from targets.source
 )
 select doc_id, size, source_size, target::double as target,
-  size * (floor(rate) + case when ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0 < rate - floor(rate) then 1 else 0 end)::bigint as taken
+  size * (floor(rate) + case when ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || mark), 1, 13))::bigint / 4503599627370496.0 < rate - floor(rate) then 1 else 0 end)::bigint as taken
 from rated
 """
 
