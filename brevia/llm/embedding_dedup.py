@@ -132,7 +132,7 @@ def _compare(threshold: float):
             touched = np.flatnonzero(links)
             if len(touched):
                 reps = group.column("rep").to_numpy()
-                yield pa.record_batch({"class": group.column("class").to_numpy()[touched], "links": links[touched], "a": reps[touched], "b": reps[root[touched]]})
+                yield pa.record_batch({"class": group.column("class").combine_chunks().take(pa.array(touched)), "links": links[touched], "a": reps[touched], "b": reps[root[touched]]})
 
     return compare
 
@@ -142,16 +142,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Rows link when their labels are equal and not null and the cosine of their embeddings is at least threshold. Null,
     empty and zero vectors, and such with null or non-finite components, link with nothing, as do rows with a null
-    vec_id, label, or different lengths. Equal vectors of a label are one class from the start, so copies are never
-    compared; a large bucket is compared block by block. Every vector is in all tables, whatever the bucket's size. Rows
+    vec_id, label, or different lengths. Cosines are in double precision; doubles are kept as they come. Equal vectors of a
+    label (by 128 bits of hashes) are one class from the start, so copies are never compared; a large bucket is compared block by block. Every vector is in all tables, whatever the bucket's size. Rows
     that share a vec_id are counted each, and are one node of the graph. Other columns are ignored.
     """
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
-    keyed = rows.withColumn("class", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    same = F.concat(F.hex(F.xxhash64("label", "embedding")), F.lit("-"), F.hex(F.xxhash64(F.lit("again"), "embedding", "label")))
+    keyed = rows.withColumn("class", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), same))
     named = keyed.where("class is not null and embedding is not null and size(embedding) > 0")
     classes = named.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     first = named.join(saved(classes, "vector-classes"), "class").where("vec_id = rep").select("class", "rep", "copies", "label", "embedding")
-    hashed = saved(first.mapInArrow(_hashed, "class long, rep long, copies long, label long, embedding array<float>, spots array<long>").dropDuplicates(["class"]), "vector-buckets")
+    hashed = saved(first.mapInArrow(_hashed, f"class string, rep long, copies long, label long, embedding {kind}, spots array<long>").dropDuplicates(["class"]), "vector-buckets")
     placed = hashed.select("class", F.posexplode("spots").alias("table", "spot"))
     sizes = placed.groupBy("table", "spot").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     full = placed.join(saved(sizes, "vector-sizes"), ["table", "spot"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -159,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     paired = paired.select("class", "table", "spot", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     loaded = paired.join(hashed, "class").select("table", "spot", "low", "high", "block", "class", "rep", "copies", "embedding", "spots")
     keys = ["spot", "table", "low", "high"]
-    compared = loaded.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(_compare(threshold), "class long, links long, a long, b long")
+    compared = loaded.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(_compare(threshold), "class string, links long, a long, b long")
     compared = saved(compared, "vector-links")
     links = compared.groupBy("class").agg(F.sum("links").alias("links"))
     found = components(compared.select("a", "b").distinct())
