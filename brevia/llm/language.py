@@ -191,18 +191,36 @@ def pooled(net: Network, column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def training_sample(docs: DataFrame, per_label: int = 120, max_chars: int = 20_000) -> list[tuple[str, str]]:
-    """At most ``per_label`` whole texts of each language of the learning split, chosen by a hash of id and language.
-
-    Ids are ranked without texts (a partial limit per task comes before the shuffle); texts of the chosen follow.
-    Texts of over ``max_chars`` are left out of learning (never of prediction), which bounds what the driver holds.
+def spread(text: str, most: int) -> str:
+    """A text of at most ``most`` bytes: the whole, or pieces of ``STEPS`` bytes from evenly spread places."""
+    data = text.encode()
+    if len(data) <= most:
+        return text
+    places = np.linspace(0, len(data) - STEPS, most // STEPS).astype(int)
+    return " ".join(data[a : a + STEPS].decode(errors="ignore") for a in places)[:most]
+
+
+def training_sample(docs: DataFrame, per_label: int = 120, total: int = 12_000, most: int = 20_000) -> list[tuple[str, str]]:
+    """At most ``per_label`` texts of each language of the learning split, chosen by a hash of id and language.
+
+    Documented bounds of what the driver holds: ``total`` texts in all (languages share them, each has one at least) of
+    ``most`` bytes each; a longer text gives evenly spread pieces, so no language is left out for its lengths. Ids are ranked
+    without texts (a partial limit per task comes before the shuffle); texts of the chosen follow. A repeated (doc_id, lang)
+    counts once.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).where(F.length("text").between(1, max_chars))
+    known = docs.where("lang is not null and text <> '' and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).select("doc_id", "lang")
-    chosen = saved(chosen, "language-chosen")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi")
-    return sorted((r["text"], r["lang"]) for r in rows.select("text", "lang").collect())
+    ranked = saved(known.select("doc_id", "lang").withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= per_label).distinct(), "language-ranked")
+    share = max(1, min(per_label, total // max(1, ranked.select("lang").distinct().count())))
+    rows = known.join(F.broadcast(ranked.where(F.col("place") <= share).select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"doc_id": batch.column(0), "lang": batch.column(1), "text": pa.array([spread(t, most) for t in batch.column(2).to_pylist()], pa.string())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    short = rows.mapInArrow(shorten, f"doc_id {kind}, lang string, text string").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return sorted((r["text"], r["lang"]) for r in short.collect())
 
 
 def identify(docs: DataFrame, per_label: int = 120) -> DataFrame:
