@@ -80,7 +80,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IP = rf"(?<!(?i:version|release|build|rev|ver|v)[ .:]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\.\d)"
 _IP6 = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[a-fA-F:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?!:)"
 _KEYS = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
-_HEX = r"[0-9a-f]{32,128}"
+_HEX = r"(?=[a-f]*\d)[0-9a-f]{32,128}"
 _REST = r"(?:[\p{L}\p{M}]++(?:['’]\p{L}[\p{L}\p{M}]++)?|['’]\p{L}[\p{L}\p{M}]++)"
 #: A capitalised word; initials and particles are parts of a name too (fixed values).
 _PART = rf"(?!{_TITLE}{_END})\p{{Lu}}{_REST}"
@@ -88,17 +88,26 @@ _SMALL = r"(?:(?:\p{Lu}\. ?|(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|a
 _NAME = rf"(?:{_LEAD}{_SMALL}{_PART}(?:[ -]{_SMALL}{_PART}){{0,5}}|{_KNOWN}(?: \p{{Lu}}\.)? {_SMALL}{_PART}(?:-{_PART})?)"
 
 
-def _entity(mail: bool) -> str:
-    """Every entity begins a word (or is a number in brackets or with +), so most positions are left at the first test."""
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+
+
+def _entity(worded: bool, mail: bool) -> str:
+    """Every entity begins a word (or is a number in brackets or with +); the sign it may begin with is tested first.
+
+    worded: with secrets, and names behind a phrase, which begin in lower case. mail: with addresses too.
+    """
+    start = "" if mail else rf"(?=[0-9(+{_UPPER}a-f{'PpTtSsAanhmм' if worded else ''}])"
     return (
-        rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL + '|' if mail else ''}(?=[0-9A-Z])(?:{_KEYS}|{_ACCOUNT}|{'|'.join(_NUMBERS)}|{_IP}|{_CARD}){_END}|(?=[0-9A-Fa-f])(?:{_HEX}|{_IP6}){_END}"
-        rf"|(?=[ptsaPTSA]){_SECRET}|(?=[\p{{Lu}}nhmм]){_NAME}{_END}|(?:{_PAREN}|{_ABROAD}){_END})"
+        rf"{start}(?<![\p{{L}}\p{{N}}])(?:{_EMAIL + '|' if mail else ''}(?=[0-9A-Z])(?:{_KEYS}|{_ACCOUNT}|{'|'.join(_NUMBERS)}|{_IP}|{_CARD}){_END}|(?=[0-9A-Fa-f])(?:{_HEX}|{_IP6}){_END}"
+        rf"{f'|(?=[ptsaPTSA]){_SECRET}' if worded else ''}|(?=[{_UPPER}{'nhmм' if worded else ''}]){_NAME}{_END}|(?:{_PAREN}|{_ABROAD}){_END})"
     )
 
 
-ENTITY = _entity(True)
-#: Texts without any of these hold no entity: each form has a digit, an @, or one of these beginnings.
-_HINT = rf"[0-9@]|{SECRET}|{_LEAD}|{_KNOWN} |A[KS]IA|[a-f]{{32}}"
+#: Texts without a digit, an @ or one of these beginnings, and without these words, hold no entity.
+_HINT = rf"(?=[0-9@{_UPPER}])(?:[0-9@]|{_KNOWN} |{_TITLE}\.?\s|A[KS]IA)"
+_KEYWORDS = ["password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key"]
+
+
 #: A country's calling code stays as it is.
 COUNTRY = r"^\+?\d{1,3}[ .-]?(?=\()|^\+\d{1,3}[ .-](?=\d)|^\+1(?=\d{10}$)"
 _WORD = rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}{_REST}"
@@ -117,11 +126,19 @@ def _restored(text: Column) -> Column:
     return F.when(text.contains(_ESCAPE), F.replace(F.replace(text, F.lit(_ESCAPE + "\ue003"), F.lit(_CUT)), F.lit(_ESCAPE + "\ue002"), F.lit(_ESCAPE))).otherwise(text)
 
 
-def pieces(text: Column) -> Column:
-    """The text cut at its entities: plain pieces at even places from 0, matches at odd ones; null for a null text."""
+def pieces(text: Column, low: Column) -> Column:
+    """The text cut at its entities: plain pieces at even places from 0, matches at odd ones; null for a null text.
+
+    low: the text in lower case.
+    """
     plain = _escaped(text)
-    cut = lambda pattern: F.regexp_replace(plain, pattern, f"{_CUT}$0{_CUT}")
-    marked = F.when(~text.rlike(_HINT), plain).when(text.contains("@"), cut(ENTITY)).otherwise(cut(_entity(False)))
+    worded = F.lit(False)
+    for word in _KEYWORDS:
+        worded |= low.contains(word)
+    for cue in CUES:
+        worded |= text.contains(cue)
+    cut = lambda *forms: F.regexp_replace(plain, _entity(*forms), f"{_CUT}$0{_CUT}")
+    marked = F.when(text.contains("@"), cut(True, True)).when(worded, cut(True, False)).when(text.rlike(_HINT), cut(False, False)).otherwise(plain)
     return F.split(marked, _CUT, -1)
 
 
@@ -280,7 +297,8 @@ def pseudonymise(docs: DataFrame, key: str | bytes) -> DataFrame:
         raise ValueError("a secret key is needed")
     key = key.encode() if isinstance(key, str) else bytes(key)
     columns = [c for c in docs.columns if c != "n_entities"]
-    cut = docs.select(F.struct(F.lit(True).alias("_"), *[docs[c] for c in columns if c != "text"]).alias("_row"), F.xxhash64("text").alias("text_hash"), pieces(docs["text"]).alias("cut"))
+    read = docs.select(F.struct(F.lit(True).alias("_"), *[docs[c] for c in columns if c != "text"]).alias("_row"), docs["text"].alias("text"), F.lower(docs["text"]).alias("low"))
+    cut = read.select("_row", F.xxhash64("text").alias("text_hash"), pieces(F.col("text"), F.col("low")).alias("cut"))
     cut = cut.select("_row", "text_hash", F.filter("cut", lambda x, i: i % 2 == 0).alias("plain"), F.filter("cut", lambda x, i: i % 2 == 1).alias("matches"))
     rows = saved(cut, "pii-cut")
     described = F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
