@@ -1,48 +1,112 @@
-"""Reading a mixed corpus: every document by its own kind, as Markdown with its costs."""
+"""Reading a mixed corpus: every document by its own kind, as Markdown or JSON with its costs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brevia.functions.text import clean_text, est_tokens
-from brevia.operators import diffs, html, logs, outline, pages
+from brevia.operators import diffs, html, json_docs, logs, outline, pages
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
 
-SUPPORTED = ["html", "json", "text", "diff", "logfile"]
+SCRIPTED = "the page builds itself with scripts, little of it is text"
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "text", detect.kind(F.col("text"), F.col("path"), F.col("content_type")).alias("kind"))
+
 
+def _by_lines(rows: DataFrame, convert: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """id, text, kind and markdown of rows that are converted by their lines. Rows of one id and text are converted once, and all come back."""
+    keyed = rows.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("text")), F.length("text").cast("string")))
+    made = convert(explode_lines(keyed.select("key", "text").dropDuplicates(["key"]), "key", "text"), "key")
+    return keyed.join(made, "key", "left").select("id", "text", "kind", "markdown")
 
-def read_docs(docs: DataFrame) -> DataFrame:
-    """id, kind, markdown, raw_tokens, out_tokens and error of every row of (id, text, path, content_type).
 
-    Each kind has a branch of its own plan, and the branches are put together by name. What can't be read is a row with an
-    error, never a failed job. Null texts are errors; ids should be unique, as log and diff lines are grouped by them.
+#: How each kind becomes Markdown: in its own row, or by its lines. A new kind needs an entry here and a rule in ``detect.kind``.
+IN_ROW: dict[str, Callable[[Column], Column]] = {"html": html.markdown, "text": clean_text}
+BY_LINES: dict[str, Callable[[DataFrame, str], DataFrame]] = {"logfile": logs.log_documents, "diff": diffs.diff_markdown}
+
+
+def read_docs(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
+    """id, kind, markdown, raw_tokens, out_tokens, note and error of every row of (id, text, path, content_type).
+
+    Most kinds are converted in one pass over the rows; logs and diffs, which go by lines, are branches of their own. What
+    can't be read is a row with an error, never a failed job. JSON documents are shrunk by ``schema``, without one their
+    text is cleaned. Null texts are errors; repeated ids come back as often.
     """
-    known = docs.select("id", "text", detect.kind(F.col("text"), F.col("path"), F.col("content_type")).alias("kind"))
-    of = lambda *kinds: known.where(F.col("kind").isin(*kinds))
-    web = of("html").select("id", html.markdown(F.col("text")).alias("markdown"))
-    plain = of("text", "json").select("id", clean_text(F.col("text")).alias("markdown"))
-    log = logs.log_documents(explode_lines(of("logfile"), "id", "text"), "id")
-    diff = diffs.diff_markdown(explode_lines(of("diff"), "id", "text"), "id")
-    made = web.unionByName(plain).unionByName(log).unionByName(diff)
-    out = known.join(made, "id", "left")
-    why = F.when(F.col("text").isNull(), "source is empty").when(~F.col("kind").isin(SUPPORTED), "unsupported file type").when(F.col("markdown").isNull(), "not a recognizable diff/patch")
-    return out.select("id", "kind", "markdown", est_tokens(F.col("text")).alias("raw_tokens"), est_tokens(F.col("markdown")).alias("out_tokens"), why.alias("error"))
+    known = _known(docs)
+    text, kind = F.col("text"), F.col("kind")
+    markdown = F.when(kind == "json", _shrunk(text, schema) if schema else clean_text(text))
+    for name, convert in IN_ROW.items():
+        markdown = markdown.when(kind == name, convert(text))
+    made = known.where(kind.isNull() | ~kind.isin(*BY_LINES)).withColumn("markdown", markdown)
+    for name, by_lines in BY_LINES.items():
+        made = made.unionByName(_by_lines(known.where(kind == name), by_lines))
+    why = F.when(text.isNull(), "source is empty").when(~kind.isin("json", *IN_ROW, *BY_LINES), "unsupported file type").when(F.col("markdown").isNull(), F.when(kind == "json", "invalid JSON").otherwise("not a recognizable diff/patch"))
+    note = F.when(F.when(kind == "html", html.needs_js(text)), SCRIPTED)
+    return made.select("id", "kind", "markdown", est_tokens(text).alias("raw_tokens"), est_tokens(F.col("markdown")).alias("out_tokens"), note.alias("note"), why.alias("error"))
+
+
+def _shrunk(text: Column, schema: T.DataType, **options) -> Column:
+    parsed = F.from_json(text, schema)
+    return F.when(F.get_json_object(text, "$").isNotNull(), json_docs.shrink(parsed, schema, **options))
+
+
+def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Column] | None = None, table: bool = False, outline: bool = False, **options) -> DataFrame:
+    """id, content and error of every JSON document of (id, text, path, content_type), read by a schema.
+
+    select takes a part of the parsed value; the part is shrunk with the options of ``json_docs.shrink``, or with ``table``
+    shown as a table if it is an array of objects, or with ``outline`` described by its shape. Documents of other kinds,
+    invalid JSON and selections that match nothing are error rows.
+    """
+    known = _known(docs).where("text is not null")
+    typed = known.withColumn("root", F.from_json("text", schema))
+    part = typed.withColumn("part", select(F.col("root")) if select else F.col("root"))
+    kind, value = part.schema["part"].dataType, F.col("part")
+    if outline:
+        content = F.concat(F.lit("JSON of about "), est_tokens(json_docs.shrink(value, kind, keep_empty=True)).cast("string"), F.lit(" tokens\n"), json_docs.shape_text(F.array(value), kind))
+    elif table and json_docs.is_tabular(kind):
+        content = json_docs.full_table(value, kind.elementType)
+    else:
+        content = json_docs.shrink(value, kind, **options)
+    other = F.when(~F.col("kind").isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), F.col("kind"), F.lit("): use read_docs")))
+    invalid = F.when(F.get_json_object("text", "$").isNull(), "invalid JSON")
+    error = F.coalesce(other, invalid, json_docs.no_match(part, "root", value, "the selection"))
+    return part.withColumn("error", error).select("id", F.when(F.col("error").isNull(), content).alias("content"), "error")
+
+
+def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
+    """id and outline of every document that can be read: the headings of Markdown; of JSON, with a schema, its shape."""
+    ready = read_docs(docs, schema).where("error is null").withColumnRenamed("id", "doc")
+    made = outline.format_outline(ready.where("kind <> 'json'") if schema else ready, "doc", "markdown").withColumnRenamed("doc", "id")
+    if schema is None:
+        return made
+    shaped = read_json(docs, schema, outline=True).where("error is null")
+    return made.unionByName(shaped.select("id", F.col("content").alias("outline")))
 
 
-def read_outlines(docs: DataFrame) -> DataFrame:
-    """id and outline of every document that can be read."""
-    ready = read_docs(docs).where("error is null").withColumnRenamed("id", "doc")
-    return outline.format_outline(ready, "doc", "markdown").withColumnRenamed("doc", "id")
+def read_section(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, wanted, section and error of each (id, wanted): the section of a document that the words or the number name."""
+    made = read_docs(docs).withColumnRenamed("id", "doc")
+    ready, asked = made.where("error is null and kind <> 'json'"), wanted.withColumnRenamed("id", "doc")
+    found = outline.section_lookup(ready, asked, "doc", "markdown").select("doc", "wanted", "section")
+    facts = asked.join(made.select("doc", "kind", F.col("error").alias("why")), "doc", "left").join(found, ["doc", "wanted"], "left")
+    error = F.when(F.col("kind").isNull(), "no such document").when(F.col("why").isNotNull(), F.col("why")).when(F.col("kind") == "json", "sections are for documents: use read_json").when(F.col("section").isNull(), F.concat(F.lit("no section matches "), F.col("wanted")))
+    return facts.select(F.col("doc").alias("id"), "wanted", "section", error.alias("error"))
 
 
 def read_page(docs: DataFrame, page: int = 1, most: int = 20_000) -> DataFrame:
-    """id, content (with a footer where there are more pages) and error of one page of every document."""
-    ready = read_docs(docs).where("error is null")
+    """id, content (with a footer where there are more pages, and the note) and error of one page of every document."""
+    ready = read_docs(docs).where("error is null").select("id", "note", "markdown").dropDuplicates(["id"])
     packed = pages.pack_pages(ready, "id", "markdown", max(500, min(most, 500_000)))
     counted = packed.groupBy("id").agg(F.max("page_no").alias("n"), F.max(F.when(F.col("page_no") == page, F.col("content"))).alias("content"))
-    after = F.when(F.col("n") > page, F.concat(F.lit(f" · next: page={page + 1}"))).otherwise("")
+    after = F.when(F.col("n") > page, F.lit(f" · next: page={page + 1}")).otherwise("")
     footer = F.when(F.col("n") > 1, F.concat(F.lit(f"\n\n[page {page} of "), F.col("n").cast("string"), after, F.lit("]"))).otherwise("")
+    noted = F.when(F.col("note").isNull(), "").otherwise(F.concat(F.lit("\n\n[note: "), F.col("note"), F.lit("]")))
     error = F.when(F.col("content").isNull(), F.concat(F.lit(f"page {page} out of range: there are "), F.col("n").cast("string"), F.lit(" page(s)")))
-    return counted.select("id", F.concat("content", footer).alias("content"), error.alias("error"))
+    return counted.join(ready.select("id", "note"), "id").select("id", F.concat("content", footer, noted).alias("content"), error.alias("error"))

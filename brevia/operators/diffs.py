@@ -29,49 +29,64 @@ def segment(lines: DataFrame, *keys: str) -> DataFrame:
     return hunked.withColumn("change", change).select(*keys, "line_no", "line", "file_no", "hunk_no", "change")
 
 
-def diff_files(lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, file_no, old_path, new_path, status, adds and dels of each file."""
+def _hunks(marked: DataFrame, *keys: str) -> DataFrame:
+    """Of ``segment``'s rows one row per hunk, hunk 0 for a file's head: adds, dels, ws_only, body, and what the head says."""
     head = F.col("hunk_no") == 0
-    has = lambda prefix: F.max(F.when(head & F.col("line").startswith(prefix), True).otherwise(False))
+    has = lambda *prefixes: F.max(F.when(head & F.col("line").rlike("^(?:" + "|".join(prefixes) + ")"), True).otherwise(False))
     path = lambda marker: F.max(F.when(head & F.col("line").startswith(marker), header_path(F.col("line"), marker)))
-    files = segment(lines, *keys).groupBy(*keys, "file_no").agg(
+    bare = F.regexp_replace(F.substr("line", F.lit(2)), r"\s+", "")
+    side = lambda sign: F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == sign, F.struct("line_no", bare.alias("bare"))))), lambda x: x["bare"])
+    hunks = marked.groupBy(*keys, "file_no", "hunk_no").agg(
         path("--- ").alias("old_path"), path("+++ ").alias("new_path"), has("Binary files ").alias("binary"), has("new file mode").alias("new"), has("deleted file mode").alias("gone"),
-        has("rename from ").alias("renamed"), F.max("hunk_no").alias("hunks"), F.count_if(F.col("change") == "+").alias("adds"), F.count_if(F.col("change") == "-").alias("dels"),
+        has("rename from ").alias("renamed"), has("old mode ", "new mode ").alias("mode"), F.count_if(F.col("change") == "+").alias("adds"), F.count_if(F.col("change") == "-").alias("dels"),
+        side("-").alias("out"), side("+").alias("in"), joined("line_no", "line").alias("body"),
     )
+    return hunks.withColumn("ws_only", (F.size("out") > 0) & (F.col("out") == F.col("in"))).drop("out", "in")
+
+
+def _files(hunks: DataFrame, *keys: str) -> DataFrame:
+    """Of ``_hunks``' rows one row per file: paths, status, adds, dels, body of the hunks that change more than white space, skipped."""
+    facts = [F.max(c).alias(c) for c in ("old_path", "new_path", "binary", "new", "gone", "renamed", "mode")]
+    shown = (F.col("hunk_no") > 0) & ~F.col("ws_only")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("hunk_no", "body")))), lambda x: x["body"]), "\n")
+    files = hunks.groupBy(*keys, "file_no").agg(*facts, F.max("hunk_no").alias("hunks"), F.sum("adds").alias("adds"), F.sum("dels").alias("dels"), F.count_if("ws_only").alias("skipped"), body.alias("body"))
     status = (
         F.when(F.col("binary"), "binary").when(F.col("new") | (F.col("old_path").isNull() & F.col("new_path").isNotNull()), "new")
-        .when(F.col("gone") | (F.col("new_path").isNull() & F.col("old_path").isNotNull()), "deleted")
-        .when(F.col("renamed") & (F.col("hunks") == 0), "renamed").when(F.col("renamed"), "renamed, modified").otherwise("modified")
+        .when(F.col("gone") | (F.col("new_path").isNull() & F.col("old_path").isNotNull()), "deleted").when(F.col("renamed") & (F.col("hunks") == 0), "renamed").when(F.col("renamed"), "renamed, modified")
+        .when(F.col("mode") & (F.col("hunks") == 0), "mode changed").otherwise("modified")
     )
-    return files.select(*keys, "file_no", "old_path", "new_path", status.alias("status"), "adds", "dels")
+    return files.withColumn("status", status)
+
+
+def diff_files(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, file_no, old_path, new_path, status, adds and dels of each file."""
+    return _files(_hunks(segment(lines, *keys), *keys), *keys).select(*keys, "file_no", "old_path", "new_path", "status", "adds", "dels")
 
 
 def diff_stats(lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, file_no (null: the whole diff), adds and dels, for every file and diff in one aggregation."""
-    counted = segment(lines, *keys).groupBy(*keys, "file_no").agg(F.count_if(F.col("change") == "+").alias("adds"), F.count_if(F.col("change") == "-").alias("dels"))
-    return counted.unionByName(counted.groupBy(*keys).agg(F.sum("adds").alias("adds"), F.sum("dels").alias("dels")).withColumn("file_no", F.lit(None).cast("long")))
+    """keys, file_no (null: the whole diff), adds and dels, for every file and diff in one aggregation over grouping sets."""
+    marked = segment(lines, *keys)
+    columns = [F.col(k) for k in keys]
+    sets = marked.groupingSets([[*columns, F.col("file_no")], columns], *columns, F.col("file_no"))
+    return sets.agg(F.count_if(F.col("change") == "+").alias("adds"), F.count_if(F.col("change") == "-").alias("dels"))
 
 
 def whitespace_only(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, file_no, hunk_no and ws_only: whether removed and added lines are the same once white space is gone."""
-    bare = F.regexp_replace(F.substr("line", F.lit(2)), r"\s+", "")
-    rows = segment(lines, *keys).where("hunk_no > 0 and change is not null").withColumn("bare", bare)
-    side = lambda sign: F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == sign, F.struct("line_no", "bare")))), lambda x: x["bare"])
-    sides = rows.groupBy(*keys, "file_no", "hunk_no").agg(side("-").alias("gone"), side("+").alias("come"))
-    return sides.select(*keys, "file_no", "hunk_no", ((F.size("gone") > 0) & (F.col("gone") == F.col("come"))).alias("ws_only"))
+    return _hunks(segment(lines, *keys), *keys).where("hunk_no > 0 and adds + dels > 0").select(*keys, "file_no", "hunk_no", "ws_only")
 
 
 def diff_markdown(lines: DataFrame, *keys: str) -> DataFrame:
-    """keys and markdown: a heading, then each file's changes in a fence; hunks of white space alone are left out."""
-    files = diff_files(lines, *keys)
-    same = whitespace_only(lines, *keys).where("ws_only").withColumn("skip", F.lit(True))
-    body = segment(lines, *keys).where("hunk_no > 0").join(same, [*keys, "file_no", "hunk_no"], "left").where("skip is null")
-    hunks = body.groupBy(*keys, "file_no").agg(joined("line_no", "line").alias("body"))
-    omitted = same.groupBy(*keys, "file_no").agg(F.count("*").alias("skipped"))
-    shown = files.join(hunks, [*keys, "file_no"], "left").join(omitted, [*keys, "file_no"], "left")
-    path = F.when((F.col("old_path") != F.col("new_path")) & (F.col("status").startswith("renamed")), F.concat("old_path", F.lit(" → "), "new_path")).otherwise(F.coalesce("new_path", "old_path"))
+    """keys and markdown: a heading, then each file's changes in a fence longer than any run of ` in them; hunks of white space alone are left out.
+
+    Lines are segmented once; hunks, files and diffs are three aggregations of which each feeds the next.
+    """
+    shown = _files(_hunks(segment(lines, *keys), *keys), *keys)
+    path = F.when((F.col("old_path") != F.col("new_path")) & F.col("status").startswith("renamed"), F.concat("old_path", F.lit(" → "), "new_path")).otherwise(F.coalesce("new_path", "old_path", F.lit("?")))
     head = F.concat(F.lit("## "), path, F.lit(" ("), F.col("status"), F.lit(", +"), F.col("adds").cast("string"), F.lit(" -"), F.col("dels").cast("string"), F.lit(")"))
-    fence = F.when(F.col("body").isNotNull(), F.concat(F.lit("\n\n````diff\n"), F.col("body"), F.lit("\n````"))).otherwise("")
+    longest = F.array_max(F.transform(F.regexp_extract_all("body", F.lit("`+"), F.lit(0)), F.length))
+    mark = F.repeat(F.lit("`"), F.greatest(F.lit(4), F.coalesce(longest, F.lit(0)) + 1))
+    fence = F.when(F.col("body") != "", F.concat(F.lit("\n\n"), mark, F.lit("diff\n"), F.col("body"), F.lit("\n"), mark)).otherwise("")
     note = F.when(F.col("skipped") > 0, F.concat(F.lit("\n\n["), F.col("skipped").cast("string"), F.lit(" whitespace-only hunk(s) omitted]"))).otherwise("")
     parts = shown.withColumn("part", F.concat(head, fence, note))
     total = F.concat(F.lit("**"), F.count("*").cast("string"), F.lit(" file(s) changed** (+"), F.sum("adds").cast("string"), F.lit(" -"), F.sum("dels").cast("string"), F.lit(")\n\n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevia.functions.text import tidy_markdown
+
 #: Elements without readable text (fixed values).
 DROPPED = ["script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "embed", "picture", "video", "audio", "button", "select", "textarea", "dialog"]
 #: Page furniture, dropped where no article is found (fixed values).
@@ -19,7 +21,8 @@ def title(html: Column) -> Column:
 
 def links(html: Column) -> Column:
     """The href of every anchor, in order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href=("[^"]*"|'[^']*'|[^\s>"']+)"""), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']\z""", ""))
 
 
 def rewrite_link(url: Column, base_scheme: Column, base_host: Column) -> Column:
@@ -53,16 +56,32 @@ def _gone(tag: str) -> tuple[str, str]:
     return rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " "
 
 
-#: What a page loses first: comments, unreadable elements.
-CLEANING = [(r"(?s)<!--.*?-->", " "), *map(_gone, DROPPED)]
-#: Tags to Markdown, in order, as (pattern, replacement with $1 and $2).
+#: Roles of page furniture (fixed values).
+ROLES = ["navigation", "banner", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "complementary"]
+_TAGS = r"(?:\s|<[^>]*>)*"
+#: What a page loses first: comments, unreadable and hidden elements, citation marks, links that only show where they are (fixed values inside).
+CLEANING = [
+    (r"(?s)<!--.*?-->", " "), *map(_gone, DROPPED),
+    (r"""(?is)<(\w+)(?=\s)(?=[^>]*?\s(?:hidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"'>]*display\s*:\s*none))[^>]*>.*?</\1>""", " "),
+    (rf"(?is)<sup(?:\s[^>]*)?>{_TAGS}\[{_TAGS}(?:\d+|[a-z]|note \d+|nb \d+|citation needed|clarification needed){_TAGS}\]{_TAGS}</sup>", ""),
+    (rf"(?is)<a(?:\s[^>]*)?>{_TAGS}(?:#|¶|§|🔗|link|permalink)?{_TAGS}</a>", ""),
+]
+#: Furniture besides ``CHROME``: elements with one of ``ROLES``.
+BY_ROLE = (rf"""(?is)<(\w+)(?=\s)(?=[^>]*?\srole\s*=\s*["']?(?:{"|".join(ROLES)})["'\s>])[^>]*>.*?</\1>""", " ")
+#: Tags to Markdown, in order, as (pattern, replacement with $1 and so on).
 MARKDOWN = [
     (r"(?is)<head(?:\s[^>]*)?>.*?</head>", ""), (r"[\s ]+", " "),
     *[(rf"(?i)<h{n}(?:\s[^>]*)?> ?(.*?) ?</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-    (r'(?i)<a\s[^>]*?href="([^"]*)"[^>]*> ?(.*?) ?</a>', "[$2]($1)"), (r"(?i)</?(?:code|kbd|samp)>", "`"), (r"(?i)<(?:b|strong)> ?(.*?) ?</(?:b|strong)>", "**$1**"),
-    (r"(?i)<(?:i|em)> ?(.*?) ?</(?:i|em)>", "*$1*"), (r"(?i)<li(?:\s[^>]*)?> ?", "\n- "), (r"(?i)<br ?/?>", "\n"), (r"(?i)<hr ?/?>", "\n\n---\n\n"), (r"(?i)<blockquote(?:\s[^>]*)?> ?", "\n\n> "),
-    (r"(?i)</?t[dh](?:\s[^>]*)?>", " | "), (r"(?i)</?(?:p|div|ul|ol|table|tr|section|article|main|figure|header|footer|nav|aside|form|blockquote|body)(?:\s[^>]*)?>", "\n\n"), (r"(?s)<[^>]*>", ""),
+    (r"""(?i)<a\s[^>]*?href=(?:"(?:#|javascript:|data:)[^"]*"|'(?:#|javascript:|data:)[^']*')[^>]*>(.*?)</a>""", "$1"),
+    (r"""(?i)<a\s[^>]*?href=(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*> ?(.*?) ?</a>""", "[$4]($1$2$3)"), (r"(?i)</?(?:code|kbd|samp)(?:\s[^>]*)?>", "`"), (r"(?i)<(?:b|strong)(?:\s[^>]*)?> ?(.*?) ?</(?:b|strong)>", "**$1**"),
+    (r"(?i)<(?:i|em)(?:\s[^>]*)?> ?(.*?) ?</(?:i|em)>", "*$1*"), (r"(?i)<li(?:\s[^>]*)?> ?", "\n- "), (r"(?i)<br ?/?>", "\n"), (r"(?i)<hr ?/?>", "\n\n---\n\n"), (r"(?i)<blockquote(?:\s[^>]*)?> ?", "\n\n> "),
+    (r"(?i)</?(?:p|div|ul|ol|table|tr|section|article|main|figure|header|footer|nav|aside|form|blockquote|body)(?:\s[^>]*)?>", "\n\n"), (r"(?s)<[^>]*>", ""),
 ]
+#: Elements that are turned into Markdown as a whole: code, tables, ordered lists without lists inside.
+WHOLE = r"(?is)<pre(?:\s[^>]*)?>.*?</pre>|<table(?:\s[^>]*)?>(?:(?!<table).)*?</table>|<ol(?:\s[^>]*)?>(?:(?!<[ou]l).)*?</ol>"
+#: How a block of code says its language (fixed values).
+LANGUAGE = r"""(?i)(?:language-|lang-|brush:\s*|highlight-source-|sourceCode\s+|data-lang(?:uage)?\s*=\s*["']?)([\w+#-]+)"""
+_CUT = "\ue000"
 
 
 def _through(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -71,21 +90,71 @@ def _through(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def unescape(text: Column) -> Column:
+    """Character references, by name and by number, as what they stand for; the ampersand last."""
+
+    def one(x: Column, i: Column) -> Column:
+        code = F.regexp_extract(x, r"^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));", 1)
+        number = F.when(code != "", F.conv(code, 16, 10)).otherwise(F.regexp_extract(x, r"^([0-9]{1,7});", 1)).cast("int")
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(i == 0, x).when(known, F.concat(sign, F.regexp_replace(x, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
+
+    text = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#", -1), one), "")).otherwise(text)
+    for name, character in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
+def _inline(html: Column) -> Column:
+    return unescape(_through(html, MARKDOWN))
+
+
+def _code(html: Column, before: Column) -> Column:
+    """A block of code in a fence longer than any run of ` in it, with the language that it or its wrapper says."""
+    own = F.regexp_extract(F.regexp_extract(html, r"(?is)^<pre[^>]*>\s*(?:<code[^>]*>)?", 0), LANGUAGE, 1)
+    wrapper = F.regexp_extract(F.regexp_extract(before, r"(?is)(?:<div[^>]*>\s*){1,2}\z", 0), LANGUAGE, 1)
+    language = F.lower(F.when(own != "", own).otherwise(wrapper))
+    text = unescape(F.regexp_replace(F.regexp_replace(html, r"(?i)<br ?/?>", "\n"), r"(?s)<[^>]*>", ""))
+    text = F.regexp_replace(F.regexp_replace(text, r"^\r?\n|\s+\z", ""), r"\r\n?", "\n")
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    mark = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    return F.concat(mark, language, F.lit("\n"), text, F.lit("\n"), mark)
+
+
+def _table(html: Column) -> Column:
+    """Rows of cells; a rule follows the first row, and short rows are padded to the widest."""
+    cell = lambda c: F.trim(F.regexp_replace(F.replace(_inline(c), F.lit("|"), F.lit("\\|")), r"\s+", " "))
+    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=<tr[\s>]|</table|</tr>)"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)(?=<t[dh][\s>]|</t[dh]>|\z)"), F.lit(1)), cell))
+    width = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), width))
+    return F.when(width > 0, F.array_join(F.transform(rows, lambda r, i: F.concat(line(r), F.when(i == 0, rule).otherwise(""))), "\n")).otherwise("")
+
+
+def _numbered(html: Column) -> Column:
+    items = F.split(F.regexp_replace(html, r"(?i)<li(?:\s[^>]*)?>", _CUT), _CUT)
+    return F.array_join(F.transform(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace(_inline(x), r"\s+", " ")))), "\n")
+
+
 def markdown(html: Column) -> Column:
     """A page as Markdown: its article, or else the body without page furniture; the title first unless a heading opens with it.
 
-    Headings, links, emphasis, code, lists, quotes and breaks keep their meaning; other tags go. All of it is a chain of
-    expressions over the source text, so malformed pages give what their tags say, never an error.
+    Headings, links, emphasis, code and its language, lists, tables, quotes and breaks keep their meaning; hidden elements,
+    citation marks and other tags go. All of it is a chain of expressions over the source text, so malformed pages give what
+    their tags say, never an error.
     """
-    clean = _through(html, CLEANING)
+    clean = _through(F.replace(html, F.lit(_CUT), F.lit("")), CLEANING)
     article = F.regexp_extract(clean, r"(?is)<article(?:\s[^>]*)?>(.*)</article>", 1)
-    body = F.when(article != "", article).otherwise(_through(clean, [_gone(tag) for tag in CHROME]))
-    text = _through(body, MARKDOWN)
-    for name, character in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
-    tidy = F.trim(_through(text, [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")]))
+    body = F.when(article != "", article).otherwise(_through(clean, [*[_gone(tag) for tag in CHROME], BY_ROLE]))
+    cut_up = F.split(F.regexp_replace(body, WHOLE, f"{_CUT}$0{_CUT}"), _CUT, -1)
+    spaced = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")]
+    plain = lambda x: F.trim(_through(tidy_markdown(_inline(x)), spaced))
+    made = lambda p, x: F.when(x.startswith("<p"), _code(x, p)).when(x.rlike("(?i)^<table"), _table(x)).otherwise(_numbered(x))
+    parts = lambda cut: F.transform(cut, lambda x, i: F.when(i % 2 == 0, plain(x)).otherwise(made(F.element_at(cut, i), x)))
+    tidy = F.array_join(F.filter(F.transform(F.array(cut_up), parts)[0], lambda x: x != ""), "\n\n")
     name = title(html)
-    return F.when((name == "") | tidy.startswith("# "), tidy).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), tidy))
+    return F.transform(F.array(tidy), lambda x: F.when((name == "") | x.startswith("# "), x).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), x)))[0]
 
 
 def needs_js(html: Column) -> Column:

@@ -6,6 +6,9 @@ Typed columns let Catalyst prune nested fields; nothing is parsed twice.
 from __future__ import annotations
 
 import fnmatch
+import json
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +94,155 @@ def flatten(df: DataFrame, column: str) -> list[Column]:
     return walk(F.col(column), df.schema[column].dataType, "")
 
 
+def select_run(items: Column, *names: str, index: int) -> Column:
+    """The element at a place of the list that a field of all elements makes (nested lists become one)."""
+    return select_index(select_field(items, *names), index)
+
+
+def first_match(entries: Column, key: str) -> Column:
+    """The value of the first of (k, v) with that key."""
+    return F.try_element_at(F.filter(entries, lambda e: e["k"] == key), F.lit(1))["v"]
+
+
+def no_match(df: DataFrame, column: str, value: Column, selection: str) -> Column:
+    """Why a selection gave nothing, with the keys of the object it was taken from (at most 30) or the size of its array; else null."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StructType):
+        names = kind.fieldNames()
+        rest: Column = F.lit("; it has the keys " + ", ".join(names[:30] + ["…"] * (len(names) > 30)))
+    elif isinstance(kind, T.ArrayType):
+        rest = F.concat(F.lit("; it is an array of "), F.size(column).cast("string"), F.lit(" items"))
+    else:
+        rest = F.lit("")
+    return F.when(value.isNull(), F.concat(F.lit(f"nothing matches {selection}"), rest))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _quoted(value: Column) -> Column:
+    """A scalar as JSON."""
+    return _let(F.to_json(F.array(value), OPTIONS), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+
+
+def shrink(
+    value: Column, kind: T.DataType, drop: tuple[str, ...] = (), keep_empty: bool = False, max_text: int = 0, drop_lists: int = 0, most_items: int = 0, root: bool = True,
+) -> Column:
+    """A value of any type as JSON text with less in it; null where nothing is left of an inner one.
+
+    From the leaves up: fields whose name matches a glob of ``drop`` go; then values that are null, "", [] or {} once what
+    they hold is shrunk, unless keep_empty; then lists of more than drop_lists elements (not the root) become a note, and
+    others are cut to most_items with a note on the rest; texts are cut to max_text characters. 0 means no limit.
+    """
+    below = lambda x, t: shrink(x, t, drop, keep_empty, max_text, drop_lists, most_items, False)
+    none = F.lit("null") if keep_empty else F.lit(None).cast("string")
+    if isinstance(kind, (T.StructType, T.MapType)):
+        named = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), x))
+        if isinstance(kind, T.StructType):
+            fields = [named(f.name, below(value[f.name], f.dataType)) for f in kind.fields if not any(fnmatch.fnmatchcase(f.name, g) for g in drop)]
+            kept = F.array_compact(F.array(*fields)) if fields else F.array().cast("array<string>")
+        else:
+            kept = F.array_compact(F.transform(F.map_entries(value), lambda e: _let(below(e["value"], kind.valueType), lambda x: F.when(x.isNotNull(), F.concat(_quoted(e["key"]), F.lit(":"), x)))))
+        empty = F.lit(keep_empty or root)
+        return F.when(value.isNull(), none).otherwise(_let(kept, lambda k: F.when((F.size(k) > 0) | empty, F.concat(F.lit("{"), F.array_join(k, ","), F.lit("}")))))
+    if isinstance(kind, T.ArrayType):
+        items = F.array_compact(F.transform(value, lambda x: below(x, kind.elementType)))
+
+        def shown(k: Column) -> Column:
+            n = F.size(k)
+            text = F.concat(F.lit("["), F.array_join(k, ","), F.lit("]"))
+            if most_items:
+                more = F.concat(F.lit('"… '), (n - most_items).cast("string"), F.lit(' more items"'))
+                text = F.when(n > most_items, F.concat(F.lit("["), F.array_join(F.concat(F.slice(k, 1, most_items), F.array(more)), ","), F.lit("]"))).otherwise(text)
+            if drop_lists and not root:
+                text = F.when(n > drop_lists, F.concat(F.lit('"['), n.cast("string"), F.lit(' items omitted]"'))).otherwise(text)
+            return F.when((n > 0) | F.lit(keep_empty or root), text)
+
+        return F.when(value.isNull(), none).otherwise(_let(items, shown))
+    if isinstance(kind, T.StringType):
+        text = max_str(value, max_text) if max_text else value
+        return F.when(value.isNull(), none).when((value == "") & F.lit(not keep_empty), F.lit(None)).otherwise(_quoted(text))
+    return F.when(value.isNull(), none).otherwise(_quoted(value))
+
+
+#: Limits of a shape: depth, keys of an object, bytes of an object on one line, characters of an example (fixed values).
+SHAPE_DEPTH, SHAPE_KEYS, SHAPE_INLINE, SHAPE_EXAMPLE = 12, 60, 80, 30
+
+
+def shape_text(values: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """What an array of values of one type holds, merged: fields with ? where some have none, ranges of array lengths, types with a first example.
+
+    It follows the schema; nulls count as missing, and fields that are missing everywhere are left out.
+    """
+
+    def label(present: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            if depth >= SHAPE_DEPTH:
+                return F.lit("{…}")
+            lines = []
+            for f in kind.fields[:SHAPE_KEYS]:
+                own = F.transform(present, lambda x: x[f.name])  # noqa: B023
+                text = lambda v: F.when(F.exists(v, lambda x: x.isNotNull()), F.concat(F.lit(f.name), F.when(F.forall(v, lambda x: x.isNotNull()), ": ").otherwise("?: "), shape_text(v, f.dataType, depth + 1)))  # noqa: B023, E731
+                lines.append(_let(own, text))
+            if len(kind.fields) > SHAPE_KEYS:
+                lines.append(F.lit(f"… {len(kind.fields) - SHAPE_KEYS} more keys"))
+            pad = " " * (depth + 1)
+            rows = F.array_compact(F.array(*lines)) if lines else F.array().cast("array<string>")
+            wide = lambda r: F.concat(F.lit("{\n" + pad), F.array_join(r, "\n" + pad), F.lit("\n" + pad[1:] + "}"))
+            return _let(rows, lambda r: _let(F.concat(F.lit("{"), F.array_join(r, ", "), F.lit("}")), lambda x: F.when((F.octet_length(x) <= SHAPE_INLINE) & ~x.contains("\n"), x).otherwise(wide(r))))
+        if isinstance(kind, T.ArrayType):
+            sizes = F.transform(present, F.size)
+            low, high = F.array_min(sizes).cast("string"), F.array_max(sizes).cast("string")
+            span = F.concat(F.lit("["), low, F.when(low == high, "").otherwise(F.concat(F.lit("-"), high)), F.lit("]"))
+            return _let(F.flatten(present), lambda inner: F.when(F.exists(inner, lambda x: x.isNotNull()), F.concat(span, F.lit(" "), shape_text(inner, kind.elementType, depth))).otherwise(span))
+        if isinstance(kind, T.StringType):
+            first = F.try_element_at(F.filter(present, lambda x: x != ""), F.lit(1))
+            example = F.when(F.length(first) > SHAPE_EXAMPLE, F.concat(_quoted(F.substring(first, 1, SHAPE_EXAMPLE)), F.lit("…"))).otherwise(_quoted(first))
+            return F.when(first.isNull(), "string").otherwise(F.concat(F.lit("string ("), example, F.lit(")")))
+        name = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "string"
+        return F.concat(F.lit(f"{name} ("), _quoted(F.try_element_at(present, F.lit(1))), F.lit(")"))
+
+    return _let(F.filter(values, lambda x: x.isNotNull()), lambda present: F.when(F.size(present) == 0, "null").otherwise(label(present)))
+
+
+def is_tabular(kind: T.DataType) -> bool:
+    """Whether a type is an array of objects, which a table can show."""
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def cell_text(value: Column, kind: T.DataType) -> Column:
+    """The shortest text of a value: text as it is, arrays of scalars joined by commas, other arrays and objects as JSON, blank for null."""
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.array_join(F.transform(value, lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ", ")
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.to_json(value, OPTIONS)
+    else:
+        text = value.cast("string")
+    return escape_cell(F.coalesce(text, F.lit("")))
+
+
+def leaves(kind: T.StructType, prefix: str = "") -> list[tuple[str, tuple[str, ...], T.DataType]]:
+    """(dotted name, path, type) of all leaves of an object type, in order."""
+    out = []
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += [(name, (f.name, *path), t) for name, path, t in leaves(f.dataType, f"{prefix}{f.name}.")]
+        else:
+            out.append((prefix + f.name, (f.name,), f.dataType))
+    return out
+
+
+def full_table(items: Column, kind: T.StructType, notes: Column | None = None) -> Column:
+    """Markdown of an array of objects with a column for every leaf, and the notes below, one a line."""
+    every = leaves(kind)
+    row = lambda x: F.concat(F.lit("| "), F.array_join(F.array(*[cell_text(select_field(x, *path), t) for _, path, t in every]), " | "), F.lit(" |"))
+    head = "| " + " | ".join(name.replace("|", "\\|") for name, _, _ in every) + " |\n|" + "---|" * len(every)
+    lines = F.concat(F.array(F.lit(head)), F.transform(items, row))
+    return F.array_join(F.concat(lines, notes) if notes is not None else lines, "\n")
+
+
 def table(items: Column, *fields: str) -> Column:
     """Markdown of an array of objects: one row each, blank where a field is missing."""
     row = lambda x: F.concat(F.lit("| "), F.array_join(F.array(*[escape_cell(F.coalesce(x[f].cast("string"), F.lit(""))) for f in fields]), " | "), F.lit(" |"))
@@ -98,12 +250,17 @@ def table(items: Column, *fields: str) -> Column:
     return F.concat(F.lit(head + "\n"), F.array_join(F.transform(items, row), "\n"))
 
 
+def union_columns(*frames: DataFrame) -> DataFrame:
+    """All rows under all columns, in the order they are first seen; null where a frame has no such column."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def shape(entries: DataFrame) -> DataFrame:
     """key, n_objects, n_present, n_null, kinds and optional of each top-level key, from (doc, key, value as JSON text).
 
     Two partial aggregations; no document is gathered.
     """
     kind = F.when(F.col("value") == "null", "null").when(F.col("value").rlike('^"'), "string").when(F.col("value").isin("true", "false"), "bool").when(F.col("value").startswith("["), "array").when(F.col("value").startswith("{"), "object").otherwise("number")
-    total = entries.agg(F.count_distinct("doc").alias("n_objects"))
+    total = entries.agg(F.count_distinct("doc").alias("n_objects"))  # one row, so the join below multiplies nothing
     counted = entries.withColumn("kind", kind).groupBy("key").agg(F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
     return counted.join(F.broadcast(total)).select("key", "n_objects", "n_present", "n_null", "kinds", (F.col("n_present") < F.col("n_objects")).alias("optional"))

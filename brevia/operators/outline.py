@@ -6,62 +6,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions.text import human_count
-from brevia.operators.lines import by_line, joined
+from brevia.operators.lines import by_line
 
 HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+([^\n]*?))?[ \t#]*\z"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 
 
-def fence_state(lines: Column) -> Column:
-    """For an array of lines: whether each belongs to a fenced block (its marker lines included).
+def _fence_steps(lines: Column) -> Column:
+    """For an array of lines: (at, step) of each change, 1 where a fenced block opens and -1 behind the line that closes it.
 
-    A block opens at a run of three or more ` or ~ and closes at a bare run of the same character, at least as long.
+    A block opens at a run of three or more ` or ~ and closes at a bare run of the same character, at least as long. The fold
+    sees only lines with such a run, and keeps only changes.
     """
+    runs = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.trim(x).alias("bare"))), lambda x: x["mark"] != "")
 
-    def step(acc: Column, line: Column) -> Column:
-        mark = F.regexp_extract(line, FENCE, 1)
-        opened = acc["open"] != ""
-        closes = opened & mark.startswith(F.substring(acc["open"], 1, 1)) & (F.length(mark) >= F.length(acc["open"])) & (F.trim(line) == mark)
-        state = F.when(mark == "", acc["open"]).when(~opened, mark).when(closes, "").otherwise(acc["open"])
-        return F.struct(state.alias("open"), F.concat(acc["inside"], F.array(opened | (mark != ""))).alias("inside"))
+    def step(acc: Column, x: Column) -> Column:
+        opens, mark = acc["open"] == "", acc["open"]
+        closes = ~opens & x["mark"].startswith(F.substring(mark, 1, 1)) & (F.length(x["mark"]) >= F.length(mark)) & (x["bare"] == x["mark"])
+        change = F.array(F.struct(F.when(opens, x["at"]).otherwise(x["at"] + 1).alias("at"), F.when(opens, 1).otherwise(-1).alias("step")))
+        return F.struct(F.when(opens, x["mark"]).when(closes, "").otherwise(mark).alias("open"), F.when(opens | closes, F.concat(acc["steps"], change)).otherwise(acc["steps"]).alias("steps"))
 
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("inside"))
-    return F.aggregate(lines, start, step, lambda acc: acc["inside"])
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<at:int,step:int>>").alias("steps"))
+    return F.aggregate(runs, start, step, lambda acc: acc["steps"])
 
 
-def headings(docs: DataFrame, key: str, text: str = "md") -> DataFrame:
-    """key, id, level, title, line_no and n_tokens of every section of every document.
+def fenced_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no (from 1), line, fence and total of every line.
 
-    A section ends at the next heading of its level or above, else with the document. Its tokens count the lines it holds,
-    line ends included. Lines in fenced blocks are no headings; titles lose link targets and escapes.
+    fence: the number of the fenced block that the line belongs to, marker lines included, else 0. total: the text's
+    characters. Lines and changes of a document are one list that is read and sorted once.
     """
-    marked = docs.select(key, F.split(text, "\n").alias("lines")).select(key, F.posexplode(F.arrays_zip("lines", fence_state(F.col("lines")).alias("fenced"))).alias("line_no", "x"))
-    marked = marked.select(key, (F.col("line_no") + 1).alias("line_no"), F.col("x.lines").alias("line"), F.col("x.fenced").alias("fenced"))
+    line = lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("is_line"), F.lit(0).alias("step"), x.alias("line"))
+    change = lambda s: F.struct(s["at"].alias("at"), F.lit(0).alias("is_line"), s["step"].alias("step"), F.lit(None).cast("string").alias("line"))
+    rows = docs.select(key, F.char_length(text).alias("total"), F.split(text, "\n").alias("lines"))
+    each = rows.select(key, "total", F.explode(F.concat(F.transform("lines", line), F.transform(_fence_steps(F.col("lines")), change))).alias("x")).select(key, "total", "x.*")
+    upto = Window.partitionBy(key).orderBy("at", "is_line").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).over(upto)
+    marked = each.withColumn("fence", F.when(F.sum("step").over(upto) > 0, opened).otherwise(0).cast("int"))
+    return marked.where("is_line = 1").select(key, (F.col("at") + 1).alias("line_no"), "line", "fence", "total")
+
+
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every line with start, and where it is a heading level, title, id and end; null otherwise."""
     size = F.char_length("line") + 1
-    placed = marked.withColumn("start", F.sum(size).over(by_line(key).rowsBetween(Window.unboundedPreceding, 0)) - size)
+    placed = fenced_lines(docs, key, text).withColumn("start", F.sum(size).over(by_line(key).rowsBetween(Window.unboundedPreceding, 0)) - size)
     bare = F.regexp_replace(F.regexp_extract("line", HEADING, 2), r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     title = F.trim(F.regexp_replace(bare, r"\\([\\`*_{}\[\]()#+\-.!|<>])", "$1"))
-    found = placed.withColumn("level", F.length(F.regexp_extract("line", HEADING, 1))).withColumn("title", title).where("not fenced and level > 0 and title <> ''")
-    total = docs.select(key, F.char_length(text).alias("total"))
-    listed = found.join(total, key).withColumn("id", F.row_number().over(by_line(key)))
-    later = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    following = listed.withColumn("next", F.collect_list(F.struct("level", "start")).over(later))
-    end = F.try_element_at(F.filter("next", lambda h: h["level"] <= F.col("level")), F.lit(1))["start"]
-    spanned = following.withColumn("end", F.coalesce(end, F.col("total")))
-    return spanned.select(key, "id", "level", "title", "line_no", "start", "end", F.floor((F.col("end") - F.col("start") + 3) / 4).cast("long").alias("n_tokens"))
+    found = placed.withColumn("title", title).withColumn("level", F.when((F.col("fence") == 0) & (F.col("title") != "") & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1))))
+    listed = found.withColumn("id", F.when(F.col("level").isNotNull(), F.count("level").over(by_line(key).rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
+    later = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.array(*[F.min(F.when(F.col("level") <= k, F.col("start"))).over(later) for k in range(1, 7)])
+    spanned = listed.withColumn("end", F.when(F.col("level").isNotNull(), F.coalesce(F.element_at(ends, F.col("level")), F.col("total"))))
+    return spanned.withColumn("n_tokens", F.floor((F.col("end") - F.col("start") + 3) / 4).cast("long"))
+
+
+def headings(docs: DataFrame, key: str, text: str = "md") -> DataFrame:
+    """key, id, level, title, line_no, start, end and n_tokens of every section of every document.
+
+    A section ends at the next heading of its level or above, else with the document. Its tokens count the lines it holds,
+    line ends included. Lines in fenced blocks are no headings; titles lose link targets and escapes. Work grows with the
+    lines of a document and not with their square: one window for each of the six levels, from the end.
+    """
+    return _marked(docs, key, text).where("level is not null").select(key, "id", "level", "title", "line_no", "start", "end", "n_tokens")
 
 
 def format_outline(docs: DataFrame, key: str, text: str = "md") -> DataFrame:
     """key and outline: one line per section, indented by its level below the document's top level."""
-    total = docs.select(key, F.floor((F.char_length(text) + 3) / 4).cast("long").alias("total"))
-    found = headings(docs, key, text)
-    top = Window.partitionBy(key)
-    deep = F.repeat(F.lit("  "), F.col("level") - F.min("level").over(top))
-    line = F.concat(deep, F.col("id").cast("string"), F.lit(". "), F.col("title"), F.lit(" (~"), human_count(F.col("n_tokens")), F.lit(")"))
-    body = found.withColumn("line", line).groupBy(key).agg(joined("id", "line").alias("body"), F.count("*").alias("n"))
-    head = F.concat(F.col("n").cast("string"), F.lit(" sections, ~"), human_count(F.col("total")), F.lit(" tokens. Read one with section=<id>.\n"), F.col("body"))
-    none = F.concat(F.lit("No headings found (~"), human_count(F.col("total")), F.lit(" tokens). Read it with page=1, page=2, …."))
-    return total.join(body, key, "left").select(key, F.when(F.col("n").isNull(), none).otherwise(head).alias("outline"))
+    deep = lambda x: F.repeat(F.lit("  "), x["level"] - F.array_min(F.transform("found", lambda y: y["level"])))
+    line = lambda x: F.concat(deep(x), x["id"].cast("string"), F.lit(". "), x["title"], F.lit(" (~"), x["size"], F.lit(")"))
+    marked = _marked(docs, key, text).withColumn("size", human_count(F.col("n_tokens")))
+    found = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("id", "level", "title", "size"))))
+    whole = marked.groupBy(key).agg(F.max("total").alias("total"), found.alias("found")).withColumn("total", human_count(F.floor((F.col("total") + 3) / 4).cast("long")))
+    head = F.concat(F.size("found").cast("string"), F.lit(" headings, about "), F.col("total"), F.lit(" tokens; ask for section=<id>\n"), F.array_join(F.transform("found", line), "\n"))
+    none = F.concat(F.lit("no headings; about "), F.col("total"), F.lit(" tokens, ask for page=1"))
+    return whole.select(key, F.when(F.size("found") == 0, none).otherwise(head).alias("outline"))
 
 
 def section_lookup(docs: DataFrame, wanted: DataFrame, key: str, text: str = "md") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOPS = 10
@@ -43,3 +43,19 @@ def linked(spans: DataFrame, relations: DataFrame) -> DataFrame:
     """spans (doc, span_no, text, rel_id) with url: the relation's target where there is one and it is absolute."""
     urls = relations.where(F.col("target").rlike("^[a-z][a-z0-9+.-]*:")).select("doc", "rel_id", F.col("target").alias("url"))
     return spans.join(urls, ["doc", "rel_id"], "left").select("doc", "span_no", "text", "url")
+
+
+def numbering(paragraphs: DataFrame, instances: DataFrame, levels: DataFrame) -> DataFrame:
+    """paragraphs (doc, num_id, ilvl, ...) with format: the list format of their level, null where they are in no known list.
+
+    instances: doc, num_id, abstract_id. levels: doc, abstract_id, ilvl, format. Two lookups by equality.
+    """
+    formats = instances.join(levels, ["doc", "abstract_id"]).select("doc", "num_id", "ilvl", "format")
+    return paragraphs.join(formats, ["doc", "num_id", "ilvl"], "left")
+
+
+def resolved(part: Column, target: Column) -> Column:
+    """A relation's target as a path of the package: from its root with a leading /, else from the part's folder; . and .. are followed."""
+    full = F.when(target.startswith("/"), F.substr(target, F.lit(2))).otherwise(F.concat(F.regexp_replace(part, r"[^/]*\z", ""), target))
+    step = lambda acc, name: F.when(name.isin("", "."), acc).when(name == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(name)))
+    return F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevia.operators.grids import table_line
+
 
 def savings_ledger(rows: DataFrame) -> DataFrame:
     """kind (null: all), n, raw_tokens, out_tokens and saved_pct (whole percent) from (kind, raw_tokens, out_tokens)."""
@@ -60,6 +62,62 @@ def error_category(code: Column, status: Column) -> Column:
     )
 
 
-def run_numbers(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with n: their number within key, in order."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+def context_size(calls: DataFrame) -> DataFrame:
+    """calls with input: all tokens that a model call read, from fresh_input, cache_creation and cache_read."""
+    return calls.withColumn("input", F.coalesce("fresh_input", F.lit(0)) + F.coalesce("cache_creation", F.lit(0)) + F.coalesce("cache_read", F.lit(0)))
+
+
+def side_tokens(usage: DataFrame) -> DataFrame:
+    """session and side_tokens from (session, model, tokens): what all models but the busiest one used."""
+    models = usage.groupBy("session", "model").agg(F.sum("tokens").alias("tokens"))
+    return models.groupBy("session").agg((F.sum("tokens") - F.max("tokens")).alias("side_tokens"))
+
+
+def tool_label(name: Column, command: Column) -> Column:
+    """A tool call's name without the prefix of its server; a shell call by its command's first word."""
+    word = F.regexp_extract(command, r"^\s*(\S+)", 1)
+    return F.when((name == "Bash") & (word != ""), F.concat(F.lit("Bash("), word, F.lit(")"))).otherwise(F.regexp_replace(name, r"^mcp__[^_]+(?:_[^_]+)*?__", ""))
+
+
+def tools_summary(calls: DataFrame) -> DataFrame:
+    """session and tools: the labels of (session, label) by name, each with how often if that is more than once."""
+    counted = calls.groupBy("session", "label").agg(F.count("*").alias("n"))
+    shown = F.when(F.col("n") > 1, F.concat("label", F.lit("×"), F.col("n").cast("string"))).otherwise(F.col("label"))
+    return counted.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list(shown)), ", ").alias("tools"))
+
+
+def verdict(error: Column, correct: Column) -> Column:
+    return F.when(F.coalesce(error, F.lit("")) != "", "error").when(correct, "yes").otherwise("no")
+
+
+def first_line(text: Column) -> Column:
+    return F.substring_index(F.trim(F.regexp_replace(text, r"^\s+|\s+\z", "")), "\n", 1)
+
+
+def error_text(address: Column, status: Column, reason: Column) -> Column:
+    """What went wrong with a read: the status of an answer, or the reason alone without the address it repeats."""
+    bare = F.regexp_replace(reason, r'^(?:Get|Head|Post) "[^"]*": ', "")
+    return F.when(status.isNotNull() & ~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" from "), address)).when(bare.isNotNull(), F.concat(F.lit("fetch "), address, F.lit(": "), bare))
+
+
+def entry_size(markdown: Column, raw: Column) -> Column:
+    """Bytes that an entry of the cache holds."""
+    return (F.coalesce(F.octet_length(markdown), F.lit(0)) + F.coalesce(F.octet_length(raw), F.lit(0))).cast("long")
+
+
+def markdown_report(rows: DataFrame, *order: str) -> DataFrame:
+    """markdown: one Markdown table of a small summary, its rows by ``order`` (nulls last) and then as text.
+
+    For reports, whose rows are bounded by what they sum up (kinds, tasks): they meet in one row.
+    """
+    line = table_line(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]))
+    keys = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, line.alias("line")))), lambda x: x["line"]), "\n")
+    head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
+    return rows.agg(F.concat(F.lit(head), body).alias("markdown"))
+
+
+def write_report(rows: DataFrame, out: str, *order: str) -> None:
+    """A summary as a Markdown file and as JSON lines, in folders of ``out``; a second run replaces the first."""
+    markdown_report(rows, *order).coalesce(1).write.mode("overwrite").text(f"{out}/markdown")
+    rows.write.mode("overwrite").json(f"{out}/json")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.functions.text import human_bytes, plural
@@ -12,6 +14,33 @@ DEPENDENCIES = ["node_modules", "vendor", "dist", "build", "target", ".venv", "v
 MOST_ENTRIES = 100
 
 
+def _ignore_pattern(line: str) -> str:
+    """A line of an ignore file as a pattern over paths (directories end in /): * and ? stay within a name, ** crosses names."""
+    line, anchored = line.rstrip("/"), "/" in line.rstrip("/")
+    out = ""
+    for part in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", line.lstrip("/")):
+        out += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if part[0] == "[" and len(part) > 1 else re.escape(part))
+    return ("^" if anchored else "(?:^|/)") + out
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether a file's path is left out by the lines of an ignore file: of those that match the last one decides, ! takes back."""
+    out: Column = F.lit(False)
+    for line in patterns:
+        line = line.strip()
+        if line and not line.startswith("#"):
+            below = "/.+" if line.endswith("/") else r"(?:/.*)?"
+            out = F.when(path.rlike(_ignore_pattern(line.removeprefix("!")) + below + r"\z"), not line.startswith("!")).otherwise(out)
+    return out
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """root, path and size of every file below a folder, from its listing; no content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    base = re.escape(path.rstrip("/").split("://")[-1] + "/")
+    return listed.select(F.lit(path.rstrip("/").rpartition("/")[2]).alias("root"), F.element_at(F.split("path", base), -1).alias("path"), F.col("length").alias("size"))
+
+
 def entries(files: DataFrame, root: str) -> DataFrame:
     """root, parent, name, path, depth, is_dir and size of every file and directory above it, from (root, path, size).
 
@@ -29,20 +58,27 @@ def entries(files: DataFrame, root: str) -> DataFrame:
 
 
 def tree_counts(files: DataFrame, root: str) -> DataFrame:
-    """root, parent, n_files, n_dirs and collapsed (dependency, crowded or null) of every directory."""
+    """root, parent, n_files, n_dirs and collapsed of every directory: dependency, nested (it holds a .git of its own), crowded or null."""
     counted = entries(files, root).groupBy(root, "parent").agg(F.count_if(~F.col("is_dir")).alias("n_files"), F.count_if(F.col("is_dir")).alias("n_dirs"))
+    own = files.select(root, F.regexp_extract("path", r"^(.+?)/\.git(?:/.*)?\z", 1).alias("parent")).where("parent <> ''").distinct().withColumn("nested", F.lit(True))
     name = F.element_at(F.split("parent", "/"), -1)
-    why = F.when(name.isin(DEPENDENCIES), "dependency").when((F.col("n_files") + F.col("n_dirs") > MOST_ENTRIES) & (F.col("parent") != ""), "crowded")
-    return counted.withColumn("collapsed", why)
+    why = F.when(name.isin(DEPENDENCIES), "dependency").when(F.col("nested"), "nested").when((F.col("n_files") + F.col("n_dirs") > MOST_ENTRIES) & (F.col("parent") != ""), "crowded")
+    return counted.join(own, [root, "parent"], "left").withColumn("collapsed", why).drop("nested")
 
 
 def tree_lines(files: DataFrame, root: str) -> DataFrame:
-    """root, sort_key and line of every entry that shows: nothing below a collapsed directory does."""
+    """root, sort_key and line of every entry that shows: nothing below a collapsed directory does.
+
+    Each entry is joined by equality with the directories above it, so a root of any size is split over tasks.
+    """
     every = entries(files, root)
     counts = tree_counts(files, root).where("collapsed is not null").select(root, F.col("parent").alias("path"), "collapsed", (F.col("n_files") + F.col("n_dirs")).alias("n"))
-    hidden = every.alias("e").join(counts.alias("c"), (F.col(f"e.{root}") == F.col(f"c.{root}")) & F.col("e.path").startswith(F.concat("c.path", F.lit("/"))), "left_anti")
+    parts = F.split("path", "/")
+    above = every.where("depth > 1").select(root, F.col("path").alias("inner"), F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path"))
+    below = above.join(counts.select(root, "path"), [root, "path"], "left_semi").select(root, F.col("inner").alias("path")).distinct()
+    hidden = every.join(below, [root, "path"], "left_anti")
     marked = hidden.join(counts, [root, "path"], "left")
-    note = F.when(F.col("collapsed") == "dependency", " (dependency directory, collapsed)").when(F.col("collapsed") == "crowded", F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(" items, collapsed)"))).otherwise("")
+    note = F.when(F.col("collapsed") == "dependency", " (dependency directory, collapsed)").when(F.col("collapsed") == "nested", " (nested git repo/worktree, collapsed)").when(F.col("collapsed") == "crowded", F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(" items, collapsed)"))).otherwise("")
     text = F.when(F.col("is_dir"), F.concat("name", F.lit("/"), note)).otherwise(F.concat("name", F.lit(" ("), human_bytes(F.coalesce("size", F.lit(0))), F.lit(")")))
     steps = F.transform(F.split("path", "/"), lambda part, i: F.concat(F.when((i + 1 < F.size(F.split("path", "/"))) | F.col("is_dir"), "0").otherwise("1"), part))
     return marked.select(root, F.array_join(steps, "\u0001").alias("sort_key"), F.concat(F.repeat(F.lit("  "), F.col("depth")), text).alias("line"), "is_dir")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevia.operators.lines import joined
+
 LINES_A_PAGE = 6
 
 
@@ -45,19 +47,34 @@ def customer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, line_no, line: per conversation a diff of two files, with a hunk per turn, every third of white space alone."""
-    turns = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "substring(regexp_replace(text, '[ \\n\\r\\t]+', ' '), 1, 30) as old")
-    hunks = turns.selectExpr(
-        "conv_id", "turn", "posexplode(array(concat('@@ -', cast(turn as string), ' +', cast(turn as string), ' @@'), concat('-', old), concat('+', if(turn % 3 = 0, replace(old, ' ', '  '), upper(old))))) as (k, line)"
-    ).selectExpr("conv_id", "10 + 10 * turn + k as line_no", "line")
+    """conv_id, line_no, line: per conversation a diff of two files: a hunk per turn that replaces its lines, every third by more white space alone, and a new file."""
+    turns = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", "if(turn % 3 = 0, replace(text, ' ', '  '), translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) as new")
+    marked = lambda sign, column: F.transform(F.split(column, "\n"), lambda x: F.concat(F.lit(sign), x))
+    head = F.array(F.concat(F.lit("@@ -"), F.col("turn").cast("string"), F.lit(" +"), F.col("turn").cast("string"), F.lit(" @@")))
+    hunks = turns.select("conv_id", "turn", F.posexplode(F.concat(head, marked("-", "text"), marked("+", "new"))).alias("k", "line"))
+    hunks = hunks.select("conv_id", (F.col("turn").cast("long") * 10_000_000 + F.col("k") + 10).alias("line_no"), "line")
     names = turns.select("conv_id").distinct().selectExpr("conv_id", "concat('c', cast(conv_id as string), '.txt') as name")
     first = names.selectExpr("conv_id", "posexplode(array(concat('diff --git a/', name, ' b/', name), concat('--- a/', name), concat('+++ b/', name))) as (k, line)").selectExpr("conv_id", "cast(k as bigint) as line_no", "line")
     second = names.selectExpr(
         "conv_id", "posexplode(array(concat('diff --git a/new-', name, ' b/new-', name), 'new file mode 100644', '--- /dev/null', concat('+++ b/new-', name), '@@ -0,0 +1 @@', '+one line')) as (k, line)"
-    ).selectExpr("conv_id", "1000000 + k as line_no", "line")
+    ).selectExpr("conv_id", "1000000000000L + k as line_no", "line")
     return hunks.unionByName(first).unionByName(second)
 
 
+def log_texts(spark: SparkSession, sf_dir: str, most: int = 5_000) -> DataFrame:
+    """user_id, block, text: each user's log in texts of at most so many lines, so no row grows with the table."""
+    lines = logs(spark, sf_dir).withColumn("block", F.floor((F.col("line_no") - 1) / most).cast("int"))
+    return lines.groupBy("user_id", "block").agg(joined("line_no", "line").alias("text"))
+
+
+def framed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, md: each conversation as Markdown with a table of its turns and a fenced block of its questions."""
+    turns = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text", "concat('| ', cast(turn as string), ' | ', role, ' | ', cast(length(text) as string), ' |') as row")
+    ordered = lambda column: F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", column))), lambda x: x[column])
+    parts = turns.groupBy("conv_id").agg(F.array_join(ordered("row"), "\n").alias("rows"), F.array_join(ordered("text"), "\n\n").alias("body"), F.array_join(ordered("text"), "\n").alias("code"))
+    return parts.selectExpr("conv_id", "concat('# Turns\n\n| turn | role | size |\n|---|---|---|\n', rows, '\n\n## Text\n\n', body, '\n\n````text\n', code, '\n````') as md")
+
+
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, line_no, line: documents cut into pages, each with a header and a number line."""
     lines = read(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (k, line)").selectExpr("doc_id", f"k div {LINES_A_PAGE} + 1 as page_no", "k + 1 as line_no", "line")

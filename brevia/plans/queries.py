@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brevia import api
@@ -69,15 +69,32 @@ def detect_kind(spark, d):
 
 @query
 def classify_address(spark, d):
-    url = F.col("url")
-    shown = F.when(F.col("page_id") % 4 == 0, url).when(F.col("page_id") % 4 == 1, F.regexp_replace(url, "^https?://", "")).when(F.col("page_id") % 4 == 2, "localhost:3000/api").otherwise("docs/readme.md")
-    return read(spark, d, "pages").select("page_id", detect.address_kind(shown).alias("address_kind"))
+    """Every page's address, as it is, without its scheme, on this machine, and as a path."""
+    path = "regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1)"
+    forms = read(spark, d, "pages").selectExpr("page_id", f"posexplode(array(url, regexp_replace(url, '^https?://', ''), concat('localhost:3000', {path}), ltrim('/', {path}))) as (form, address)")
+    return forms.select("page_id", "form", detect.address_kind(F.col("address")).alias("address_kind"))
 
 
 @query
 def pr_diff_url(spark, d):
-    made = F.concat(F.lit("https://github.com/a/b/pull/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, "/").otherwise(""))
-    return read(spark, d, "pages").select("page_id", detect.diff_address(F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(made)).alias("address"))
+    """Every page's address, and those of a pull request and a commit for each."""
+    base = "concat('https://github.com/a/b/pull/', cast(page_id as string))"
+    forms = read(spark, d, "pages").selectExpr("page_id", f"posexplode(array(url, {base}, concat({base}, '/'), concat('https://github.com/a/b/commit/', md5(url)), concat({base}, '/files'))) as (form, address)")
+    return forms.select("page_id", "form", detect.diff_address(F.col("address")).alias("address"))
+
+
+@query
+def decode_text(spark, d):
+    """Every document's text from bytes in UTF-16, windows-1252 and UTF-8 in turn."""
+    narrow = F.regexp_replace("text", "[^\\x00-\\xFF]", "?")
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).when(F.col("doc_id") % 3 == 1, F.encode(narrow, "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return read(spark, d, "documents").select("doc_id", F.md5(detect.decoded(content)).alias("digest"), detect.is_text(content).alias("is_text"))
+
+
+@query
+def text_units(spark, d):
+    line = F.concat(F.lit("  # "), F.substring_index("text", "\n", 1))
+    return read(spark, d, "documents").select("doc_id", t.k_tokens(F.col("n_chars")).alias("tokens"), t.clip(F.col("text"), 40).alias("clipped"), t.escape_heading(line).alias("escaped"), t.plural(F.col("n_chars") % 2, "one", "many").alias("plural"))
 
 
 @query
@@ -185,8 +202,64 @@ def json_flatten(spark, d):
 
 @query
 def json_ndjson_union(spark, d):
+    """The records of each user as arrays of at most 500, so no row grows with the table."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"])
-    return read(spark, d, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("js"))
+    block = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 500).cast("int")
+    return read(spark, d, "events").withColumn("block", block).groupBy("user_id", "block").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("js"))
+
+
+@query
+def json_shrink(spark, d):
+    docs = inputs.order_docs(spark, d)
+    kind = docs.schema["doc"].dataType
+    return docs.select("doc.id", json_docs.shrink(F.col("doc"), kind, drop=("prio*",), most_items=2).alias("js"), json_docs.shrink(F.col("doc"), kind, drop=("own*",), drop_lists=3, max_text=0).alias("brief"))
+
+
+@query
+def json_shrink_nested(spark, d):
+    """Objects with nulls, empty texts, empty lists and objects that are empty once what they hold is gone."""
+    made = F.struct(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")).alias("name"), F.struct(F.lit(None).cast("string").alias("a"), F.struct(F.lit("").alias("b")).alias("c")).alias("void"), F.array(F.lit(""), F.lit(None)).alias("none"), F.array(F.lit(""), F.col("c_mktsegment"), F.lit("x")).alias("tags"))
+    rows = read(spark, d, "customer").select("c_custkey", made.alias("doc"))
+    kind = rows.schema["doc"].dataType
+    return rows.select("c_custkey", json_docs.shrink(F.col("doc"), kind, max_text=5).alias("js"), json_docs.shrink(F.col("doc"), kind, drop=("name", "t*"), keep_empty=True).alias("kept"))
+
+
+@query
+def json_outline(spark, d):
+    docs = inputs.order_docs(spark, d)
+    return docs.select("doc.id", json_docs.shape_text(F.array("doc"), docs.schema["doc"].dataType).alias("shape"))
+
+
+@query
+def json_full_table(spark, d):
+    docs = inputs.order_docs(spark, d)
+    items = docs.schema["doc"].dataType["items"].dataType
+    return docs.select("doc.id", json_docs.full_table(F.col("doc.items"), items.elementType, F.array(F.concat(F.lit("order "), F.col("doc.id").cast("string")))).alias("markdown"))
+
+
+@query
+def json_select_run(spark, d):
+    return inputs.order_docs(spark, d).select("doc.id", json_docs.select_run(F.col("doc.items"), "part", index=1).cast("string").alias("second_part"))
+
+
+@query
+def json_no_match(spark, d):
+    docs = inputs.order_docs(spark, d).select("doc.id", "doc", "doc.items")
+    return docs.select("id", json_docs.no_match(docs, "items", json_docs.select_index(F.col("items"), 4)["n"], "items[4].n").alias("why"), json_docs.no_match(docs, "doc", F.lit(None), "x").alias("keys"))
+
+
+@query
+def json_first_match(spark, d):
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    rows = read(spark, d, "customer").select("c_custkey", F.array(entry("name", F.col("c_name")), entry("name", F.lit("again")), entry("segment", F.col("c_mktsegment"))).alias("entries"))
+    return rows.select("c_custkey", *[json_docs.first_match(F.col("entries"), k).alias(k) for k in ("name", "segment", "other")])
+
+
+@query
+def json_union_columns(spark, d):
+    regions = read(spark, d, "region").selectExpr("cast(r_regionkey as bigint) as id", "r_name as name")
+    nations = read(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) as id", "n_name as label", "cast(n_regionkey as string) as parent")
+    return json_docs.union_columns(regions, nations)
 
 
 @query
@@ -236,6 +309,17 @@ def pdf_clean_lines(spark, d):
     return pages.without_furniture(inputs.paged(spark, d), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
+@query
+def pdf_scanned_pages(spark, d):
+    lines = read(spark, d, "documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (k, line)").selectExpr("doc_id", "k div 2 + 1 as page_no", "line")
+    return pages.scanned_pages(lines, "doc_id")
+
+
+@query
+def paginate_blocks(spark, d):
+    return pages.pack_blocks(inputs.framed_documents(spark, d), "conv_id", "md", 2000)
+
+
 @query
 def grid_trim(spark, d):
     return grids.trim_grid(inputs.grids(spark, d), "sheet").select("sheet", "row_no", F.array_join("cells", "|").alias("cells"))
@@ -279,6 +363,26 @@ def rel_lookup(spark, d):
     return relations.linked(spans, links)
 
 
+@query
+def numbering(spark, d):
+    paragraphs = read(spark, d, "customer").selectExpr("c_custkey as paragraph", "c_nationkey as doc", "c_custkey % 7 as num_id", "c_custkey % 3 as ilvl")
+    instances = read(spark, d, "nation").selectExpr("n_nationkey as doc", "explode(sequence(0, 5)) as num_id").selectExpr("doc", "num_id", "(doc + num_id) % 4 as abstract_id")
+    levels = read(spark, d, "nation").selectExpr("n_nationkey as doc", "explode(sequence(0, 3)) as abstract_id").selectExpr("doc", "abstract_id", "explode(array(0, 1)) as ilvl").selectExpr("*", "if((abstract_id + ilvl) % 2 = 0, 'decimal', 'bullet') as format")
+    return relations.numbering(paragraphs, instances, levels).select("paragraph", "format")
+
+
+@query
+def rel_targets(spark, d):
+    part = F.regexp_extract("url", "^[a-z]+://[^/?#]*/*([^?#]*)", 1)
+    forms = read(spark, d, "pages").select("page_id", part.alias("part"), F.posexplode(F.array(*map(F.lit, ("../img/a.png", "./b.html", "/root/c.css", "x/../d", "../../../e")))).alias("form", "target"))
+    return forms.select("page_id", "form", relations.resolved(F.col("part"), F.col("target")).alias("path"))
+
+
+@query
+def tree_ignored(spark, d):
+    return inputs.site_files(spark, d).where(~trees.ignored(F.col("path"), ["# generated", "*.html", "!8*.html", "en/", "/de/1*"])).select("root", "path")
+
+
 @query
 def tree_counts(spark, d):
     return trees.tree_counts(inputs.site_files(spark, d), "root")
@@ -317,27 +421,43 @@ def html_markdown(spark, d):
 
 
 def _corpus(spark, d):
-    """Pages, documents, logs and diffs under one kind of id."""
-    web = read(spark, d, "pages").selectExpr("concat('page ', cast(page_id as string)) as id", "html as text", "cast(null as string) as path", "'text/html' as content_type")
+    """Pages, documents, logs, diffs and JSON orders under one kind of id, and the type of the orders."""
+    web = read(spark, d, "pages").selectExpr("concat('page ', cast(page_id as string)) as id", "html as text", "cast(null as string) as path", "'text/html; charset=utf-8' as content_type")
     docs = read(spark, d, "documents").selectExpr("concat('document ', cast(doc_id as string)) as id", "text", "'notes.txt' as path", "cast(null as string) as content_type")
-    log = inputs.logs(spark, d).groupBy("user_id").agg(joined("line_no", "line").alias("text")).selectExpr("concat('log ', cast(user_id as string)) as id", "text", "'run.log' as path", "cast(null as string) as content_type")
+    log = inputs.log_texts(spark, d).selectExpr("concat('log ', cast(user_id as string), ' ', cast(block as string)) as id", "text", "'run.log' as path", "cast(null as string) as content_type")
     patch = inputs.diffs(spark, d).groupBy("conv_id").agg(joined("line_no", "line").alias("text")).selectExpr("concat('diff ', cast(conv_id as string)) as id", "text", "cast(null as string) as path", "cast(null as string) as content_type")
-    return web.unionByName(docs).unionByName(log).unionByName(patch)
+    orders = inputs.order_docs(spark, d)
+    js = orders.select(F.concat(F.lit("order "), F.col("doc.id").cast("string")).alias("id"), F.to_json("doc").alias("text"), F.lit(None).cast("string").alias("path"), F.lit("application/json").alias("content_type"))
+    place = f"{events.scratch(spark)}/corpus"
+    web.unionByName(docs).unionByName(log).unionByName(patch).unionByName(js).write.parquet(place)
+    return spark.read.parquet(place), orders.schema["doc"].dataType
 
 
 @query
 def read_docs(spark, d):
-    return api.read_docs(_corpus(spark, d))
+    return api.read_docs(*_corpus(spark, d))
 
 
 @query
 def read_outlines(spark, d):
-    return api.read_outlines(_corpus(spark, d))
+    return api.read_outlines(*_corpus(spark, d))
 
 
 @query
 def read_page(spark, d):
-    return api.read_page(_corpus(spark, d), 2, 1000)
+    return api.read_page(_corpus(spark, d)[0], 2, 1000)
+
+
+@query
+def read_json(spark, d):
+    docs, kind = _corpus(spark, d)
+    return api.read_json(docs.where("id like 'order %' or id like 'page %'"), kind, lambda root: root["items"], table=True)
+
+
+@query
+def read_section(spark, d):
+    docs = _corpus(spark, d)[0].where("id like 'diff %' or id like 'order %'")
+    return api.read_section(docs, docs.selectExpr("id", "explode(array('2', 'NEW-c', 'nothing')) as wanted"))
 
 
 @query
@@ -354,6 +474,57 @@ def savings_ledger(spark, d):
     return report.savings_ledger(web.unionByName(log))
 
 
+@query
+def ledger_report(spark, d):
+    return report.markdown_report(savings_ledger(spark, d), "kind")
+
+
+@query
+def ab_report(spark, d):
+    return report.markdown_report(ab_pivot(spark, d), "task")
+
+
+@query
+def tool_summary(spark, d):
+    turns = read(spark, d, "conversations").selectExpr("conv_id as session", "if(role = 'user', 'Bash', 'mcp__files__read') as name", "text as command")
+    return report.tools_summary(turns.select("session", report.tool_label(F.col("name"), F.col("command")).alias("label")))
+
+
+@query
+def context_sizes(spark, d):
+    calls = read(spark, d, "conversations").selectExpr("conv_id", "turn", "cast(length(text) as bigint) as fresh_input", "cast(turn as bigint) as cache_creation", "if(turn % 2 = 0, cast(length(role) as bigint), null) as cache_read")
+    return report.context_size(calls).select("conv_id", "turn", "input")
+
+
+@query
+def side_tokens(spark, d):
+    return report.side_tokens(read(spark, d, "conversations").selectExpr("conv_id as session", "role as model", "cast(length(text) as bigint) as tokens"))
+
+
+@query
+def verdicts(spark, d):
+    rows = read(spark, d, "conversations")
+    return rows.select("conv_id", "turn", report.verdict(F.when(F.col("turn") % 5 == 4, "failed"), F.length("text") % 2 == 0).alias("verdict"), report.first_line(F.concat(F.lit(" \n"), F.col("text"))).alias("first_line"))
+
+
+@query
+def error_texts(spark, d):
+    status = F.when(F.length("url") % 3 == 0, 404).when(F.length("url") % 3 == 1, 200)
+    reason = F.when(F.length("url") % 3 == 2, F.concat(F.lit('Get "'), F.col("url"), F.lit('": timed out')))
+    return read(spark, d, "pages").select("page_id", report.error_text(F.col("url"), status, reason).alias("error"))
+
+
+@query
+def entry_sizes(spark, d):
+    return read(spark, d, "pages").select("page_id", report.entry_size(F.col("url"), F.col("html")).alias("size"))
+
+
+@query
+def freshness(spark, d):
+    flag = lambda n: F.col("event_id") % n == 0
+    return read(spark, d, "events").select("event_id", events.may_reuse(flag(2), ~flag(3), F.col("event_id") % 4, flag(5), flag(7)).alias("reuse"))
+
+
 @query
 def ab_pivot(spark, d):
     runs = read(spark, d, "conversations").selectExpr("conv_id % 10 as task", "if(conv_id div 10 % 2 = 0, 'plain', 'short') as arm", "cast(length(text) as bigint) as tokens", "turn % 2 = 0 as correct")
@@ -389,8 +560,7 @@ def event_microbatch(spark, d):
 
 @query
 def ttl_cache(spark, d):
-    done = events.run_available(events.ttl_cache(events.event_stream(spark, f"{d}/events.parquet"), 86_400), events.scratch(spark), "update")
-    return done.groupBy("user_id").agg(F.max("n_reads").alias("n_reads"), F.max("n_hits").alias("n_hits"))
+    return events.ttl_cache(events.event_stream(spark, f"{d}/events.parquet"), 86_400, events.scratch(spark))
 
 
 ORACLE_SQL = {name: sql for name, sql in SQL.items() if name in QUERIES}

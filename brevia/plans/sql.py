@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from brevia.operators.html import CHROME, CLEANING, DROPPED, ENTITIES, MARKDOWN, _gone
-
-_CR = "chr(10)"
+_NL = "chr(10)"
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CEIL4 = "((length({0}) + 3) // 4)::bigint"
 
 
@@ -67,16 +66,25 @@ _ENTRIES = """entries as (
   select c_custkey, [{'k': 'name', 'v': c_name}, {'k': 'segment', 'v': nullif(c_mktsegment, 'BUILDING')}, {'k': 'nation', 'v': case when c_nationkey % 3 = 0 then '' else c_nationkey::varchar end}] as entries
   from customer
 )"""
-_DIFFS = r"""turns as (
-  select conv_id, turn, substr(regexp_replace(text, '[ \n\r\t]+', ' ', 'g'), 1, 30) as old from conversations
-), changed as (
-  select *, case when turn % 3 = 0 then replace(old, ' ', '  ') else upper(old) end as new from turns
+_DIFFS = rf"""turns as (
+  select conv_id, turn, text, case when turn % 3 = 0 then replace(text, ' ', '  ') else translate(text, '{_LOWER}', '{_UPPER}') end as new from conversations
 ), hunks as (
-  select conv_id, turn, row_number() over (partition by conv_id order by turn) as hunk_no, old, new,
-    old <> '' and regexp_replace(old, '\s+', '', 'g') = regexp_replace(new, '\s+', '', 'g') as ws_only
-  from changed
+  select conv_id, turn, row_number() over (partition by conv_id order by turn) as hunk_no, len(string_split(text, {_NL})) as n,
+    regexp_replace(text, '\s+', '', 'g') = regexp_replace(new, '\s+', '', 'g') as ws_only,
+    '@@ -' || turn || ' +' || turn || ' @@' || {_NL} || '-' || replace(text, {_NL}, {_NL} || '-') || {_NL} || '+' || replace(new, {_NL}, {_NL} || '+') as body
+  from turns
 ), files as (
-  select conv_id, 1::bigint as file_no, count(*)::bigint as n from hunks group by conv_id
+  select conv_id, 1::bigint as file_no, sum(n)::bigint as n, string_agg(body, {_NL} order by turn) as every, string_agg(body, {_NL} order by turn) filter (not ws_only) as body, count(*) filter (ws_only) as skipped from hunks group by conv_id
+), fenced as (
+  select *, repeat('`', greatest(4, coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0) + 1)) as mark from files
+), diffs as (
+  select conv_id, '**2 file(s) changed** (+' || (n + 1) || ' -' || n || ')' || {_NL} || {_NL} || '## c' || conv_id || '.txt (modified, +' || n || ' -' || n || ')'
+      || case when body is null then '' else {_NL} || {_NL} || mark || 'diff' || {_NL} || body || {_NL} || mark end
+      || case when skipped > 0 then {_NL} || {_NL} || '[' || skipped || ' whitespace-only hunk(s) omitted]' else '' end
+      || {_NL} || {_NL} || '## new-c' || conv_id || '.txt (new, +1 -0)' || {_NL} || {_NL} || '````diff' || {_NL} || '@@ -0,0 +1 @@' || {_NL} || '+one line' || {_NL} || '````' as markdown,
+    array_to_string(['diff --git a/c' || conv_id || '.txt b/c' || conv_id || '.txt', '--- a/c' || conv_id || '.txt', '+++ b/c' || conv_id || '.txt', every,
+      'diff --git a/new-c' || conv_id || '.txt b/new-c' || conv_id || '.txt', 'new file mode 100644', '--- /dev/null', '+++ b/new-c' || conv_id || '.txt', '@@ -0,0 +1 @@', '+one line'], {_NL}) as raw
+  from fenced
 )"""
 _PAGED = """cut as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents
@@ -129,41 +137,38 @@ _SITE = """split as (
 )"""
 
 
-def _stripped() -> str:
-    bare = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in DROPPED:
-        bare = rf"regexp_replace({bare}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}>', ' ', 'g')"
-    return rf"trim(regexp_replace(regexp_replace({bare}, '(?s)<[^>]*>', ' ', 'g'), '[\s\x0B\x{{A0}}]+', ' ', 'g'))"
+_STRIPPED = "html"
+for _tag in "script style noscript template svg canvas iframe object embed picture video audio button select textarea dialog".split():
+    _STRIPPED = rf"regexp_replace({_STRIPPED}, '(?is)<{_tag}(\s[^>]*)?>.*?</{_tag}>', ' ', 'g')"
+_STRIPPED = rf"trim(regexp_replace(regexp_replace(regexp_replace({_STRIPPED}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\s\x0B\x{{A0}}]+', ' ', 'g'))"
 
 
-def _quoted(text: str) -> str:
-    """A SQL literal; line ends are escapes, which the pattern language and string_split know."""
-    return "'" + text.replace("'", "''") + "'"
+def _stripped() -> str:
+    return _STRIPPED
 
 
-def _through(text: str, rules: list[tuple[str, str]]) -> str:
+def _replaced(text: str, *rules: tuple[str, str]) -> str:
     for pattern, replacement in rules:
-        made = " || chr(10) || ".join(_quoted(x) for x in replacement.replace("$", "\\").split("\n"))
-        text = f"regexp_replace({text}, {_quoted(pattern.replace(chr(92) + 'z', '$'))}, {made}, 'g')"
+        text = f"regexp_replace({text}, '{pattern}', {replacement}, 'g')"
     return text
 
 
-def _markdown_sql() -> str:
-    text = _through("body", MARKDOWN)
-    for name, character in ENTITIES.items():
-        text = f"replace({text}, {_quoted(name)}, {_quoted(character)})"
-    tidy = _through(text, [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")])
-    return rf"""with cleaned as (
-  select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title, {_through("html", CLEANING)} as clean from pages
-), articles as (
-  select *, regexp_extract(clean, '(?is)<article(?:\s[^>]*)?>(.*)</article>', 1) as article from cleaned
-), bodies as (
-  select *, case when article <> '' then article else {_through("clean", [_gone(tag) for tag in CHROME])} end as body from articles
+#: What the shared pages hold, told by itself: scripts, styles, comments and an article of headings, paragraphs, bold words, lists, links and breaks.
+_PAGES = rf"""heads as (
+  select page_id, html, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) as title,
+    regexp_extract({_replaced("html", ("(?s)<!--.*?-->", "' '"), ("(?is)<script(>|\\s[^>]*>).*?</script>", "' '"), ("(?is)<style(>|\\s[^>]*>).*?</style>", "' '"))}, '(?is)<article>(.*)</article>', 1) as body
+  from pages
+), flowed as (
+  select *, {_replaced("body", ("[\\s\\x{A0}]+", "' '"), ("(?i)<h1> ?(.*?) ?</h1>", "chr(10) || chr(10) || '# \\1' || chr(10) || chr(10)"),
+    ("(?i)<a href=\"([^\"]*)\"> ?(.*?) ?</a>", "'[\\2](\\1)'"), ("(?i)<b> ?(.*?) ?</b>", "'**\\1**'"), ("(?i)<li> ?", "chr(10) || '- '"), ("(?i)<br>", "chr(10)"), ("(?i)</?(p|div|ul|section|main)(>|\\s[^>]*>)", "chr(10) || chr(10)"), ("<[^>]*>", "''"))} as flow
+  from heads
+), named as (
+  select *, replace(replace(replace(replace(replace(replace(flow, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&') as plain from flowed
 ), tidied as (
-  select page_id, title, trim({tidy}) as tidy from bodies
-)
-select page_id, case when title = '' or starts_with(tidy, '# ') then tidy else '# ' || title || chr(10) || chr(10) || tidy end as markdown from tidied"""
-
+  select *, trim({_replaced("trim(plain, ' ' || chr(10) || chr(9))", ("[ \\t]+\\n", "chr(10)"), ("\\n[ \\t]+", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"))}, ' ' || chr(10)) as tidy from named
+), articles as (
+  select page_id, html, case when title = '' or starts_with(tidy, '# ') then tidy else '# ' || title || chr(10) || chr(10) || tidy end as markdown from tidied
+)"""
 
 _LINK = r"""parts as (
   select page_id, url, regexp_extract(url, '#.*$') as fragment, regexp_replace(url, '#.*$', '') as bare, regexp_extract(url, '^[a-z]+') as scheme,
@@ -202,8 +207,24 @@ select id, case when starts_with(text, '%PDF-') then 'pdf' when media = 'text/ht
   when (starts_with(whole, '{') or starts_with(whole, '[')) and json_valid(whole) then 'json'
   when starts_with(head, 'diff --git ') or (contains(head, '--- a/') and contains(head, '+++ b/')) then 'diff' else 'text' end as kind
 from headed""",
-    "classify_address": "select page_id, case page_id % 4 when 0 then 'url' when 1 then 'host' when 2 then 'local' else 'path' end as address_kind from pages",
-    "pr_diff_url": "select page_id, case when page_id % 3 = 0 then url else 'https://github.com/a/b/pull/' || page_id || '.diff' end as address from pages",
+    "classify_address": r"""
+with paths as (
+  select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) as path from pages
+), forms as (
+  select page_id, unnest([url, regexp_replace(url, '^https?://', ''), 'localhost:3000' || path, ltrim(path, '/')]) as address, unnest([0, 1, 2, 3])::int as form from paths
+)
+select page_id, form, case when trim(address) = '' then 'empty' when regexp_matches(address, '^https?://') then 'url' when starts_with(address, 'file:') then 'file'
+  when regexp_matches(address, '^(localhost|127\.0\.0\.1|\[::1\])(:[0-9]+)?(/|$)') then 'local' when regexp_matches(address, '^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(:[0-9]+)?(/|$)') then 'host' else 'path' end as address_kind
+from forms""",
+    "pr_diff_url": r"""
+with forms as (
+  select page_id, unnest([url, 'https://github.com/a/b/pull/' || page_id, 'https://github.com/a/b/pull/' || page_id || '/', 'https://github.com/a/b/commit/' || md5(url), 'https://github.com/a/b/pull/' || page_id || '/files']) as address, unnest([0, 1, 2, 3, 4])::int as form from pages
+)
+select page_id, form, case when regexp_matches(address, '^https://github\.com/[\w.-]+/[\w.-]+/(pull/[0-9]+|commit/[0-9a-fA-F]{7,40})/?$') then rtrim(address, '/') || '.diff' else address end as address from forms""",
+    "decode_text": r"select doc_id, md5(case when doc_id % 3 = 1 then regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') else text end) as digest, true as is_text from documents",
+    "text_units": f"""
+select doc_id, case when n_chars < 1000 then n_chars::varchar when n_chars >= 10000 then round_even(n_chars / 1000.0, 0)::bigint || 'k' else {_tenths('n_chars', 1000)} || 'k' end as tokens,
+  case when length(text) > 40 then substr(text, 1, 40) || '…' else text end as clipped, '  \\# ' || string_split(text, chr(10))[1] as escaped, case when n_chars % 2 = 1 then 'one' else 'many' end as plural from documents""",
     "cache_key": "select event_id, '/data/' || event_id || ':' || epoch_us(ts) || ':' || length(props) as cache_key from events",
     "outline_headings": f"with {_MARKDOWN} select conv_id, id, level, title, n_tokens from sized",
     "outline_format": f"""with {_MARKDOWN}, lined as (
@@ -211,7 +232,7 @@ from headed""",
 ), body as (
   select conv_id, ((any_value(total) + 3) // 4)::bigint as total, count(*) as n, string_agg(line, chr(10) order by id) as body from lined group by conv_id
 )
-select conv_id, n || ' sections, ~' || {_count('total')} || ' tokens. Read one with section=<id>.' || chr(10) || body as outline from body""",
+select conv_id, n || ' headings, about ' || {_count('total')} || ' tokens; ask for section=<id>' || chr(10) || body as outline from body""",
     "section_lookup": f"""with {_MARKDOWN}, asked as (
   select s.*, wanted, case when id::varchar = wanted then 1 when lower(title) = wanted then 2 when starts_with(lower(title), wanted) then 3 when contains(lower(title), wanted) then 4 end as rank
   from sized s, (values ('2'), ('turn 1'), ('assistant')) w(wanted)
@@ -232,7 +253,24 @@ select conv_id, wanted, id, title, regexp_replace(substr(md, (start + 1)::int, (
     "json_max_str": "select p_partkey, case when length(p_name) > 6 then substr(p_name, 1, 6) || '…(+' || (length(p_name) - 6) || ' chars)' else p_name end as name from part",
     "json_table": f"with {_DOCS} select id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as markdown from docs",
     "json_flatten": f'with {_DOCS} select id, status, owner.key as "owner.key", owner.priority as "owner.priority" from docs',
-    "json_ndjson_union": "select user_id, '[' || string_agg(props, ',' order by event_id) || ']' as js from events group by user_id",
+    "json_ndjson_union": "select user_id, block, '[' || string_agg(props, ',' order by event_id) || ']' as js from (select *, ((row_number() over (partition by user_id order by event_id) - 1) // 500)::int as block from events) group by user_id, block",
+    "json_shrink": f"""with {_DOCS}, shown as (
+  select *, list_transform(items, lambda x: '{{"n":' || x.n || ',"part":' || x.part || ',"qty":' || x.qty || '}}') as parts from docs
+)
+select id, '{{"id":' || id || ',"status":"' || status || '","owner":{{"key":' || owner.key || '}},"items":[' || array_to_string(parts[1:2], ',') || case when len(parts) > 2 then ',"… ' || (len(parts) - 2) || ' more items"' else '' end || ']}}' as js,
+  '{{"id":' || id || ',"status":"' || status || '","items":' || case when len(parts) > 3 then '"[' || len(parts) || ' items omitted]"' else '[' || array_to_string(parts, ',') || ']' end || '}}' as brief from shown""",
+    "json_shrink_nested": """
+with cut as (select c_custkey, c_name, c_mktsegment, case when length(c_name) > 5 then substr(c_name, 1, 5) || '…(+' || (length(c_name) - 5) || ' chars)' else c_name end as name, case when length(c_mktsegment) > 5 then substr(c_mktsegment, 1, 5) || '…(+' || (length(c_mktsegment) - 5) || ' chars)' else c_mktsegment end as segment from customer)
+select c_custkey, '{"key":' || c_custkey || case when c_custkey % 2 = 0 then '' else ',"name":"' || name || '"' end || ',"tags":["' || segment || '","x"]}' as js,
+  '{"key":' || c_custkey || ',"void":{"a":null,"c":{"b":""}},"none":["",null]}' as kept from cut""",
+    "json_outline": f"""with {_DOCS}, ends as (select *, items[1] as x from docs)
+select id, '{{' || {_NL} || ' id: number (' || id || ')' || {_NL} || ' status: string ("' || status || '")' || {_NL} || ' owner: {{key: number (' || owner.key || '), priority: string ("' || owner.priority || '")}}' || {_NL}
+  || ' items: [' || len(items) || '] {{n: number (' || x.n || '), part: number (' || x.part || '), qty: number (' || x.qty || ')}}' || {_NL} || '}}' as shape from ends""",
+    "json_full_table": f"with {_DOCS} select id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) || chr(10) || 'order ' || id as markdown from docs",
+    "json_select_run": f"with {_DOCS} select id, list_transform(items, lambda x: x.part)[2]::varchar as second_part from docs",
+    "json_no_match": f"with {_DOCS} select id, case when len(items) < 5 then 'nothing matches items[4].n; it is an array of ' || len(items) || ' items' end as why, 'nothing matches x; it has the keys id, status, owner, items' as keys from docs",
+    "json_first_match": "select c_custkey, c_name as name, c_mktsegment as segment, null::varchar as other from customer",
+    "json_union_columns": "select r_regionkey::bigint as id, r_name as name, null::varchar as label, null::varchar as parent from region union all select n_nationkey::bigint, null, n_name, n_regionkey::varchar from nation",
     "json_shape": f"""with {_ENTRIES}, rows as (
   select c_custkey as doc, unnest(list_append(entries, {{'k': 'key', 'v': c_custkey::varchar}})) as e from entries
 ), kinds as (
@@ -246,6 +284,44 @@ select conv_id, '1' as file_no, n as adds, n as dels from files union all select
 select conv_id, 1::bigint as file_no, 'c' || conv_id || '.txt' as old_path, 'c' || conv_id || '.txt' as new_path, 'modified' as status, n as adds, n as dels from files
 union all select conv_id, 2, null, 'new-c' || conv_id || '.txt', 'new', 1, 0 from files""",
     "diff_ws_only": f"with {_DIFFS} select conv_id, 1::bigint as file_no, hunk_no::bigint as hunk_no, ws_only from hunks union all select conv_id, 2, 1, false from files",
+    "diff_markdown": f"with {_DIFFS} select conv_id, markdown from diffs",
+    "pdf_scanned_pages": r"""
+with cut as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents
+), texts as (
+  select doc_id, (line_no - 1) // 2 as page_no, bool_or(regexp_matches(line, '[^ \t\n\x0B\f\r]')) as full from cut group by all
+) select doc_id, count(*)::bigint as n_pages, count(*) filter (not "full")::bigint as n_scanned from texts group by doc_id""".replace("as full from", 'as "full" from'),
+    "numbering": """
+with instances as (
+  select n_nationkey as doc, i as num_id, (n_nationkey + i) % 4 as abstract_id from nation, range(6) t(i)
+), levels as (
+  select n_nationkey as doc, a as abstract_id, l as ilvl, case when (a + l) % 2 = 0 then 'decimal' else 'bullet' end as format from nation, range(4) t(a), range(2) u(l)
+)
+select c_custkey as paragraph, format from customer left join (select i.doc, num_id, ilvl, format from instances i join levels l on i.doc = l.doc and i.abstract_id = l.abstract_id) f
+  on c_nationkey = f.doc and c_custkey % 7 = f.num_id and c_custkey % 3 = f.ilvl""",
+    "rel_targets": r"""
+with parts as (
+  select page_id, list_filter(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1), '[^/]*$', ''), '/'), lambda x: x <> '') as folder from pages
+), forms as (
+  select page_id, 0 as form, list_concat(folder[:-2], ['img', 'a.png']) as path from parts union all select page_id, 1, list_append(folder, 'b.html') from parts union all select page_id, 2, ['root', 'c.css'] from parts
+  union all select page_id, 3, list_append(folder, 'd') from parts union all select page_id, 4, list_append(folder[:greatest(len(folder) - 3, 0)], 'e') from parts
+) select page_id, form::int as form, array_to_string(path, '/') as path from forms""".replace("list_concat(folder[:-2],", "list_concat(folder[:greatest(len(folder) - 1, 0)],"),
+    "tree_ignored": f"""with {_SITE}
+select root, path from files where not case when regexp_matches(path, '^de/1[^/]*(/.*)?$') then true when regexp_matches(path, '(^|/)en/.+$') then true
+  when regexp_matches(path, '(^|/)8[^/]*[.]html(/.*)?$') then false when regexp_matches(path, '(^|/)[^/]*[.]html(/.*)?$') then true else false end""",
+    "tree_summary": f"""with {_SITE}, places as (
+  select root, array_to_string(parts[1:depth], '/') as path, parts[1:depth] as steps, depth, max(depth < len(parts)) as is_dir, max(case when depth = len(parts) then bytes end) as shown_size from (select root, path, parts, depth, s.bytes from steps join (select root as r, path as p, size as bytes from files) s on root = s.r and path = s.p) group by all
+), counts as (
+  select root, array_to_string(steps[1:depth - 1], '/') as path, count(*) as n from places where depth > 1 group by all having count(*) > 100
+), shown as (
+  select p.*, c.n from places p left join counts c on p.root = c.root and p.path = c.path
+  where not exists (select 1 from counts a where a.root = p.root and starts_with(p.path, a.path || '/'))
+), lined as (
+  select root, is_dir, array_to_string(list_transform(steps, lambda x, i: case when i < depth or is_dir then '0' else '1' end || x), chr(1)) as place,
+    repeat('  ', depth) || case when is_dir then steps[-1] || '/' || case when n is not null then ' (' || n || ' items, collapsed)' else '' end else steps[-1] || ' (' || {_bytes('shown_size', [' B', ' KB', ' MB', ' GB'])} || ')' end as line from shown
+)
+select root, '**' || count(*) filter (not is_dir) || case when count(*) filter (not is_dir) = 1 then ' file, ' else ' files, ' end || count(*) filter (is_dir) || case when count(*) filter (is_dir) = 1 then ' directory**' else ' directories**' end
+  || {_NL} || {_NL} || '```' || {_NL} || root || '/' || {_NL} || string_agg(line, {_NL} order by place) || {_NL} || '```' as markdown from lined group by root""",
     "pdf_running_lines": f"with {_PAGED} select * from repeated",
     "pdf_page_numbers": f"with {_PAGED} select doc_id, page_no, value from valued",
     "pdf_offset_mode": f"with {_PAGED} select * from best",
@@ -269,7 +345,7 @@ with found as (select page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([
 select page_id, generate_subscripts(hrefs, 1)::int - 1 as n, unnest(hrefs) as href from found""",
     "html_link_rewrite": f"with {_LINK} select page_id, local || case when rest <> '' then '?' || rest else '' end || fragment as link from cleaned",
     "html_strip": f"select page_id, {_stripped()} as text from pages",
-    "html_markdown": _markdown_sql(),
+    "html_markdown": f"with {_PAGES} select page_id, markdown from articles",
     "html_summary": f"""
 select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1))::int as n_links,
   length({_stripped()})::int as n_chars, strlen({_stripped()}) < 300 and contains(lower(html), '<script') as needs_js from pages""",
@@ -315,3 +391,97 @@ select event_id, case when event_id % 7 = 0 then '' else case event_id % 6 when
 select doc_id, page_no::int as page_no, count(*)::int as n_lines, string_agg(line, chr(10) order by k) as content from packed group by doc_id, page_no""",
 }
 SQL["page_n"] = SQL["paginate"].replace("<= 500", "<= 2000").replace("select doc_id, page_no::int as page_no, count(*)::int as n_lines, string_agg(line, chr(10) order by k) as content from packed", "select doc_id, string_agg(line, chr(10) order by k) as content from packed where page_no = 2")
+
+_LEDGER = SQL["savings_ledger"]
+_AB = SQL["ab_pivot"]
+
+
+def _report(source: str, columns: list[str], order: str) -> str:
+    line = " || ' | ' || ".join(f"coalesce({c}::varchar, '')" for c in columns)
+    head = "| " + " | ".join(columns) + " |"
+    return f"select '{head}' || {_NL} || '|{'---|' * len(columns)}' || {_NL} || string_agg('| ' || {line} || ' |', {_NL} order by {order}) as markdown from ({source})"
+
+
+#: Documents of all kinds with their Markdown, as the reading queries see them.
+_READ = rf"""with {_PAGES}, {_DIFFS}, {_DOCS}, loglines as (
+  select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 5000 as block, row_number() over (partition by user_id order by ts, event_id) as line_no,
+    strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' event ' || event_id as line from events
+), near as (
+  select *, max({_ERROR}::int) over (partition by user_id, block order by line_no rows between 2 preceding and 2 following) as kept from loglines
+), runs as (
+  select *, sum(kept) over (partition by user_id, block order by line_no) as run from near
+), summary as (
+  select user_id, block, line_no, line from runs where kept = 1
+  union all select user_id, block, min(line_no), case when count(*) = 1 then min(line) else '... ' || count(*) || ' lines omitted ...' end from runs where kept = 0 group by user_id, block, run
+), cleaned as (
+  select doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', {_NL}, 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', {_NL} || {_NL}, 'g'), '^[\t-\r ]+|[\t-\r ]+$', '', 'g') as markdown from documents
+), made as (
+  select 'page ' || page_id as id, 'html' as kind, markdown, html as raw from articles
+  union all select 'document ' || doc_id, 'text', markdown, text from cleaned
+  union all select 'log ' || s.user_id || ' ' || s.block, 'logfile', s.markdown, r.raw from (select user_id, block, string_agg(line, {_NL} order by line_no) as markdown from summary group by all) s
+    join (select user_id, block, string_agg(line, {_NL} order by line_no) as raw from loglines group by all) r on s.user_id = r.user_id and s.block = r.block
+  union all select 'diff ' || conv_id, 'diff', markdown, raw from diffs
+  union all select 'order ' || id, 'json', to_json({{'id': id, 'status': status, 'owner': owner, 'items': items}})::varchar, to_json({{'id': id, 'status': status, 'owner': owner, 'items': items}})::varchar from docs
+), ready as (
+  select id, kind, markdown, raw, case when kind = 'html' and strlen({_STRIPPED.replace("regexp_replace(html,", "regexp_replace(raw,")}) < 300 and contains(lower(raw), '<script') then 'the page builds itself with scripts, little of it is text' end as note from made
+)"""
+_SECTIONS = r"""cut as (
+  select id, length(markdown) as total, markdown, unnest(string_split(markdown, chr(10))) as line, generate_subscripts(string_split(markdown, chr(10)), 1) as line_no from ready where kind <> 'json'
+), placed as (
+  select *, sum(length(line) + 1) over (partition by id order by line_no) - length(line) - 1 as start from cut
+), found as (
+  select id as doc, total, line_no, start::bigint as start, length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]', 1))::int as level, trim(regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*?)[ \t#]*$', 1)) as title
+  from placed where regexp_matches(line, '^ {0,3}#{1,6}[ \t]+[^ \t#]')
+), numbered as (
+  select *, row_number() over (partition by doc order by line_no)::int as n from found
+), sized as (
+  select a.doc, a.n, a.level, a.title, a.start, coalesce(min(b.start), any_value(a.total)) as stop from numbered a left join numbered b on a.doc = b.doc and b.n > a.n and b.level <= a.level group by a.doc, a.n, a.level, a.title, a.start
+)"""
+SQL |= {
+    "read_docs": f"{_READ} select id, kind, markdown, {_CEIL4.format('raw')} as raw_tokens, {_CEIL4.format('markdown')} as out_tokens, note, null::varchar as error from ready",
+    "read_outlines": f"""{_READ}, {_SECTIONS}, lined as (
+  select doc, n, repeat('  ', (level - min(level) over (partition by doc))::int) || n || '. ' || title || ' (~' || {_count('((stop - start + 3) // 4)::bigint')} || ')' as line from sized
+), body as (
+  select doc, count(*) as n, string_agg(line, {_NL} order by n) as body from lined group by doc
+)
+select r.id, case when n is null then 'no headings; about ' || {_count('((length(markdown) + 3) // 4)::bigint')} || ' tokens, ask for page=1' else n || ' headings, about ' || {_count('((length(markdown) + 3) // 4)::bigint')} || ' tokens; ask for section=<id>' || {_NL} || body end as outline
+from ready r left join body b on r.id = b.doc where kind <> 'json'
+union all select 'order ' || d.id, 'JSON of about ' || ((length(markdown) + 3) // 4) || ' tokens' || {_NL} || '{{' || {_NL} || ' id: number (' || d.id || ')' || {_NL} || ' status: string ("' || status || '")' || {_NL} || ' owner: {{key: number (' || owner.key || '), priority: string ("' || owner.priority || '")}}' || {_NL}
+  || ' items: [' || len(items) || '] {{n: number (' || items[1].n || '), part: number (' || items[1].part || '), qty: number (' || items[1].qty || ')}}' || {_NL} || '}}' from docs d join ready r on r.id = 'order ' || d.id""",
+    "read_page": f"""{_READ.replace("with ", "with recursive ", 1)}, pieces as (
+  select id, unnest(string_split(markdown, {_NL})) as line, generate_subscripts(string_split(markdown, {_NL}), 1) as k from ready
+), packed(id, k, line, page_no, used) as (
+  select id, k, line, 1, length(line) from pieces where k = 1
+  union all
+  select c.id, c.k, c.line, case when p.used + 1 + length(c.line) <= 1000 then p.page_no else p.page_no + 1 end, case when p.used + 1 + length(c.line) <= 1000 then p.used + 1 + length(c.line) else length(c.line) end
+  from packed p join pieces c on c.id = p.id and c.k = p.k + 1
+), counted as (
+  select id, max(page_no) as n, string_agg(line, {_NL} order by k) filter (page_no = 2) as content from packed group by id
+)
+select c.id, content || case when n > 1 then {_NL} || {_NL} || '[page 2 of ' || n || case when n > 2 then ' · next: page=3' else '' end || ']' else '' end || case when note is null then '' else {_NL} || {_NL} || '[note: ' || note || ']' end as content,
+  case when content is null then 'page 2 out of range: there are ' || n || ' page(s)' end as error from counted c join ready r on c.id = r.id""",
+    "read_json": f"""with {_DOCS} select 'order ' || id as id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as content, null::varchar as error from docs
+union all select 'page ' || page_id, null, 'not JSON (it looks like html): use read_docs' from pages""",
+    "read_section": f"""with {_DIFFS}, asked as (select conv_id, markdown, wanted from diffs, (values ('2'), ('NEW-c'), ('nothing')) w(wanted))
+select 'diff ' || conv_id as id, wanted, case when wanted <> 'nothing' then substr(markdown, strpos(markdown, '## new-c')) end as section, case when wanted = 'nothing' then 'no section matches nothing' end as error from asked
+union all select 'order ' || o_orderkey, wanted, null, 'sections are for documents: use read_json' from (select distinct o_orderkey from orders join lineitem on o_orderkey = l_orderkey), (values ('2'), ('NEW-c'), ('nothing')) w(wanted)""",
+    "ledger_report": _report(_LEDGER, ["kind", "n", "raw_tokens", "out_tokens", "saved_pct"], "kind nulls last"),
+    "ab_report": _report(_AB, ["task", "plain_runs", "plain_mean", "plain_correct", "short_runs", "short_mean", "short_correct", "change_pct"], "task nulls last"),
+    "tool_summary": r"""
+with labels as (select conv_id, case when role = 'user' then 'Bash(' || regexp_extract(text, '^\s*(\S+)', 1) || ')' else 'read' end as label from conversations), counted as (select conv_id, label, count(*) as n from labels group by all)
+select conv_id as session, array_to_string(list_sort(list(label || case when n > 1 then '×' || n else '' end)), ', ') as tools from counted group by conv_id""",
+    "context_sizes": "select conv_id, turn, (length(text) + turn + case when turn % 2 = 0 then length(role) else 0 end)::bigint as input from conversations",
+    "side_tokens": "select conv_id as session, (sum(n) - max(n))::bigint as side_tokens from (select conv_id, role, sum(length(text)) as n from conversations group by all) group by conv_id",
+    "verdicts": r"select conv_id, turn, case when turn % 5 = 4 then 'error' when length(text) % 2 = 0 then 'yes' else 'no' end as verdict, regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^[^\n]*') as first_line from conversations",
+    "error_texts": "select page_id, case length(url) % 3 when 0 then 'HTTP 404 from ' || url when 2 then 'fetch ' || url || ': timed out' end as error from pages",
+    "entry_sizes": "select page_id, (strlen(url) + strlen(html))::bigint as size from pages",
+    "freshness": "select event_id, event_id % 3 <> 0 and (event_id % 2 = 0 or event_id % 4 > 1 or (event_id % 5 = 0 and event_id % 7 <> 0)) as reuse from events",
+    "ttl_cache": """with recursive ordered as (
+  select user_id, epoch_us(ts) as moment, row_number() over (partition by user_id order by ts, event_id) as k from events
+), walk(user_id, k, inserted, hits) as (
+  select user_id, k, moment, 0 from ordered where k = 1
+  union all
+  select o.user_id, o.k, case when o.moment - w.inserted <= 86400000000 then w.inserted else o.moment end, w.hits + (o.moment - w.inserted <= 86400000000)::int from walk w join ordered o on o.user_id = w.user_id and o.k = w.k + 1
+)
+select user_id, max(k)::bigint as n_reads, max(hits)::bigint as n_hits from walk group by user_id""",
+}

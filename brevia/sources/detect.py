@@ -33,9 +33,31 @@ def freshness_key(path: Column, modified: Column, length: Column) -> Column:
     return F.concat_ws(":", path, F.unix_micros(modified.cast("timestamp")).cast("string"), length.cast("string"))
 
 
+#: What the bytes 0x80 to 0x9F stand for in windows-1252, where they stand for anything (fixed values).
+WINDOWS = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”",
+    0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
+
+
+def decoded(content: Column) -> Column:
+    """The text of bytes, which never fails: UTF-16 by its mark, else valid UTF-8, else windows-1252; a byte order mark goes."""
+    mark, raw = F.hex(F.substring(content, 1, 2)), content.cast("string")
+    legacy = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+    big, little = F.decode(F.substring(content, 3, 2**31 - 1), "UTF-16BE"), F.decode(F.substring(content, 3, 2**31 - 1), "UTF-16LE")
+    even = F.octet_length(content) % 2 == 0
+    text = F.when(F.is_valid_utf8(raw), raw).when((mark == "FEFF") & even, big).when((mark == "FFFE") & even, little).otherwise(legacy)
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def is_text(content: Column) -> Column:
+    """Whether the first 8192 bytes hold no NUL, unless they begin with a UTF-16 mark."""
+    return F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE") | (F.instr(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), "\u0000") == 0)
+
+
 def kind(text: Column, path: Column, content_type: Column) -> Column:
     """pdf, html, json, diff, ... or text: magic bytes, then header, extension and the first 2048 characters."""
-    media = F.lower(F.coalesce(content_type, F.lit("")))
+    media = F.trim(F.lower(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
     name = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"(\.[^./]*)\z", 1))
     by_name = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[name]
     head = F.lower(F.regexp_replace(F.substring(text, 1, 2048), r"^[ \t\r\n]+", ""))
@@ -53,11 +75,15 @@ def files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """path, modificationTime, length, content, text, kind, freshness and error of every file below a path.
 
     Files over ``most`` bytes come as an error row; their content is never read, as the filter on length reaches the scan.
+    Bytes of any kind are read: what is no text has a null text and the kind of its name, or unknown.
     """
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = scan.where(F.col("length") <= most).withColumn("error", F.lit(None).cast("string"))
     large = scan.where(F.col("length") > most).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit(f"larger than the {most >> 20} MB limit").alias("error"))
     every = small.unionByName(large)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     fresh = freshness_key(F.col("path"), F.col("modificationTime"), F.col("length"))
-    return every.withColumn("text", text).withColumn("kind", kind(F.col("text"), F.col("path"), F.lit(None).cast("string"))).withColumn("freshness", fresh)
+    known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))]
+    of_bytes = F.when(F.hex(F.substring("content", 1, 5)) == "255044462D", "pdf").otherwise(F.coalesce(known, F.lit("unknown")))
+    texts = every.withColumn("text", F.when(is_text(F.col("content")), decoded(F.col("content"))))
+    found = F.when(F.col("text").isNull(), of_bytes).otherwise(kind(F.col("text"), F.col("path"), F.lit(None).cast("string")))
+    return texts.withColumn("kind", found).withColumn("freshness", fresh)

@@ -6,15 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one in local mode where that is unset."""
+    named, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{named.rstrip('/')}/brevia-stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-stream-")
 
 
@@ -50,21 +52,70 @@ def run_available(stream: DataFrame, out: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
-def ttl_cache(events: DataFrame, ttl_seconds: int) -> DataFrame:
-    """user_id, n_reads, n_hits: reads of a cache that keeps an entry for ttl_seconds from its insert, not from its last use.
+STATE = "user_id long, inserted long, n_reads long, n_hits long"
 
-    State is one time stamp and two counts a key. Batches of a key are sorted by time, so a key's rows of one micro-batch
-    may come in any order.
+
+def ttl_step(reads: DataFrame, state: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The state after some reads (user_id, ts, event_id) of a cache that keeps an entry for ttl_seconds from its insert, not from its last use.
+
+    state: user_id, inserted (microseconds), n_reads, n_hits. Rows are sorted by user and time within partitions and folded
+    as they stream by: a user with any number of reads needs the memory of one batch. One step of the fold is one insert.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, inserted, n_reads, n_hits = None, None, 0, 0
+        for batch in batches:
+            users, times, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            done: list[tuple] = []
+            cut = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)] if len(users) else []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if users[a] != user:
+                    if user is not None:
+                        done.append((user, inserted, n_reads, n_hits))
+                    user, inserted, n_reads, n_hits = users[a], None, 0, 0
+                if known[a]:  # the state's row comes first
+                    inserted, n_reads, n_hits = (batch.column(k)[a].as_py() for k in (1, 3, 4))
+                    a += 1
+                n_reads += b - a
+                while a < b:
+                    if inserted is None or times[a] - inserted > ttl_seconds * 1_000_000:
+                        inserted, a = int(times[a]), a + 1
+                    last = a + int(np.searchsorted(times[a:b], inserted + ttl_seconds * 1_000_000, "right"))
+                    n_hits, a = n_hits + last - a, last
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], ["user_id", "inserted", "n_reads", "n_hits"])
+        if user is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (user, inserted, n_reads, n_hits)], ["user_id", "inserted", "n_reads", "n_hits"])
+
+    none = F.lit(0).cast("long")
+    now = reads.where("user_id is not null and ts is not null").select("user_id", F.unix_micros("ts").alias("at"), F.lit(0).alias("known"), none.alias("n_reads"), none.alias("n_hits"), F.col("event_id").alias("place"))
+    old = state.select("user_id", F.col("inserted").alias("at"), F.lit(1).alias("known"), "n_reads", "n_hits", none.alias("place"))
+    rows = now.unionByName(old).repartition("user_id").sortWithinPartitions("user_id", F.desc("known"), "at", "place").select("user_id", "at", "known", "n_reads", "n_hits")
+    return rows.mapInArrow(fold, STATE)
+
+
+def ttl_cache(events: DataFrame, ttl_seconds: int, out: str) -> DataFrame:
+    """user_id, n_reads and n_hits after all micro-batches of a stream of reads.
+
+    Each batch writes the state after it to a folder of its own, made from the one before, so a batch that is run again
+    after a failure gives the same state. Rows of one batch may come in any order.
+    """
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(STATE).parquet(f"{out}/state/batch={number - 1}") if number else spark.createDataFrame([], STATE)
+        ttl_step(batch, before, ttl_seconds).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else None
+    done = spark.createDataFrame([], STATE) if last is None else spark.read.schema(STATE).parquet(f"{out}/state/batch={last}")
+    return done.select("user_id", "n_reads", "n_hits")
+
+
+def may_reuse(is_local: Column, same_key: Column, page: Column, other_view: Column, is_json: Column) -> Column:
+    """Whether a read may take an entry that is there: a local one while its key stays, a remote one only to go on with it.
+
+    Going on is another page, and for documents an outline or a section too.
     """
-    schema = "user_id long, n_reads long, n_hits long"
-
-    def read(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        inserted, reads, hits = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
-            fresh = inserted is not None and at - inserted <= ttl_seconds * 1_000_000
-            inserted, reads, hits = (inserted if fresh else at), reads + 1, hits + fresh
-        state.update((int(inserted), reads, hits))
-        yield pd.DataFrame({"user_id": [key[0]], "n_reads": [reads], "n_hits": [hits]})
-
-    return events.groupBy("user_id").applyInPandasWithState(read, schema, "inserted long, reads long, hits long", "update", GroupStateTimeout.NoTimeout)
+    return same_key & (is_local | (F.coalesce(page, F.lit(1)) > 1) | (F.coalesce(other_view, F.lit(False)) & ~is_json))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -39,5 +40,5 @@ def duck():
 def plain(frame) -> list[tuple]:
     """Rows of a pandas frame, columns by name, as comparable text."""
     frame = frame[sorted(frame.columns)].astype(object)
-    show = lambda v: "NULL" if v is None or v != v else repr(round(v, 6)) if isinstance(v, float) else str(v)
+    show = lambda v: "NULL" if v is None or v is pd.NA or v != v else repr(round(v, 6)) if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, row)) for row in frame.itertuples(index=False))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from brevia import api
@@ -59,7 +62,7 @@ def test_outline_skips_fences_and_finds_ends(spark):
 
 def test_outline_without_headings(spark):
     out = outline.format_outline(spark.createDataFrame([(1, "just text")], "k long, md string"), "k").first()["outline"]
-    assert out == "No headings found (~3 tokens). Read it with page=1, page=2, …."
+    assert out == "no headings; about 3 tokens, ask for page=1"
 
 
 def test_section_prefers_exact_titles(spark):
@@ -167,13 +170,15 @@ def test_report(spark):
 def test_ttl_counts_from_insert(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 7), (2, "2024-01-01 00:09:00", 7), (3, "2024-01-01 00:11:00", 7), (4, "2024-01-01 00:12:00", 7)]
     spark.createDataFrame(rows, "event_id long, ts string, user_id long").selectExpr("event_id", "to_timestamp(ts) as ts", "user_id").write.parquet(str(tmp_path / "events"))
-    done = events.run_available(events.ttl_cache(events.event_stream(spark, str(tmp_path / "events")), 600), str(tmp_path / "out"), "update")
-    assert tuple(done.agg(F.max("n_reads"), F.max("n_hits")).first()) == (4, 2)
+    done = events.ttl_cache(events.event_stream(spark, str(tmp_path / "events")), 600, str(tmp_path / "out"))
+    assert [tuple(r) for r in done.collect()] == [(7, 4, 2)]
+    state = events.ttl_step(spark.createDataFrame([(9, "2024-01-01 00:20:00", 7), (8, "2024-01-01 00:20:30", 8), (7, None, 8), (6, "2024-01-01", None)], "event_id long, ts string, user_id long").withColumn("ts", F.to_timestamp("ts")), spark.createDataFrame([(7, 1704067860000000, 4, 2)], events.STATE), 600)
+    assert sorted((r["user_id"], r["n_reads"], r["n_hits"]) for r in state.collect()) == [(7, 5, 3), (8, 1, 0)]
 
 
 def test_markdown_of_a_page(spark):
-    page = "<html><head><title>The page</title></head><body><nav><a href='/'>no</a></nav><article><h2>Part &amp; more</h2><p>Some <b>bold</b> and <a href=\"/x\">link</a>.<ul><li>one<li>two</ul></article><footer>no</footer></body></html>"
-    assert value(spark, html.markdown(F.lit(page))) == "# The page\n\n## Part & more\n\nSome **bold** and [link](/x).\n\n- one\n- two"
+    page = "<html><head><title>The page</title></head><body><nav><a href='/'>no</a></nav><article><h2>Part &amp; more</h2><p>Some <b>bold</b> and <a href=\"/x\">a link</a>.<ul><li>one<li>two</ul></article><footer>no</footer></body></html>"
+    assert value(spark, html.markdown(F.lit(page))) == "# The page\n\n## Part & more\n\nSome **bold** and [a link](/x).\n\n- one\n- two"
     bare = "<title>T</title><h1>T</h1><nav>menu</nav><p>text<br>next"
     assert value(spark, html.markdown(F.lit(bare))).endswith("# T\n\ntext\nnext")
 
@@ -185,8 +190,192 @@ def test_reading_a_mixed_corpus(spark):
     ]
     docs = spark.createDataFrame(rows, "id string, text string, path string, content_type string")
     got = {r["id"]: r for r in api.read_docs(docs).collect()}
+    assert api.read_docs(docs.unionByName(docs)).count() == 14
     assert [got[k]["kind"] for k in "abcdf"] == ["html", "logfile", "diff", "text", "pdf"]
     assert got["a"]["markdown"] == "# Hi\n\nx" and got["d"]["markdown"] == "plain\n\ntext" and got["c"]["markdown"].startswith("**1 file(s) changed** (+1 -1)")
     assert [got[k]["error"] for k in "defg"] == [None, "source is empty", "unsupported file type", "not a recognizable diff/patch"]
-    assert {r["id"]: r["outline"][:10] for r in api.read_outlines(docs).collect()}["a"] == "1 sections"
+    assert {r["id"]: r["outline"][:10] for r in api.read_outlines(docs).collect()}["a"] == "1 headings"
     assert {r["id"]: r["error"] for r in api.read_page(docs, 2).collect()}["a"] == "page 2 out of range: there are 1 page(s)"
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    """Text in several encodings, bytes that are none, magic signs, limits: never a failed job."""
+    content = {"a.txt": "naïve café".encode(), "b.txt": "naïve — “x”".encode("cp1252"), "c.txt": "\ufeffmark".encode(), "d.txt": "wide é".encode("utf-16"), "e.bin": bytes(range(256)), "f.pdf": b"%PDF-1.4\xff\x00\xfe", "g.log": b"a", "h.docx": b"PK\x03\x04\x00\x01"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in detect.files(spark, str(tmp_path)).collect()}
+    assert [rows[n]["text"] for n in ("a.txt", "b.txt", "c.txt", "d.txt", "g.log")] == ["naïve café", "naïve — “x”", "mark", "wide é", "a"]
+    assert [rows[n]["kind"] for n in ("e.bin", "f.pdf", "g.log", "h.docx", "b.txt")] == ["unknown", "pdf", "logfile", "docx", "text"]
+    value_of = lambda media: value(spark, detect.kind(F.lit("x"), F.lit(None).cast("string"), F.lit(media)))
+    assert value_of("text/html; charset=utf-8") == "html" and value_of(" Application/JSON ;x") == "json"
+
+
+def test_published_log_ratio(spark):
+    """405 lines with two incidents: 5,315 tokens come to 135."""
+    quiet = [f"2024-01-01 00:00:00 INFO request handled id={i:03d}".ljust(51)[:51] for i in range(200)]
+    text = "\n".join([*quiet, "ERROR cannot connect to the store", "  at first", "  at second", *quiet, "FATAL out of memory", "  stopped"])
+    out = logs.log_documents(explode_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text"), "id").first()["markdown"]
+    assert len(out) / len(text) <= 0.03 and abs(len(text) / 4 - 5315) < 200
+
+
+def test_long_documents_take_linear_time(spark):
+    """100,000 lines, every second a heading, and 100,000 lines into pages, within a minute each."""
+    md = "\n".join(f"{'#' * (i % 6 + 1)} t{i}\ntext" for i in range(50_000))
+    began = time.perf_counter()
+    rows = outline.headings(spark.createDataFrame([(1, md)], "k long, md string"), "k")
+    assert rows.count() == 50_000 and rows.agg(F.max("end")).first()[0] == len(md)
+    assert pages.pack_pages(spark.createDataFrame([(1, md)], "k long, md string"), "k", "md", 20_000).agg(F.sum("n_lines")).first()[0] == 100_000
+    assert time.perf_counter() - began < 120
+
+
+def plain_pages(text, budget):
+    """Blocks packed by a plain loop over lists."""
+    text = text.strip()
+    if len(text) <= budget:
+        return [text]
+    blocks, open_, mark = [], None, ""
+    for line in text.split("\n"):
+        fence = re.match(r" {0,3}(`{3,}|~{3,})", line)
+        if open_ is not None:
+            open_[1].append(line)
+            if fence and fence[1][0] == mark[0] and len(fence[1]) >= len(mark) and line.strip() == fence[1]:
+                open_ = None
+        elif fence:
+            open_, mark = ("fence", [line]), fence[1]
+            blocks.append(open_)
+        elif not line.strip():
+            blocks.append(("", []))
+        else:
+            kind = "table" if line.lstrip(" ").startswith("|") else "text"
+            if not blocks or blocks[-1][0] != kind:
+                blocks.append((kind, []))
+            blocks[-1][1].append(line)
+    pages_, page = [], []
+    size = lambda chunks: len("\n\n".join(chunks))
+    for kind, lines in (b for b in blocks if b[1]):
+        whole = "\n".join(lines)
+        if size([*page, whole]) <= budget:
+            page.append(whole)
+            continue
+        if len(whole) <= budget:
+            pages_, page = [*pages_, page], [whole]
+            continue
+        head, tail, body = [], [], lines
+        if kind == "table" and len(lines) > 1 and not lines[1].strip().strip("|-: "):
+            head, body = lines[:2], lines[2:]
+        if kind == "fence":
+            sign = re.match(r" {0,3}(`{3,}|~{3,})", lines[0])[1]
+            head, tail, body = lines[:1], [sign], lines[1:-1] if len(lines) > 1 and lines[-1].strip() == sign else lines[1:]
+        if len("\n".join(head)) > budget // 2:
+            head, tail, body = [], [], lines
+        width = budget - sum(len(x) + 1 for x in head + tail)
+        units = []
+        for line in body:
+            if len(line) <= width:
+                units.append((line, False))
+            while len(line) > width or (units and units[-1][1] is None):
+                piece, at = line[:width], line[:width].rfind(" ")
+                piece, rest = (line[:at], line[at + 1 :]) if 0 < at and at > width - width // 5 else (piece, line[width:])
+                units.append((piece, True))
+                line = rest
+                if 0 < len(line) <= width:
+                    units.append((line, True))
+        room = budget - size(page) - 2
+        if page and room < budget // 4:
+            pages_, page = [*pages_, page], []
+        chunk = []
+        for text_, alone in units:
+            if chunk and not alone and size([*page, "\n".join([*head, *chunk, text_, *tail])]) <= budget:
+                chunk.append(text_)
+            elif not chunk and (not page or (not alone and size([*page, "\n".join([*head, text_, *tail])]) <= budget)):
+                chunk = [text_]
+            else:
+                if chunk:
+                    page.append("\n".join([*head, *chunk, *tail]))
+                pages_, page, chunk = [*pages_, page], [], [text_]
+        page.append("\n".join([*head, *chunk, *tail]))
+    return ["\n\n".join(p) for p in [*pages_, page] if p]
+
+
+def test_blocks_into_pages_match_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9)))
+    row = lambda: "| " + " | ".join(word() for _ in range(3)) + " |"
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 7)):
+            kind = rng.randint(0, 4)
+            if kind == 0:
+                parts.append("\n".join([row(), "|---|:-:|---|", *[row() for _ in range(rng.randint(0, 25))]]))
+            elif kind == 1:
+                parts.append("\n".join(["```py", *[" ".join(word() for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 25))], "```"]))
+            elif kind == 2:
+                parts.append(" ".join(word() for _ in range(rng.randint(60, 120))) + rng.choice(["", "x" * 400]))
+            else:
+                parts.append("\n".join(" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))))
+        texts.append(rng.choice(["\n\n", "\n\n\n", "\n"]).join(parts))
+    texts += ["", "short", "```\nopen to the end\n" + "line of code\n" * 40]
+    got = {}
+    for r in pages.pack_blocks(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", "text", 200).collect():
+        got.setdefault(r["k"], {})[r["page_no"]] = r["content"]
+    for k, text in enumerate(texts):
+        assert [got[k][n] for n in sorted(got[k])] == plain_pages(text, 200), k
+
+
+def test_html_keeps_code_tables_lists_and_signs(spark):
+    cases = [
+        ('<article><pre class="language-Go"><code>func <a href="/f">f</a>() {\n\n  a &lt; b\n}\n</code></pre><p>it&#8217;s &#x41;&amp;&#39;x&#39;</p></article>', "```go\nfunc f() {\n\n  a < b\n}\n```\n\nit’s A&'x'"),
+        ('<div class="highlight highlight-source-js"><pre>a\n```\nb</pre></div>', "````js\na\n```\nb\n````"),
+        ("<ol><li>one <b>x</b></li><li>two</ol><p>end", "1. one **x**\n2. two\n\nend"),
+        ("<table><tr><th>a</th><th>b|c</th></tr><tr><td>1</td></tr></table>", "| a | b\\|c |\n|---|---|\n| 1 |  |"),
+        ("<p>see<sup><a href='#n1'>[12]</a></sup> <a href='/x'>this</a> <a href='#top'>up</a><a href='#h'>¶</a></p>", "see [this](/x) up"),
+        ("<p>a</p><div hidden><p>no</p></div><span aria-hidden='true'>no</span><p style='color:red; display: none'>no</p><div role=navigation>no</div><p>b</p>", "a\n\nb"),
+    ]
+    for page, want in cases:
+        assert value(spark, html.markdown(F.lit(page))) == want, page
+
+
+def test_trees_leave_out_ignored_files_and_nested_repositories(spark, tmp_path):
+    names = ["keep.txt", "debug.log", "build/out.bin", "src/build.py", "src/a/x.tmp", "src/a/keep.tmp", "docs/one.md", "other/docs/two.md"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    kept = {r["path"] for r in files.where(~trees.ignored(F.col("path"), ["*.log", "build/", "*.tmp", "!keep.tmp", "/docs", "#x"])).collect()}
+    assert kept == {"keep.txt", "src/build.py", "src/a/keep.tmp", "other/docs/two.md"}
+    rows = [("r", "inner/.git", 1), ("r", "inner/src/lib.go", 5), ("r", "own.go", 7), ("r", ".git/HEAD", 1)]
+    out = trees.tree_summary(spark.createDataFrame(rows, "root string, path string, size long"), "root").first()["markdown"]
+    assert "  inner/ (nested git repo/worktree, collapsed)" in out and "lib.go" not in out and "own.go" in out and ".git" not in out.replace("nested git", "")
+    (tmp_path / "top" / "deep").mkdir(parents=True)
+    (tmp_path / "top" / "deep" / "f.txt").write_text("12345")
+    assert [tuple(r) for r in trees.scan(spark, str(tmp_path / "top")).collect()] == [("top", "deep/f.txt", 5)]
+
+
+def test_mode_changes_and_long_fences(spark):
+    rows = diffs.diff_files(diff_lines(spark, "diff --git a/x b/x\nold mode 100644\nnew mode 100755"), "id").collect()
+    assert [r["status"] for r in rows] == ["mode changed"]
+    out = diffs.diff_markdown(diff_lines(spark, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+`````\n"), "id").first()["markdown"]
+    assert "\n``````diff\n" in out and out.endswith("\n``````")
+
+
+def test_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a|x", 1), (None, 3)], "kind string, n long")
+    report.write_report(rows, str(tmp_path), "kind")
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "markdown"), wholetext=True).collect())
+    assert text.strip() == "| kind | n |\n|---|---|\n| a\\|x | 1 |\n| b | 2 |\n|  | 3 |" and spark.read.json(str(tmp_path / "json")).count() == 3
+    label = lambda name, command: value(spark, report.tool_label(F.lit(name), F.lit(command)))
+    assert [label("Bash", " ls -l"), label("mcp__files__read_it", None), label("Read", "x"), label("Bash", "")] == ["Bash(ls)", "read_it", "Read", "Bash"]
+
+
+def test_json_reading(spark):
+    rows = [("a", '{"n":1,"tags":["x",null,""],"o":{"p":null},"rows":[{"k":1,"s":"a|b"},{"k":2,"s":null},{"k":3,"s":"c"}]}'), ("b", "<html><body>x"), ("c", "{bad"), ("d", '{"rows":null}')]
+    docs = spark.createDataFrame([(i, t, "x.json" if i == "c" else None, None) for i, t in rows], "id string, text string, path string, content_type string")
+    from pyspark.sql import types as T
+
+    kind = T.StructType.fromDDL("n int, tags array<string>, o struct<p: string>, rows array<struct<k: int, s: string>>")
+    read = lambda **o: {r["id"]: r["content"] or r["error"] for r in api.read_json(docs, kind, **o).collect()}
+    assert read() == {"a": '{"n":1,"tags":["x"],"rows":[{"k":1,"s":"a|b"},{"k":2},{"k":3,"s":"c"}]}', "b": "not JSON (it looks like html): use read_docs", "c": "invalid JSON", "d": "{}"}
+    assert read(most_items=1, drop=("s",))["a"] == '{"n":1,"tags":["x"],"rows":[{"k":1},"… 2 more items"]}'
+    assert read(select=lambda r: r["rows"], table=True)["a"] == "| k | s |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |\n| 3 | c |"
+    assert read(outline=True)["a"].split("\n", 1)[1] == '{\n n: number (1)\n tags: [3] string ("x")\n o: {}\n rows: [3] {k: number (1), s?: string ("a|b")}\n}'
+    assert read(select=lambda r: json_docs.select_index(r["rows"], 9))["a"].startswith("nothing matches the selection")

@@ -17,7 +17,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"diff_markdown", "tree_summary", "ttl_cache", "read_docs", "read_outlines", "read_page"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"paginate_blocks"}
 
 
 def test_entry_runs(spark):
