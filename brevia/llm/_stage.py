@@ -12,10 +12,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -54,3 +57,8 @@ def likely(df: DataFrame, column: str, ids: DataFrame, others: bool = False) ->
     marked = df.withColumn("_at", spot(F.col(column))).withColumn("_mark", F.shiftright("_at", 6))
     hit = (marked["_mark"] == bitmap["_word"]) & (F.expr("_bits & shiftleft(1L, int(_at % 64))") != 0)
     return marked.join(F.broadcast(bitmap), hit, "left_anti" if others else "left_semi").drop("_at", "_mark")
+
+
+def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose ``column`` is not among ``ids`` (one column of the same name); of few others are any shuffled."""
+    return likely(df, column, ids, others=True).unionByName(likely(df, column, ids).join(ids, column, "left_anti").select(*df.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._ragged import U64, mix, ragged, sets
-from ._stage import likely, saved
+from ._stage import likely, saved, without
 
 #: The list of frequent n-grams never holds more entries (16 bytes each on the driver and in the broadcast).
 FREQUENT = 1 << 20
@@ -27,8 +27,8 @@ FREQUENT = 1 << 20
 LEAST = 3
 #: Longs of a signature.
 LANES = 16
-#: Documents of a token that all others of it are held against first.
-LEADERS = 4
+#: Documents of a token that all others of it are held against, in the step that takes the most central ones.
+CENTRAL = 4
 #: Seeds of the token orders: the first indexes, the others filter.
 ORDERS = (11, 23, 47)
 #: Classes and n-grams of a component that are compared in one block; a larger component is cut into blocks.
@@ -102,14 +102,14 @@ def same_set(tokens: np.ndarray) -> bytes | None:
 def frequent_ngrams(docs: DataFrame, size: int, threshold: int) -> Frequent:
     """The most frequent n-grams over all documents, at most ``FREQUENT``, counted where a prefix could hold them.
 
-    Every document gives the tokens of a prefix half as long again under the first order without a list; they are
-    summed exactly. The list's least count comes from a histogram of counts, so nothing is sorted as a whole. It only
+    Every document gives the tokens of a prefix a quarter longer under the first order without a list; they are summed
+    exactly. The list's least count comes from a histogram of counts, so nothing is sorted as a whole. It only
     chooses the token order; the join is exact under any order.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = prefixes(sets(batch.column(0), size), ORDERS[0], threshold, longer=1.5)
+            found = prefixes(sets(batch.column(0), size), ORDERS[0], threshold, longer=1.25)
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch({"token": token.view(np.int64), "n": n})
@@ -157,27 +157,30 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "class": pa.array([same_set(x) for x in found], pa.binary()),
                 "signature": ragged([signature(x) for x in found], pa.int64()), "prefix": ragged([x.view(np.int64) for x in first], pa.int64()),
-                **{f"filter{k}": ragged([(x >> U64(32)).astype(np.uint32).view(np.int32) for x in other], pa.int32()) for k, other in enumerate(others)},
+                **{f: ragged([(x >> U64(48)).astype(np.uint16).view(np.int16) for x in other], pa.int16()) for f, other in zip(filters, others, strict=True)},
             })
 
     filters = [f"filter{k}" for k in range(len(ORDERS) - 1)]
-    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, prefix array<long>, " + ", ".join(f"{f} array<int>" for f in filters)), "ngram-sets")
+    described = saved(docs.mapInArrow(describe, "doc_id long, n long, class binary, signature array<long>, prefix array<long>, " + ", ".join(f"{f} array<short>" for f in filters)), "ngram-sets")
     named = described.where("class is not null and doc_id is not null")
-    classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
+    classes = saved(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")), "ngram-classes")
     again = saved(named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "ngram-again")
-    repeated = not again.isEmpty()
-    reps = named.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi")
-    reps = saved((reps.dropDuplicates(["class"]) if repeated else reps).withColumnRenamed("doc_id", "rep"), "ngram-reps")
-    marks = reps.select("rep", "n", *[F.col("signature")[k].alias(f"s{k}") for k in range(LANES)])
-    heads = reps.select("rep", *filters)
+    if again.isEmpty():
+        nodes = named
+        spare = named.select("doc_id", "class").join(classes.where("copies > 1"), "class").where("doc_id <> rep").select("doc_id")
+        reps = without(named, "doc_id", saved(spare, "ngram-spare"))
+        same = None
+    else:  # texts of one doc_id are one node
+        reps = nodes = saved(named.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"]), "ngram-reps")
+        own = named.join(again, "doc_id", "left_semi").select("doc_id", "class").distinct().join(classes, "class").select("doc_id", "rep")
+        same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    marks = nodes.select(F.col("doc_id").alias("rep"), "n", *[F.col("signature")[k].alias(f"s{k}") for k in range(LANES)])
+    heads = nodes.select(F.col("doc_id").alias("rep"), *filters)
     verify = lambda pairs: _verified(docs, _met(saved(pairs, "ngram-pairs"), heads, filters), threshold, size)
 
-    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), "rep")), "ngram-groups")
+    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))), "ngram-groups")
     links = verify(_led(groups, marks, threshold))
-    if repeated:  # texts of one doc_id are one node
-        own = named.join(again, "doc_id", "left_semi").select("doc_id", "class").distinct().join(classes, "class").select("doc_id", "rep")
-        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
-    links = saved(links, "ngram-links")
+    links = saved(links if same is None else links.unionByName(same), "ngram-links")
     found = components(links)
     opened = _open(groups, found)
     central = opened.join(groups.groupBy("rep").agg((-F.count("*")).alias("first")), "rep").select("token", "rep", "first")
@@ -186,34 +189,32 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     links = saved(links.unionByName(verify(_across(_open(groups, found), marks, threshold))), "ngram-links")
     found = components(links)
 
-    ends = classes.join(found, classes["rep"] == found["node"], "left").select("class", "rep", "copies", F.coalesce("component", "rep").alias("component"))
-    ends = saved(ends, "ngram-ends")
-    counted = _link_counts(docs, ends, reps.select("class", "n"), threshold, size)
-    rows = described.select("doc_id", "n", "class").join(ends.join(counted, "class").select("class", "component", "n_links"), "class", "left")
+    ends = classes.join(found, classes["rep"] == found["node"], "left").select("class", "rep", "copies", "n", F.coalesce("component", "rep").alias("component"))
+    ends = saved(_link_counts(docs, saved(ends, "ngram-ends"), threshold, size), "ngram-counts")
+    rows = described.select("doc_id", "n", "class").join(ends, "class", "left")
     known = F.col("doc_id").isNotNull()
     return NgramJoin(links, rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")))
 
 
 def _index(rows: DataFrame, first: str | None = None) -> DataFrame:
-    """Of (token, rep): the rows whose token has two documents or more, each with up to ``LEADERS`` leaders of its token.
+    """Of (token, rep): the rows whose token has two documents or more, each with the leaders of its token.
 
-    The documents of a token are dealt to a few parts; leaders are the first ones of each part by the column ``first`` and
-    rep, or the smallest and largest rep. That order is the same for all tokens, so documents that share many tokens share
-    their leaders. It is an aggregation with partial results and a join that can split a frequent token.
+    Leaders are the smallest and largest rep, or ``CENTRAL`` documents by the column ``first`` and rep, each the first of its
+    share of the documents. That order is the same for all tokens, so documents that share many tokens share their leaders.
+    It is an aggregation with partial results and a join whose hot tokens adaptive execution splits.
     """
-    parts = LEADERS if first else LEADERS // 2
-    inside = lambda k, value: F.when(F.pmod(F.xxhash64("rep"), F.lit(parts)) == k, value)
     if first:
-        leaders = [F.min(inside(k, F.struct(first, "rep")))["rep"] for k in range(parts)]
+        inside = lambda k: F.min(F.when(F.pmod(F.xxhash64("rep"), F.lit(CENTRAL)) == k, F.struct(first, "rep")))["rep"]
+        leaders = F.array_compact(F.array(*[inside(k) for k in range(CENTRAL)]))
     else:
-        leaders = [f(inside(k, F.col("rep"))) for k in range(parts) for f in (F.min, F.max)]
-    shared = rows.groupBy("token").agg(F.count("*").alias("_n"), *[x.alias(f"leader{k}") for k, x in enumerate(leaders)]).where("_n > 1").drop("_n")
-    return rows.select("token", "rep").join(shared, "token")
+        leaders = F.array(F.min("rep"), F.max("rep"))
+    shared = rows.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), leaders.alias("leaders")).where("low <> high")
+    return rows.select("token", "rep").join(shared.select("token", "leaders"), "token")
 
 
 def _led(groups: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
     """Distinct pairs (a, b), a > b, of a document and a leader of one of its tokens, within the bounds."""
-    pairs = groups.select("rep", F.explode(F.array(*[f"leader{k}" for k in range(LEADERS)])).alias("leader")).where("rep <> leader")
+    pairs = groups.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     pairs = pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
     return _bounded(_marked(pairs, marks), threshold).select("a", "b")
 
@@ -297,16 +298,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int) -> D
     return pairs.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long")
 
 
-def _link_counts(docs: DataFrame, ends: DataFrame, sizes: DataFrame, threshold: int, size: int) -> DataFrame:
-    """(class, n_links) of every class of ``ends`` (class, rep, copies, component): the rows that link with one of it.
+def _link_counts(docs: DataFrame, ends: DataFrame, threshold: int, size: int) -> DataFrame:
+    """(class, component, n_links) of every class of ``ends`` (class, rep, copies, n, component): the rows that link with one of it.
 
     Where a component has one or two classes, all its rows link with each other. The classes of others are compared in
     blocks of a bounded number of documents and n-grams; a pair is counted where it is compared and never listed.
     """
-    grown = ends.join(sizes, "class").groupBy("component").agg(F.count("*").alias("classes"), F.sum("copies").alias("total"), F.sum("n").alias("tokens"))
+    grown = ends.groupBy("component").agg(F.count("*").alias("classes"), F.sum("copies").alias("total"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     placed = saved(ends.join(grown, "component").select("class", "rep", "copies", "component", "classes", "total", blocks.alias("blocks")), "ngram-placed")
-    small = placed.where("classes <= 2").select("class", (F.col("total") - 1).alias("n_links"))
+    small = placed.where("classes <= 2").select("class", "component", (F.col("total") - 1).alias("n_links"))
 
     large = placed.where("classes > 2").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     large = large.select("class", "rep", "copies", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -316,7 +317,7 @@ def _link_counts(docs: DataFrame, ends: DataFrame, sizes: DataFrame, threshold:
     keys = ["component", "low", "high"]
     compared = loaded.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, size), "class binary, links long")
     linked = compared.groupBy("class").agg(F.sum("links").alias("links"))
-    return small.unionByName(placed.where("classes > 2").join(linked, "class", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return small.unionByName(placed.where("classes > 2").join(linked, "class", "left").select("class", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
 
 
 def _compare(threshold: int, size: int):
