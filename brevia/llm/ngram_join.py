@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._ragged import U64, mix, ragged, sets
+from ._ragged import U64, mix, pieces, ragged, sets
 from ._stage import likely, saved, without
 
 #: The list of frequent n-grams never holds more entries (16 bytes each on the driver and in the broadcast).
@@ -108,7 +108,7 @@ def frequent_ngrams(docs: DataFrame, size: int, threshold: int) -> Frequent:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 0):
             found = prefixes(sets(batch.column(0), size), ORDERS[0], threshold, longer=1.25)
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
@@ -151,7 +151,7 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size, threshold))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 1):
             found = sets(batch.column("text"), size)
             first, *others = (prefixes(found, seed, threshold, frequent.value) for seed in ORDERS)
             yield pa.record_batch({
@@ -278,7 +278,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, size: int) -> D
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 2):
             a, b = (batch.column(k).to_numpy() for k in (0, 1))
             sides = []
             for column in (2, 3):
@@ -382,6 +382,13 @@ def shared(found: list[np.ndarray], left: np.ndarray, right: np.ndarray, width:
     return both[np.ix_(left, right)]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in parts of a bounded number of bytes in the column ``text``, so that few sets are held at once."""
+    for batch in batches:
+        for low, high in pieces(batch.column(text)):
+            yield batch.slice(low, high - low)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The rows of each run of equal first ``keys`` columns (longs or ints) as one table."""
     held: list[pa.RecordBatch] = []
