@@ -131,6 +131,16 @@ def test_jaccard_join_matches_brute_force(spark, monkeypatch):
     assert len(set(want.values())) < len(want) and max(count.values()) >= 5
 
 
+def test_parts_of_batches_keep_every_row():
+    long = "a " * 3_000_000
+    batches = [pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(rows, pa.string())}) for ids, rows in (([], []), ([1, None, 2, 3], [None, long, "b c", ""]), ([4, 4], [long, long]))]
+    parts = list(ngram_join._parts(iter(batches), 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches(batches))
+    assert [x.num_rows for x in parts] == [1, 1, 2, 1, 1]
+    whole = [x for b in batches for x in sets(b.column(1))]
+    assert all(np.array_equal(x, y) for x, y in zip(whole, [x for b in parts for x in sets(b.column(1))], strict=True))
+
+
 def test_common_tokens_are_counted_exactly():
     rng = np.random.default_rng(3)
     found = [np.unique(rng.integers(0, 400, int(rng.integers(0, 200))).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)]
