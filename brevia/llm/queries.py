@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
 from .embedding_dedup import near_duplicates
+from .fingerprints import edited_fingerprints
 from .language import identify
 from .mixing import mix_plan
 from .ngram_join import ngram_join
 from .oracles import MIXING, URLS
+from .periodic_runs import periodic_runs, run_digest, with_planted_runs
 from .pii import pseudonymise
 from .quality import quality
 from .token_counts import token_counts
 from .token_files import token_files
 from .url_filter import judge_urls
+from .whitening import whiten
 
 
 _keys: dict[str, str] = {}
@@ -80,11 +83,24 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents")).drop("edited")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_quality_classifier, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_files, op6_source_mixing, op7_embedding_near_dedup,
         op8_language_id, op9_token_counts, op10_pii_surrogates,
+        op11_periodic_runs, op12_document_fingerprints, op13_embedding_whitening,
     )
 }
 
