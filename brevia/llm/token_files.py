@@ -84,6 +84,19 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in found)
 
 
+def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes by which pieces are told apart: A-Z in lower case, but for those with a <, which may hold a special string."""
+    out = FOLD[data]
+    own = np.unique(np.searchsorted(starts, np.flatnonzero(data == 0x3C), "right") - 1)
+    if len(own):
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[own]] += 1
+        inside[ends[own]] -= 1
+        same = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        out[same] = data[same]
+    return out
+
+
 class WordEncoder:
     """The tokenizers library over distinct pieces of text, which a bounded cache remembers.
 
@@ -149,7 +162,7 @@ class WordEncoder:
             return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int64)
         data, offsets = texts(column)
         starts, ends, plain = units(data, offsets)
-        found = Pieces(FOLD[data], starts, ends)
+        found = Pieces(_keys(data, starts, ends), starts, ends)
         at, hit = self.slots.get(found)
         begin, size = self.slots.values[0][at].astype(np.int64), self.slots.values[1][at].astype(np.int64)
         if not hit.all():
