@@ -12,8 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._graph import components
 from ._ragged import U64, mix
@@ -137,17 +138,26 @@ def _compare(threshold: float):
     return compare
 
 
+def _label(vectors: DataFrame) -> Column:
+    """The label as a long that equal labels share: itself if it is a whole number or a truth value, else 64 bits of a hash of its own type."""
+    kind = vectors.schema["label"].dataType
+    label = F.col("label")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return label.cast("long")
+    return F.when(label.isNotNull(), F.xxhash64(label + 0 if isinstance(kind, T.FractionalType) else label))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and kept of every row.
 
-    Rows link when their labels are equal and not null and the cosine of their embeddings is at least threshold. Null,
+    Rows link when their labels, of any type, are equal and not null and the cosine of their embeddings is at least threshold. Null,
     empty and zero vectors, and such with null or non-finite components, link with nothing, as do rows with a null
     vec_id, label, or different lengths. Cosines are in double precision; doubles are kept as they come. Equal vectors of a
     label (by 128 bits of hashes) are one class from the start, so copies are never compared; a large bucket is compared block by block. Every vector is in all tables, whatever the bucket's size. Rows
     that share a vec_id are counted each, and are one node of the graph. Other columns are ignored.
     """
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = vectors.select("vec_id", _label(vectors).alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     same = F.concat(F.hex(F.xxhash64("label", "embedding")), F.lit("-"), F.hex(F.xxhash64(F.lit("again"), "embedding", "label")))
     keyed = rows.withColumn("class", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), same))
     named = keyed.where("class is not null and embedding is not null and size(embedding) > 0")
