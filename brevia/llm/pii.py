@@ -174,13 +174,13 @@ def parts(m: Column, kind: Column) -> Column:
     a name its words and initials, others are one. The role of a name's word is surname, male, female or either."""
     one = lambda kind, norm, role=F.lit(""): F.struct(kind.alias("kind"), norm.alias("norm"), role.alias("role"))
     bare = F.regexp_replace(m, rf"^{_LEAD}", "")
-    script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")  # noqa: E731  of each word, so that one word has one identity whatever stands beside it
     words = F.regexp_extract_all(bare, F.lit(f"{_WORD}|{_INITIAL}"), F.lit(0))
     full = F.filter(words, lambda w: F.length(w) > 1)
     titled = lambda names: m.rlike(rf"^{_any(names)}\.?\s")
     known = lambda gender: F.array(*[F.lit(n) for kind, names in GIVEN.items() if kind.startswith(gender) for n in names])
     gender = lambda w: F.when(F.array_contains(known("male"), w), "male").when(F.array_contains(known("female"), w), "female").when(titled(MALE), "male").when(titled(FEMALE), "female").otherwise("either")
-    word = lambda w: one(F.concat(F.when(F.length(w) == 1, "initial ").otherwise("name "), script), F.translate(F.lower(w), "’", "'"), F.when(w == F.element_at(full, -1), "surname").otherwise(gender(w)))
+    word = lambda w: one(F.concat(F.when(F.length(w) == 1, "initial ").otherwise("name "), script(w)), F.translate(F.lower(w), "’", "'"), F.when(w == F.element_at(full, -1), "surname").otherwise(gender(w)))
     domain = F.lower(F.substring_index(m, "@", -1))
     alone = F.when(kind == "secret", F.regexp_replace(m, f"^{SECRET}", "")).when(kind == "number", _digits(F.regexp_replace(m, COUNTRY, ""))).when(kind == "card", _digits(m)).when(kind == "account", F.replace(m, F.lit(" "), F.lit(""))).otherwise(m)
     mail = F.array(one(F.concat(F.lit("mail "), domain), F.lower(F.substring_index(m, "@", 1))), one(F.lit("domain"), domain))
@@ -235,6 +235,10 @@ def surrogate(kind: Column, norm: Column, role: Column, attempt: Column, key: by
         every = F.create_map(*[x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[name]
         return F.element_at(every, at % F.size(every) + 1)
 
+    inner = _shaped(F.substr(norm, F.lit(5)), h)
+    country = F.substr(norm, F.lit(1), F.lit(2))
+    account = F.concat(country, F.lpad((98 - _account_check(F.concat(country, F.lit("00"), inner))).cast("string"), 2, "0"), inner)
+
     script = F.substring_index(kind, " ", -1)
     count = F.when(role == "surname", 3).otherwise(2) + F.floor(attempt / 2).cast("int")
     built = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: chosen(SYLLABLES, script, _number(h, (i * 4) % 120 + 1, 4))), "")
@@ -243,7 +247,7 @@ def surrogate(kind: Column, norm: Column, role: Column, attempt: Column, key: by
     name = F.when((role != "surname") & (attempt == 0), given).otherwise(built)
     letter = F.when(script == "latin", F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(h, 1) % 26 + 1, F.lit(1))).otherwise(F.substr(F.lit("абвгдежзиклмнопрстуф"), _number(h, 1) % 20 + 1, F.lit(1)))
     made = F.when(kind.startswith("mail "), _shaped(F.concat(norm, longer("x", 2)), h)).when(kind == "domain", domain).when(kind == "number", _shaped(F.concat(norm, longer("0", 32)), h)).when(kind == "card", card)
-    return made.when(kind == "ip", ip).when(kind == "ip6", _shaped(norm, h)).when(kind.startswith("name "), name).when(kind.startswith("initial "), letter).otherwise(code)
+    return made.when(kind == "account", account).when(kind == "ip", ip).when(kind == "ip6", _shaped(norm, h)).when(kind.startswith("name "), name).when(kind.startswith("initial "), letter).otherwise(code)
 
 
 def _refit(m: Column, value: Column) -> Column:
