@@ -4,7 +4,10 @@ A pair can reach the threshold only if its sets share a prefix token under *ever
 order finds candidates through an inverted index of prefix tokens; a candidate stays only if the prefixes of all other
 orders meet as well, which is tested on hashed prefixes before any text moves; what is left is counted exactly.
 
-All orders put frequent n-grams (passages that many documents share) last, so that those seldom stand in a prefix.
+All orders put frequent n-grams (passages that many documents share) last, so that those seldom stand in a prefix; among
+those of like frequency each order has its own seeded one. The place of a token in a prefix bounds the size of a partner
+that can reach the threshold by it (``reach``): a token's documents are thinned by that bound before any pair is made, so
+pages of one template that are too different never meet, however many there are.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from ._stage import likely, saved, without
 FREQUENT = 1 << 20
 #: Documents that an n-gram needs to be on that list at all.
 LEAST = 3
+#: N-grams that a task counts at a time, and the share of those seen once that go on.
+HELD, THIN = 1 << 22, 16
 #: Longs of a signature.
 LANES = 16
 #: Documents of a token that all others of it are held against, in the step that takes the most central ones.
@@ -44,21 +50,21 @@ class NgramJoin:
 
 
 class Frequent:
-    """The frequent n-grams, sorted, and their ranks by frequency; a bitmap tells most others at once."""
+    """The frequent n-grams, sorted, and the levels of their frequencies; a bitmap tells most others at once."""
 
-    def __init__(self, tokens: np.ndarray, ranks: np.ndarray) -> None:
-        self.tokens, self.ranks = tokens, ranks
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray) -> None:
+        self.tokens, self.levels = tokens, levels
         self.known = np.zeros(1 << 22, bool)
         self.known[(tokens >> U64(42)).astype(np.int64)] = True
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in tokens of frequent ones, their ranks)."""
+        """(places in tokens of frequent ones, their levels)."""
         place = np.flatnonzero(self.known[(tokens >> U64(42)).astype(np.int64)])
         if not len(place):
             return place, np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(self.tokens, tokens[place]), len(self.tokens) - 1)
         hit = self.tokens[at] == tokens[place]
-        return place[hit], self.ranks[at[hit]]
+        return place[hit], self.levels[at[hit]]
 
 
 NONE = Frequent(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -69,22 +75,20 @@ def prefix_length(n: int, threshold: int) -> int:
     return n + (-threshold * n // 100) + 1 if n else 0
 
 
-def prefixes(found: list[np.ndarray], seed: int, threshold: int, frequent: Frequent = NONE, longer: float = 1.0) -> list[np.ndarray]:
-    """The prefix tokens of every set under one order: rare tokens by a seeded hash, then frequent ones by their frequency.
-
-    longer: a factor on the prefix's length.
-    """
+def prefixes(found: list[np.ndarray], seed: int, threshold: int, frequent: Frequent = NONE) -> list[np.ndarray]:
+    """The prefix tokens of every set in their order: rare tokens by a seeded hash, then frequent ones by level and that hash."""
     if not found:
         return []
     keys = mix(np.concatenate(found), seed) >> U64(1)
-    place, rank = frequent.find(np.concatenate(found))
-    keys[place] = U64(1 << 63) + rank
+    place, level = frequent.find(np.concatenate(found))
+    keys[place] = U64(1 << 63) + (level << U64(53)) + (keys[place] >> U64(10))
     out, start = [], 0
     for tokens in found:
-        length = int(prefix_length(len(tokens), threshold) * longer)
+        length = prefix_length(len(tokens), threshold)
         own = keys[start : start + len(tokens)]
         start += len(tokens)
-        out.append(tokens if length >= len(tokens) else tokens[np.argpartition(own, length - 1)[:length]])
+        first = np.argpartition(own, length - 1)[:length] if length < len(tokens) else np.arange(length)
+        out.append(tokens[first[np.argsort(own[first])]])
     return out
 
 
@@ -99,36 +103,46 @@ def same_set(tokens: np.ndarray) -> bytes | None:
     return b"".join(int(f(mix(tokens, s))).to_bytes(8, "big") for f, s in ((np.sum, 71), (np.bitwise_xor.reduce, 73))) if len(tokens) else None
 
 
-def frequent_ngrams(docs: DataFrame, size: int, threshold: int) -> Frequent:
-    """The most frequent n-grams over all documents, at most ``FREQUENT``, counted where a prefix could hold them.
+def frequent_ngrams(docs: DataFrame, size: int) -> Frequent:
+    """The most frequent n-grams over all documents, at most ``FREQUENT``.
 
-    Every document gives the tokens of a prefix a quarter longer under the first order without a list; they are summed
-    exactly. The list's least count comes from a histogram of counts, so nothing is sorted as a whole. It only
-    chooses the token order; the join is exact under any order.
+    Each task counts the n-grams of all its whole sets exactly, some millions at a time. Those it has seen again go on with
+    their counts; of those it has seen once every ``THIN``-th, by a hash that differs from task to task, which counts as so
+    many: so an n-gram that is spread thinly over the tasks is found as well. The list's least count comes from a histogram
+    of counts, so nothing is sorted as a whole. It only chooses the token order; the join is exact under any order.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed, held, size_held = TaskContext.get().partitionId() + 101, [], 0
         for batch in _parts(batches, 0):
-            found = prefixes(sets(batch.column(0), size), ORDERS[0], threshold, longer=1.25)
-            if found:
-                token, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch({"token": token.view(np.int64), "n": n})
-
-    summed = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            held += sets(batch.column(0), size)
+            size_held += sum(map(len, held[-batch.num_rows :]))
+            if size_held > HELD:
+                yield summed_up(held, seed)
+                held, size_held = [], 0
+        yield summed_up(held, seed)
+
+    def summed_up(held: list[np.ndarray], seed: int) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        once = (n == 1) & (mix(token, seed) % U64(THIN) == 0)
+        keep = (n > 1) | once
+        return pa.record_batch({"token": token[keep].view(np.int64), "n": np.where(once, THIN, n)[keep], "again": (n > 1)[keep]})
+
+    tokens = docs.select("text").mapInArrow(count, "token long, n long, again boolean")
+    summed = tokens.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("sure"))
+    summed = summed.where((F.col("sure") >= LEAST) | (F.col("n") >= LEAST * THIN))
     level = F.floor(F.log2("n") * 8).cast("int")
-    counted = saved(summed.where(F.col("n") >= LEAST).withColumn("level", level), "ngram-frequent")
+    counted = saved(summed.select("token", level.alias("level")), "ngram-frequent")
     held, least = 0, 0
     for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # some 500 levels at most
         held += r["count"]
         if held > FREQUENT:
             least = r["level"] + 1
             break
-    rows = counted.where(F.col("level") >= least).select("token", "n").toArrow()
-    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    rank = np.empty(len(token), np.uint64)
-    rank[np.lexsort((token, n))] = np.arange(len(token), dtype=np.uint64)
+    rows = counted.where(F.col("level") >= least).select("token", "level").toArrow()
+    token, level = rows.column("token").to_numpy().view(np.uint64), rows.column("level").to_numpy().astype(np.uint64)
     order = np.argsort(token)
-    return Frequent(token[order], rank[order])
+    return Frequent(token[order], level[order])
 
 
 def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin:
@@ -148,7 +162,7 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size, threshold))
+    frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 1):
@@ -178,12 +192,13 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     heads = nodes.select(F.col("doc_id").alias("rep"), *filters)
     verify = lambda pairs: _verified(docs, _met(saved(pairs, "ngram-pairs"), heads, filters), threshold, size)
 
-    groups = saved(_index(reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))), "ngram-groups")
+    entries = reps.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("place", "token"))
+    groups = saved(_index(entries.select("token", "rep", F.col("n").cast("int").alias("n"), _reach(threshold).alias("reach"))), "ngram-groups")
     links = verify(_led(groups, marks, threshold))
     links = saved(links if same is None else links.unionByName(same), "ngram-links")
     found = components(links)
     opened = _open(groups, found)
-    central = opened.join(groups.groupBy("rep").agg((-F.count("*")).alias("first")), "rep").select("token", "rep", "first")
+    central = opened.join(groups.groupBy("rep").agg((-F.count("*")).alias("first")), "rep").select("token", "rep", "n", "reach", "first")
     links = saved(links.unionByName(verify(_apart(_led(_index(central, "first"), marks, threshold), found))), "ngram-links")
     found = components(links)
     links = saved(links.unionByName(verify(_across(_open(groups, found), marks, threshold))), "ngram-links")
@@ -196,8 +211,24 @@ def ngram_join(docs: DataFrame, threshold: int = 80, size: int = 5) -> NgramJoin
     return NgramJoin(links, rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")))
 
 
+def _reach(threshold: int) -> Column:
+    """The largest set that one of n tokens can reach the threshold with if the token at ``place`` is the first that both have.
+
+    At most n - place tokens are then common, and threshold * (n + m) <= (100 + threshold) * common must hold.
+    """
+    return F.expr(f"{100 + threshold} * (n - place) div {threshold} - n").cast("int")
+
+
+def _near(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows (token, n, reach) that some row of their token can be a partner of: ``of`` has its least n and greatest reach.
+
+    Of two documents that reach the threshold both rows of their first common token stay.
+    """
+    return rows.join(of, "token").where("least <= reach and n <= most")
+
+
 def _index(rows: DataFrame, first: str | None = None) -> DataFrame:
-    """Of (token, rep): the rows whose token has two documents or more, each with the leaders of its token.
+    """Of (token, rep, n, reach): the rows with a possible partner, each with the leaders of its token.
 
     Leaders are the smallest and largest rep, or ``CENTRAL`` documents by the column ``first`` and rep, each the first of its
     share of the documents. That order is the same for all tokens, so documents that share many tokens share their leaders.
@@ -208,8 +239,8 @@ def _index(rows: DataFrame, first: str | None = None) -> DataFrame:
         leaders = F.array_compact(F.array(*[inside(k) for k in range(CENTRAL)]))
     else:
         leaders = F.array(F.min("rep"), F.max("rep"))
-    shared = rows.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), leaders.alias("leaders")).where("low <> high")
-    return rows.select("token", "rep").join(shared.select("token", "leaders"), "token")
+    shared = rows.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), leaders.alias("leaders"), F.min("n").alias("least"), F.max("reach").alias("most")).where("low <> high")
+    return _near(rows.select("token", "rep", "n", "reach"), shared.drop("low", "high")).drop("least", "most")
 
 
 def _led(groups: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
@@ -234,10 +265,10 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """(token, rep, component) of the tokens whose documents are not all in one component yet, written."""
-    placed = saved(groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "ngram-placed")
-    tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return saved(placed.join(tokens, "token", "left_semi"), "ngram-open")
+    """(token, rep, n, reach, component) of the tokens whose documents are not all in one component yet, written."""
+    placed = saved(groups.join(found, groups["rep"] == found["node"], "left").select("token", "rep", "n", "reach", F.coalesce("component", "rep").alias("component")), "ngram-placed")
+    tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("reach").alias("most")).where("x <> y")
+    return saved(_near(placed, tokens.drop("x", "y")).drop("least", "most"), "ngram-open")
 
 
 def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -248,10 +279,10 @@ def _bounded(pairs: DataFrame, threshold: int) -> DataFrame:
 
 
 def _across(opened: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
-    """All pairs (a, b) of different components that share a prefix token and keep the size and signature bounds."""
-    rest = saved(opened.join(marks, "rep"), "ngram-marked")
-    side = lambda end: rest.select("token", F.col("component").alias(f"{end}_component"), F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in marks.columns if c != "rep"])
-    pairs = side("a").join(side("b"), "token").where("a_component < b_component")
+    """All pairs (a, b) of different components that share a prefix token and keep the size, place and signature bounds."""
+    rest = saved(opened.drop("n").join(marks, "rep"), "ngram-marked")
+    side = lambda end: rest.select("token", *[F.col(c).alias(f"{end}_{c}") for c in ("component", "reach", *marks.columns) if c != "rep"], F.col("rep").alias(end))
+    pairs = side("a").join(side("b"), "token").where("a_component < b_component and a_n <= b_reach and b_n <= a_reach")
     return _bounded(pairs, threshold).select("a", "b").distinct()
 
 
