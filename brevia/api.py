@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brevia.functions.text import clean_text, est_tokens
-from brevia.operators import diffs, html, json_docs, logs, outline, pages
+from brevia.operators import diffs, html, json_docs, json_values, logs, outline, pages
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
 
@@ -58,14 +58,24 @@ def _shrunk(text: Column, schema: T.DataType, **options) -> Column:
 
 
 def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Column] | None = None, table: bool = False, outline: bool = False, **options) -> DataFrame:
-    """id, content and error of every JSON document of (id, text, path, content_type), read by a schema.
+    """id, n, content and error of every record of every JSON document of (id, text, path, content_type), read by a schema.
 
-    select takes a part of the parsed value; the part is shrunk with the options of ``json_docs.shrink``, or with ``table``
+    With an object type as schema a document has a record for each of its values and for each element of those that are
+    arrays, numbered from 0 (see ``json_values.records``); with any other it is one record, and several values are one
+    array. select takes a part of the record; the part is shrunk with the options of ``json_docs.shrink``, or with ``table``
     shown as a table if it is an array of objects, or with ``outline`` described by its shape. Documents of other kinds,
-    invalid JSON and selections that match nothing are error rows.
+    what is no JSON, what the schema can't hold and selections that match nothing are error rows.
     """
     known = _known(docs).where("text is not null")
-    typed = known.withColumn("root", F.from_json("text", schema))
+    other = F.when(~F.col("kind").isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), F.col("kind"), F.lit("): use read_docs")))
+    other = F.coalesce(other, F.when((F.col("kind") != "json") & ~F.col("text").rlike(r"^\s*[\[{]"), "invalid JSON"))
+    judged = known.select("id", "text", other.alias("other"))
+    apart = judged.where("other is not null").select("id", F.lit(0).alias("n"), F.lit(None).cast("string").alias("content"), F.col("other").alias("error"))
+    asked = judged.where("other is null").select("id", "text")
+    if isinstance(schema, T.StructType):
+        typed = json_values.records(asked, "text", schema).withColumnsRenamed({"record": "root", "error": "why"})
+    else:
+        typed = asked.withColumn("read", json_values.root(F.col("text"), schema)).select("id", F.lit(0).alias("n"), "read.root", F.col("read.error").alias("why"))
     part = typed.withColumn("part", select(F.col("root")) if select else F.col("root"))
     kind, value = part.schema["part"].dataType, F.col("part")
     if outline:
@@ -74,10 +84,8 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
         content = json_docs.full_table(value, kind.elementType)
     else:
         content = json_docs.shrink(value, kind, **options)
-    other = F.when(~F.col("kind").isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), F.col("kind"), F.lit("): use read_docs")))
-    invalid = F.when(F.get_json_object("text", "$").isNull(), "invalid JSON")
-    error = F.coalesce(other, invalid, json_docs.no_match(part, "root", value, "the selection"))
-    return part.withColumn("error", error).select("id", F.when(F.col("error").isNull(), content).alias("content"), "error")
+    error = F.coalesce("why", json_docs.no_match(part, "root", value, "the selection"))
+    return part.withColumn("error", error).select("id", "n", F.when(F.col("error").isNull(), content).alias("content"), "error").unionByName(apart)
 
 
 def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:

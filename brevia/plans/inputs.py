@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brevia.operators.lines import joined
@@ -39,6 +39,21 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), owner.alias("owner"), item.alias("items")).alias("doc"))
 
 
+def json_texts(spark: SparkSession, sf_dir: str, most: int = 1_000) -> DataFrame:
+    """o_custkey, block, text: each customer's orders as JSON values side by side, or in an array, some with another type, some with a rest that is no JSON."""
+    note = F.to_json(F.struct(F.concat(F.lit('a "b" }{ [ \\ '), F.col("o_orderpriority")).alias("note")))
+    key = F.when(F.col("o_orderkey") % 13 == 0, '"late"').otherwise(F.col("o_orderkey").cast("string"))
+    one = F.concat(F.lit('{"key":'), key, F.lit(","), F.substr(note, F.lit(2)))
+    place = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
+    rows = read(spark, sf_dir, "orders").select("o_custkey", place.alias("place"), one.alias("one")).withColumn("block", F.floor(F.col("place") / most).cast("int"))
+    listed = rows.groupBy("o_custkey", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "one"))), lambda x: x["one"]).alias("all"))
+    beside = F.array_join("all", "\n")
+    for rest, sign in ((1, ""), (2, " \n "), (3, "\r\n")):
+        beside = F.when(F.col("o_custkey") % 4 == rest, F.array_join("all", sign)).otherwise(beside)
+    text = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("[ "), F.array_join("all", " ,\n"), F.lit("]"))).otherwise(beside)
+    return listed.select("o_custkey", "block", F.concat(text, F.when(F.col("o_custkey") % 7 == 0, " trailing").otherwise("")).alias("text"))
+
+
 def customer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c_custkey, entries: a map of text with nulls and empty values."""
     return read(spark, sf_dir, "customer").selectExpr(

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brevia import api
 from brevia.functions import text as t
-from brevia.operators import diffs, grids, html, json_docs, logs, outline, pages, relations, report, trees
+from brevia.operators import diffs, grids, html, json_docs, json_values, logs, outline, pages, relations, report, trees
 from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
@@ -224,6 +225,12 @@ def json_shrink_nested(spark, d):
     return rows.select("c_custkey", json_docs.shrink(F.col("doc"), kind, max_text=5).alias("js"), json_docs.shrink(F.col("doc"), kind, drop=("name", "t*"), keep_empty=True).alias("kept"))
 
 
+@query
+def json_records(spark, d):
+    kind = T.StructType.fromDDL("key long, note string")
+    return json_values.records(inputs.json_texts(spark, d), "text", kind).select("o_custkey", "block", "n", F.col("record.key").cast("string").alias("key"), "record.note", "error")
+
+
 @query
 def json_outline(spark, d):
     docs = inputs.order_docs(spark, d)
@@ -450,8 +457,7 @@ def read_page(spark, d):
 
 @query
 def read_json(spark, d):
-    docs, kind = _corpus(spark, d)
-    return api.read_json(docs.where("id like 'order %' or id like 'page %'"), kind, lambda root: root["items"], table=True)
+    return api.read_json(*_corpus(spark, d), lambda root: root["items"], table=True)
 
 
 @query

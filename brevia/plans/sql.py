@@ -267,6 +267,12 @@ select c_custkey, '{"key":' || c_custkey || case when c_custkey % 2 = 0 then ''
 select id, '{{' || {_NL} || ' id: number (' || id || ')' || {_NL} || ' status: string ("' || status || '")' || {_NL} || ' owner: {{key: number (' || owner.key || '), priority: string ("' || owner.priority || '")}}' || {_NL}
   || ' items: [' || len(items) || '] {{n: number (' || x.n || '), part: number (' || x.part || '), qty: number (' || x.qty || ')}}' || {_NL} || '}}' as shape from ends""",
     "json_full_table": f"with {_DOCS} select id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) || chr(10) || 'order ' || id as markdown from docs",
+    "json_records": r"""
+with placed as (select o_custkey, o_orderkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderkey) - 1 as place from orders),
+blocked as (select *, place // 1000 as block, place % 1000 as n from placed)
+select o_custkey, block::int as block, n::int as n, case when o_orderkey % 13 <> 0 then o_orderkey::varchar end as key, case when o_orderkey % 13 <> 0 then 'a "b" }{ [ \ ' || o_orderpriority end as note,
+  case when o_orderkey % 13 = 0 then 'does not fit the schema' end as error from blocked
+union all select o_custkey, block::int, count(*)::int, null, null, 'invalid JSON' from blocked where o_custkey % 7 = 0 group by o_custkey, block""",
     "json_select_run": f"with {_DOCS} select id, list_transform(items, lambda x: x.part)[2]::varchar as second_part from docs",
     "json_no_match": f"with {_DOCS} select id, case when len(items) < 5 then 'nothing matches items[4].n; it is an array of ' || len(items) || ' items' end as why, 'nothing matches x; it has the keys id, status, owner, items' as keys from docs",
     "json_first_match": "select c_custkey, c_name as name, c_mktsegment as segment, null::varchar as other from customer",
@@ -460,8 +466,11 @@ union all select 'order ' || d.id, 'JSON of about ' || ((length(markdown) + 3) /
 )
 select c.id, content || case when n > 1 then {_NL} || {_NL} || '[page 2 of ' || n || case when n > 2 then ' · next: page=3' else '' end || ']' else '' end || case when note is null then '' else {_NL} || {_NL} || '[note: ' || note || ']' end as content,
   case when content is null then 'page 2 out of range: there are ' || n || ' page(s)' end as error from counted c join ready r on c.id = r.id""",
-    "read_json": f"""with {_DOCS} select 'order ' || id as id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as content, null::varchar as error from docs
-union all select 'page ' || page_id, null, 'not JSON (it looks like html): use read_docs' from pages""",
+    "read_json": f"""with {_DOCS} select 'order ' || id as id, 0 as n, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as content, null::varchar as error from docs
+union all select 'page ' || page_id, 0, null, 'not JSON (it looks like html): use read_docs' from pages
+union all select 'document ' || doc_id, 0, null, 'invalid JSON' from documents where text is not null
+union all select 'log ' || user_id || ' ' || block, 0, null, 'not JSON (it looks like logfile): use read_docs' from (select distinct user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 5000 as block from events)
+union all select 'diff ' || conv_id, 0, null, 'not JSON (it looks like diff): use read_docs' from (select distinct conv_id from conversations)""",
     "read_section": f"""with {_DIFFS}, asked as (select conv_id, markdown, wanted from diffs, (values ('2'), ('NEW-c'), ('nothing')) w(wanted))
 select 'diff ' || conv_id as id, wanted, case when wanted <> 'nothing' then substr(markdown, strpos(markdown, '## new-c')) end as section, case when wanted = 'nothing' then 'no section matches nothing' end as error from asked
 union all select 'order ' || o_orderkey, wanted, null, 'sections are for documents: use read_json' from (select distinct o_orderkey from orders join lineitem on o_orderkey = l_orderkey), (values ('2'), ('NEW-c'), ('nothing')) w(wanted)""",
