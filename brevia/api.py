@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brevia.functions.text import clean_text, est_tokens
-from brevia.operators import diffs, html, json_docs, json_values, logs, outline, pages
+from brevia.operators import diffs, html, json_docs, json_values, logs, outline, pages, tags
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
 
@@ -20,36 +20,40 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", detect.kind(F.col("text"), F.col("path"), F.col("content_type")).alias("kind"))
 
 
-def _by_lines(rows: DataFrame, convert: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """id, text, kind and markdown of rows that are converted by their lines. Rows of one id and text are converted once, and all come back."""
+def _by_key(rows: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with markdown, made from (key, text) of distinct texts: rows of one id and text are converted once, and all come back."""
     keyed = rows.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("text")), F.length("text").cast("string")))
-    made = convert(explode_lines(keyed.select("key", "text").dropDuplicates(["key"]), "key", "text"), "key")
-    return keyed.join(made, "key", "left").select("id", "text", "kind", "markdown")
+    made = convert(keyed.select("key", "text").dropDuplicates(["key"]))
+    return keyed.drop("text").join(made, "key", "left").select(*[c for c in rows.columns if c != "text"], "markdown")
 
 
-#: How each kind becomes Markdown: in its own row, or by its lines. A new kind needs an entry here and a rule in ``detect.kind``.
-IN_ROW: dict[str, Callable[[Column], Column]] = {"html": html.markdown, "text": clean_text}
-BY_LINES: dict[str, Callable[[DataFrame, str], DataFrame]] = {"logfile": logs.log_documents, "diff": diffs.diff_markdown}
+def _by_lines(convert: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: convert(explode_lines(rows, "key", "text"), "key")
+
+
+#: How each kind becomes Markdown: in its own row, or by its lines or tags. A new kind needs an entry here and a rule in ``detect.kind``.
+IN_ROW: dict[str, Callable[[Column], Column]] = {"text": clean_text}
+BY_PARTS: dict[str, Callable[[DataFrame], DataFrame]] = {"logfile": _by_lines(logs.log_documents), "diff": _by_lines(diffs.diff_markdown), "html": lambda rows: tags.markdown(rows, "key", "text")}
 
 
 def read_docs(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
     """id, kind, markdown, raw_tokens, out_tokens, note and error of every row of (id, text, path, content_type).
 
-    Most kinds are converted in one pass over the rows; logs and diffs, which go by lines, are branches of their own. What
-    can't be read is a row with an error, never a failed job. JSON documents are shrunk by ``schema``, without one their
-    text is cleaned. Null texts are errors; repeated ids come back as often.
+    Texts are converted in one pass over the rows; logs and diffs, which go by lines, and pages, which go by tags, are
+    branches of their own. What can't be read is a row with an error, never a failed job. JSON documents are shrunk by
+    ``schema``, without one their text is cleaned. Null texts are errors; repeated ids come back as often.
     """
-    known = _known(docs)
     text, kind = F.col("text"), F.col("kind")
+    note = F.when(F.when(kind == "html", html.needs_js(text)), SCRIPTED)
+    known = _known(docs).withColumns({"raw_tokens": est_tokens(text), "note": note, "empty": text.isNull()})
     markdown = F.when(kind == "json", _shrunk(text, schema) if schema else clean_text(text))
     for name, convert in IN_ROW.items():
         markdown = markdown.when(kind == name, convert(text))
-    made = known.where(kind.isNull() | ~kind.isin(*BY_LINES)).withColumn("markdown", markdown)
-    for name, by_lines in BY_LINES.items():
-        made = made.unionByName(_by_lines(known.where(kind == name), by_lines))
-    why = F.when(text.isNull(), "source is empty").when(~kind.isin("json", *IN_ROW, *BY_LINES), "unsupported file type").when(F.col("markdown").isNull(), F.when(kind == "json", "invalid JSON").otherwise("not a recognizable diff/patch"))
-    note = F.when(F.when(kind == "html", html.needs_js(text)), SCRIPTED)
-    return made.select("id", "kind", "markdown", est_tokens(text).alias("raw_tokens"), est_tokens(F.col("markdown")).alias("out_tokens"), note.alias("note"), why.alias("error"))
+    made = known.where(kind.isNull() | ~kind.isin(*BY_PARTS)).withColumn("markdown", markdown).drop("text")
+    for name, by_parts in BY_PARTS.items():
+        made = made.unionByName(_by_key(known.where(kind == name), by_parts))
+    why = F.when(F.col("empty"), "source is empty").when(~kind.isin("json", *IN_ROW, *BY_PARTS), "unsupported file type").when(F.col("markdown").isNull(), F.when(kind == "json", "invalid JSON").otherwise("not a recognizable diff/patch"))
+    return made.select("id", "kind", "markdown", "raw_tokens", est_tokens(F.col("markdown")).alias("out_tokens"), "note", why.alias("error"))
 
 
 def _shrunk(text: Column, schema: T.DataType, **options) -> Column:

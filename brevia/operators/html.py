@@ -52,22 +52,14 @@ def strip(html: Column) -> Column:
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 
 
-def _gone(tag: str) -> tuple[str, str]:
-    return rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " "
-
-
 #: Roles of page furniture (fixed values).
 ROLES = ["navigation", "banner", "contentinfo", "search", "dialog", "alertdialog", "menu", "menubar", "complementary"]
 _TAGS = r"(?:\s|<[^>]*>)*"
-#: What a page loses first: comments, unreadable and hidden elements, citation marks, links that only show where they are (fixed values inside).
-CLEANING = [
-    (r"(?s)<!--.*?-->", " "), *map(_gone, DROPPED),
-    (r"""(?is)<(\w+)(?=\s)(?=[^>]*?\s(?:hidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"'>]*display\s*:\s*none))[^>]*>.*?</\1>""", " "),
+#: Citation marks and links that only show where they are (fixed values inside).
+MARKS = [
     (rf"(?is)<sup(?:\s[^>]*)?>{_TAGS}\[{_TAGS}(?:\d+|[a-z]|note \d+|nb \d+|citation needed|clarification needed){_TAGS}\]{_TAGS}</sup>", ""),
     (rf"(?is)<a(?:\s[^>]*)?>{_TAGS}(?:#|¶|§|🔗|link|permalink)?{_TAGS}</a>", ""),
 ]
-#: Furniture besides ``CHROME``: elements with one of ``ROLES``.
-BY_ROLE = (rf"""(?is)<(\w+)(?=\s)(?=[^>]*?\srole\s*=\s*["']?(?:{"|".join(ROLES)})["'\s>])[^>]*>.*?</\1>""", " ")
 #: Tags to Markdown, in order, as (pattern, replacement with $1 and so on).
 MARKDOWN = [
     (r"(?is)<head(?:\s[^>]*)?>.*?</head>", ""), (r"[\s ]+", " "),
@@ -137,23 +129,15 @@ def _numbered(html: Column) -> Column:
     return F.array_join(F.transform(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace(_inline(x), r"\s+", " ")))), "\n")
 
 
-def markdown(html: Column) -> Column:
-    """A page as Markdown: its article, or else the body without page furniture; the title first unless a heading opens with it.
-
-    Headings, links, emphasis, code and its language, lists, tables, quotes and breaks keep their meaning; hidden elements,
-    citation marks and other tags go. All of it is a chain of expressions over the source text, so malformed pages give what
-    their tags say, never an error.
-    """
-    clean = _through(F.replace(html, F.lit(_CUT), F.lit("")), CLEANING)
-    article = F.regexp_extract(clean, r"(?is)<article(?:\s[^>]*)?>(.*)</article>", 1)
-    body = F.when(article != "", article).otherwise(_through(clean, [*[_gone(tag) for tag in CHROME], BY_ROLE]))
+def body_markdown(body: Column, name: Column) -> Column:
+    """The readable part of a page (see ``tags.pruned``) as Markdown, under its title unless a heading opens it."""
+    body = _through(F.replace(body, F.lit(_CUT), F.lit("")), MARKS)
     cut_up = F.split(F.regexp_replace(body, WHOLE, f"{_CUT}$0{_CUT}"), _CUT, -1)
     spaced = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")]
     plain = lambda x: F.trim(_through(tidy_markdown(_inline(x)), spaced))
     made = lambda p, x: F.when(x.startswith("<p"), _code(x, p)).when(x.rlike("(?i)^<table"), _table(x)).otherwise(_numbered(x))
     parts = lambda cut: F.transform(cut, lambda x, i: F.when(i % 2 == 0, plain(x)).otherwise(made(F.element_at(cut, i), x)))
     tidy = F.array_join(F.filter(F.transform(F.array(cut_up), parts)[0], lambda x: x != ""), "\n\n")
-    name = title(html)
     return F.transform(F.array(tidy), lambda x: F.when((name == "") | x.startswith("# "), x).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), x)))[0]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from brevia import api
 from brevia.functions import text as t
-from brevia.operators import diffs, grids, html, json_docs, json_values, logs, outline, pages, relations, report, trees
+from brevia.operators import diffs, grids, html, json_docs, json_values, logs, outline, pages, relations, report, tags, trees
 from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
@@ -424,7 +424,18 @@ def html_strip(spark, d):
 
 @query
 def html_markdown(spark, d):
-    return read(spark, d, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
+    return tags.markdown(read(spark, d, "pages"), "page_id", "html")
+
+
+@query
+def html_pruned(spark, d):
+    """Pages whose hidden elements, furniture and article hold elements of the same kind, and tags that never end."""
+    name, odd = F.regexp_extract("url", "([a-z0-9]+)[.]?[a-z]*$", 1), F.col("page_id") % 2 == 1
+    hidden = F.concat(F.lit('<div hidden><div>secret</div> <p>more</p></div><DIV style="display: none"><div><div>x</div></div>y</DIV><ul aria-hidden=true><li><ul><li>z</ul>z</ul>'))
+    chrome = F.lit('<nav><div role="menu"><div>a</div>b</div><nav>c</nav>d</nav><div class=m role=navigation><div>e</div>f</div>')
+    main = F.concat(F.lit("<p>page "), F.col("page_id").cast("string"), F.lit(" of "), name, F.lit("</p></section>"), F.when(odd, F.concat(F.lit("<article><article>inner</article>"), chrome, F.lit("<p>outer</p></article><p>behind</p>"))).otherwise("<div hidden>"))
+    made = F.concat(F.lit("<html><head><title>T "), F.col("page_id").cast("string"), F.lit("</title></head><body>"), hidden, chrome, main, F.lit("end</body>"))
+    return tags.pruned(read(spark, d, "pages").select("page_id", made.alias("html")), "page_id", "html").select("page_id", "title", html.strip(F.col("body")).alias("text"))
 
 
 def _corpus(spark, d):

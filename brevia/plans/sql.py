@@ -352,6 +352,8 @@ select page_id, generate_subscripts(hrefs, 1)::int - 1 as n, unnest(hrefs) as hr
     "html_link_rewrite": f"with {_LINK} select page_id, local || case when rest <> '' then '?' || rest else '' end || fragment as link from cleaned",
     "html_strip": f"select page_id, {_stripped()} as text from pages",
     "html_markdown": f"with {_PAGES} select page_id, markdown from articles",
+    "html_pruned": """
+select page_id, 'T ' || page_id as title, case when page_id % 2 = 1 then 'inner a b c d e f outer' else regexp_replace('page ' || page_id || ' of ' || regexp_extract(url, '([a-z0-9]+)[.]?[a-z]*$', 1) || ' end', ' +', ' ', 'g') end as text from pages""",
     "html_summary": f"""
 select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1))::int as n_links,
   length({_stripped()})::int as n_chars, strlen({_stripped()}) < 300 and contains(lower(html), '<script') as needs_js from pages""",

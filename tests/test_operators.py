@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brevia import api
 from brevia.functions import text as t
-from brevia.operators import diffs, grids, html, json_docs, logs, outline, pages, relations, report, trees
+from brevia.operators import diffs, grids, html, json_docs, logs, outline, pages, relations, report, tags, trees
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
 from brevia.streaming import events
@@ -176,11 +176,15 @@ def test_ttl_counts_from_insert(spark, tmp_path):
     assert sorted((r["user_id"], r["n_reads"], r["n_hits"]) for r in state.collect()) == [(7, 5, 3), (8, 1, 0)]
 
 
+def page_markdown(spark, page):
+    return tags.markdown(spark.createDataFrame([(1, page)], "k int, html string"), "k", "html").first()["markdown"]
+
+
 def test_markdown_of_a_page(spark):
     page = "<html><head><title>The page</title></head><body><nav><a href='/'>no</a></nav><article><h2>Part &amp; more</h2><p>Some <b>bold</b> and <a href=\"/x\">a link</a>.<ul><li>one<li>two</ul></article><footer>no</footer></body></html>"
-    assert value(spark, html.markdown(F.lit(page))) == "# The page\n\n## Part & more\n\nSome **bold** and [a link](/x).\n\n- one\n- two"
+    assert page_markdown(spark, page) == "# The page\n\n## Part & more\n\nSome **bold** and [a link](/x).\n\n- one\n- two"
     bare = "<title>T</title><h1>T</h1><nav>menu</nav><p>text<br>next"
-    assert value(spark, html.markdown(F.lit(bare))).endswith("# T\n\ntext\nnext")
+    assert page_markdown(spark, bare).endswith("# T\n\ntext\nnext")
 
 
 def test_reading_a_mixed_corpus(spark):
@@ -335,7 +339,7 @@ def test_html_keeps_code_tables_lists_and_signs(spark):
         ("<p>a</p><div hidden><p>no</p></div><span aria-hidden='true'>no</span><p style='color:red; display: none'>no</p><div role=navigation>no</div><p>b</p>", "a\n\nb"),
     ]
     for page, want in cases:
-        assert value(spark, html.markdown(F.lit(page))) == want, page
+        assert page_markdown(spark, page) == want, page
 
 
 def test_trees_leave_out_ignored_files_and_nested_repositories(spark, tmp_path):
