@@ -13,6 +13,8 @@ from brevia.operators import diffs, html, json_docs, json_values, logs, outline,
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
 
+#: Bytes of a line of JSON that is laid out for paging.
+PAGED_WIDTH = 100
 SCRIPTED = "the page builds itself with scripts, little of it is text"
 
 
@@ -36,17 +38,17 @@ IN_ROW: dict[str, Callable[[Column], Column]] = {"text": clean_text}
 BY_PARTS: dict[str, Callable[[DataFrame], DataFrame]] = {"logfile": _by_lines(logs.log_documents), "diff": _by_lines(diffs.diff_markdown), "html": lambda rows: tags.markdown(rows, "key", "text")}
 
 
-def read_docs(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
+def read_docs(docs: DataFrame, schema: T.DataType | None = None, width: int = 0) -> DataFrame:
     """id, kind, markdown, raw_tokens, out_tokens, note and error of every row of (id, text, path, content_type).
 
     Texts are converted in one pass over the rows; logs and diffs, which go by lines, and pages, which go by tags, are
     branches of their own. What can't be read is a row with an error, never a failed job. JSON documents are shrunk by
-    ``schema``, without one their text is cleaned. Null texts are errors; repeated ids come back as often.
+    ``schema`` (and laid out to ``width``, see ``json_docs.shrink``), without one their text is cleaned. Null texts are errors; repeated ids come back as often.
     """
     text, kind = F.col("text"), F.col("kind")
     note = F.when(F.when(kind == "html", html.needs_js(text)), SCRIPTED)
     known = _known(docs).withColumns({"raw_tokens": est_tokens(text), "note": note, "empty": text.isNull()})
-    markdown = F.when(kind == "json", _shrunk(text, schema) if schema else clean_text(text))
+    markdown = F.when(kind == "json", _shrunk(text, schema, width=width) if schema else clean_text(text))
     for name, convert in IN_ROW.items():
         markdown = markdown.when(kind == name, convert(text))
     made = known.where(kind.isNull() | ~kind.isin(*BY_PARTS)).withColumn("markdown", markdown).drop("text")
@@ -57,8 +59,15 @@ def read_docs(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
 
 
 def _shrunk(text: Column, schema: T.DataType, **options) -> Column:
-    parsed = F.from_json(text, schema)
-    return F.when(F.get_json_object(text, "$").isNotNull(), json_docs.shrink(parsed, schema, **options))
+    """A JSON value, or several side by side as an array, shrunk by a schema; null where a piece is no JSON or doesn't fit."""
+    kinds = [schema] if isinstance(schema, T.ArrayType) else [schema, T.ArrayType(schema)]
+    shown = lambda kind: lambda x: F.when(x["error"].isNull(), json_docs.shrink(x["root"], kind, **options))
+    return F.coalesce(*[F.transform(F.array(json_values.root(text, kind)), shown(kind))[0] for kind in kinds])
+
+
+def _marked(made: DataFrame) -> DataFrame:
+    """made with ``key``: rows of one id and Markdown share it, others of that id don't."""
+    return made.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("markdown")), F.length("markdown").cast("string")))
 
 
 def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Column] | None = None, table: bool = False, outline: bool = False, **options) -> DataFrame:
@@ -93,9 +102,14 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
 
 
 def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
-    """id and outline of every document that can be read: the headings of Markdown; of JSON, with a schema, its shape."""
-    ready = read_docs(docs, schema).where("error is null").withColumnRenamed("id", "doc")
-    made = outline.format_outline(ready.where("kind <> 'json'") if schema else ready, "doc", "markdown").withColumnRenamed("doc", "id")
+    """id and outline of every document that can be read: the headings of Markdown; of JSON, with a schema, the shape of each record.
+
+    Rows of one id have an outline each.
+    """
+    ready = _marked(read_docs(docs, schema).where("error is null"))
+    ready = ready.where("kind <> 'json'") if schema else ready
+    made = outline.format_outline(ready.dropDuplicates(["key"]), "key", "markdown")
+    made = ready.select("id", "key").join(made, "key").select("id", "outline")
     if schema is None:
         return made
     shaped = read_json(docs, schema, outline=True).where("error is null")
@@ -103,22 +117,31 @@ def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFram
 
 
 def read_section(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, wanted, section and error of each (id, wanted): the section of a document that the words or the number name."""
-    made = read_docs(docs).withColumnRenamed("id", "doc")
-    ready, asked = made.where("error is null and kind <> 'json'"), wanted.withColumnRenamed("id", "doc")
-    found = outline.section_lookup(ready, asked, "doc", "markdown").select("doc", "wanted", "section")
-    facts = asked.join(made.select("doc", "kind", F.col("error").alias("why")), "doc", "left").join(found, ["doc", "wanted"], "left")
+    """id, wanted, section and error of each (id, wanted): the section of a document that the words or the number name.
+
+    Each row of a repeated id answers for itself.
+    """
+    made = _marked(read_docs(docs))
+    asked = wanted.select("id", "wanted").join(made.select("id", "key", "kind", F.col("error").alias("why")), "id", "left")
+    ready = made.where("error is null and kind <> 'json'").select("key", "markdown").dropDuplicates(["key"])
+    sought = asked.where("key is not null").select("key", "wanted").distinct()
+    found = outline.section_lookup(ready, sought, "key", "markdown").select("key", "wanted", "section")
+    facts = asked.join(found, ["key", "wanted"], "left")
     error = F.when(F.col("kind").isNull(), "no such document").when(F.col("why").isNotNull(), F.col("why")).when(F.col("kind") == "json", "sections are for documents: use read_json").when(F.col("section").isNull(), F.concat(F.lit("no section matches "), F.col("wanted")))
-    return facts.select(F.col("doc").alias("id"), "wanted", "section", error.alias("error"))
+    return facts.select("id", "wanted", "section", error.alias("error"))
 
 
-def read_page(docs: DataFrame, page: int = 1, most: int = 20_000) -> DataFrame:
-    """id, content (with a footer where there are more pages, and the note) and error of one page of every document."""
-    ready = read_docs(docs).where("error is null").select("id", "note", "markdown").dropDuplicates(["id"])
-    packed = pages.pack_pages(ready, "id", "markdown", max(500, min(most, 500_000)))
-    counted = packed.groupBy("id").agg(F.max("page_no").alias("n"), F.max(F.when(F.col("page_no") == page, F.col("content"))).alias("content"))
+def read_page(docs: DataFrame, page: int = 1, most: int = 20_000, schema: T.DataType | None = None) -> DataFrame:
+    """id, content (with a footer where there are more pages, and the note) and error of one page of every document that can be read.
+
+    A page never has more than ``most`` characters besides its footer and note: longer lines are cut. JSON, with a schema,
+    is laid out so that it can be cut at its lines. Every row has a row: rows of one id are paged each by its own text.
+    """
+    ready = _marked(read_docs(docs, schema, PAGED_WIDTH).where("error is null").select("id", "note", "markdown"))
+    packed = pages.pack_pages(ready.select("key", "markdown").dropDuplicates(["key"]), "key", "markdown", max(500, min(most, 500_000)), cut=True)
+    counted = packed.groupBy("key").agg(F.max("page_no").alias("n"), F.max(F.when(F.col("page_no") == page, F.col("content"))).alias("content"))
     after = F.when(F.col("n") > page, F.lit(f" · next: page={page + 1}")).otherwise("")
     footer = F.when(F.col("n") > 1, F.concat(F.lit(f"\n\n[page {page} of "), F.col("n").cast("string"), after, F.lit("]"))).otherwise("")
     noted = F.when(F.col("note").isNull(), "").otherwise(F.concat(F.lit("\n\n[note: "), F.col("note"), F.lit("]")))
     error = F.when(F.col("content").isNull(), F.concat(F.lit(f"page {page} out of range: there are "), F.col("n").cast("string"), F.lit(" page(s)")))
-    return counted.join(ready.select("id", "note"), "id").select("id", F.concat("content", footer, noted).alias("content"), error.alias("error"))
+    return ready.select("id", "note", "key").join(counted, "key").select("id", F.concat("content", footer, noted).alias("content"), error.alias("error"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import fnmatch
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,43 +129,84 @@ def _quoted(value: Column) -> Column:
 
 
 def shrink(
-    value: Column, kind: T.DataType, drop: tuple[str, ...] = (), keep_empty: bool = False, max_text: int = 0, drop_lists: int = 0, most_items: int = 0, root: bool = True,
+    value: Column, kind: T.DataType, drop: tuple[str, ...] = (), keep_empty: bool = False, max_text: int = 0, drop_lists: int = 0, most_items: int = 0, width: int = 0,
 ) -> Column:
-    """A value of any type as JSON text with less in it; null where nothing is left of an inner one.
+    """A value of any type as JSON text with less in it.
 
     From the leaves up: fields whose name matches a glob of ``drop`` go; then values that are null, "", [] or {} once what
     they hold is shrunk, unless keep_empty; then lists of more than drop_lists elements (not the root) become a note, and
     others are cut to most_items with a note on the rest; texts are cut to max_text characters. 0 means no limit.
+
+    With a width the text is laid out: objects and arrays that fit into what their depth leaves of so many bytes stay on one
+    line, others have each field or element on a line of its own, a blank deeper. Sizes come from the leaves up, in the same
+    pass: every part is made once as one line, and as lines where its own line is too long.
     """
-    below = lambda x, t: shrink(x, t, drop, keep_empty, max_text, drop_lists, most_items, False)
-    none = F.lit("null") if keep_empty else F.lit(None).cast("string")
+    made = _shrunk(value, kind, Shrinking(drop, keep_empty, max_text, drop_lists, most_items, width), 0)
+    return _let(made, lambda x: x["laid"]) if width else made
+
+
+@dataclass(frozen=True)
+class Shrinking:
+    drop: tuple[str, ...]
+    keep_empty: bool
+    max_text: int
+    drop_lists: int
+    most_items: int
+    width: int
+
+    def one(self, text: Column) -> Column:
+        """A part of one line."""
+        return F.when(text.isNotNull(), F.struct(text.alias("flat"), text.alias("laid"))) if self.width else text
+
+    def named(self, name: Column, x: Column) -> Column:
+        """A field; null where its value is."""
+        if self.width:
+            return F.when(x.isNotNull(), F.struct(F.concat(name, x["flat"]).alias("flat"), F.concat(name, x["laid"]).alias("laid")))
+        return F.concat(name, x)
+
+    def within(self, ends: str, parts: Column, depth: int) -> Column:
+        """An object or array of its parts."""
+        if not self.width:
+            return F.concat(F.lit(ends[0]), F.array_join(parts, ","), F.lit(ends[1]))
+        flat = F.concat(F.lit(ends[0]), F.array_join(F.transform(parts, lambda x: x["flat"]), ","), F.lit(ends[1]))
+        pad = "\n" + " " * (depth + 1)
+        lines = F.concat(F.lit(ends[0] + pad), F.array_join(F.transform(parts, lambda x: x["laid"]), "," + pad), F.lit(pad[:-1] + ends[1]))
+        return _let(flat, lambda f: F.struct(f.alias("flat"), F.when((F.octet_length(f) <= self.width - depth) | (F.size(parts) == 0), f).otherwise(lines).alias("laid")))
+
+
+def _shrunk(value: Column, kind: T.DataType, o: Shrinking, depth: int) -> Column:
+    """A shrunk part at a depth, null where nothing is left of it: its text, or with a width the struct of its one line and its lines."""
+    below = lambda x, t: _shrunk(x, t, o, depth + 1)
+    root = depth == 0
+    part = "struct<flat:string,laid:string>" if o.width else "string"
+    none = o.one(F.lit("null")) if o.keep_empty else F.lit(None).cast(part)
     if isinstance(kind, (T.StructType, T.MapType)):
-        named = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), x))
+        named = lambda name, x: o.named(F.lit(json.dumps(name, ensure_ascii=False) + ":"), x)
         if isinstance(kind, T.StructType):
-            fields = [named(f.name, below(value[f.name], f.dataType)) for f in kind.fields if not any(fnmatch.fnmatchcase(f.name, g) for g in drop)]
-            kept = F.array_compact(F.array(*fields)) if fields else F.array().cast("array<string>")
+            fields = [named(f.name, below(value[f.name], f.dataType)) for f in kind.fields if not any(fnmatch.fnmatchcase(f.name, g) for g in o.drop)]
+            kept = F.array_compact(F.array(*fields)) if fields else F.array().cast(f"array<{part}>")
         else:
-            kept = F.array_compact(F.transform(F.map_entries(value), lambda e: _let(below(e["value"], kind.valueType), lambda x: F.when(x.isNotNull(), F.concat(_quoted(e["key"]), F.lit(":"), x)))))
-        empty = F.lit(keep_empty or root)
-        return F.when(value.isNull(), none).otherwise(_let(kept, lambda k: F.when((F.size(k) > 0) | empty, F.concat(F.lit("{"), F.array_join(k, ","), F.lit("}")))))
+            kept = F.array_compact(F.transform(F.map_entries(value), lambda e: _let(below(e["value"], kind.valueType), lambda x: F.when(x.isNotNull(), o.named(F.concat(_quoted(e["key"]), F.lit(":")), x)))))
+        empty = F.lit(o.keep_empty or root)
+        return F.when(value.isNull(), none).otherwise(_let(kept, lambda k: F.when((F.size(k) > 0) | empty, o.within("{}", k, depth))))
     if isinstance(kind, T.ArrayType):
         items = F.array_compact(F.transform(value, lambda x: below(x, kind.elementType)))
 
         def shown(k: Column) -> Column:
             n = F.size(k)
-            text = F.concat(F.lit("["), F.array_join(k, ","), F.lit("]"))
-            if most_items:
-                more = F.concat(F.lit('"… '), (n - most_items).cast("string"), F.lit(' more items"'))
-                text = F.when(n > most_items, F.concat(F.lit("["), F.array_join(F.concat(F.slice(k, 1, most_items), F.array(more)), ","), F.lit("]"))).otherwise(text)
-            if drop_lists and not root:
-                text = F.when(n > drop_lists, F.concat(F.lit('"['), n.cast("string"), F.lit(' items omitted]"'))).otherwise(text)
-            return F.when((n > 0) | F.lit(keep_empty or root), text)
+            made = o.within("[]", k, depth)
+            if o.most_items:
+                more = o.one(F.concat(F.lit('"… '), (n - o.most_items).cast("string"), F.lit(' more items"')))
+                made = F.when(n > o.most_items, o.within("[]", F.concat(F.slice(k, 1, o.most_items), F.array(more)), depth)).otherwise(made)
+            if o.drop_lists and not root:
+                made = F.when(n > o.drop_lists, o.one(F.concat(F.lit('"['), n.cast("string"), F.lit(' items omitted]"')))).otherwise(made)
+            return F.when((n > 0) | F.lit(o.keep_empty or root), made)
 
         return F.when(value.isNull(), none).otherwise(_let(items, shown))
     if isinstance(kind, T.StringType):
-        text = max_str(value, max_text) if max_text else value
-        return F.when(value.isNull(), none).when((value == "") & F.lit(not keep_empty), F.lit(None)).otherwise(_quoted(text))
-    return F.when(value.isNull(), none).otherwise(_quoted(value))
+        text = max_str(value, o.max_text) if o.max_text else value
+        return F.when(value.isNull(), none).when((value == "") & F.lit(not o.keep_empty), F.lit(None).cast(part)).otherwise(o.one(_quoted(text)))
+    return F.when(value.isNull(), none).otherwise(o.one(_quoted(value)))
 
 
 #: Limits of a shape: depth, keys of an object, bytes of an object on one line, characters of an example (fixed values).

@@ -79,11 +79,11 @@ def scanned_pages(lines: DataFrame, doc: str) -> DataFrame:
     return texts.groupBy(doc).agg(F.count("*").alias("n_pages"), F.count_if(~F.coalesce("text", F.lit(False))).alias("n_scanned"))
 
 
-def pack_pages(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
+def pack_pages(docs: DataFrame, key: str, text: str, budget: int, cut: bool = False) -> DataFrame:
     """key, page_no, n_lines and content: lines packed greedily into pages of at most ``budget`` characters.
 
     A line goes on the current page if it fits with its line end, else it opens a page; a longer line than a page has a page
-    of its own. The fold runs inside each row and keeps where pages begin, so documents are independent, nothing is shuffled,
+    of its own, or with ``cut`` falls into pieces of at most a page, so that no page is ever longer than the budget. The fold runs inside each row and keeps where pages begin, so documents are independent, nothing is shuffled,
     and work grows with the lines.
     """
     size = F.char_length
@@ -94,7 +94,10 @@ def pack_pages(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
         return F.struct(used.cast("int").alias("used"), (acc["at"] + 1).alias("at"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"))
 
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    folded = docs.select(key, F.split(F.col(text), "\n").alias("lines")).select(key, "lines", F.aggregate("lines", start, step, lambda acc: acc["starts"]).alias("starts"))
+    lines = F.split(F.col(text), "\n")
+    if cut:
+        lines = F.flatten(F.transform(lines, lambda x: F.when(size(x) > budget, _cut(x, F.lit(budget))).otherwise(F.array(x))))
+    folded = docs.select(key, lines.alias("lines")).select(key, "lines", F.aggregate("lines", start, step, lambda acc: acc["starts"]).alias("starts"))
     stop = lambda i: F.coalesce(F.try_element_at("starts", i + 2), F.size("lines"))
     cut = F.transform("starts", lambda s, i: F.struct((i + 1).alias("page_no"), (stop(i) - s).alias("n_lines"), F.array_join(F.slice("lines", s + 1, stop(i) - s), "\n").alias("content")))
     return folded.select(key, F.explode(cut).alias("p")).select(key, "p.page_no", "p.n_lines", "p.content")

@@ -216,6 +216,13 @@ def json_shrink(spark, d):
     return docs.select("doc.id", json_docs.shrink(F.col("doc"), kind, drop=("prio*",), most_items=2).alias("js"), json_docs.shrink(F.col("doc"), kind, drop=("own*",), drop_lists=3, max_text=0).alias("brief"))
 
 
+@query
+def json_layout(spark, d):
+    docs = inputs.order_docs(spark, d)
+    kind = docs.schema["doc"].dataType
+    return docs.select("doc.id", json_docs.shrink(F.col("doc"), kind, width=100).alias("laid"), json_docs.shrink(F.col("doc.items"), kind["items"].dataType, most_items=2, width=60).alias("items"))
+
+
 @query
 def json_shrink_nested(spark, d):
     """Objects with nulls, empty texts, empty lists and objects that are empty once what they hold is gone."""
@@ -463,7 +470,8 @@ def read_outlines(spark, d):
 
 @query
 def read_page(spark, d):
-    return api.read_page(_corpus(spark, d)[0], 2, 1000)
+    docs, kind = _corpus(spark, d)
+    return api.read_page(docs, 2, 1000, kind)
 
 
 @query

@@ -254,6 +254,16 @@ select conv_id, wanted, id, title, regexp_replace(substr(md, (start + 1)::int, (
     "json_table": f"with {_DOCS} select id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as markdown from docs",
     "json_flatten": f'with {_DOCS} select id, status, owner.key as "owner.key", owner.priority as "owner.priority" from docs',
     "json_ndjson_union": "select user_id, block, '[' || string_agg(props, ',' order by event_id) || ']' as js from (select *, ((row_number() over (partition by user_id order by event_id) - 1) // 500)::int as block from events) group by user_id, block",
+    "json_layout": f"""with {_DOCS}, shown as (
+  select *, list_transform(items, lambda x: '{{"n":' || x.n || ',"part":' || x.part || ',"qty":' || x.qty || '}}') as parts from docs
+), flat as (
+  select *, '[' || array_to_string(parts, ',') || ']' as line, array_to_string(parts[1:2] || case when len(parts) > 2 then ['"… ' || (len(parts) - 2) || ' more items"'] else [] end, chr(1)) as few,
+    '"id":' || id || ',' || chr(1) || '"status":"' || status || '",' || chr(1) || '"owner":{{"key":' || owner.key || ',"priority":"' || owner.priority || '"}},' || chr(1) || '"items":' as front from shown
+), joined as (
+  select *, '{{' || replace(front, chr(1), '') || line || '}}' as one, '[' || replace(few, chr(1), ',') || ']' as short from flat
+)
+select id, case when strlen(one) <= 100 then one else '{{' || {_NL} || ' ' || replace(front, chr(1), {_NL} || ' ') || case when strlen(line) <= 99 then line else '[' || {_NL} || '  ' || array_to_string(parts, ',' || {_NL} || '  ') || {_NL} || ' ]' end || {_NL} || '}}' end as laid,
+  case when strlen(short) <= 60 then short else '[' || {_NL} || ' ' || replace(few, chr(1), ',' || {_NL} || ' ') || {_NL} || ']' end as items from joined""",
     "json_shrink": f"""with {_DOCS}, shown as (
   select *, list_transform(items, lambda x: '{{"n":' || x.n || ',"part":' || x.part || ',"qty":' || x.qty || '}}') as parts from docs
 )
@@ -456,8 +466,18 @@ select r.id, case when n is null then 'no headings; about ' || {_count('((length
 from ready r left join body b on r.id = b.doc where kind <> 'json'
 union all select 'order ' || d.id, 'JSON of about ' || ((length(markdown) + 3) // 4) || ' tokens' || {_NL} || '{{' || {_NL} || ' id: number (' || d.id || ')' || {_NL} || ' status: string ("' || status || '")' || {_NL} || ' owner: {{key: number (' || owner.key || '), priority: string ("' || owner.priority || '")}}' || {_NL}
   || ' items: [' || len(items) || '] {{n: number (' || items[1].n || '), part: number (' || items[1].part || '), qty: number (' || items[1].qty || ')}}' || {_NL} || '}}' from docs d join ready r on r.id = 'order ' || d.id""",
-    "read_page": f"""{_READ.replace("with ", "with recursive ", 1)}, pieces as (
+    "read_page": f"""{_READ.replace("with ", "with recursive ", 1)}, whole as (
   select id, unnest(string_split(markdown, {_NL})) as line, generate_subscripts(string_split(markdown, {_NL}), 1) as k from ready
+), cutting(id, k, j, line, rest) as (
+  select id, k, 0, '', line from whole
+  union all
+  select id, k, j + 1, substr(rest, 1, n), substr(rest, n + case when at_blank then 2 else 1 end) from (
+    select *, case when at_blank then blank else 1000 end as n from (
+      select *, 1000 - strpos(reverse(substr(rest, 1, 1000)), ' ') as blank, length(rest) > 1000 and strpos(reverse(substr(rest, 1, 1000)), ' ') between 1 and 199 as at_blank from cutting where rest <> '' or j = 0
+    )
+  )
+), pieces as (
+  select id, line, row_number() over (partition by id order by k, j) as k from cutting where j > 0
 ), packed(id, k, line, page_no, used) as (
   select id, k, line, 1, length(line) from pieces where k = 1
   union all

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brevia import api
-from brevia.operators import json_values
+from brevia.operators import json_docs, json_values
 
 KIND = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.StringType())])
 
@@ -60,3 +60,48 @@ def test_read_json_of_several_values_and_roots(spark):
                    ("prose", 0, "-", "invalid JSON"), ("trailing", 0, '{"a":1}', "-"), ("trailing", 1, "-", "invalid JSON"), ("twice", 0, '{"a":5}', "-"), ("twice", 0, '{"a":6}', "-")]
     whole = {r["id"]: r["content"] or r["error"] for r in api.read_json(docs.where("id <> 'twice'"), T.ArrayType(KIND), table=True).collect()}
     assert whole["lines"].count("\n") == 3 and whole["array"].endswith("| 2 | x |") and whole["trailing"] == "invalid JSON" and whole["misfit"] == "does not fit the schema"
+
+
+def plain_layout(value, width, depth=0):
+    flat = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    if not isinstance(value, (dict, list)) or not value or len(flat.encode()) <= width - depth:
+        return flat
+    pad = "\n" + " " * (depth + 1)
+    parts = [json.dumps(k, ensure_ascii=False) + ":" + plain_layout(v, width, depth + 1) for k, v in value.items()] if isinstance(value, dict) else [plain_layout(v, width, depth + 1) for v in value]
+    return ("{" if isinstance(value, dict) else "[") + pad + ("," + pad).join(parts) + pad[:-1] + ("}" if isinstance(value, dict) else "]")
+
+
+def test_layout_breaks_what_is_too_wide(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(120):
+        item = lambda: {"k": rng.randrange(10 ** rng.randrange(1, 9)), "t": ["é" * rng.randrange(1, 30) for _ in range(rng.randrange(1, 4))]}
+        rows.append({"name": "n" * rng.randrange(1, 60), "items": [item() for _ in range(rng.randrange(1, 6))], "grid": [[rng.randrange(1000) for _ in range(rng.randrange(1, 20))] for _ in range(rng.randrange(1, 4))], "one": {"two": {"three": "x" * rng.randrange(1, 70)}}})
+    kind = "name string, items array<struct<k: long, t: array<string>>>, grid array<array<long>>, one struct<two: struct<three: string>>"
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(rows)], "k int, t string").select("k", F.from_json("t", kind).alias("v"))
+    schema = df.schema["v"].dataType
+    for width in (100, 40):
+        got = {r["k"]: r["s"] for r in df.select("k", json_docs.shrink(F.col("v"), schema, width=width).alias("s")).collect()}
+        for k, r in enumerate(rows):
+            assert got[k] == plain_layout(r, width), r
+    notes = df.select(json_docs.shrink(F.col("v"), schema, most_items=1, drop=("grid", "one"), max_text=3, width=30).alias("s")).first()["s"]
+    assert json.loads(notes)["name"].startswith("nnn"[: len(rows[0]["name"])]) and max(map(len, notes.split("\n"))) < 60
+
+
+def test_pages_keep_their_budget_and_rows(spark):
+    order = json.dumps({"id": 1, "rows": [{"n": k, "text": "word " * 9} for k in range(200)]})
+    rows = [("json", order, "x.json"), ("line", "x" * 19_000, "a.txt"), ("line", "y" * 700 + " " + "z" * 700, "a.txt"), ("same", "one\ntwo", "a.txt"), ("same", "one\ntwo", "a.txt")]
+    docs = spark.createDataFrame(rows, "id string, text string, path string").withColumn("content_type", F.lit(None).cast("string"))
+    kind = T.StructType.fromDDL("id int, rows array<struct<n: int, text: string>>")
+    first = [(r["id"], r["content"]) for r in api.read_page(docs, 1, 1000, kind).collect()]
+    assert sorted(i for i, _ in first) == ["json", "line", "line", "same", "same"]
+    assert all(len(c.rsplit("\n\n[", 1)[0]) <= 1000 for _, c in first)
+    shown = dict(first)["json"]
+    assert shown.startswith('{\n "id":1,\n "rows":[\n  {"n":0,"text":"word ') and "[page 1 of " in shown
+    n = int(shown.rsplit(" of ", 1)[1].split(" ")[0])
+    every = [next(r["content"] for r in api.read_page(docs.where("id = 'json'"), k, 1000, kind).collect()).rsplit("\n\n[", 1)[0] for k in (1, 2, n)]
+    assert every[1].startswith('  {"n":') and every[2].endswith("\n ]\n}")
+    outlines = api.read_outlines(docs.withColumn("text", F.when(F.col("id") == "same", F.concat(F.lit("# A\n"), "text", F.col("path"))).otherwise(F.concat(F.lit("# "), F.substring("text", 1, 5)))).where("id <> 'json'")).collect()
+    assert sorted(r["id"] for r in outlines) == ["line", "line", "same", "same"] and {r["outline"].split("\n")[1][:8] for r in outlines if r["id"] == "line"} == {"1. xxxxx", "1. yyyyy"}
+    asked = spark.createDataFrame([("line", "1"), ("none", "1")], "id string, wanted string")
+    got = api.read_section(docs.withColumn("text", F.concat(F.lit("# H\n"), "text")), asked).collect()
+    assert sorted((r["id"], (r["section"] or r["error"])[4:8]) for r in got) == [("line", "xxxx"), ("line", "yyyy"), ("none", "uch ")]
