@@ -30,7 +30,7 @@ FREQUENT = 1 << 20
 #: Documents that an n-gram needs to be on that list at all.
 LEAST = 3
 #: N-grams that a task counts at a time, and the share of those seen once that go on.
-HELD, THIN = 1 << 22, 16
+HELD, THIN = 1 << 20, 16
 #: Longs of a signature.
 LANES = 16
 #: Documents of a token that all others of it are held against, in the step that takes the most central ones.
