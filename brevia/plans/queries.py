@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from brevia import api
 from brevia.functions import text as t
-from brevia.operators import diffs, grids, html, json_docs, json_values, logs, outline, pages, relations, report, tags, trees
+from brevia.operators import diffs, grids, html, json_docs, json_shape as shapes, json_values, logs, outline, pages, relations, report, tags, trees
 from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
@@ -407,6 +407,14 @@ def tree_summary(spark, d):
     return trees.tree_summary(inputs.site_files(spark, d), "root")
 
 
+@query
+def json_corpus_shape(spark, d):
+    orders = inputs.order_docs(spark, d).select(F.concat(F.lit("order "), F.lpad(F.col("doc.id").cast("string"), 12, "0")).alias("id"), F.to_json("doc").alias("text"))
+    customer = F.struct(F.concat(F.lit("customer no "), F.col("c_custkey").cast("string"), F.lit(' with "quotes" and more')).alias("id"), F.lit(None).cast("string").alias("owner"), F.array(F.array(F.lit(1), F.col("c_nationkey").cast("int")), F.array().cast("array<int>")).alias("grid"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    customers = read(spark, d, "customer").select(F.concat(F.lit("customer "), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("id"), F.to_json(customer, {"ignoreNullFields": "false"}).alias("text"))
+    return shapes.corpus_shape(orders.unionByName(customers))
+
+
 @query
 def html_title(spark, d):
     return read(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))

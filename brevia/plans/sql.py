@@ -254,6 +254,10 @@ select conv_id, wanted, id, title, regexp_replace(substr(md, (start + 1)::int, (
     "json_table": f"with {_DOCS} select id, '| n | part | qty |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), chr(10)) as markdown from docs",
     "json_flatten": f'with {_DOCS} select id, status, owner.key as "owner.key", owner.priority as "owner.priority" from docs',
     "json_ndjson_union": "select user_id, block, '[' || string_agg(props, ',' order by event_id) || ']' as js from (select *, ((row_number() over (partition by user_id order by event_id) - 1) // 500)::int as block from events) group by user_id, block",
+    "json_corpus_shape": f"""with {_DOCS}, one as (select * from docs order by id limit 1), least as (select min(len(items)) as low, max(len(items)) as high, count(*) as n from docs), person as (select * from customer order by c_custkey limit 1)
+select n + (select count(*) from customer) as n_documents, concat_ws(chr(10), '{{', ' even?: bool (' || (c_custkey % 2 = 0) || ')', ' grid?: [2] [0-2] number (1)', ' id: string|number ("' || replace(left('customer no ' || c_custkey || ' with "quotes" and more', 30), '"', '\\"') || '"…)',
+  ' items?: [' || low || case when low = high then '' else '-' || high end || '] {{n: number (' || items[1].n || '), part: number (' || items[1].part || '), qty: number (' || items[1].qty || ')}}',
+  ' owner: {{key: number (' || owner.key || '), priority: string ("' || owner.priority || '")}}|null', ' status?: string ("' || status || '")', '}}') as shape from one, least, person""",
     "json_layout": f"""with {_DOCS}, shown as (
   select *, list_transform(items, lambda x: '{{"n":' || x.n || ',"part":' || x.part || ',"qty":' || x.qty || '}}') as parts from docs
 ), flat as (
