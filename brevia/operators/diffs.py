@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.operators.lines import joined, running
 
 
+#: The first line of a file's part of a diff (a format).
+GIT_HEAD, GIT_SAME = r"^diff --git a/(.+) b/(.+)\z", r"^diff --git a/(.+) b/\1\z"
+
+
 def header_path(line: Column, marker: str) -> Column:
     """The path of a ---/+++ line: no marker, timestamp or a/ b/; null for /dev/null."""
     path = F.regexp_replace(F.substring_index(F.substr(line, F.lit(len(marker) + 1)), "\t", 1), "^[ab]/", "")
@@ -34,10 +40,14 @@ def _hunks(marked: DataFrame, *keys: str) -> DataFrame:
     head = F.col("hunk_no") == 0
     has = lambda *prefixes: F.max(F.when(head & F.col("line").rlike("^(?:" + "|".join(prefixes) + ")"), True).otherwise(False))
     path = lambda marker: F.max(F.when(head & F.col("line").startswith(marker), header_path(F.col("line"), marker)))
+    # what a file without hunks says of its paths: renames, then ---/+++ lines, then the first line
+    said = lambda prefix: F.max(F.when(head & F.col("line").startswith(prefix), F.substr("line", F.lit(len(prefix) + 1))))
+    named = lambda k: F.max(F.when(head & F.col("line").rlike(GIT_SAME), F.regexp_extract("line", GIT_SAME, 1)).when(head & F.col("line").rlike(GIT_HEAD), F.regexp_extract("line", GIT_HEAD, k)))
+    side_of = lambda rename, marker, k: F.coalesce(said(rename), F.when(has(re.escape(marker)), path(marker)).otherwise(named(k)))
     bare = F.regexp_replace(F.substr("line", F.lit(2)), r"\s+", "")
     side = lambda sign: F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == sign, F.struct("line_no", bare.alias("bare"))))), lambda x: x["bare"])
     hunks = marked.groupBy(*keys, "file_no", "hunk_no").agg(
-        path("--- ").alias("old_path"), path("+++ ").alias("new_path"), has("Binary files ").alias("binary"), has("new file mode").alias("new"), has("deleted file mode").alias("gone"),
+        side_of("rename from ", "--- ", 1).alias("old_path"), side_of("rename to ", "+++ ", 2).alias("new_path"), has("Binary files ").alias("binary"), has("new file mode").alias("new"), has("deleted file mode").alias("gone"),
         has("rename from ").alias("renamed"), has("old mode ", "new mode ").alias("mode"), F.count_if(F.col("change") == "+").alias("adds"), F.count_if(F.col("change") == "-").alias("dels"),
         side("-").alias("out"), side("+").alias("in"), joined("line_no", "line").alias("body"),
     )

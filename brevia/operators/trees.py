@@ -34,6 +34,44 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+#: Signs of an ignore line and what they match in a path, in the order they are looked for: private signs hold a place until all are found.
+_GLOBS = [("**/", "\ue001", "(?:.*/)?"), ("/**", "\ue002", "/.*"), ("**", "\ue003", ".*"), ("*", "\ue004", "[^/]*"), ("?", "\ue005", "[^/]"), ("[!", "\ue006", "[^")]
+
+
+def ignore_rules(texts: DataFrame, root: str, text: str) -> DataFrame:
+    """root, rank, pattern, takes_back and dir_only: a row for each rule of each root's ignore file.
+
+    A rule is a line that is neither blank nor a comment; one with a slash before its end is held against whole paths,
+    others against the last name.
+    """
+    lines = texts.select(root, F.posexplode(F.split(text, "\n")).alias("rank", "line"))
+    rules = lines.withColumn("line", F.regexp_replace("line", r"\s+\z", "")).where("line <> '' and not startswith(line, '#')")
+    bare = rules.withColumns({"takes_back": F.col("line").startswith("!"), "dir_only": F.col("line").endswith("/"), "glob": F.regexp_replace("line", r"^!|/\z", "")})
+    pattern = F.regexp_replace(F.regexp_replace("glob", "^/", ""), r"([.+^${}()|\\])", r"\\$1")
+    for sign, held, _ in _GLOBS:
+        pattern = F.replace(pattern, F.lit(sign), F.lit(held))
+    for _, held, meaning in _GLOBS:
+        pattern = F.replace(pattern, F.lit(held), F.lit(meaning))
+    anchor = F.when(F.col("glob").contains("/"), "^").otherwise("(?:^|/)")
+    return bare.select(root, "rank", F.concat(anchor, pattern, F.lit("\\z")).alias("pattern"), "takes_back", "dir_only")
+
+
+def not_ignored(files: DataFrame, rules: DataFrame, root: str) -> DataFrame:
+    """files (root, path, ...) without those that their root's rules leave out.
+
+    Every directory and file is judged by the last rule that fits it; what is below a directory that is left out goes with
+    it, whatever later rules take back, as it is never entered. Each distinct path of a root meets the rules of that root
+    once; paths and rules are joined by root, and the last fitting rule is a partial maximum.
+    """
+    parts = F.split("path", "/")
+    steps = files.select(root, "path", F.explode(F.transform(parts, lambda _, i: F.struct(F.array_join(F.slice(parts, F.lit(1), i + 1), "/").alias("step"), (i + 1 < F.size(parts)).alias("is_dir")))).alias("s")).select(root, "path", "s.*").distinct()
+    fits = F.expr("step rlike pattern") & (~F.col("dir_only") | F.col("is_dir"))
+    judged = steps.select(root, "step", "is_dir").distinct().join(rules, root).where(fits)
+    out = judged.groupBy(root, "step", "is_dir").agg(F.max_by("takes_back", "rank").alias("takes_back")).where("not takes_back").select(root, "step", "is_dir")
+    gone = steps.join(out, [root, "step", "is_dir"], "left_semi").select(root, "path").distinct()
+    return files.join(gone, [root, "path"], "left_anti").select(*files.columns)
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """root, path and size of every file below a folder, from its listing; no content is read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

@@ -293,6 +293,19 @@ def diff_files(spark, d):
     return diffs.diff_files(inputs.diffs(spark, d), "conv_id")
 
 
+@query
+def diff_heads(spark, d):
+    """Files of a diff that have no hunks: renamed, of other mode, empty, gone, binary, or named by ---/+++ lines alone."""
+    name = F.concat(F.lit("dir b/c"), F.col("c_custkey").cast("string"))
+    head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name)
+    moved = F.concat(F.lit("diff --git a/"), name, F.lit(" b/moved/"), name)
+    parts = [(moved, "similarity index 100%", F.concat(F.lit("rename from "), name), F.concat(F.lit("rename to moved/"), name)), (head, "old mode 100644", "new mode 100755"), (head, "new file mode 100644", "index 0..0"), (head, "deleted file mode 100644"),
+             (head, "index 1..2", F.concat(F.lit("Binary files a/"), name, F.lit(" and b/"), name, F.lit(" differ")))]
+    lines = F.array(*[x if not isinstance(x, str) else F.lit(x) for part in parts for x in part])
+    rows = read(spark, d, "customer").select("c_custkey", F.posexplode(lines).alias("line_no", "line"))
+    return diffs.diff_markdown(rows, "c_custkey").join(diffs.diff_files(rows, "c_custkey").groupBy("c_custkey").agg(F.max(F.when(F.col("file_no") == 1, F.col("old_path"))).alias("moved_from")), "c_custkey")
+
+
 @query
 def diff_ws_only(spark, d):
     return diffs.whitespace_only(inputs.diffs(spark, d), "conv_id")
@@ -397,6 +410,16 @@ def tree_ignored(spark, d):
     return inputs.site_files(spark, d).where(~trees.ignored(F.col("path"), ["# generated", "*.html", "!8*.html", "en/", "/de/1*"])).select("root", "path")
 
 
+@query
+def tree_rules(spark, d):
+    """Sites with ignore files of their own: by the length of their names one of three, or none."""
+    files = inputs.site_files(spark, d)
+    which = F.length("root") % 4
+    text = F.when(which == 0, "# pages\n*.html\n!8*.html\n\nen/\n!en/keep.html\n").when(which == 1, "/de/1*\r\n**/2?.html\nfr\n").when(which == 2, "es/**\n!es/7.html\n[0-4]*.html  \n!/en/")
+    rules = trees.ignore_rules(files.select("root").distinct().select("root", text.alias("text")).where("text is not null"), "root", "text")
+    return trees.not_ignored(files, rules, "root").select("root", "path")
+
+
 @query
 def tree_counts(spark, d):
     return trees.tree_counts(inputs.site_files(spark, d), "root")

@@ -303,6 +303,9 @@ select conv_id, '1' as file_no, n as adds, n as dels from files union all select
     "diff_files": f"""with {_DIFFS}
 select conv_id, 1::bigint as file_no, 'c' || conv_id || '.txt' as old_path, 'c' || conv_id || '.txt' as new_path, 'modified' as status, n as adds, n as dels from files
 union all select conv_id, 2, null, 'new-c' || conv_id || '.txt', 'new', 1, 0 from files""",
+    "diff_heads": f"""with names as (select c_custkey, 'dir b/c' || c_custkey as name from customer)
+select c_custkey, '**5 file(s) changed** (+0 -0)' || {_NL} || {_NL} || '## ' || name || ' → moved/' || name || ' (renamed, +0 -0)' || {_NL} || {_NL} || '## ' || name || ' (mode changed, +0 -0)' || {_NL} || {_NL} || '## ' || name || ' (new, +0 -0)' || {_NL} || {_NL}
+  || '## ' || name || ' (deleted, +0 -0)' || {_NL} || {_NL} || '## ' || name || ' (binary, +0 -0)' as markdown, name as moved_from from names""",
     "diff_ws_only": f"with {_DIFFS} select conv_id, 1::bigint as file_no, hunk_no::bigint as hunk_no, ws_only from hunks union all select conv_id, 2, 1, false from files",
     "diff_markdown": f"with {_DIFFS} select conv_id, markdown from diffs",
     "pdf_scanned_pages": r"""
@@ -329,6 +332,16 @@ with parts as (
     "tree_ignored": f"""with {_SITE}
 select root, path from files where not case when regexp_matches(path, '^de/1[^/]*(/.*)?$') then true when regexp_matches(path, '(^|/)en/.+$') then true
   when regexp_matches(path, '(^|/)8[^/]*[.]html(/.*)?$') then false when regexp_matches(path, '(^|/)[^/]*[.]html(/.*)?$') then true else false end""",
+    "tree_rules": f"""with {_SITE}, ruled as (
+  select root, path, length(root) % 4 as which, parts[depth] as name, array_to_string(parts[1:depth], '/') as step, depth < len(parts) as is_dir from steps
+), judged as (
+  select root, path, case which
+    when 0 then case when step = 'en/keep.html' then false when is_dir and name = 'en' then true when regexp_matches(name, '^8.*[.]html$') then false else regexp_matches(name, '[.]html$') end
+    when 1 then name = 'fr' or regexp_matches(name, '^2.[.]html$') or regexp_matches(step, '^de/1[^/]*$')
+    when 2 then case when step = 'en' and is_dir then false when regexp_matches(name, '^[0-4].*[.]html$') then true when step = 'es/7.html' then false else starts_with(step, 'es/') end
+    else false end as gone from ruled
+)
+select root, path from judged group by all having not bool_or(gone)""",
     "tree_summary": f"""with {_SITE}, places as (
   select root, array_to_string(parts[1:depth], '/') as path, parts[1:depth] as steps, depth, max(depth < len(parts)) as is_dir, max(case when depth = len(parts) then bytes end) as shown_size from (select root, path, parts, depth, s.bytes from steps join (select root as r, path as p, size as bytes from files) s on root = s.r and path = s.p) group by all
 ), counts as (
