@@ -82,6 +82,27 @@ def log_texts(spark: SparkSession, sf_dir: str, most: int = 5_000) -> DataFrame:
     return lines.groupBy("user_id", "block").agg(joined("line_no", "line").alias("text"))
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, seq, line: each conversation as the event lines of a session: a start, two reports of each answer with a tool's use, results, a line that is no JSON, an end."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    usage = lambda n: F.struct(n.cast("long").alias("input_tokens"), F.col("turn").alias("cache_creation_input_tokens"), F.lit(2).alias("cache_read_input_tokens"), F.lit(3).alias("output_tokens"))
+    name = F.when(F.col("turn") % 3 == 0, "Bash").when(F.col("turn") % 3 == 1, "mcp__files__read_it").otherwise("Edit")
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), name.alias("name"), F.struct(F.lit(" grep -n x").alias("command")).alias("input")))
+    said = F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    head = lambda n, blocks: F.concat(F.lit('{"type":"assistant","message":{"id":"m'), F.col("turn").cast("string"), F.lit('","usage":'), F.to_json(usage(n)), F.lit(',"content":['), blocks, F.lit("]}}"))
+    content = F.when(F.col("turn") % 4 < 2, F.substring(F.to_json(F.array("text")), 2, 2**30)).otherwise(F.concat(F.lit('[{"type":"text","text":"ab"},'), said, F.lit("]]")))
+    result = F.concat(F.lit('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t'), (F.col("turn") - 1).cast("string"), F.lit('","content":'), F.expr("substr(c, 1, length(c) - 1)"), F.lit("}]}}"))
+    lines = turns.withColumn("c", content).select("session", (F.col("turn") * 4 + 10).alias("at"), F.when(F.col("role") == "user", F.array(result)).otherwise(F.array(head(F.lit(1), said), F.lit("{broken"), head(F.length("text"), use))).alias("lines"))
+    lines = lines.select("session", "at", F.posexplode("lines").alias("k", "line")).select("session", (F.col("at") + F.col("k")).alias("seq"), "line")
+    whole = turns.groupBy("session").agg(F.count("*").alias("n"))
+    status = F.when(F.col("session") % 7 == 0, "failed").otherwise("connected")
+    start = whole.select("session", F.lit(0).cast("long").alias("seq"), F.concat(F.lit('{"type":"system","subtype":"init","mcp_servers":[{"name":"files","status":"'), status, F.lit('"}]}')).alias("line"))
+    fails = F.col("session") % 5 == 0
+    done = F.concat(F.lit('{"type":"result","subtype":"'), F.when(fails, "error_max").otherwise("success"), F.lit('","is_error":'), fails.cast("string"), F.lit(',"result":"done\\nall","total_cost_usd":0.25,"num_turns":'), F.col("n").cast("string"),
+                    F.lit(',"duration_ms":1500,"permission_denials":[{"tool":"x"}],"modelUsage":{"big":{"inputTokens":100,"outputTokens":5},"small":{"inputTokens":'), F.col("n").cast("string"), F.lit("}}}"))
+    return lines.unionByName(start).unionByName(whole.select("session", F.lit(1_000_000).cast("long").alias("seq"), done.alias("line")))
+
+
 def framed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, md: each conversation as Markdown with a table of its turns and a fenced block of its questions."""
     turns = read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text", "concat('| ', cast(turn as string), ' | ', role, ' | ', cast(length(text) as string), ' |') as row")

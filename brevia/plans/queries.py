@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from brevia import api
 from brevia.functions import text as t
-from brevia.operators import diffs, grids, html, json_docs, json_shape as shapes, json_values, logs, outline, pages, relations, report, tags, trees
+from brevia.operators import diffs, grids, html, json_docs, json_shape as shapes, json_values, logs, outline, pages, relations, report, sessions as transcripts, tags, trees
 from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
@@ -546,6 +546,11 @@ def tool_summary(spark, d):
     return report.tools_summary(turns.select("session", report.tool_label(F.col("name"), F.col("command")).alias("label")))
 
 
+@query
+def sessions(spark, d):
+    return transcripts.sessions(inputs.transcripts(spark, d), "files")
+
+
 @query
 def context_sizes(spark, d):
     calls = read(spark, d, "conversations").selectExpr("conv_id", "turn", "cast(length(text) as bigint) as fresh_input", "cast(turn as bigint) as cache_creation", "if(turn % 2 = 0, cast(length(role) as bigint), null) as cache_read")

@@ -518,6 +518,19 @@ union all select 'order ' || o_orderkey, wanted, null, 'sections are for documen
     "tool_summary": r"""
 with labels as (select conv_id, case when role = 'user' then 'Bash(' || regexp_extract(text, '^\s*(\S+)', 1) || ')' else 'read' end as label from conversations), counted as (select conv_id, label, count(*) as n from labels group by all)
 select conv_id as session, array_to_string(list_sort(list(label || case when n > 1 then '×' || n else '' end)), ', ') as tools from counted group by conv_id""",
+    "sessions": r"""
+with turns as (select conv_id as session, turn::bigint as turn, role = 'user' as asks, length(text) as n from conversations), uses as (
+  select u.session, case u.turn % 3 when 0 then 'Bash(grep)' when 1 then 'read_it' else 'Edit' end as label, u.n + u.turn + 2 as context, a.n + case when a.turn % 4 < 2 then 0 else 2 end as chars
+  from turns u left join turns a on a.session = u.session and a.turn = u.turn + 1 and a.asks where not u.asks
+), labels as (select session, label, count(*) as n, sum(chars) as chars from uses group by all), called as (
+  select session, count(*) as n_calls, sum(context) as input_total, max(context) as context_end, 3 * count(*) as output_total, count(*) filter (chars is null) as n_unanswered from uses group by session
+), tooled as (
+  select session, array_to_string(list_sort(list(label || case when n > 1 then '×' || n else '' end)), ', ') as tools, arg_max(label, {'c': chars, 'l': label}) filter (chars > 0) as top_tool from labels group by session
+), whole as (select session, count(*) as n, coalesce(sum(case when asks then n + case when turn % 4 < 2 then 0 else 2 end end), 0) as tool_chars from turns group by session)
+select w.session, coalesce(n_calls, 0)::bigint as n_calls, coalesce(input_total, 0)::bigint as input_total, coalesce(context_end, 0)::bigint as context_end, coalesce(output_total, 0)::bigint as output_total, coalesce(tools, '') as tools,
+  coalesce(n_calls, 0)::bigint as n_tools, coalesce(n_unanswered, 0)::bigint as n_unanswered, tool_chars::bigint as tool_chars, top_tool, 'done' || chr(10) || 'all' as answer, 0.25::double as cost, n::int as turns, 1500::bigint as duration_ms, 1 as denied, least(105, n)::bigint as side_tokens,
+  case when w.session % 7 = 0 then 'server files failed' when w.session % 5 = 0 then 'error_max: done' end as error
+from whole w left join called c on w.session = c.session left join tooled t on w.session = t.session""",
     "context_sizes": "select conv_id, turn, (length(text) + turn + case when turn % 2 = 0 then length(role) else 0 end)::bigint as input from conversations",
     "side_tokens": "select conv_id as session, (sum(n) - max(n))::bigint as side_tokens from (select conv_id, role, sum(length(text)) as n from conversations group by all) group by conv_id",
     "verdicts": r"select conv_id, turn, case when turn % 5 = 4 then 'error' when length(text) % 2 = 0 then 'yes' else 'no' end as verdict, regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^[^\n]*') as first_line from conversations",
