@@ -75,3 +75,20 @@ def plural(n: Column, one: str, many: str) -> Column:
 def clip(text: Column, most: int, tail: str = "…") -> Column:
     """At most so many characters, with a mark where some are gone."""
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit(tail))).otherwise(text)
+
+
+_WORD = r"[\p{L}\p{Nd}]"
+#: Of Markdown, what is passed over as a whole, and the one escape that goes; each is a group of its own.
+_ESCAPES = (
+    r"(?m)((?s:^ *+(`{3,}+)[^\n]*+(?:\n.*?(?:^ *+\2`*+$|\z)|\z)))|((?s:^ *+(~{3,}+)[^\n]*+(?:\n.*?(?:^ *+\4~*+$|\z)|\z)))"
+    rf"|(?<={_WORD})\\(_)(?={_WORD})|(\\.)|((`++).*?(?<!`)\8(?!`))|(`++)"
+)
+
+
+def unescape_intraword(markdown: Column) -> Column:
+    """Markdown without the backslash before an underscore between two letters or digits, which never means emphasis.
+
+    Fenced blocks and code spans stay: a run of backticks opens a span if a run of the same length closes it on its line. One
+    pass from left to right takes fences, escapes and spans as they come, so an escaped backtick opens nothing.
+    """
+    return F.when(markdown.contains("\\_"), F.regexp_replace(markdown, _ESCAPES, "$1$3$5$6$7$9")).otherwise(markdown)

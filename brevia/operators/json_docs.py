@@ -100,6 +100,60 @@ def select_run(items: Column, *names: str, index: int) -> Column:
     return select_index(select_field(items, *names), index)
 
 
+#: The step that goes on with each element by itself.
+EACH = "[]"
+Step = str | int | slice | dict[str, tuple]
+
+
+def select_steps(value: Column, kind: T.DataType, *steps: Step) -> tuple[Column, T.DataType] | None:
+    """What a list of steps takes of a typed value, with its type; None where the type has no such part.
+
+    A step is the name of a field, a place from 0 (or from the end at -1), a slice, ``EACH``, or a pick: a dict from new
+    names to steps of their own. A field or pick of an array starts a run: it and those that follow it are taken of every
+    element, and places and slices behind the run are those of the list that came out, so ("items", "name", 1) is the second
+    name, while ("items", EACH, "tags", 0) is the first tag of each. Elements without a match go. A null counts as missing.
+    """
+    if not steps:
+        return value, kind
+    step, rest = steps[0], steps[1:]
+    if isinstance(step, (str, dict)) and step != EACH:
+        if isinstance(kind, T.ArrayType):
+            run = next((k for k, s in enumerate(steps) if s == EACH or not isinstance(s, (str, dict))), len(steps))
+            mapped = _of_each(value, kind, *steps[:run])
+            return mapped and select_steps(*mapped, *steps[run:])
+        if not isinstance(kind, T.StructType):
+            return None
+        if isinstance(step, str):
+            return select_steps(value[step], kind[step].dataType, *rest) if step in kind.fieldNames() else None
+        found = {name: select_steps(value, kind, *path) for name, path in step.items()}
+        picked = {name: x for name, x in found.items() if x}
+        if not picked:
+            return None
+        made = F.when(value.isNotNull(), F.struct(*[x.alias(name) for name, (x, _) in picked.items()]))
+        return select_steps(made, T.StructType([T.StructField(name, t) for name, (_, t) in picked.items()]), *rest)
+    if not isinstance(kind, T.ArrayType):
+        return None
+    if step == EACH:
+        return _of_each(value, kind, *rest)
+    if isinstance(step, slice):
+        return select_steps(select_slice(value, step.start, step.stop), kind, *rest)
+    return select_steps(select_index(value, step), kind.elementType, *rest)
+
+
+def _of_each(items: Column, kind: T.ArrayType, *steps: Step) -> tuple[Column, T.DataType] | None:
+    """The steps of every element that has them."""
+    types: list[T.DataType] = []
+
+    def one(x: Column) -> Column:
+        found = select_steps(x, kind.elementType, *steps)
+        if found:
+            types.append(found[1])
+        return found[0] if found else F.lit(None)
+
+    made = F.array_compact(F.transform(items, one))
+    return (made, T.ArrayType(types[0])) if types else None
+
+
 def first_match(entries: Column, key: str) -> Column:
     """The value of the first of (k, v) with that key."""
     return F.try_element_at(F.filter(entries, lambda e: e["k"] == key), F.lit(1))["v"]

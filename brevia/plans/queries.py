@@ -14,7 +14,7 @@ from brevia.operators import diffs, grids, html, json_docs, json_shape as shapes
 from brevia.operators.lines import joined
 from brevia.plans import inputs
 from brevia.plans.inputs import read
-from brevia.plans.sql import SQL
+from brevia.plans.sql import SAMPLES, SQL
 from brevia.sources import detect
 from brevia.streaming import events
 
@@ -92,6 +92,28 @@ def decode_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(detect.decoded(content)).alias("digest"), detect.is_text(content).alias("is_text"))
 
 
+@query
+def decode_charsets(spark, d):
+    """Every document's ASCII, with signs of one of six charsets, from that charset's bytes: named by a header, by the page, or by nothing."""
+    which = F.col("doc_id") % 6
+    chosen = lambda of: F.element_at(F.array(*[F.lit(of(k)) for k in range(6)]), (which + 1).cast("int"))
+    held = chosen(lambda k: SAMPLES[k][1].encode(SAMPLES[k][2]).decode("latin-1"))
+    page = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit('<meta content="text/html; charset='), chosen(lambda k: SAMPLES[k][0].upper()), F.lit('">'))).otherwise("")
+    content = F.encode(F.concat(page, held, F.regexp_replace("text", "[^\\x00-\\x7F]", "?")), "ISO-8859-1")
+    header = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("text/plain; Charset='"), chosen(lambda k: SAMPLES[k][0]), F.lit("'")))
+    text = detect.decoded(content, header)
+    return read(spark, d, "documents").select("doc_id", F.substring(text, 1, 80).alias("head"), F.md5(text).alias("digest"))
+
+
+@query
+def unescape_intraword(spark, d):
+    """Each document's first words with escapes in words, spans, fences and between: only those inside words go."""
+    words = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), "[^A-Za-z0-9]+", " "))
+    escaped = F.replace(words, F.lit(" "), F.lit(r"\_"))
+    lines = [escaped, F.concat(F.lit("`"), escaped, F.lit(r"` a\_b ``c\_d` e\_f`` \`g\_h\` \\_i ` j\_k")), F.lit("```x"), escaped, F.lit("````"), *map(F.lit, (r"é\_1 \_x x\_ a\_\_b *a\_b*", " ~~~", r"l\_m", "~~~ no", r"n\_o"))]
+    return read(spark, d, "documents").where("text is not null").select("doc_id", t.unescape_intraword(F.concat_ws("\n", *lines)).alias("markdown"))
+
+
 @query
 def text_units(spark, d):
     line = F.concat(F.lit("  # "), F.substring_index("text", "\n", 1))
@@ -256,6 +278,18 @@ def json_select_run(spark, d):
     return inputs.order_docs(spark, d).select("doc.id", json_docs.select_run(F.col("doc.items"), "part", index=1).cast("string").alias("second_part"))
 
 
+@query
+def json_select_steps(spark, d):
+    """Runs and their borders: a place behind a run is one of the collected list, behind an EACH one of each element."""
+    item = lambda x: F.struct(x["part"].alias("name"), F.when(x["n"] % 3 > 0, F.array(x["n"], x["qty"].cast("int"))).alias("tags"), F.struct(x["qty"].alias("qty")).alias("in"))
+    docs = inputs.order_docs(spark, d).select("doc.id", F.struct(F.transform("doc.items", item).alias("items")).alias("doc"))
+    each = json_docs.EACH
+    asked = {"second_name": ("items", "name", 1), "first_tags": ("items", each, "tags", 0), "tags_of_first": ("items", "tags", 0), "last_qty": ("items", -1, "in", "qty"), "two": ("items", slice(0, 2), "in", "qty"),
+             "picked": ("items", {"who": ("name",), "first": ("tags", 0)}, 0), "picks": ("items", {"q": ("in", "qty")}, "q"), "ends": ("items", each, "tags", slice(-1, None), 0)}
+    taken = {name: json_docs.select_steps(F.col("doc"), docs.schema["doc"].dataType, *steps)[0] for name, steps in asked.items()}
+    return docs.select("id", *[F.coalesce(F.to_json(F.array(x), json_docs.OPTIONS), F.lit("[null]")).alias(name) for name, x in taken.items()])
+
+
 @query
 def json_no_match(spark, d):
     docs = inputs.order_docs(spark, d).select("doc.id", "doc", "doc.items")

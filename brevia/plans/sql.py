@@ -137,6 +137,24 @@ _SITE = """split as (
 )"""
 
 
+#: Charsets of the query on them: name, text with signs of it, codec; the last has no table.
+SAMPLES = [("windows-1252", "“Œuvre” – 5 €", "cp1252"), ("windows-1251", "Привет, мир №5", "cp1251"), ("iso-8859-2", "Źródło łąki", "iso8859_2"), ("koi8-r", "Добрый день", "koi8_r"), ("iso-8859-15", "Žižka 7 €", "iso8859_15"), ("x-unheard-of", "naïve", "latin-1")]
+
+
+def _sample(of) -> str:
+    """A case over the charset of a document."""
+    return "case doc_id % 6 " + " ".join(f"when {k} then '{of(k)}'" for k in range(6)) + " end"
+
+
+def _as_named(k: int) -> str:
+    return SAMPLES[k][1] if k < 5 else "na\ufffdve"
+
+
+def _as_windows(raw: bytes) -> str:
+    """Bytes as windows-1252, where a byte without a sign is the control sign of its number."""
+    return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
+
+
 _STRIPPED = "html"
 for _tag in "script style noscript template svg canvas iframe object embed picture video audio button select textarea dialog".split():
     _STRIPPED = rf"regexp_replace({_STRIPPED}, '(?is)<{_tag}(\s[^>]*)?>.*?</{_tag}>', ' ', 'g')"
@@ -222,6 +240,15 @@ with forms as (
 )
 select page_id, form, case when regexp_matches(address, '^https://github\.com/[\w.-]+/[\w.-]+/(pull/[0-9]+|commit/[0-9a-fA-F]{7,40})/?$') then rtrim(address, '/') || '.diff' else address end as address from forms""",
     "decode_text": r"select doc_id, md5(case when doc_id % 3 = 1 then regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') else text end) as digest, true as is_text from documents",
+    "decode_charsets": f"""
+with made as (
+  select doc_id, case when doc_id % 4 = 1 then '<meta content="text/html; charset=' || {_sample(lambda k: SAMPLES[k][0].upper())} || '">' else '' end as page, regexp_replace(text, '[^\\x{{00}}-\\x{{7F}}]', '?', 'g') as rest,
+    case when doc_id % 4 < 2 then {_sample(_as_named)} else {_sample(lambda k: _as_windows(SAMPLES[k][1].encode(SAMPLES[k][2])))} end as held from documents
+)
+select doc_id, substr(page || held || rest, 1, 80) as head, md5(page || held || rest) as digest from made""",
+    "unescape_intraword": r"""
+with words as (select doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z0-9]+', ' ', 'g')) as word from documents where text is not null)
+select doc_id, array_to_string([replace(word, ' ', '_'), '`' || replace(word, ' ', '\_') || '` a_b ``c\_d` e\_f`` \`g_h\` \\_i ` j_k', '```x', replace(word, ' ', '\_'), '````', 'é_1 \_x x\_ a\_\_b *a_b*', ' ~~~', 'l\_m', '~~~ no', 'n\_o'], chr(10)) as markdown from words""",
     "text_units": f"""
 select doc_id, case when n_chars < 1000 then n_chars::varchar when n_chars >= 10000 then round_even(n_chars / 1000.0, 0)::bigint || 'k' else {_tenths('n_chars', 1000)} || 'k' end as tokens,
   case when length(text) > 40 then substr(text, 1, 40) || '…' else text end as clipped, '  \\# ' || string_split(text, chr(10))[1] as escaped, case when n_chars % 2 = 1 then 'one' else 'many' end as plural from documents""",
@@ -288,6 +315,13 @@ select o_custkey, block::int as block, n::int as n, case when o_orderkey % 13 <>
   case when o_orderkey % 13 = 0 then 'does not fit the schema' end as error from blocked
 union all select o_custkey, block::int, count(*)::int, null, null, 'invalid JSON' from blocked where o_custkey % 7 = 0 group by o_custkey, block""",
     "json_select_run": f"with {_DOCS} select id, list_transform(items, lambda x: x.part)[2]::varchar as second_part from docs",
+    "json_select_steps": f"""with {_DOCS}, shown as (
+  select id, list_transform(items, lambda x: x.part) as names, list_transform(items, lambda x: x.qty) as qtys, list_transform(list_filter(items, lambda x: x.n % 3 > 0), lambda x: [x.n::bigint, x.qty::bigint]) as tags, items[1].n % 3 > 0 as tagged from docs
+), texts as (
+  select *, list_transform(tags, lambda x: '[' || x[1] || ',' || x[2] || ']') as pairs from shown
+)
+select id, '[' || coalesce(names[2]::varchar, 'null') || ']' as second_name, '[[' || array_to_string(list_transform(tags, lambda x: x[1]), ',') || ']]' as first_tags, '[' || coalesce(pairs[1], 'null') || ']' as tags_of_first, '[' || qtys[-1] || ']' as last_qty, '[[' || array_to_string(qtys[1:2], ',') || ']]' as two,
+  '[{{"who":' || names[1] || ',"first":' || case when tagged then tags[1][1]::varchar else 'null' end || '}}]' as picked, '[[' || array_to_string(qtys, ',') || ']]' as picks, '[[' || array_to_string(list_transform(tags, lambda x: x[2]), ',') || ']]' as ends from texts""",
     "json_no_match": f"with {_DOCS} select id, case when len(items) < 5 then 'nothing matches items[4].n; it is an array of ' || len(items) || ' items' end as why, 'nothing matches x; it has the keys id, status, owner, items' as keys from docs",
     "json_first_match": "select c_custkey, c_name as name, c_mktsegment as segment, null::varchar as other from customer",
     "json_union_columns": "select r_regionkey::bigint as id, r_name as name, null::varchar as label, null::varchar as parent from region union all select n_nationkey::bigint, null, n_name, n_regionkey::varchar from nation",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevia.sources import charsets
+
 #: Kinds by file extension (fixed values).
 EXTENSIONS = {
     ".html": "html", ".htm": "html", ".xhtml": "html", ".pdf": "pdf", ".docx": "docx", ".xlsx": "xlsx", ".xlsm": "xlsx", ".pptx": "pptx", ".json": "json", ".jsonl": "json",
@@ -33,17 +35,14 @@ def freshness_key(path: Column, modified: Column, length: Column) -> Column:
     return F.concat_ws(":", path, F.unix_micros(modified.cast("timestamp")).cast("string"), length.cast("string"))
 
 
-#: What the bytes 0x80 to 0x9F stand for in windows-1252, where they stand for anything (fixed values).
-WINDOWS = {
-    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”",
-    0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
-}
-
+def decoded(content: Column, content_type: Column | None = None) -> Column:
+    """The text of bytes, which never fails; a byte order mark goes.
 
-def decoded(content: Column) -> Column:
-    """The text of bytes, which never fails: UTF-16 by its mark, else valid UTF-8, else windows-1252; a byte order mark goes."""
+    UTF-16 by its mark, else valid UTF-8, else the single-byte charset that the content type or a page's head names, else
+    windows-1252. What the named charset has no sign for, and all but ASCII of a charset without a table, is U+FFFD.
+    """
     mark, raw = F.hex(F.substring(content, 1, 2)), content.cast("string")
-    legacy = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+    legacy = charsets.single_byte(content, charsets.declared(content, F.lit("") if content_type is None else content_type))
     big, little = F.decode(F.substring(content, 3, 2**31 - 1), "UTF-16BE"), F.decode(F.substring(content, 3, 2**31 - 1), "UTF-16LE")
     even = F.octet_length(content) % 2 == 0
     text = F.when(F.is_valid_utf8(raw), raw).when((mark == "FEFF") & even, big).when((mark == "FFFE") & even, little).otherwise(legacy)
