@@ -16,7 +16,7 @@ from brevia.plans import inputs
 from brevia.plans.inputs import read
 from brevia.plans.sql import SAMPLES, SQL
 from brevia.sources import detect
-from brevia.streaming import events
+from brevia.streaming import batches, events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +653,11 @@ def event_microbatch(spark, d):
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+@query
+def count_or_time_batches(spark, d):
+    return batches.count_or_time(events.event_stream(spark, f"{d}/events.parquet"), 20, 6 * 3600)
+
+
 @query
 def ttl_cache(spark, d):
     return events.ttl_cache(events.event_stream(spark, f"{d}/events.parquet"), 86_400, events.scratch(spark))

@@ -571,6 +571,17 @@ from whole w left join called c on w.session = c.session left join tooled t on w
     "error_texts": "select page_id, case length(url) % 3 when 0 then 'HTTP 404 from ' || url when 2 then 'fetch ' || url || ': timed out' end as error from pages",
     "entry_sizes": "select page_id, (strlen(url) + strlen(html))::bigint as size from pages",
     "freshness": "select event_id, event_id % 3 <> 0 and (event_id % 2 = 0 or event_id % 4 > 1 or (event_id % 5 = 0 and event_id % 7 <> 0)) as reuse from events",
+    "count_or_time_batches": """with recursive ordered as (
+  select user_id, event_id, epoch_us(ts) as moment, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null and ts is not null
+), taken as (
+  select user_id, event_id, moment, k, moment as first_at, 1 as n from ordered where k = 1
+  union all
+  select o.user_id, o.event_id, o.moment, o.k, case when t.n = 20 or o.moment - t.first_at >= 21600000000 then o.moment else t.first_at end, case when t.n = 20 or o.moment - t.first_at >= 21600000000 then 1 else t.n + 1 end
+  from taken t join ordered o on o.user_id = t.user_id and o.k = t.k + 1
+), numbered as (
+  select *, sum(case when n = 1 then 1 else 0 end) over (partition by user_id order by k) as batch from taken
+)
+select user_id, min(first_at)::bigint as first_at, count(*)::bigint as n, arg_min(event_id, k)::bigint as first_event, arg_max(event_id, k)::bigint as last_event from numbered group by user_id, batch""",
     "ttl_cache": """with recursive ordered as (
   select user_id, epoch_us(ts) as moment, row_number() over (partition by user_id order by ts, event_id) as k from events
 ), walk(user_id, k, inserted, hits) as (
