@@ -80,7 +80,7 @@ def clip(text: Column, most: int, tail: str = "…") -> Column:
 _WORD = r"[\p{L}\p{Nd}]"
 #: Of Markdown, what is passed over as a whole, and the one escape that goes; each is a group of its own.
 _ESCAPES = (
-    r"(?m)((?s:^ *+(`{3,}+)[^\n]*+(?:\n.*?(?:^ *+\2`*+$|\z)|\z)))|((?s:^ *+(~{3,}+)[^\n]*+(?:\n.*?(?:^ *+\4~*+$|\z)|\z)))"
+    r"(?md)((?s:^ *+(`{3,}+)[^\n]*+(?:\n.*?(?:^ *+\2`*+$|\z)|\z)))|((?s:^ *+(~{3,}+)[^\n]*+(?:\n.*?(?:^ *+\4~*+$|\z)|\z)))"
     rf"|(?<={_WORD})\\(_)(?={_WORD})|(\\.)|((`++).*?(?<!`)\8(?!`))|(`++)"
 )
 

@@ -60,13 +60,15 @@ MARKS = [
     (rf"(?is)<sup(?:\s[^>]*)?>{_TAGS}\[{_TAGS}(?:\d+|[a-z]|note \d+|nb \d+|citation needed|clarification needed){_TAGS}\]{_TAGS}</sup>", ""),
     (rf"(?is)<a(?:\s[^>]*)?>{_TAGS}(?:#|¶|§|🔗|link|permalink)?{_TAGS}</a>", ""),
 ]
+#: A private sign before an item for each list that its own list is in (see ``tags.pruned``).
+NESTED = "\ue002"
 #: Tags to Markdown, in order, as (pattern, replacement with $1 and so on).
 MARKDOWN = [
     (r"(?is)<head(?:\s[^>]*)?>.*?</head>", ""), (r"[\s ]+", " "),
     *[(rf"(?i)<h{n}(?:\s[^>]*)?> ?(.*?) ?</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
     (r"""(?i)<a\s[^>]*?href=(?:"(?:#|javascript:|data:)[^"]*"|'(?:#|javascript:|data:)[^']*')[^>]*>(.*?)</a>""", "$1"),
     (r"""(?i)<a\s[^>]*?href=(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*> ?(.*?) ?</a>""", "[$4]($1$2$3)"), (r"(?i)</?(?:code|kbd|samp)(?:\s[^>]*)?>", "`"), (r"(?i)<(?:b|strong)(?:\s[^>]*)?> ?(.*?) ?</(?:b|strong)>", "**$1**"),
-    (r"(?i)<(?:i|em)(?:\s[^>]*)?> ?(.*?) ?</(?:i|em)>", "*$1*"), (r"(?i)<li(?:\s[^>]*)?> ?", "\n- "), (r"(?i)<br ?/?>", "\n"), (r"(?i)<hr ?/?>", "\n\n---\n\n"), (r"(?i)<blockquote(?:\s[^>]*)?> ?", "\n\n> "),
+    (r"(?i)<(?:i|em)(?:\s[^>]*)?> ?(.*?) ?</(?:i|em)>", "*$1*"), (r"(?i)<(?:del|s|strike)(?:\s[^>]*)?> ?(.*?) ?</(?:del|s|strike)>", "~~$1~~"), (rf"(?i) ?({NESTED}*)<li(?:\s[^>]*)?> ?", "\n$1- "), (r"(?i)<br ?/?>", "\n"), (r"(?i)<hr ?/?>", "\n\n---\n\n"), (r"(?i)<blockquote(?:\s[^>]*)?> ?", "\n\n> "),
     (r"(?i)</?(?:p|div|ul|ol|table|tr|section|article|main|figure|header|footer|nav|aside|form|blockquote|body)(?:\s[^>]*)?>", "\n\n"), (r"(?s)<[^>]*>", ""),
 ]
 #: Elements that are turned into Markdown as a whole: code, tables, ordered lists without lists inside.
@@ -126,18 +128,30 @@ def _table(html: Column) -> Column:
 
 def _numbered(html: Column) -> Column:
     items = F.split(F.regexp_replace(html, r"(?i)<li(?:\s[^>]*)?>", _CUT), _CUT)
-    return F.array_join(F.transform(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace(_inline(x), r"\s+", " ")))), "\n")
+    return F.array_join(F.transform(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace(F.replace(_inline(x), F.lit(NESTED), F.lit("")), r"\s+", " ")))), "\n")
+
+
+def _cleaned_links(body: Column) -> Column:
+    """body with the tracking parameters of its links gone; links that go nowhere stay for the rules of Markdown."""
+    pieces = F.split(F.regexp_replace(body, r"""(?i)(<a\s[^>]*?href=)("[^"]*"|'[^']*'|[^\s>"']+)""", f"$1{_CUT}$2{_CUT}"), _CUT, -1)
+
+    def link(x: Column) -> Column:
+        url = F.replace(F.regexp_replace(x, r"""^["']|["']\z""", ""), F.lit("&amp;"), F.lit("&"))
+        return F.concat(F.lit('"'), F.coalesce(rewrite_link(url, F.lit(""), F.lit("")), url), F.lit('"'))
+
+    tracked = body.rlike(rf"(?i)href=[^>]*[?&;]{TRACKING}")
+    return F.when(tracked, F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, x).otherwise(link(x))), "")).otherwise(body)
 
 
 def body_markdown(body: Column, name: Column) -> Column:
     """The readable part of a page (see ``tags.pruned``) as Markdown, under its title unless a heading opens it."""
-    body = _through(F.replace(body, F.lit(_CUT), F.lit("")), MARKS)
+    body = _through(_cleaned_links(F.replace(body, F.lit(_CUT), F.lit(""))), MARKS)
     cut_up = F.split(F.regexp_replace(body, WHOLE, f"{_CUT}$0{_CUT}"), _CUT, -1)
     spaced = [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+|\n+\z", "")]
     plain = lambda x: F.trim(_through(tidy_markdown(_inline(x)), spaced))
     made = lambda p, x: F.when(x.startswith("<p"), _code(x, p)).when(x.rlike("(?i)^<table"), _table(x)).otherwise(_numbered(x))
     parts = lambda cut: F.transform(cut, lambda x, i: F.when(i % 2 == 0, plain(x)).otherwise(made(F.element_at(cut, i), x)))
-    tidy = F.array_join(F.filter(F.transform(F.array(cut_up), parts)[0], lambda x: x != ""), "\n\n")
+    tidy = F.replace(F.array_join(F.filter(F.transform(F.array(cut_up), parts)[0], lambda x: x != ""), "\n\n"), F.lit(NESTED), F.lit("  "))
     return F.transform(F.array(tidy), lambda x: F.when((name == "") | x.startswith("# "), x).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), x)))[0]
 
 

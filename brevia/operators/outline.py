@@ -12,38 +12,33 @@ HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+([^\n]*?))?[ \t#]*\z"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 
 
-def _fence_steps(lines: Column) -> Column:
-    """For an array of lines: (at, step) of each change, 1 where a fenced block opens and -1 behind the line that closes it.
-
-    A block opens at a run of three or more ` or ~ and closes at a bare run of the same character, at least as long. The fold
-    sees only lines with such a run, and keeps only changes.
-    """
-    runs = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.trim(x).alias("bare"))), lambda x: x["mark"] != "")
-
-    def step(acc: Column, x: Column) -> Column:
-        opens, mark = acc["open"] == "", acc["open"]
-        closes = ~opens & x["mark"].startswith(F.substring(mark, 1, 1)) & (F.length(x["mark"]) >= F.length(mark)) & (x["bare"] == x["mark"])
-        change = F.array(F.struct(F.when(opens, x["at"]).otherwise(x["at"] + 1).alias("at"), F.when(opens, 1).otherwise(-1).alias("step")))
-        return F.struct(F.when(opens, x["mark"]).when(closes, "").otherwise(mark).alias("open"), F.when(opens | closes, F.concat(acc["steps"], change)).otherwise(acc["steps"]).alias("steps"))
-
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<at:int,step:int>>").alias("steps"))
-    return F.aggregate(runs, start, step, lambda acc: acc["steps"])
+#: A fenced block with its marker lines: it closes at a bare run of its character, at least as long, or with the text.
+_FENCED = "(?md)" + "|".join(rf"^ {{0,3}}({c}{{3,}}+)[^\n]*+(?:\n(?s:.*?)(?:^ {{0,3}}\{k}{c}*+ *+$|\z))?" for k, c in ((1, "`"), (2, "~")))
 
 
 def fenced_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no (from 1), line, fence and total of every line.
 
     fence: the number of the fenced block that the line belongs to, marker lines included, else 0. total: the text's
-    characters. Lines and changes of a document are one list that is read and sorted once.
+    characters. Blocks are found by one regular expression over the text, so work grows with its length, and nothing is
+    shuffled or sorted.
     """
-    line = lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("is_line"), F.lit(0).alias("step"), x.alias("line"))
-    change = lambda s: F.struct(s["at"].alias("at"), F.lit(0).alias("is_line"), s["step"].alias("step"), F.lit(None).cast("string").alias("line"))
-    rows = docs.select(key, F.char_length(text).alias("total"), F.split(text, "\n").alias("lines"))
-    each = rows.select(key, "total", F.explode(F.concat(F.transform("lines", line), F.transform(_fence_steps(F.col("lines")), change))).alias("x")).select(key, "total", "x.*")
-    upto = Window.partitionBy(key).orderBy("at", "is_line").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).over(upto)
-    marked = each.withColumn("fence", F.when(F.sum("step").over(upto) > 0, opened).otherwise(0).cast("int"))
-    return marked.where("is_line = 1").select(key, (F.col("at") + 1).alias("line_no"), "line", "fence", "total")
+    outside, blocks = F.split(text, _FENCED, -1), F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0))
+
+    def lines(x: Column, i: Column) -> Column:
+        # a line end stands between the text and the block before it, and between the text and the block behind it
+        plain, block = x["plain"], x["block"]
+        behind = F.when(i > 0, F.substr(plain, F.lit(2))).otherwise(plain)
+        bare = F.when(block.isNotNull(), F.substr(behind, F.lit(1), F.length(behind) - 1)).otherwise(behind)
+        nothing = F.when(i == 0, block.isNotNull() & (plain == "")).otherwise((plain == "") | (block.isNotNull() & (plain == "\n")))
+        line = lambda fence: lambda x: F.struct(fence.alias("fence"), x.alias("line"))
+        free = F.when(~nothing, F.transform(F.split(bare, "\n", -1), line(F.lit(0))))
+        fenced = F.transform(F.split(block, "\n", -1), line((i + 1).cast("int")))
+        return F.flatten(F.array_compact(F.array(free, fenced)))
+
+    every = F.flatten(F.transform(F.zip_with(outside, blocks, lambda a, b: F.struct(a.alias("plain"), b.alias("block"))), lines))
+    rows = docs.select(key, F.char_length(text).alias("total"), F.posexplode(every).alias("at", "x"))
+    return rows.select(key, (F.col("at") + 1).alias("line_no"), "x.line", "x.fence", "total")
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:

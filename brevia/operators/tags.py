@@ -55,7 +55,8 @@ def pruned(pages: DataFrame, key: str, column: str) -> DataFrame:
     """key, title and body of every page: its first article, or all of it without page furniture; never what isn't read.
 
     key must be unique. An element goes with all that it holds, whatever is nested in it; an opening tag without an end
-    hides nothing, and a closing tag without a beginning is passed over. Null pages give no row.
+    hides nothing, and a closing tag without a beginning is passed over. Items of a list inside another carry a private sign
+    for each list around theirs. Null pages give no row.
     """
     found = ended(tokens(pages, key, column), key)
     upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,7 +68,12 @@ def pruned(pages: DataFrame, key: str, column: str) -> DataFrame:
     inside = F.when(F.col("article").isNotNull(), (F.col("pos") >= F.col("article.pos")) & (F.col("pos") < F.col("article.end"))).otherwise(True)
     until = F.when(F.col("article").isNotNull(), F.col("gone")).otherwise(F.col("aside"))
     text = F.regexp_replace("piece", r"^<[^>]*>", "")
-    kept = F.when(inside & (until == F.col("pos")), F.concat(F.lit(" "), text)).when(inside & (until < F.col("pos")), F.col("piece"))
+    lists = F.sum(F.when(F.col("name").isin("ul", "ol"), F.col("move")).otherwise(0)).over(upto)  # that are open behind the tag
+    inner = (F.col("name") == "ul") & (F.when(F.col("move") == 1, F.col("lists") > 1).otherwise(F.col("lists") > 0))
+    item = F.concat(F.repeat(F.lit(html.NESTED), F.greatest(F.col("lists") - 1, F.lit(0)).cast("int")), F.col("piece"))
+    shown = F.when(inner, text).when((F.col("name") == "li") & (F.col("move") == 1), item).otherwise(F.col("piece"))
+    placed = placed.withColumn("lists", lists)
+    kept = F.when(inside & (until == F.col("pos")), F.concat(F.lit(" "), text)).when(inside & (until < F.col("pos")), shown)
     left = placed.select(key, "pos", kept.alias("piece"), F.when((F.col("name") == "title") & (F.col("move") == 1), F.struct("pos", text.alias("text"))).alias("title"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))), lambda x: x["piece"]), "")
     title = F.trim(F.regexp_replace(F.coalesce(F.min("title")["text"], F.lit("")), r"\s+", " "))

@@ -62,6 +62,19 @@ def test_odd_pages(spark):
     assert got == {1: "c", 2: "z", 3: "never ends a", 4: "a", 6: "", 7: "no tags < 5", 8: "x", 9: "y", 10: "a", 11: "c", 12: "z"}
 
 
+def test_lists_links_and_marks_keep_their_meaning(spark):
+    cases = [
+        ("<ul><li>a<ul><li>b<ul><li>c</li></ul></li><li>d</li></ul></li><li>e</li></ul><p>f", "- a\n  - b\n    - c\n  - d\n- e\n\nf"),
+        ("<p>was <del>old</del> <s class=x> gone </s>new <strong>x</strong></p><strike>y</strike>", "was ~~old~~ ~~gone~~new **x**\n\n~~y~~"),
+        ("<a href='/p?utm_source=a&amp;b=2&amp;a=1&gclid=3#x'>one</a> <a href=\"https://h.org/?utm_medium=q\">two</a> <a href=/r?c=3>three</a> <a href='#up'>up</a>", "[one](/p?a=1&b=2#x) [two](https://h.org/) [three](/r?c=3) up"),
+        ("<ul><li>a<ol><li>x</li><li>y</li></ol></li></ul>", "- a\n\n1. x\n2. y"),
+    ]
+    frame = spark.createDataFrame([(k, page) for k, (page, _) in enumerate(cases)], "k int, html string")
+    got = {r["k"]: r["markdown"] for r in tags.markdown(frame, "k", "html").collect()}
+    for k, (page, want) in enumerate(cases):
+        assert got[k] == want, page
+
+
 def test_pages_are_read_with_their_repeats(spark):
     rows = [("a", "<html><body><div hidden><div>x</div>y</div><p>one"), ("a", "<html><body><p>two"), ("a", "<html><body><p>two"), ("b", "<html>" + "<p>x" * 200 + "<script>1</script>")]
     docs = spark.createDataFrame(rows, "id string, text string").withColumns({"path": F.lit(None).cast("string"), "content_type": F.lit("text/html")})
