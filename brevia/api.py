@@ -76,7 +76,7 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     With an object type as schema a document has a record for each of its values and for each element of those that are
     arrays, numbered from 0 (see ``json_values.records``); with any other it is one record, and several values are one
     array. select takes a part of the record; the part is shrunk with the options of ``json_docs.shrink``, or with ``table``
-    shown as a table if it is an array of objects, or with ``outline`` described by its shape. Documents of other kinds,
+    shown by ``json_docs.rendered``, or with ``outline`` described by its shape. Documents of other kinds,
     what is no JSON, what the schema can't hold and selections that match nothing are error rows.
     """
     known = _known(docs).where("text is not null")
@@ -93,8 +93,8 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     kind, value = part.schema["part"].dataType, F.col("part")
     if outline:
         content = F.concat(F.lit("JSON of about "), est_tokens(json_docs.shrink(value, kind, keep_empty=True)).cast("string"), F.lit(" tokens\n"), json_docs.shape_text(F.array(value), kind))
-    elif table and json_docs.is_tabular(kind):
-        content = json_docs.full_table(value, kind.elementType)
+    elif table:
+        content = json_docs.rendered(value, kind, **options)
     else:
         content = json_docs.shrink(value, kind, **options)
     error = F.coalesce("why", json_docs.no_match(part, "root", value, "the selection"))

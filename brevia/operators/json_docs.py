@@ -339,6 +339,27 @@ def full_table(items: Column, kind: T.StructType, notes: Column | None = None) -
     return F.array_join(F.concat(lines, notes) if notes is not None else lines, "\n")
 
 
+def rendered(value: Column, kind: T.DataType, width: int = 100, **options) -> Column:
+    """A value as its reader takes it in best: a table, fields one a line with tables between, or JSON laid out to a width.
+
+    An array of objects is a table. An object with such arrays has a line ``name: value`` for each other field and a table
+    under the name of each of them; fields that are null, "", [] or {} go. Any other value is JSON, shrunk with the options.
+    """
+    if is_tabular(kind):
+        return full_table(value, kind.elementType)
+    if not isinstance(kind, T.StructType) or not any(is_tabular(f.dataType) for f in kind.fields):
+        return shrink(value, kind, width=width, **options)
+
+    def part(f: T.StructField) -> Column:
+        x = value[f.name]
+        if is_tabular(f.dataType):
+            return F.when(F.size(x) > 0, F.concat(F.lit(f"\n{f.name}:\n"), full_table(x, f.dataType.elementType), F.lit("\n\n")))
+        return _let(cell_text(x, f.dataType), lambda t: F.when(x.isNotNull() & ~t.isin("", "{}", "[]"), F.concat(F.lit(f"{f.name}: "), t, F.lit("\n"))))
+
+    whole = F.array_join(F.array_compact(F.array(*map(part, kind.fields))), "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.replace(whole, F.lit("\n\n\n"), F.lit("\n\n")), r"^\s+|\s+\z", ""))
+
+
 def table(items: Column, *fields: str) -> Column:
     """Markdown of an array of objects: one row each, blank where a field is missing."""
     row = lambda x: F.concat(F.lit("| "), F.array_join(F.array(*[escape_cell(F.coalesce(x[f].cast("string"), F.lit(""))) for f in fields]), " | "), F.lit(" |"))

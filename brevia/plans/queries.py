@@ -92,6 +92,15 @@ def decode_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(detect.decoded(content)).alias("digest"), detect.is_text(content).alias("is_text"))
 
 
+@query
+def text_test(spark, d):
+    """Each document's bytes as they are, cut inside a character, with a control sign, in windows-1252, and with a NUL."""
+    which = F.col("doc_id") % 5
+    plain = F.encode("text", "UTF-8")
+    made = F.when(which == 1, F.concat(plain, F.lit(b"\xe2\x82"))).when(which == 2, F.concat(F.lit(b"\x01\xff"), plain)).when(which == 3, F.concat(F.lit(b"\xe9t\xe9 "), plain)).when(which == 4, F.concat(F.lit(b"\x00"), plain)).otherwise(plain)
+    return read(spark, d, "documents").where("length(text) between 1 and 4000").select("doc_id", detect.is_text(made).alias("is_text"), F.coalesce(detect.kind(F.concat(F.lit('{"a":['), F.col("doc_id").cast("string"), F.when(which == 0, "]}").when(which == 1, ']} x"}').when(which == 2, "]},{}").otherwise("]}}")), F.lit(None), F.lit(None)), F.lit("-")).alias("kind"))
+
+
 @query
 def decode_charsets(spark, d):
     """Every document's ASCII, with signs of one of six charsets, from that charset's bytes: named by a header, by the page, or by nothing."""
@@ -273,6 +282,12 @@ def json_full_table(spark, d):
     return docs.select("doc.id", json_docs.full_table(F.col("doc.items"), items.elementType, F.array(F.concat(F.lit("order "), F.col("doc.id").cast("string")))).alias("markdown"))
 
 
+@query
+def json_rendered(spark, d):
+    docs = inputs.order_docs(spark, d)
+    return docs.select("doc.id", json_docs.rendered(F.col("doc"), docs.schema["doc"].dataType).alias("shown"), json_docs.rendered(F.col("doc.owner"), docs.schema["doc"].dataType["owner"].dataType).alias("owner"))
+
+
 @query
 def json_select_run(spark, d):
     return inputs.order_docs(spark, d).select("doc.id", json_docs.select_run(F.col("doc.items"), "part", index=1).cast("string").alias("second_part"))

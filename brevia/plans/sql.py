@@ -240,6 +240,7 @@ with forms as (
 )
 select page_id, form, case when regexp_matches(address, '^https://github\.com/[\w.-]+/[\w.-]+/(pull/[0-9]+|commit/[0-9a-fA-F]{7,40})/?$') then rtrim(address, '/') || '.diff' else address end as address from forms""",
     "decode_text": r"select doc_id, md5(case when doc_id % 3 = 1 then regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') else text end) as digest, true as is_text from documents",
+    "text_test": "select doc_id, doc_id % 5 not in (2, 4) as is_text, case when doc_id % 5 = 0 then 'json' else 'text' end as kind from documents where length(text) between 1 and 4000",
     "decode_charsets": f"""
 with made as (
   select doc_id, case when doc_id % 4 = 1 then '<meta content="text/html; charset=' || {_sample(lambda k: SAMPLES[k][0].upper())} || '">' else '' end as page, regexp_replace(text, '[^\\x{{00}}-\\x{{7F}}]', '?', 'g') as rest,
@@ -314,6 +315,8 @@ blocked as (select *, place // 1000 as block, place % 1000 as n from placed)
 select o_custkey, block::int as block, n::int as n, case when o_orderkey % 13 <> 0 then o_orderkey::varchar end as key, case when o_orderkey % 13 <> 0 then 'a "b" }{ [ \ ' || o_orderpriority end as note,
   case when o_orderkey % 13 = 0 then 'does not fit the schema' end as error from blocked
 union all select o_custkey, block::int, count(*)::int, null, null, 'invalid JSON' from blocked where o_custkey % 7 = 0 group by o_custkey, block""",
+    "json_rendered": f"""with {_DOCS} select id, 'id: ' || id || {_NL} || 'status: ' || status || {_NL} || 'owner: {{"key":' || owner.key || ',"priority":"' || owner.priority || '"}}' || {_NL} || {_NL} || 'items:' || {_NL} || '| n | part | qty |' || {_NL} || '|---|---|---|' || {_NL}
+  || array_to_string(list_transform(items, lambda x: '| ' || x.n || ' | ' || x.part || ' | ' || x.qty || ' |'), {_NL}) as shown, '{{"key":' || owner.key || ',"priority":"' || owner.priority || '"}}' as owner from docs""",
     "json_select_run": f"with {_DOCS} select id, list_transform(items, lambda x: x.part)[2]::varchar as second_part from docs",
     "json_select_steps": f"""with {_DOCS}, shown as (
   select id, list_transform(items, lambda x: x.part) as names, list_transform(items, lambda x: x.qty) as qtys, list_transform(list_filter(items, lambda x: x.n % 3 > 0), lambda x: [x.n::bigint, x.qty::bigint]) as tags, items[1].n % 3 > 0 as tagged from docs

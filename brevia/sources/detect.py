@@ -50,8 +50,17 @@ def decoded(content: Column, content_type: Column | None = None) -> Column:
 
 
 def is_text(content: Column) -> Column:
-    """Whether the first 8192 bytes hold no NUL, unless they begin with a UTF-16 mark."""
-    return F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE") | (F.instr(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), "\u0000") == 0)
+    """Whether the first 8192 bytes can be a text: no NUL (but in UTF-16 behind its mark), and UTF-8, or else no control signs.
+
+    A character that the last of those bytes cut counts as whole.
+    """
+    sample = F.substring(content, 1, 8192)
+    signs, size = F.decode(sample, "ISO-8859-1"), F.octet_length(sample)
+    valid = F.is_valid_utf8(sample.cast("string"))
+    for cut in (1, 2, 3):
+        valid |= (size > cut) & F.is_valid_utf8(F.substr(sample, F.lit(1), size - cut).cast("string"))
+    free = ~signs.rlike("[\\x01-\\x08\\x0E\\x0F]")
+    return F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE") | ((F.instr(signs, "\u0000") == 0) & (valid | free))
 
 
 def kind(text: Column, path: Column, content_type: Column) -> Column:
@@ -61,7 +70,8 @@ def kind(text: Column, path: Column, content_type: Column) -> Column:
     by_name = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[name]
     head = F.lower(F.regexp_replace(F.substring(text, 1, 2048), r"^[ \t\r\n]+", ""))
     whole = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+\z", "")
-    json = whole.rlike(r"(?s)^(\{.*\}|\[.*\])\z") & F.get_json_object(whole, "$").isNotNull()
+    alone = F.size(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})) == 1  # one value, nothing behind it
+    json = whole.rlike(r"^[\[{]") & whole.rlike(r"[\]}]\z") & F.coalesce(alone, F.lit(False))
     return (
         F.when(text.startswith("%PDF-"), "pdf").when(media.isin("text/html", "application/xhtml+xml"), "html")
         .when(media.isin("application/json", "application/x-ndjson") | media.endswith("+json"), "json").when(media == "application/pdf", "pdf").when(by_name.isNotNull(), by_name)
