@@ -12,6 +12,7 @@ from brevia.functions.text import clean_text, est_tokens
 from brevia.operators import diffs, html, json_docs, json_values, logs, outline, pages, tags
 from brevia.operators.lines import explode_lines
 from brevia.sources import detect
+from brevia.streaming.events import scratch
 
 #: Bytes of a line of JSON that is laid out for paging.
 PAGED_WIDTH = 100
@@ -66,8 +67,11 @@ def _shrunk(text: Column, schema: T.DataType, **options) -> Column:
 
 
 def _marked(made: DataFrame) -> DataFrame:
-    """made with ``key``: rows of one id and Markdown share it, others of that id don't."""
-    return made.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("markdown")), F.length("markdown").cast("string")))
+    """made with ``key``: rows of one id and Markdown share it, others of that id don't. Written once, so nothing is converted twice."""
+    keyed = made.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("markdown")), F.length("markdown").cast("string")))
+    place = scratch(made.sparkSession)
+    keyed.write.parquet(f"{place}/read")
+    return made.sparkSession.read.schema(keyed.schema).parquet(f"{place}/read")
 
 
 def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Column] | None = None, table: bool = False, outline: bool = False, **options) -> DataFrame:

@@ -94,7 +94,8 @@ def unescape(text: Column) -> Column:
         known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         return F.when(i == 0, x).when(known, F.concat(sign, F.regexp_replace(x, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x))
 
-    text = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#", -1), one), "")).otherwise(text)
+    numbered = lambda x: F.when(x.contains("&#"), F.array_join(F.transform(F.split(x, "&#", -1), one), "")).otherwise(x)
+    text = F.transform(F.array(text), numbered)[0]
     for name, character in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(character))
     return text
@@ -133,14 +134,15 @@ def _numbered(html: Column) -> Column:
 
 def _cleaned_links(body: Column) -> Column:
     """body with the tracking parameters of its links gone; links that go nowhere stay for the rules of Markdown."""
-    pieces = F.split(F.regexp_replace(body, r"""(?i)(<a\s[^>]*?href=)("[^"]*"|'[^']*'|[^\s>"']+)""", f"$1{_CUT}$2{_CUT}"), _CUT, -1)
+    pieces = lambda x: F.split(F.regexp_replace(x, r"""(?i)(<a\s[^>]*?href=)("[^"]*"|'[^']*'|[^\s>"']+)""", f"$1{_CUT}$2{_CUT}"), _CUT, -1)
 
     def link(x: Column) -> Column:
         url = F.replace(F.regexp_replace(x, r"""^["']|["']\z""", ""), F.lit("&amp;"), F.lit("&"))
         return F.concat(F.lit('"'), F.coalesce(rewrite_link(url, F.lit(""), F.lit("")), url), F.lit('"'))
 
-    tracked = body.rlike(rf"(?i)href=[^>]*[?&;]{TRACKING}")
-    return F.when(tracked, F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, x).otherwise(link(x))), "")).otherwise(body)
+    tracked = rf"(?i)href=[^>]*[?&;]{TRACKING}"
+    cleaned = lambda b: F.when(b.rlike(tracked), F.array_join(F.transform(pieces(b), lambda x, i: F.when(i % 2 == 0, x).otherwise(link(x))), "")).otherwise(b)
+    return F.transform(F.array(body), cleaned)[0]
 
 
 def body_markdown(body: Column, name: Column) -> Column:

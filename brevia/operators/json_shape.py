@@ -51,8 +51,9 @@ def shape_rows(docs: DataFrame, text: str = "text", key: str = "id") -> DataFram
     place, level, done = scratch(spark), 0, []
     root = docs.select(F.col(key).cast("string").alias("id"), F.array().cast("array<int>").alias("at"), F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(None).cast("string").alias("name"), F.expr(f"try_parse_json(`{text}`)").alias("v")).where("v is not null")
     root.write.parquet(f"{place}/level=0")
+    below = spark.read.parquet(f"{place}/level=0")
     while level < MOST_LEVELS:
-        held = _described(spark.read.parquet(f"{place}/level={level}"))
+        held = _described(below)
         depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit(_KEY), F.lit("")))
         _summed(held).withColumn("depth", depth.cast("int")).write.parquet(f"{place}/paths/level={level}")
         done.append(spark.read.parquet(f"{place}/paths/level={level}").withColumn("level", F.lit(level)))
@@ -63,16 +64,18 @@ def shape_rows(docs: DataFrame, text: str = "text", key: str = "id") -> DataFram
         items = held.where("items is not null").select("id", "at", "path", F.posexplode("items").alias("k", "v"))
         items = items.select("id", own(F.col("k")), F.concat("path", F.lit(_ITEM)).alias("path"), F.col("path").alias("parent"), F.lit(None).cast("string").alias("name"), "v")
         level += 1
-        below = fields.unionByName(items)
-        names = fields.select("parent", "name").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy("name")))
+        fields.unionByName(items).write.parquet(f"{place}/level={level}")
+        below = spark.read.parquet(f"{place}/level={level}")
+        names = below.where("name is not null").select("parent", "name").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy("name")))
         names.write.parquet(f"{place}/names/level={level}")
         listed = spark.read.parquet(f"{place}/names/level={level}")
-        late = listed.where(F.col("rank") > SHAPE_KEYS).select("parent", "name")
-        kept = below if late.isEmpty() else below.join(late, ["parent", "name"], "left_anti").select(*below.columns)
-        kept.write.parquet(f"{place}/level={level}")
         more = listed.groupBy("parent").agg(F.greatest(F.max("rank") - SHAPE_KEYS, F.lit(0)).alias("n_more")).withColumnRenamed("parent", "path")
         done[-1] = done[-1].join(more, "path", "left").fillna(0, ["n_more"])
-        if spark.read.parquet(f"{place}/level={level}").isEmpty():
+        late = listed.where(F.col("rank") > SHAPE_KEYS).select("parent", "name")
+        if not late.isEmpty():
+            below.join(late, ["parent", "name"], "left_anti").select(*below.columns).write.parquet(f"{place}/kept/level={level}")
+            below = spark.read.parquet(f"{place}/kept/level={level}")
+        if below.isEmpty():
             break
     out = done[0]
     for rows in done[1:]:
