@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -113,6 +115,7 @@ def count_or_time(events: DataFrame, most: int = MOST, seconds: float = SECONDS,
     known = events.where("user_id is not null and ts is not null").select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKS)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the worker that reads a processor's states doesn't know the driver's path
     try:
         closed = known.groupBy("user_id").transformWithStateInPandas(Batcher(most, seconds), BATCH, "Append", "EventTime")
         done = run_available(closed, out)
@@ -120,5 +123,6 @@ def count_or_time(events: DataFrame, most: int = MOST, seconds: float = SECONDS,
         rest = drained(waiting.select("key.user_id", "list_element.event_id", "list_element.at"), most, seconds)
         rest.write.mode("overwrite").parquet(f"{out}/rest")
     finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
         spark.conf.set(_PROVIDER, before)
     return done.unionByName(spark.read.schema(BATCH).parquet(f"{out}/rest"))
