@@ -37,7 +37,8 @@ def fenced_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
         return F.flatten(F.array_compact(F.array(free, fenced)))
 
     every = F.flatten(F.transform(F.zip_with(outside, blocks, lambda a, b: F.struct(a.alias("plain"), b.alias("block"))), lines))
-    rows = docs.select(key, F.char_length(text).alias("total"), F.posexplode(every).alias("at", "x"))
+    held = docs.select(key, F.char_length(text).alias("total"), every.alias("every"))  # so that no row below carries the text
+    rows = held.select(key, "total", F.posexplode("every").alias("at", "x"))
     return rows.select(key, (F.col("at") + 1).alias("line_no"), "x.line", "x.fence", "total")
 
 

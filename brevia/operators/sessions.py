@@ -58,7 +58,7 @@ def _facts(lines: DataFrame, server: str | None) -> DataFrame:
         one.append(F.when((e["type"] == "system") & (e["subtype"] == "init") & (status != "connected"), fact("start", F.lit(""), error=F.concat(F.lit(f"server {server} "), status))))
     of_lines = event.select("session", "seq", F.lit(0).alias("k"), F.explode(F.array_compact(F.array(*one))).alias("f"))
     content = F.expr(f"try_cast(e.message.content as array<{_BLOCK}>)")
-    blocks = event.where(e["type"].isin("assistant", "user")).select("session", "seq", e["type"].alias("type"), F.posexplode(content).alias("k", "b"))
+    blocks = event.where(e["type"].isin("assistant", "user")).select("session", "seq", e["type"].alias("type"), content.alias("blocks")).select("session", "seq", "type", F.posexplode("blocks").alias("k", "b"))
     b, place = F.col("b"), F.concat(F.lit("#"), F.col("seq").cast("string"), F.lit("."), F.col("k").cast("string"))
     use = fact("tool", F.coalesce(b["id"], place), label=tool_label(b["name"], b["input"]["command"]))
     answer = fact("tool", F.coalesce(b["tool_use_id"], place), chars=F.length(tool_text(b["content"])))
