@@ -177,9 +177,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _quoted(value: Column) -> Column:
-    """A scalar as JSON."""
-    return _let(F.to_json(F.array(value), OPTIONS), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+def _quoted(value: Column, kind: T.DataType = T.StringType()) -> Column:
+    """A scalar as JSON: whole numbers, truth values and texts without signs that JSON escapes need no writer."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return value.cast("string")
+    written = lambda v: _let(F.to_json(F.array(v), OPTIONS), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    if not isinstance(kind, T.StringType):
+        return written(value)
+    return _let(value, lambda v: F.when(v.rlike(r'["\\\x00-\x1f]'), written(v)).otherwise(F.concat(F.lit('"'), v, F.lit('"'))))
 
 
 def shrink(
@@ -195,8 +200,9 @@ def shrink(
     line, others have each field or element on a line of its own, a blank deeper. Sizes come from the leaves up, in the same
     pass: every part is made once as one line, and as lines where its own line is too long.
     """
-    made = _shrunk(value, kind, Shrinking(drop, keep_empty, max_text, drop_lists, most_items, width), 0)
-    return _let(made, lambda x: x["laid"]) if width else made
+    o = Shrinking(drop, keep_empty, max_text, drop_lists, most_items, width)
+    made = _shrunk(value, kind, o, 0)
+    return _let(made, lambda x: x["laid"]) if o.has_lines(kind) else made
 
 
 @dataclass(frozen=True)
@@ -208,59 +214,78 @@ class Shrinking:
     most_items: int
     width: int
 
-    def one(self, text: Column) -> Column:
-        """A part of one line."""
-        return F.when(text.isNotNull(), F.struct(text.alias("flat"), text.alias("laid"))) if self.width else text
+    def has_lines(self, kind: T.DataType) -> bool:
+        """Whether a part of this type is the struct of its one line (flat) and its lines (laid), not one text."""
+        return self.width > 0 and isinstance(kind, (T.StructType, T.MapType, T.ArrayType))
 
-    def named(self, name: Column, x: Column) -> Column:
-        """A field; null where its value is."""
-        if self.width:
-            return F.when(x.isNotNull(), F.struct(F.concat(name, x["flat"]).alias("flat"), F.concat(name, x["laid"]).alias("laid")))
-        return F.concat(name, x)
+    def one(self, text: Column, kind: T.DataType) -> Column:
+        """A part of one line, which is not null."""
+        return F.struct(text.alias("flat"), text.alias("laid")) if self.has_lines(kind) else text
 
-    def within(self, ends: str, parts: Column, depth: int) -> Column:
-        """An object or array of its parts."""
-        if not self.width:
-            return F.concat(F.lit(ends[0]), F.array_join(parts, ","), F.lit(ends[1]))
-        flat = F.concat(F.lit(ends[0]), F.array_join(F.transform(parts, lambda x: x["flat"]), ","), F.lit(ends[1]))
-        pad = "\n" + " " * (depth + 1)
-        lines = F.concat(F.lit(ends[0] + pad), F.array_join(F.transform(parts, lambda x: x["laid"]), "," + pad), F.lit(pad[:-1] + ends[1]))
-        return _let(flat, lambda f: F.struct(f.alias("flat"), F.when((F.octet_length(f) <= self.width - depth) | (F.size(parts) == 0), f).otherwise(lines).alias("laid")))
+    def none(self, kind: T.DataType) -> Column:
+        """What a null becomes."""
+        if self.keep_empty:
+            return self.one(F.lit("null"), kind)
+        return F.lit(None).cast("struct<flat:string,laid:string>" if self.has_lines(kind) else "string")
+
+    def within(self, ends: str, body: Callable[[str, str], Column], depth: int, kind: T.DataType) -> Column:
+        """An object or array of its parts, which body puts together for a form and a separator; null where nothing is kept."""
+        kept = F.lit(self.keep_empty or depth == 0)
+
+        def shown(flat: Column) -> Column:
+            if not self.has_lines(kind):
+                return F.when((flat != ends) | kept, flat)
+            pad = "\n" + " " * (depth + 1)
+            lines = F.concat(F.lit(ends[0] + pad), body("laid", "," + pad), F.lit(pad[:-1] + ends[1]))
+            laid = F.when((F.octet_length(flat) <= self.width - depth) | (flat == ends), flat).otherwise(lines)
+            return F.when((flat != ends) | kept, F.struct(flat.alias("flat"), laid.alias("laid")))
+
+        return _let(F.concat(F.lit(ends[0]), body("flat", ","), F.lit(ends[1])), shown)
 
 
 def _shrunk(value: Column, kind: T.DataType, o: Shrinking, depth: int) -> Column:
-    """A shrunk part at a depth, null where nothing is left of it: its text, or with a width the struct of its one line and its lines."""
+    """A shrunk part at a depth, null where nothing is left of it: its text, or with a width and for objects and arrays the struct of its one line and its lines.
+
+    Every part is bound once before it is used: nothing above a leaf evaluates it a second time.
+    """
     below = lambda x, t: _shrunk(x, t, o, depth + 1)
-    root = depth == 0
-    part = "struct<flat:string,laid:string>" if o.width else "string"
-    none = o.one(F.lit("null")) if o.keep_empty else F.lit(None).cast(part)
-    if isinstance(kind, (T.StructType, T.MapType)):
-        named = lambda name, x: o.named(F.lit(json.dumps(name, ensure_ascii=False) + ":"), x)
-        if isinstance(kind, T.StructType):
-            fields = [named(f.name, below(value[f.name], f.dataType)) for f in kind.fields if not any(fnmatch.fnmatchcase(f.name, g) for g in o.drop)]
-            kept = F.array_compact(F.array(*fields)) if fields else F.array().cast(f"array<{part}>")
-        else:
-            kept = F.array_compact(F.transform(F.map_entries(value), lambda e: _let(below(e["value"], kind.valueType), lambda x: F.when(x.isNotNull(), o.named(F.concat(_quoted(e["key"]), F.lit(":")), x)))))
-        empty = F.lit(o.keep_empty or root)
-        return F.when(value.isNull(), none).otherwise(_let(kept, lambda k: F.when((F.size(k) > 0) | empty, o.within("{}", k, depth))))
+    form = lambda x, t, how: x[how] if o.has_lines(t) else x
+    if isinstance(kind, T.StructType):
+        fields = [f for f in kind.fields if not any(fnmatch.fnmatchcase(f.name, g) for g in o.drop)]
+        heads = [F.lit(json.dumps(f.name, ensure_ascii=False) + ":") for f in fields]
+
+        def together(parts: Column) -> Column:
+            named = lambda how: [F.concat(head, form(parts[f"p{i}"], f.dataType, how)) for i, (f, head) in enumerate(zip(fields, heads, strict=True))]
+            return o.within("{}", lambda how, between: F.concat_ws(between, *named(how)), depth, kind)
+
+        parts = F.struct(F.lit(0).alias("_"), *[below(value[f.name], f.dataType).alias(f"p{i}") for i, f in enumerate(fields)])
+        return F.when(value.isNull(), o.none(kind)).otherwise(_let(parts, together))
+    if isinstance(kind, T.MapType):
+        pair = lambda e: F.struct(F.concat(_quoted(e["key"]), F.lit(":")).alias("name"), below(e["value"], kind.valueType).alias("part"))
+        left = F.filter(F.transform(F.map_entries(value), pair), lambda x: x["part"].isNotNull())
+        body = lambda k: lambda how, between: F.array_join(F.transform(k, lambda x: F.concat(x["name"], form(x["part"], kind.valueType, how))), between)
+        return F.when(value.isNull(), o.none(kind)).otherwise(_let(left, lambda k: o.within("{}", body(k), depth, kind)))
     if isinstance(kind, T.ArrayType):
         items = F.array_compact(F.transform(value, lambda x: below(x, kind.elementType)))
+        texts = lambda k, how: F.transform(k, lambda x: x[how]) if o.has_lines(kind.elementType) else k
 
         def shown(k: Column) -> Column:
             n = F.size(k)
-            made = o.within("[]", k, depth)
+            left = texts
             if o.most_items:
-                more = o.one(F.concat(F.lit('"… '), (n - o.most_items).cast("string"), F.lit(' more items"')))
-                made = F.when(n > o.most_items, o.within("[]", F.concat(F.slice(k, 1, o.most_items), F.array(more)), depth)).otherwise(made)
-            if o.drop_lists and not root:
-                made = F.when(n > o.drop_lists, o.one(F.concat(F.lit('"['), n.cast("string"), F.lit(' items omitted]"')))).otherwise(made)
-            return F.when((n > 0) | F.lit(o.keep_empty or root), made)
-
-        return F.when(value.isNull(), none).otherwise(_let(items, shown))
+                more = F.when(n > o.most_items, F.array(F.concat(F.lit('"… '), (n - o.most_items).cast("string"), F.lit(' more items"')))).otherwise(F.array().cast("array<string>"))
+                left = lambda k, how: F.concat(texts(F.slice(k, 1, o.most_items), how), more)
+            # an element's text is never blank, so a list without elements is the one that reads []
+            made = o.within("[]", lambda how, between: F.array_join(left(k, how), between), depth, kind)
+            if o.drop_lists and depth:
+                made = F.when(n > o.drop_lists, o.one(F.concat(F.lit('"['), n.cast("string"), F.lit(' items omitted]"')), kind)).otherwise(made)
+            return made
+
+        return F.when(value.isNull(), o.none(kind)).otherwise(_let(items, shown))
     if isinstance(kind, T.StringType):
         text = max_str(value, o.max_text) if o.max_text else value
-        return F.when(value.isNull(), none).when((value == "") & F.lit(not o.keep_empty), F.lit(None).cast(part)).otherwise(o.one(_quoted(text)))
-    return F.when(value.isNull(), none).otherwise(o.one(_quoted(value)))
+        return F.when(value.isNull(), o.none(kind)).when((value == "") & F.lit(not o.keep_empty), F.lit(None).cast("string")).otherwise(_quoted(text))
+    return F.when(value.isNull(), o.none(kind)).otherwise(_quoted(value, kind))
 
 
 #: Limits of a shape: depth, keys of an object, bytes of an object on one line, characters of an example (fixed values).
@@ -298,7 +323,7 @@ def shape_text(values: Column, kind: T.DataType, depth: int = 0) -> Column:
             example = F.when(F.length(first) > SHAPE_EXAMPLE, F.concat(_quoted(F.substring(first, 1, SHAPE_EXAMPLE)), F.lit("…"))).otherwise(_quoted(first))
             return F.when(first.isNull(), "string").otherwise(F.concat(F.lit("string ("), example, F.lit(")")))
         name = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "string"
-        return F.concat(F.lit(f"{name} ("), _quoted(F.try_element_at(present, F.lit(1))), F.lit(")"))
+        return F.concat(F.lit(f"{name} ("), _quoted(F.try_element_at(present, F.lit(1)), kind), F.lit(")"))
 
     return _let(F.filter(values, lambda x: x.isNotNull()), lambda present: F.when(F.size(present) == 0, "null").otherwise(label(present)))
 
@@ -316,6 +341,8 @@ def cell_text(value: Column, kind: T.DataType) -> Column:
         text = F.to_json(value, OPTIONS)
     else:
         text = value.cast("string")
+        if isinstance(kind, (T.NumericType, T.BooleanType)):  # nothing in it to escape
+            return F.coalesce(text, F.lit(""))
     return escape_cell(F.coalesce(text, F.lit("")))
 
 
