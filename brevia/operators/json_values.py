@@ -42,12 +42,19 @@ def values(text: Column) -> Column:
     """The JSON values of a text in order, as array<struct<value: string, ok: boolean>>; null for null.
 
     ok says whether the piece is one whole value. Blank texts have none. A string that never ends takes the rest of the text.
+    A text that reads back as the one value it is, sign by sign, needs no cuts: that is looked at first.
     """
+    whole = F.when(text.rlike(r"^[\[{]") & ~text.rlike(_OWN), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT))
+    alone = F.transform(F.array(whole), lambda w: F.coalesce((F.size(w) == 1) & (w[0] == text), F.lit(False)))[0]
+    return F.when(alone, F.array(F.struct(text.alias("value"), F.lit(True).alias("ok")))).otherwise(_cut_up(text))
+
+
+def _cut_up(text: Column) -> Column:
     pieces = F.transform(F.split(F.regexp_replace(_masked(text), _BETWEEN, _CUT), _CUT, -1), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
     count = lambda x, sign: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
     even = lambda x: (count(x, "[") == count(x, "]")) & (count(x, "{") == count(x, "}"))
-    read = lambda x: F.from_json(F.concat(F.lit("["), _restored(x), F.lit("]")), "array<string>", _STRICT)
-    checked = lambda x: F.struct(_restored(x).alias("value"), F.coalesce(even(x) & (F.size(read(x)) == 1), F.lit(False)).alias("ok"))
+    read = lambda v: F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>", _STRICT)
+    checked = lambda x: F.transform(F.array(_restored(x)), lambda v: F.struct(v.alias("value"), F.coalesce(even(x) & (F.size(read(v)) == 1), F.lit(False)).alias("ok")))[0]
     return F.transform(F.filter(pieces, lambda x: x != ""), checked)
 
 
@@ -87,6 +94,17 @@ def root(text: Column, schema: T.DataType) -> Column:
     inner = schema.elementType if isinstance(schema, T.ArrayType) else schema
     each = lambda x: F.from_json(x, "array<string>", _STRICT) if isinstance(schema, T.ArrayType) else F.array(x)
 
+    def whole_object(x: Column) -> Column:
+        """Read once, with the column that says what didn't fit."""
+        checked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+
+        def judged(r: Column) -> Column:
+            fits = F.coalesce(r[_BAD].isNull() & x.startswith("{"), F.lit(False)) & r.isNotNull()
+            error = F.when(x.isNull(), "invalid JSON").when(~fits, "does not fit the schema")
+            return F.struct(F.when(fits, F.struct(*[r[f.name].alias(f.name) for f in schema.fields])).alias("root"), error.alias("error"))
+
+        return F.transform(F.array(F.from_json(x, checked, {**_STRICT, "columnNameOfCorruptRecord": _BAD})), judged)[0]
+
     def read(x: Column) -> Column:
         fits = F.lit(True)
         if isinstance(inner, T.StructType):
@@ -97,4 +115,4 @@ def root(text: Column, schema: T.DataType) -> Column:
         error = F.when(x.isNull(), "invalid JSON").when(~fits | value.isNull(), "does not fit the schema")
         return F.struct(F.when(error.isNull(), value).alias("root"), error.alias("error"))
 
-    return F.transform(F.array(whole), read)[0]
+    return F.transform(F.array(whole), whole_object if isinstance(schema, T.StructType) else read)[0]

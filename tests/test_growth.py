@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brevia.operators import json_docs
+from brevia.operators import json_docs, json_values
 
 
 def test_a_leaf_is_written_once_however_deep_it_lies(spark):
@@ -15,3 +15,9 @@ def test_a_leaf_is_written_once_however_deep_it_lies(spark):
     laid = rows.select(json_docs.shrink(F.col("v"), rows.schema["v"].dataType, width=60).alias("j"))
     assert laid._jdf.queryExecution().analyzed().toString().count("to_json(") == 5  # one a text
     assert laid.first()["j"] == '{"s":"x\\"y","deep":{"deep":{"deep":{"deep":{"n":7}}}}}'
+
+
+def test_one_value_needs_no_cuts(spark):
+    texts = ['{"a":"b c"}', '{"a":1}{"a":2}', '[1,2]', '{"a": 1}', '{}],[{}', '{"a":1}]', '{"a":""}', ' {"a":1}', '{"a":1.50}', "", None, '{"a":1} x']
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", json_values.values(F.col("t")).alias("fast"), json_values._cut_up(F.col("t")).alias("slow")).orderBy("k").collect()
+    assert [r["fast"] for r in got] == [r["slow"] for r in got]
