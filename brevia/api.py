@@ -46,9 +46,13 @@ def read_docs(docs: DataFrame, schema: T.DataType | None = None, width: int = 0)
     branches of their own. What can't be read is a row with an error, never a failed job. JSON documents are shrunk by
     ``schema`` (and laid out to ``width``, see ``json_docs.shrink``), without one their text is cleaned. Null texts are errors; repeated ids come back as often.
     """
+    return _converted(_known(docs), schema, width)
+
+
+def _converted(known: DataFrame, schema: T.DataType | None = None, width: int = 0) -> DataFrame:
     text, kind = F.col("text"), F.col("kind")
     note = F.when(F.when(kind == "html", html.needs_js(text)), SCRIPTED)
-    known = _known(docs).withColumns({"raw_tokens": est_tokens(text), "note": note, "empty": text.isNull()})
+    known = known.withColumns({"raw_tokens": est_tokens(text), "note": note, "empty": text.isNull()})
     markdown = F.when(kind == "json", _shrunk(text, schema, width=width) if schema else clean_text(text))
     for name, convert in IN_ROW.items():
         markdown = markdown.when(kind == name, convert(text))
@@ -66,12 +70,16 @@ def _shrunk(text: Column, schema: T.DataType, **options) -> Column:
     return F.coalesce(*[F.transform(F.array(json_values.root(text, kind)), shown(kind))[0] for kind in kinds])
 
 
+def _written(made: DataFrame) -> DataFrame:
+    """made, written once: a condition on what is made would else be pushed below the work, which would be done twice."""
+    place = scratch(made.sparkSession)
+    made.write.parquet(f"{place}/read")
+    return made.sparkSession.read.schema(made.schema).parquet(f"{place}/read")
+
+
 def _marked(made: DataFrame) -> DataFrame:
     """made with ``key``: rows of one id and Markdown share it, others of that id don't. Written once, so nothing is converted twice."""
-    keyed = made.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("markdown")), F.length("markdown").cast("string")))
-    place = scratch(made.sparkSession)
-    keyed.write.parquet(f"{place}/read")
-    return made.sparkSession.read.schema(keyed.schema).parquet(f"{place}/read")
+    return _written(made.withColumn("key", F.concat_ws(" ", "id", F.hex(F.xxhash64("markdown")), F.length("markdown").cast("string"))))
 
 
 def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Column] | None = None, table: bool = False, outline: bool = False, **options) -> DataFrame:
@@ -110,8 +118,9 @@ def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFram
 
     Rows of one id have an outline each.
     """
-    ready = _marked(read_docs(docs, schema).where("error is null"))
-    ready = ready.where("kind <> 'json'") if schema else ready
+    known = _known(docs)
+    apart = known.where("kind is null or kind <> 'json'") if schema else known  # the shape of JSON doesn't need its Markdown
+    ready = _marked(_converted(apart)).where("error is null")
     made = outline.format_outline(ready.dropDuplicates(["key"]), "key", "markdown")
     made = ready.select("id", "key").join(made, "key").select("id", "outline")
     if schema is None:
