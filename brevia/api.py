@@ -137,9 +137,10 @@ def read_section(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     made = _marked(read_docs(docs))
     asked = wanted.select("id", "wanted").join(made.select("id", "key", "kind", F.col("error").alias("why")), "id", "left")
     ready = made.where("error is null and kind <> 'json'").select("key", "markdown").dropDuplicates(["key"])
-    sought = asked.where("key is not null").select("key", "wanted").distinct()
+    can = F.coalesce(F.col("key").isNotNull() & F.col("why").isNull() & (F.col("kind") != "json"), F.lit(False))  # others have their error and meet no section
+    sought = asked.where(can).select("key", "wanted").distinct()
     found = outline.section_lookup(ready, sought, "key", "markdown").select("key", "wanted", "section")
-    facts = asked.join(found, ["key", "wanted"], "left")
+    facts = asked.where(can).join(found, ["key", "wanted"], "left").unionByName(asked.where(~can).withColumn("section", F.lit(None).cast("string")))
     error = F.when(F.col("kind").isNull(), "no such document").when(F.col("why").isNotNull(), F.col("why")).when(F.col("kind") == "json", "sections are for documents: use read_json").when(F.col("section").isNull(), F.concat(F.lit("no section matches "), F.col("wanted")))
     return facts.select("id", "wanted", "section", error.alias("error"))
 
