@@ -151,11 +151,11 @@ def read_page(docs: DataFrame, page: int = 1, most: int = 20_000, schema: T.Data
     A page never has more than ``most`` characters besides its footer and note: longer lines are cut. JSON, with a schema,
     is laid out so that it can be cut at its lines. Every row has a row: rows of one id are paged each by its own text.
     """
-    ready = _marked(read_docs(docs, schema, PAGED_WIDTH).where("error is null").select("id", "note", "markdown"))
-    packed = pages.pack_pages(ready.select("key", "markdown").dropDuplicates(["key"]), "key", "markdown", max(500, min(most, 500_000)), cut=True)
-    counted = packed.groupBy("key").agg(F.max("page_no").alias("n"), F.max(F.when(F.col("page_no") == page, F.col("content"))).alias("content"))
+    ready = _written(read_docs(docs, schema, PAGED_WIDTH).select("id", "note", "markdown", "error")).where("error is null")
+    paged = F.transform(F.array(pages.packed(F.col("markdown"), max(500, min(most, 500_000)), cut=True)), lambda x: F.struct(F.size(x).alias("n"), F.try_element_at(x, F.lit(page))["content"].alias("content")))[0]
+    counted = ready.select("id", "note", paged.alias("page")).select("id", "note", "page.n", "page.content")
     after = F.when(F.col("n") > page, F.lit(f" · next: page={page + 1}")).otherwise("")
     footer = F.when(F.col("n") > 1, F.concat(F.lit(f"\n\n[page {page} of "), F.col("n").cast("string"), after, F.lit("]"))).otherwise("")
     noted = F.when(F.col("note").isNull(), "").otherwise(F.concat(F.lit("\n\n[note: "), F.col("note"), F.lit("]")))
     error = F.when(F.col("content").isNull(), F.concat(F.lit(f"page {page} out of range: there are "), F.col("n").cast("string"), F.lit(" page(s)")))
-    return ready.select("id", "note", "key").join(counted, "key").select("id", F.concat("content", footer, noted).alias("content"), error.alias("error"))
+    return counted.select("id", F.concat("content", footer, noted).alias("content"), error.alias("error"))

@@ -86,7 +86,13 @@ def pack_pages(docs: DataFrame, key: str, text: str, budget: int, cut: bool = Fa
     of its own, or with ``cut`` falls into pieces of at most a page, so that no page is ever longer than the budget. The fold runs inside each row and keeps where pages begin, so documents are independent, nothing is shuffled,
     and work grows with the lines.
     """
+    return docs.select(key, F.explode(packed(F.col(text), budget, cut)).alias("p")).select(key, "p.page_no", "p.n_lines", "p.content")
+
+
+def packed(text: Column, budget: int, cut: bool = False) -> Column:
+    """The pages of a text (see ``pack_pages``) as array<struct<page_no, n_lines, content>>; a text that fits is one page as it is."""
     size = F.char_length
+    page = lambda number, n, content: F.struct(number.cast("int").alias("page_no"), n.cast("int").alias("n_lines"), content.alias("content"))
 
     def step(acc: Column, line: Column) -> Column:
         fits = (acc["at"] > 0) & (acc["used"] + 1 + size(line) <= budget)
@@ -94,13 +100,19 @@ def pack_pages(docs: DataFrame, key: str, text: str, budget: int, cut: bool = Fa
         return F.struct(used.cast("int").alias("used"), (acc["at"] + 1).alias("at"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"))
 
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    lines = F.split(F.col(text), "\n")
+    lines = F.split(text, "\n")
+    whole = page(F.lit(1), F.size(lines), text)
     if cut:
         lines = F.flatten(F.transform(lines, lambda x: F.when(size(x) > budget, _cut(x, F.lit(budget))).otherwise(F.array(x))))
-    folded = docs.select(key, lines.alias("lines")).select(key, "lines", F.aggregate("lines", start, step, lambda acc: acc["starts"]).alias("starts"))
-    stop = lambda i: F.coalesce(F.try_element_at("starts", i + 2), F.size("lines"))
-    cut = F.transform("starts", lambda s, i: F.struct((i + 1).alias("page_no"), (stop(i) - s).alias("n_lines"), F.array_join(F.slice("lines", s + 1, stop(i) - s), "\n").alias("content")))
-    return folded.select(key, F.explode(cut).alias("p")).select(key, "p.page_no", "p.n_lines", "p.content")
+
+    def dealt(x: Column) -> Column:
+        starts, every = x["starts"], x["lines"]
+        stop = lambda i: F.coalesce(F.try_element_at(starts, i + 2), F.size(every))
+        return F.transform(starts, lambda s, i: page(i + 1, stop(i) - s, F.array_join(F.slice(every, s + 1, stop(i) - s), "\n")))
+
+    folded = lambda x: F.struct(x.alias("lines"), F.aggregate(x, start, step, lambda acc: acc["starts"]).alias("starts"))
+    many = F.transform(F.transform(F.array(lines), folded), dealt)[0]
+    return F.when(size(text) <= budget, F.array(whole)).otherwise(many)
 
 
 #: The rule under a table's header.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brevia.operators import json_docs, json_values
+from brevia.operators import json_docs, json_values, pages
 
 
 def test_a_leaf_is_written_once_however_deep_it_lies(spark):
@@ -21,3 +21,13 @@ def test_one_value_needs_no_cuts(spark):
     texts = ['{"a":"b c"}', '{"a":1}{"a":2}', '[1,2]', '{"a": 1}', '{}],[{}', '{"a":1}]', '{"a":""}', ' {"a":1}', '{"a":1.50}', "", None, '{"a":1} x']
     got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", json_values.values(F.col("t")).alias("fast"), json_values._cut_up(F.col("t")).alias("slow")).orderBy("k").collect()
     assert [r["fast"] for r in got] == [r["slow"] for r in got]
+
+
+def test_pages_are_cut_inside_their_row(spark):
+    texts = ["", "a", "a\n" * 300, "b" * 1200 + "\nc", "x " * 900, "y" * 500, "z" * 501]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    one = docs.select("k", pages.packed(F.col("t"), 500, True).alias("p"))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: [(p["page_no"], p["n_lines"], p["content"]) for p in r["p"]] for r in one.collect()}
+    assert all(len(c) <= 500 for p in got.values() for _, _, c in p) and [n for n, _, _ in got[2]] == [1, 2]
+    assert got[0] == [(1, 1, "")] and got[5] == [(1, 1, "y" * 500)] and "\n".join(c for _, _, c in got[2]) == texts[2] and got[6] == [(1, 1, "z" * 500), (2, 1, "z")]
