@@ -20,6 +20,7 @@ SCRIPTED = "the page builds itself with scripts, little of it is text"
 
 
 def _known(docs: DataFrame) -> DataFrame:
+    """id, text and kind of every row."""
     return docs.select("id", "text", detect.kind(F.col("text"), F.col("path"), F.col("content_type")).alias("kind"))
 
 
@@ -46,7 +47,7 @@ def read_docs(docs: DataFrame, schema: T.DataType | None = None, width: int = 0)
     branches of their own. What can't be read is a row with an error, never a failed job. JSON documents are shrunk by
     ``schema`` (and laid out to ``width``, see ``json_docs.shrink``), without one their text is cleaned. Null texts are errors; repeated ids come back as often.
     """
-    return _converted(_known(docs), schema, width)
+    return _converted(_written(_known(docs)), schema, width)  # each kind's branch asks for it, some more than once
 
 
 def _converted(known: DataFrame, schema: T.DataType | None = None, width: int = 0) -> DataFrame:
@@ -120,7 +121,7 @@ def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFram
     """
     known = _known(docs)
     apart = known.where("kind is null or kind <> 'json'") if schema else known  # the shape of JSON doesn't need its Markdown
-    ready = _marked(_converted(apart)).where("error is null")
+    ready = _marked(_converted(_written(apart))).where("error is null")
     made = outline.format_outline(ready.dropDuplicates(["key"]), "key", "markdown")
     made = ready.select("id", "key").join(made, "key").select("id", "outline")
     if schema is None:

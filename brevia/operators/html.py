@@ -159,7 +159,7 @@ def body_markdown(body: Column, name: Column) -> Column:
 
 def needs_js(html: Column) -> Column:
     """Little text and a script: the page builds itself in a browser."""
-    return (F.octet_length(strip(html)) < 300) & F.lower(html).contains("<script")
+    return F.lower(html).contains("<script") & (F.octet_length(strip(html)) < 300)
 
 
 def pages_summary(pages: DataFrame) -> DataFrame:

@@ -69,14 +69,15 @@ def kind(text: Column, path: Column, content_type: Column) -> Column:
     name = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"(\.[^./]*)\z", 1))
     by_name = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[name]
     head = F.lower(F.regexp_replace(F.substring(text, 1, 2048), r"^[ \t\r\n]+", ""))
-    whole = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+\z", "")
+    opens = lambda h: F.when(h.startswith("<!doctype html") | h.startswith("<html") | h.contains("<head") | h.contains("<body"), "html").when(h.startswith("diff --git ") | (h.contains("--- a/") & h.contains("+++ b/")), "diff")
+    begun = F.transform(F.array(head), opens)[0]
+    whole = F.trim(text, F.lit(" \t\r\n"))  # looks at both ends only, where a pattern would look at every blank
     alone = F.size(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})) == 1  # one value, nothing behind it
-    json = whole.rlike(r"^[\[{]") & whole.rlike(r"[\]}]\z") & F.coalesce(alone, F.lit(False))
+    json = (whole.startswith("[") | whole.startswith("{")) & (whole.endswith("]") | whole.endswith("}")) & F.coalesce(alone, F.lit(False))
     return (
         F.when(text.startswith("%PDF-"), "pdf").when(media.isin("text/html", "application/xhtml+xml"), "html")
         .when(media.isin("application/json", "application/x-ndjson") | media.endswith("+json"), "json").when(media == "application/pdf", "pdf").when(by_name.isNotNull(), by_name)
-        .when(head.startswith("<!doctype html") | head.startswith("<html") | head.contains("<head") | head.contains("<body"), "html").when(json, "json")
-        .when(head.startswith("diff --git ") | (head.contains("--- a/") & head.contains("+++ b/")), "diff").when(F.instr(text, "\u0000") > 0, "unknown").otherwise("text")
+        .when(begun == "html", "html").when(json, "json").when(begun == "diff", "diff").when(F.instr(text, "\u0000") > 0, "unknown").otherwise("text")
     )
 
 

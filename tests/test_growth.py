@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brevia import api
 from brevia.operators import json_docs, json_values, pages
+from brevia.sources import detect
 
 
 def test_a_leaf_is_written_once_however_deep_it_lies(spark):
@@ -31,3 +33,11 @@ def test_pages_are_cut_inside_their_row(spark):
     got = {r["k"]: [(p["page_no"], p["n_lines"], p["content"]) for p in r["p"]] for r in one.collect()}
     assert all(len(c) <= 500 for p in got.values() for _, _, c in p) and [n for n, _, _ in got[2]] == [1, 2]
     assert got[0] == [(1, 1, "")] and got[5] == [(1, 1, "y" * 500)] and "\n".join(c for _, _, c in got[2]) == texts[2] and got[6] == [(1, 1, "z" * 500), (2, 1, "z")]
+
+
+def test_kinds_are_found_once_and_by_the_ends_of_a_text(spark):
+    docs = spark.createDataFrame([("a", "<p>x", None, "text/html"), ("b", "diff --git a/x b/x\n", None, None), ("c", " \r\n[1]\t", None, None), ("d", "[1] x", None, None), ("e", None, None, None), ("f", " ", None, None)], "id string, text string, path string, content_type string")
+    kind = docs.select("id", detect.kind(F.col("text"), F.col("path"), F.col("content_type")).alias("kind"))
+    assert "[ \\t\\r\\n]+\\z" not in kind._jdf.queryExecution().analyzed().toString()  # a pattern that looks at every blank of a text
+    assert {r["id"]: r["kind"] for r in kind.collect()} == {"a": "html", "b": "diff", "c": "json", "d": "text", "e": "text", "f": "text"}
+    assert "<!doctype html" not in api.read_docs(docs)._jdf.queryExecution().optimizedPlan().toString()  # no branch looks for it again
