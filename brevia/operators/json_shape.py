@@ -31,52 +31,59 @@ def _described(level: DataFrame) -> DataFrame:
 
 
 def _summed(described: DataFrame) -> DataFrame:
-    """One row a path: how often each kind is there, the range of array lengths, the first example by document and place."""
+    """One row a path: how often each kind is there, the range of array lengths, the first example by document and place.
+
+    The set of kinds is there so that Spark hashes the rows by path: with sums and an example alone it would sort them.
+    """
     text = F.expr("cast(v as string)")
-    quoted = F.to_json(F.array(F.substring(text, 1, SHAPE_EXAMPLE)))
-    shown = F.when(F.col("kind") == "string", F.concat(F.expr("substr(_q, 2, length(_q) - 2)"), F.when(F.length(text) > SHAPE_EXAMPLE, "…").otherwise(""))).when(F.col("kind").isin("number", "bool"), text)
-    rows = described.withColumn("_q", F.when(F.col("kind") == "string", quoted)).withColumn("example", F.when(F.col("kind").isin("string", "number", "bool"), F.struct("id", "at", shown.alias("text"))))
+    start = F.substring(text, 1, SHAPE_EXAMPLE)
+    written = F.to_json(F.array(start))
+    quoted = F.when(start.rlike(r'["\\\x00-\x1f]'), F.substr(written, F.lit(2), F.length(written) - 2)).otherwise(F.concat(F.lit('"'), start, F.lit('"')))
+    shown = F.when(F.col("kind") == "string", F.concat(quoted, F.when(F.length(text) > SHAPE_EXAMPLE, "…").otherwise(""))).when(F.col("kind").isin("number", "bool"), text)
+    rows = described.withColumn("example", F.when(F.col("kind").isin("string", "number", "bool"), F.struct("id", "at", shown.alias("text"))))
     count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
     kinds = [count(k) for k in ("object", "array", "string", "number", "bool", "null")]
-    return rows.groupBy("path", "parent", "name").agg(F.count("*").alias("n_seen"), *kinds, F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("most"), F.min("example")["text"].alias("example"))
+    return rows.groupBy("path", "parent", "name").agg(F.count("*").alias("n_seen"), *kinds, F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("most"), F.min("example")["text"].alias("example"), F.collect_set("kind").alias("kinds"))
+
+
+def _parts(level: DataFrame) -> DataFrame:
+    """The fields and elements of the objects and arrays of (id, at, path, v)."""
+    taken = level.withColumn("fields", F.expr("try_cast(v as map<string, variant>)")).withColumn("items", F.when(F.col("fields").isNull(), F.expr("try_cast(v as array<variant>)")))
+    entries = F.coalesce(F.map_entries("fields"), F.transform("items", lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))))
+    rows = taken.select("id", "at", "path", F.posexplode(entries).alias("k", "e"))
+    path = F.when(F.col("e.key").isNull(), F.concat("path", F.lit(_ITEM))).otherwise(F.concat("path", F.lit(_KEY), "e.key"))
+    return rows.select("id", F.concat("at", F.array(F.col("k").cast("int"))).alias("at"), path.alias("path"), F.col("path").alias("parent"), F.col("e.key").alias("name"), F.col("e.value").alias("v"))
 
 
 def shape_rows(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """path, parent, name, level, depth, counts by kind, lengths and example of every path of the JSON texts, root first.
 
     Of an object's keys the first ``SHAPE_KEYS`` by name go on, and the row says how many more there are (n_more). Texts
-    that are null or no JSON are left out. Objects deeper than ``SHAPE_DEPTH`` are counted, not taken apart.
+    that are null or no JSON are left out. Objects deeper than ``SHAPE_DEPTH`` are counted, not taken apart. Only objects
+    and arrays are written for the next level; scalars are summed where their object or array is taken apart.
     """
     spark = docs.sparkSession
     place, level, done = scratch(spark), 0, []
     root = docs.select(F.col(key).cast("string").alias("id"), F.array().cast("array<int>").alias("at"), F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(None).cast("string").alias("name"), F.expr(f"try_parse_json(`{text}`)").alias("v")).where("v is not null")
     root.write.parquet(f"{place}/level=0")
-    below = spark.read.parquet(f"{place}/level=0")
-    while level < MOST_LEVELS:
-        held = _described(below)
+    values = spark.read.parquet(f"{place}/level=0")
+    while True:
         depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit(_KEY), F.lit("")))
-        _summed(held).withColumn("depth", depth.cast("int")).write.parquet(f"{place}/paths/level={level}")
-        done.append(spark.read.parquet(f"{place}/paths/level={level}").withColumn("level", F.lit(level)))
-        deeper = held.where(depth < SHAPE_DEPTH)
-        own = lambda at: F.concat("at", F.array(at.cast("int"))).alias("at")
-        fields = deeper.where("fields is not null").select("id", "at", "path", F.posexplode(F.map_entries("fields")).alias("k", "e"))
-        fields = fields.select("id", own(F.col("k")), F.concat("path", F.lit(_KEY), "e.key").alias("path"), F.col("path").alias("parent"), F.col("e.key").alias("name"), F.col("e.value").alias("v"))
-        items = held.where("items is not null").select("id", "at", "path", F.posexplode("items").alias("k", "v"))
-        items = items.select("id", own(F.col("k")), F.concat("path", F.lit(_ITEM)).alias("path"), F.col("path").alias("parent"), F.lit(None).cast("string").alias("name"), "v")
-        level += 1
-        fields.unionByName(items).write.parquet(f"{place}/level={level}")
-        below = spark.read.parquet(f"{place}/level={level}")
-        names = below.where("name is not null").select("parent", "name").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy("name")))
-        names.write.parquet(f"{place}/names/level={level}")
-        listed = spark.read.parquet(f"{place}/names/level={level}")
+        _summed(_described(values)).withColumn("depth", depth.cast("int")).write.parquet(f"{place}/paths/level={level}")
+        rank = F.row_number().over(Window.partitionBy("parent", F.col("name").isNull()).orderBy("name"))
+        listed = spark.read.parquet(f"{place}/paths/level={level}").drop("kinds").withColumns({"level": F.lit(level), "rank": F.when(F.col("name").isNotNull(), rank)})
         more = listed.groupBy("parent").agg(F.greatest(F.max("rank") - SHAPE_KEYS, F.lit(0)).alias("n_more")).withColumnRenamed("parent", "path")
-        done[-1] = done[-1].join(more, "path", "left").fillna(0, ["n_more"])
-        late = listed.where(F.col("rank") > SHAPE_KEYS).select("parent", "name")
-        if not late.isEmpty():
-            below.join(late, ["parent", "name"], "left_anti").select(*below.columns).write.parquet(f"{place}/kept/level={level}")
-            below = spark.read.parquet(f"{place}/kept/level={level}")
-        if below.isEmpty():
+        if done:
+            done[-1] = done[-1].drop("n_more").join(more, "path", "left").fillna(0, ["n_more"])
+        kept = listed.where((F.col("rank") <= SHAPE_KEYS) | F.col("rank").isNull()).drop("rank")
+        done.append(kept.withColumn("n_more", F.lit(0)))
+        holders = kept.where((F.col("n_object") + F.col("n_array") > 0) & (F.col("depth") < SHAPE_DEPTH)).select("path")
+        level += 1
+        if level == MOST_LEVELS or holders.isEmpty():
             break
+        held = _described(values.join(holders, "path", "left_semi")).where("fields is not null or items is not null")
+        held.select("id", "at", "path", "v").write.parquet(f"{place}/level={level}")
+        values = _parts(spark.read.parquet(f"{place}/level={level}"))
     out = done[0]
     for rows in done[1:]:
         out = out.unionByName(rows)

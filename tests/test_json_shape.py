@@ -81,3 +81,12 @@ def test_one_shape_of_many_documents(spark):
 def test_shapes_of_little(spark):
     assert shape_of(spark, []) == [] and shape_of(spark, ["{bad", None]) == []
     assert shape_of(spark, ['{"a":1}', '{"b":[1,2]}', '{"b":[]}']) == [(3, "{a?: number (1), b?: [0-2] number (1)}")]
+
+
+def test_rows_are_hashed_by_path_and_scalars_never_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_shape, "scratch", lambda _: f"{tmp_path}/s")
+    rows = spark.createDataFrame([("a", '{"n":1,"s":"x","o":{"p":[1,2]}}'), ("b", "[]")], "id string, text string")
+    json_shape.shape_rows(rows)
+    assert [spark.read.parquet(f"{tmp_path}/s/level={k}").count() for k in (1, 2, 3)] == [2, 1, 1] and not (tmp_path / "s" / "level=4").exists()
+    plan = json_shape._summed(json_shape._described(spark.read.parquet(f"{tmp_path}/s/level=0")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
