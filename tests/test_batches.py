@@ -51,3 +51,36 @@ def test_batches_close_while_the_stream_goes_on(spark, tmp_path):
     early = spark.read.parquet(f"{tmp_path}/out/rows/batch=*")
     assert early.count() >= 4  # the state's rest is not all
     assert events.scratch(spark)
+
+
+def test_users_of_one_group_keep_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "MOST_HELD", 40)  # what is written again takes several elements
+    rng = random.Random(3)
+    start = 1_700_000_000_000_000
+    rows = [(rng.randrange(-4, 5), start + rng.choice([0, 30_000_000, rng.randrange(900_000_000)]), k) for k in range(500)]
+    ids = [r[2] for r in rows]
+    rng.shuffle(ids)
+    assert streamed(spark, rows, [ids[:200], ids[200:]], tmp_path / "a", most=5, seconds=30, late="1 hour", groups=2) == plain(rows, 5, 30)
+    ids = [r[2] for r in sorted(rows, key=lambda r: r[1])]
+    assert streamed(spark, rows, [ids[k : k + 125] for k in range(0, 500, 125)], tmp_path / "b", most=5, seconds=30, late="2 seconds", groups=2) == plain(rows, 5, 30)
+
+
+def test_calls_to_the_state_do_not_grow_with_users_or_events(spark, tmp_path):
+    start = 1_700_000_000_000_000
+    rows = [(k % 3_000, start + k * 1_000_000, k) for k in range(9_000)]
+    frame = spark.createDataFrame(rows, "user_id long, at long, event_id long").withColumn("ts", F.timestamp_micros("at")).drop("at")
+    frame.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    got = batches.count_or_time(stream, 20, 6 * 3600, out=f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, 20, 6 * 3600)
+    held = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 0).load(f"{tmp_path}/out/checkpoint")
+    assert 0 < held.count() <= 2_048
+
+
+def test_a_batch_of_one_and_times_that_are_alike():
+    rows = [(1, 5, 1), (1, 5, 2), (1, 9, 3), (2, 9, 4), (2, 14, 5)]
+    assert batches.cut(rows, 1, 100) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
+    assert batches.cut(rows, 9, 4) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert batches.cut(rows, 9, 5) == [(0, 3), (3, 4), (4, 5)]
+    assert batches.cut(rows, 2, 6) == [(0, 2), (2, 3), (3, 5)]
+    assert batches.cut([], 2, 6) == []
