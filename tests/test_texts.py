@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import random
 
@@ -115,3 +116,24 @@ def test_sessions_of_odd_lines(spark):
     assert (a["n_calls"], a["input_total"], a["context_end"], a["output_total"]) == (2, 9, 8, 2)
     assert (a["tools"], a["n_tools"], a["n_unanswered"], a["tool_chars"], a["top_tool"]) == ("Bash(ls)×2, Edit, look", 4, 2, 43, "Bash(ls)")
     assert (a["answer"], a["turns"], a["side_tokens"], a["error"], a["denied"]) == ("ok", 2, 4, None, 0)
+
+
+def test_only_a_cut_character_may_end_a_text(spark, tmp_path):
+    rng = random.Random(5)
+    signs = [b"\x01", b"a", b"\xff", b"\xc3", b"\xa9", b"\xe0", b"\xe2", b"\x82", b"\xac", b"\xf0", b"\x9f", b"\xf4", b"\x90"]
+    made = [b"\x01" + b"".join(rng.choices(signs, k=rng.randint(0, 5))) for _ in range(1500)] + [b"\x01\xffA.", b"\x01\xffa", b"", b"\x01" + "😀".encode()[:3]]
+
+    def holds(content: bytes) -> bool:  # a control sign first, so only UTF-8 makes a text
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(content, False)
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(made)), "k int, c binary").orderBy("k").select(detect.is_text(F.col("c")).alias("t")).collect()]
+    assert got == [holds(c) for c in made]
+    texts = ["a", "A.", "é", "Re.", "€", "😀", "é.", "", "x" * 4000, "€" * 4000, "a" + "€" * 3000]
+    docs = spark.createDataFrame([(5 * i + rest, text) for i, text in enumerate(texts) for rest in range(5)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = duckdb.sql(ORACLE_SQL["text_test"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["text_test"](spark, str(tmp_path)).collect())) == sorted(held)
