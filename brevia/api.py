@@ -92,20 +92,13 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     shown by ``json_docs.rendered``, or with ``outline`` described by its shape. Documents of other kinds,
     what is no JSON, what the schema can't hold and selections that match nothing are error rows.
     """
-    known = _known(docs).where("text is not null")
-    other = F.when(~F.col("kind").isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), F.col("kind"), F.lit("): use read_docs")))
-    other = F.coalesce(other, F.when((F.col("kind") != "json") & ~F.col("text").rlike(r"^\s*[\[{]"), "invalid JSON"))
-    judged = known.select("id", "text", other.alias("other"))
+    judged = _known(docs).where("text is not null").select("id", "text", _no_json().alias("other"))
     apart = judged.where("other is not null").select("id", F.lit(0).alias("n"), F.lit(None).cast("string").alias("content"), F.col("other").alias("error"))
-    asked = judged.where("other is null").select("id", "text")
-    if isinstance(schema, T.StructType):
-        typed = json_values.records(asked, "text", schema).withColumnsRenamed({"record": "root", "error": "why"})
-    else:
-        typed = asked.withColumn("read", json_values.root(F.col("text"), schema)).select("id", F.lit(0).alias("n"), "read.root", F.col("read.error").alias("why"))
+    typed = _records(judged.where("other is null").select("id", "text"), schema)
     part = typed.withColumn("part", select(F.col("root")) if select else F.col("root"))
     kind, value = part.schema["part"].dataType, F.col("part")
     if outline:
-        content = F.concat(F.lit("JSON of about "), est_tokens(json_docs.shrink(value, kind, keep_empty=True)).cast("string"), F.lit(" tokens\n"), json_docs.shape_text(F.array(value), kind))
+        content = _shape(value, kind)
     elif table:
         content = json_docs.rendered(value, kind, **options)
     else:
@@ -114,20 +107,43 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     return part.withColumn("error", error).select("id", "n", F.when(F.col("error").isNull(), content).alias("content"), "error").unionByName(apart)
 
 
+def _no_json() -> Column:
+    """Why a text of a kind can't be read as JSON; null where it is to be tried."""
+    kind = F.col("kind")
+    other = F.when(~kind.isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), kind, F.lit("): use read_docs")))
+    return F.coalesce(other, F.when((kind != "json") & ~F.col("text").rlike(r"^\s*[\[{]"), "invalid JSON"))
+
+
+def _records(asked: DataFrame, schema: T.DataType) -> DataFrame:
+    """id, n, root and why it is null of every record of every (id, text): those of an object type by its values and their elements, else one a text."""
+    if isinstance(schema, T.StructType):
+        return json_values.records(asked, "text", schema).withColumnsRenamed({"record": "root", "error": "why"})
+    return asked.withColumn("read", json_values.root(F.col("text"), schema)).select("id", F.lit(0).alias("n"), "read.root", F.col("read.error").alias("why"))
+
+
+def _shape(value: Column, kind: T.DataType) -> Column:
+    tokens = F.floor((json_docs.n_chars(value) + 3) / 4).cast("string")
+    return F.concat(F.lit("JSON of about "), tokens, F.lit(" tokens\n"), json_docs.shape_of(value, kind))
+
+
 def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFrame:
     """id and outline of every document that can be read: the headings of Markdown; of JSON, with a schema, the shape of each record.
 
-    Rows of one id have an outline each.
+    Rows of one id have an outline each. Records are dealt anew before they are read, as a small file of JSON is much work.
     """
-    known = _known(docs)
+    known = _written(_known(docs))
     apart = known.where("kind is null or kind <> 'json'") if schema else known  # the shape of JSON doesn't need its Markdown
-    ready = _marked(_converted(_written(apart))).where("error is null")
-    made = outline.format_outline(ready.dropDuplicates(["key"]), "key", "markdown")
-    made = ready.select("id", "key").join(made, "key").select("id", "outline")
+    ready = _marked(_converted(apart).withColumns({"total": F.char_length("markdown"), "headed": outline.may_have_headings(F.col("markdown"))})).where("error is null")
+    plain = ready.where("not headed").select("id", outline.no_headings(F.col("total")).alias("outline"))  # needs no line of its Markdown
+    headed = ready.where("headed")
+    made = outline.format_outline(headed.dropDuplicates(["key"]), "key", "markdown")
+    made = headed.select("id", "key").join(made, "key").select("id", "outline").unionByName(plain)
     if schema is None:
         return made
-    shaped = read_json(docs, schema, outline=True).where("error is null")
-    return made.unionByName(shaped.select("id", F.col("content").alias("outline")))
+    asked = known.where("text is not null").where(_no_json().isNull()).select("id", "text").repartition("id", "text")
+    typed = _records(asked, schema)
+    shaped = F.when(F.col("why").isNull() & F.col("root").isNotNull(), F.array(_shape(F.col("root"), typed.schema["root"].dataType)))
+    return typed.select("id", F.explode(shaped).alias("outline")).unionByName(made)  # exploded, as a filter on the error would read each record again
 
 
 def read_section(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,18 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+\\z", "")
 
 
+def only_where(text: Column, needed: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """text, changed where a cheap test says that the change would find something; text itself is computed once."""
+    return F.transform(F.array(text), lambda x: F.when(needed(x), change(x)).otherwise(x))[0]
+
+
 def clean_text(text: Column) -> Column:
     """Unix line ends, no trailing blanks, at most one blank line in a row, trimmed."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+(\n|\z)", "$1")
-    return trimmed(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    unix = only_where(text, lambda x: x.contains("\r"), lambda x: F.regexp_replace(x, r"\r\n?", "\n"))
+    blanks = lambda x: x.contains(" \n") | x.contains("\t\n") | x.endswith(" ") | x.endswith("\t")
+    lines = only_where(unix, blanks, lambda x: F.regexp_replace(x, r"[ \t]+(\n|\z)", "$1"))
+    few = only_where(lines, lambda x: x.contains("\n\n\n"), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return only_where(few, lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(f"[{SPACES}]"), trimmed)
 
 
 def tidy_markdown(text: Column) -> Column:

@@ -42,9 +42,10 @@ def rewrite_link(url: Column, base_scheme: Column, base_host: Column) -> Column:
 
 def strip(html: Column) -> Column:
     """Readable text: elements of ``DROPPED``, comments and tags go, white space is collapsed."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in DROPPED:
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}>", " ")
+    held = lambda low: F.filter(F.array(*map(F.lit, DROPPED)), lambda tag: low.contains(F.concat(F.lit("<"), tag)))
+    element = lambda tag: F.concat(F.lit("(?is)<"), tag, F.lit(r"(\s[^>]*)?>.*?</"), tag, F.lit(">"))
+    open_tags = F.transform(F.array(F.lower(html)), held)[0]  # what goes leaves a blank, so no tag comes up later
+    bare = F.aggregate(open_tags, F.regexp_replace(html, r"(?s)<!--.*?-->", " "), lambda left, tag: F.regexp_replace(left, element(tag), F.lit(" ")))
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[\s ]+", " "))
 
 

@@ -297,35 +297,65 @@ def shape_text(values: Column, kind: T.DataType, depth: int = 0) -> Column:
 
     It follows the schema; nulls count as missing, and fields that are missing everywhere are left out.
     """
+    return _let(F.array_compact(values), lambda present: F.when(F.size(present) == 0, "null").otherwise(_merged_shape(present, kind, depth)))
 
-    def label(present: Column) -> Column:
-        if isinstance(kind, T.StructType):
-            if depth >= SHAPE_DEPTH:
-                return F.lit("{…}")
-            lines = []
-            for f in kind.fields[:SHAPE_KEYS]:
-                own = F.transform(present, lambda x: x[f.name])  # noqa: B023
-                text = lambda v: F.when(F.exists(v, lambda x: x.isNotNull()), F.concat(F.lit(f.name), F.when(F.forall(v, lambda x: x.isNotNull()), ": ").otherwise("?: "), shape_text(v, f.dataType, depth + 1)))  # noqa: B023, E731
-                lines.append(_let(own, text))
-            if len(kind.fields) > SHAPE_KEYS:
-                lines.append(F.lit(f"… {len(kind.fields) - SHAPE_KEYS} more keys"))
-            pad = " " * (depth + 1)
-            rows = F.array_compact(F.array(*lines)) if lines else F.array().cast("array<string>")
-            wide = lambda r: F.concat(F.lit("{\n" + pad), F.array_join(r, "\n" + pad), F.lit("\n" + pad[1:] + "}"))
-            return _let(rows, lambda r: _let(F.concat(F.lit("{"), F.array_join(r, ", "), F.lit("}")), lambda x: F.when((F.octet_length(x) <= SHAPE_INLINE) & ~x.contains("\n"), x).otherwise(wide(r))))
-        if isinstance(kind, T.ArrayType):
-            sizes = F.transform(present, F.size)
-            low, high = F.array_min(sizes).cast("string"), F.array_max(sizes).cast("string")
-            span = F.concat(F.lit("["), low, F.when(low == high, "").otherwise(F.concat(F.lit("-"), high)), F.lit("]"))
-            return _let(F.flatten(present), lambda inner: F.when(F.exists(inner, lambda x: x.isNotNull()), F.concat(span, F.lit(" "), shape_text(inner, kind.elementType, depth))).otherwise(span))
-        if isinstance(kind, T.StringType):
-            first = F.try_element_at(F.filter(present, lambda x: x != ""), F.lit(1))
-            example = F.when(F.length(first) > SHAPE_EXAMPLE, F.concat(_quoted(F.substring(first, 1, SHAPE_EXAMPLE)), F.lit("…"))).otherwise(_quoted(first))
-            return F.when(first.isNull(), "string").otherwise(F.concat(F.lit("string ("), example, F.lit(")")))
-        name = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "string"
-        return F.concat(F.lit(f"{name} ("), _quoted(F.try_element_at(present, F.lit(1)), kind), F.lit(")"))
-
-    return _let(F.filter(values, lambda x: x.isNotNull()), lambda present: F.when(F.size(present) == 0, "null").otherwise(label(present)))
+
+def _merged_shape(present: Column, kind: T.DataType, depth: int) -> Column:
+    """The shape of an array of values of which none is null, and which has one at least."""
+    if isinstance(kind, T.StructType):
+        every = F.size(present)
+        field = lambda f: lambda v: F.when(F.size(v) > 0, F.concat(F.lit(f.name), F.when(F.size(v) == every, ": ").otherwise("?: "), _merged_shape(v, f.dataType, depth + 1)))
+        return _shape_lines(kind, depth, lambda f: _let(F.array_compact(present[f.name]), field(f)))
+    if isinstance(kind, T.ArrayType):
+        sizes = F.transform(present, F.size)
+        low, high = F.array_min(sizes).cast("string"), F.array_max(sizes).cast("string")
+        return _shape_items(F.concat(low, F.when(low == high, "").otherwise(F.concat(F.lit("-"), high))), F.flatten(present), kind, depth)
+    if isinstance(kind, T.StringType):
+        return _shape_example(F.try_element_at(F.filter(present, lambda x: x != ""), F.lit(1)), kind)
+    return _shape_example(F.try_element_at(present, F.lit(1)), kind)
+
+
+def shape_of(value: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """The shape of one value, as ``shape_text`` gives it, null for null: arrays alone are gone through element by element."""
+    if isinstance(kind, T.StructType):
+        shown = _shape_lines(kind, depth, lambda f: F.concat(F.lit(f.name + ": "), shape_of(value[f.name], f.dataType, depth + 1)))
+    elif isinstance(kind, T.ArrayType):
+        shown = _shape_items(F.size(value).cast("string"), value, kind, depth)
+    else:
+        shown = _shape_example(F.nullif(value, F.lit("")) if isinstance(kind, T.StringType) else value, kind)
+    return F.when(value.isNotNull(), shown)
+
+
+def _shape_lines(kind: T.StructType, depth: int, line: Callable[[T.StructField], Column]) -> Column:
+    """An object's fields, of which line makes each, or a null; on one line if they fit."""
+    if depth >= SHAPE_DEPTH:
+        return F.lit("{…}")
+    lines = [line(f) for f in kind.fields[:SHAPE_KEYS]]
+    if len(kind.fields) > SHAPE_KEYS:
+        lines.append(F.lit(f"… {len(kind.fields) - SHAPE_KEYS} more keys"))
+    pad = " " * (depth + 1)
+    rows = F.array_compact(F.array(*lines)) if lines else F.array().cast("array<string>")
+    wide = lambda r: F.concat(F.lit("{\n" + pad), F.array_join(r, "\n" + pad), F.lit("\n" + pad[1:] + "}"))
+    return _let(rows, lambda r: _let(F.concat(F.lit("{"), F.array_join(r, ", "), F.lit("}")), lambda x: F.when((F.octet_length(x) <= SHAPE_INLINE) & ~x.contains("\n"), x).otherwise(wide(r))))
+
+
+def _shape_items(size: Column, items: Column, kind: T.ArrayType, depth: int) -> Column:
+    """The lengths of arrays and the shape of what they hold."""
+    return _let(F.array_compact(items), lambda inner: F.concat(F.lit("["), size, F.lit("]"), F.when(F.size(inner) > 0, F.concat(F.lit(" "), _merged_shape(inner, kind.elementType, depth))).otherwise("")))
+
+
+def _shape_example(first: Column, kind: T.DataType) -> Column:
+    """A type with an example; a null is a text of which all are empty."""
+    if isinstance(kind, T.StringType):
+        example = lambda x: F.when(F.length(x) > SHAPE_EXAMPLE, F.concat(_quoted(F.substring(x, 1, SHAPE_EXAMPLE)), F.lit("…"))).otherwise(_quoted(x))
+        return _let(first, lambda x: F.when(x.isNull(), "string").otherwise(F.concat(F.lit("string ("), example(x), F.lit(")"))))
+    name = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "string"
+    return F.concat(F.lit(f"{name} ("), _quoted(first, kind), F.lit(")"))
+
+
+def n_chars(value: Column) -> Column:
+    """The characters that a value of any type has as JSON with all it holds: those of ``shrink`` with keep_empty."""
+    return F.char_length(F.to_json(F.array(value), OPTIONS)) - 2
 
 
 def is_tabular(kind: T.DataType) -> bool:

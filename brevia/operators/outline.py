@@ -66,16 +66,26 @@ def headings(docs: DataFrame, key: str, text: str = "md") -> DataFrame:
     return _marked(docs, key, text).where("level is not null").select(key, "id", "level", "title", "line_no", "start", "end", "n_tokens")
 
 
+def may_have_headings(text: Column) -> Column:
+    """Whether any line of a text begins as a heading does, in a fence or not."""
+    return text.contains("#") & text.rlike(r"(?m)^ {0,3}#")
+
+
+def no_headings(total: Column) -> Column:
+    """The outline of a document of so many characters without headings."""
+    return F.concat(F.lit("no headings; about "), human_count(F.floor((total + 3) / 4).cast("long")), F.lit(" tokens, ask for page=1"))
+
+
 def format_outline(docs: DataFrame, key: str, text: str = "md") -> DataFrame:
     """key and outline: one line per section, indented by its level below the document's top level."""
     deep = lambda x: F.repeat(F.lit("  "), x["level"] - F.array_min(F.transform("found", lambda y: y["level"])))
     line = lambda x: F.concat(deep(x), x["id"].cast("string"), F.lit(". "), x["title"], F.lit(" (~"), x["size"], F.lit(")"))
     marked = _marked(docs, key, text).withColumn("size", human_count(F.col("n_tokens")))
     found = F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("id", "level", "title", "size"))))
-    whole = marked.groupBy(key).agg(F.max("total").alias("total"), found.alias("found")).withColumn("total", human_count(F.floor((F.col("total") + 3) / 4).cast("long")))
-    head = F.concat(F.size("found").cast("string"), F.lit(" headings, about "), F.col("total"), F.lit(" tokens; ask for section=<id>\n"), F.array_join(F.transform("found", line), "\n"))
-    none = F.concat(F.lit("no headings; about "), F.col("total"), F.lit(" tokens, ask for page=1"))
-    return whole.select(key, F.when(F.size("found") == 0, none).otherwise(head).alias("outline"))
+    whole = marked.groupBy(key).agg(F.max("total").alias("total"), found.alias("found"))
+    about = human_count(F.floor((F.col("total") + 3) / 4).cast("long"))
+    head = F.concat(F.size("found").cast("string"), F.lit(" headings, about "), about, F.lit(" tokens; ask for section=<id>\n"), F.array_join(F.transform("found", line), "\n"))
+    return whole.select(key, F.when(F.size("found") == 0, no_headings(F.col("total"))).otherwise(head).alias("outline"))
 
 
 def section_lookup(docs: DataFrame, wanted: DataFrame, key: str, text: str = "md") -> DataFrame:
