@@ -334,7 +334,7 @@ def _shape_lines(kind: T.StructType, depth: int, line: Callable[[T.StructField],
     if len(kind.fields) > SHAPE_KEYS:
         lines.append(F.lit(f"… {len(kind.fields) - SHAPE_KEYS} more keys"))
     pad = " " * (depth + 1)
-    rows = F.array_compact(F.array(*lines)) if lines else F.array().cast("array<string>")
+    rows = F.array(*lines) if lines else F.array().cast("array<string>")  # its nulls are not joined
     wide = lambda r: F.concat(F.lit("{\n" + pad), F.array_join(r, "\n" + pad), F.lit("\n" + pad[1:] + "}"))
     return _let(rows, lambda r: _let(F.concat(F.lit("{"), F.array_join(r, ", "), F.lit("}")), lambda x: F.when((F.octet_length(x) <= SHAPE_INLINE) & ~x.contains("\n"), x).otherwise(wide(r))))
 

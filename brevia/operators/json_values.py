@@ -7,6 +7,8 @@ counted. A piece that is cut wrongly is one that isn't JSON, and is reported.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +66,8 @@ def records(docs: DataFrame, text: str, schema: T.StructType) -> DataFrame:
     Records are the text's values, and the elements of those that are arrays. Pieces side by side that are neither objects
     nor arrays are one row, as is a broken piece: its error is "invalid JSON", or "does not fit the schema" if the first of
     them is a value. So is the error of a record that the schema can't hold. All keep their place, and have a null record.
-    A text without values, or a null one, has one row with an error, an empty array none. Other columns are kept.
+    A text without values, or a null one, has one row with an error, an empty array none. Other columns are kept. A text that
+    the schema reads and writes back sign by sign is its one record, and is looked at first.
     """
     item = lambda x, error=None: F.struct(x.alias("text"), F.lit(error).cast("string").alias("error"))
     elements = lambda v: F.transform(F.from_json(v["value"], "array<string>", _STRICT), lambda x: item(x))
@@ -74,15 +77,25 @@ def records(docs: DataFrame, text: str, schema: T.StructType) -> DataFrame:
     each = lambda v: F.when(~v["ok"], F.array(item(v["value"], "invalid JSON"))).when(v["value"].startswith("["), elements(v)).otherwise(F.array(item(v["value"])))
     listed = lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(found, each))).otherwise(F.array(item(F.lit(None).cast("string"), "no JSON value")))
     listed = F.transform(F.array(F.coalesce(kept, F.array().cast("array<struct<value:string,ok:boolean>>"))), listed)[0]
+    listed = F.when(F.col("direct").isNotNull(), F.array(item(F.lit(None).cast("string")))).otherwise(listed)
     kept = [c for c in docs.columns if c not in (text, "n", "record", "error")]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), F.posexplode(listed).alias("n", "item"))
-    rows = rows.withColumn("read", F.from_json("item.text", T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())]), {**_STRICT, "columnNameOfCorruptRecord": _BAD}))
+    held = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), text, _direct(F.col(text), schema).alias("direct"))
+    rows = held.select("row", "direct", F.posexplode(listed).alias("n", "item"))
+    rows = rows.withColumn("read", F.when(F.col("direct").isNull(), F.from_json("item.text", T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())]), {**_STRICT, "columnNameOfCorruptRecord": _BAD})))
     misfit = F.col("read").isNull() | F.col("read")[_BAD].isNotNull() | ~F.coalesce(F.col("item.text").startswith("{"), F.lit(False))
-    error = F.coalesce(F.col("item.error"), F.when(misfit, "does not fit the schema"))
-    record = F.when(error.isNull(), F.struct(*[F.col("read")[f.name].alias(f.name) for f in schema.fields]))
+    error = F.when(F.col("direct").isNull(), F.coalesce(F.col("item.error"), F.when(misfit, "does not fit the schema")))
+    record = F.when(F.col("direct").isNotNull(), F.col("direct")).when(error.isNull(), F.struct(*[F.col("read")[f.name].alias(f.name) for f in schema.fields]))
     return rows.select(*[F.col("row")[c].alias(c) for c in kept], "n", record.alias("record"), error.alias("error"))
 
 
+def _direct(text: Column, schema: T.StructType) -> Column:
+    """The object that a text is, where the schema writes it back sign by sign, so nothing can stand beside it or be lost; else null."""
+    begins = text.startswith("{" + json.dumps(schema.fieldNames()[0], ensure_ascii=False) + ":") if schema.fields else F.lit(False)
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_OWN)
+    same = lambda x: F.when(F.to_json(x, {"ignoreNullFields": "false"}) == text, x)
+    return F.when(begins & plain, F.transform(F.array(F.from_json(text, schema, _STRICT)), same)[0])
+
+
 def root(text: Column, schema: T.DataType) -> Column:
     """A text as one value of a schema, as struct<root, error>: several values side by side are one array of them.
 

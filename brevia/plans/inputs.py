@@ -32,7 +32,8 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc: a nested object per order: id, status, owner (key, priority), items (n, part, qty)."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    dealt = read(spark, sf_dir, "lineitem").repartition("l_orderkey")  # before they are listed: lists don't shrink by being made twice
+    items = dealt.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     item = F.transform("lines", lambda x: F.struct(x["l_linenumber"].alias("n"), x["l_partkey"].alias("part"), x["l_quantity"].cast("long").alias("qty")))
     owner = F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("priority"))
     orders = read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))

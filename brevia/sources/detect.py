@@ -72,9 +72,10 @@ def kind(text: Column, path: Column, content_type: Column) -> Column:
     head = F.lower(F.regexp_replace(F.substring(text, 1, 2048), r"^[ \t\r\n]+", ""))
     opens = lambda h: F.when(h.startswith("<!doctype html") | h.startswith("<html") | h.contains("<head") | h.contains("<body"), "html").when(h.startswith("diff --git ") | (h.contains("--- a/") & h.contains("+++ b/")), "diff")
     begun = F.transform(F.array(head), opens)[0]
-    whole = F.trim(text, F.lit(" \t\r\n"))  # looks at both ends only, where a pattern would look at every blank
+    begins = F.ltrim(text, F.lit(" \t\r\n"))  # most texts fail at their first sign
+    whole = F.trim(text, F.lit(" \t\r\n"))  # where a pattern would look at every blank
     alone = F.size(F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})) == 1  # one value, nothing behind it
-    json = (whole.startswith("[") | whole.startswith("{")) & (whole.endswith("]") | whole.endswith("}")) & F.coalesce(alone, F.lit(False))
+    json = (begins.startswith("[") | begins.startswith("{")) & (whole.endswith("]") | whole.endswith("}")) & F.coalesce(alone, F.lit(False))
     return (
         F.when(text.startswith("%PDF-"), "pdf").when(media.isin("text/html", "application/xhtml+xml"), "html")
         .when(media.isin("application/json", "application/x-ndjson") | media.endswith("+json"), "json").when(media == "application/pdf", "pdf").when(by_name.isNotNull(), by_name)

@@ -105,3 +105,15 @@ def test_pages_keep_their_budget_and_rows(spark):
     asked = spark.createDataFrame([("line", "1"), ("none", "1")], "id string, wanted string")
     got = api.read_section(docs.withColumn("text", F.concat(F.lit("# H\n"), "text")), asked).collect()
     assert sorted((r["id"], (r["section"] or r["error"])[4:8]) for r in got) == [("line", "xxxx"), ("line", "yyyy"), ("none", "uch ")]
+
+
+def test_a_text_written_by_its_schema_is_read_at_once_like_any_other(spark):
+    kind = T.StructType.fromDDL("id long, s string, x double, list array<struct<n: int, t: string>>, m map<string, int>, d date")
+    one = '{"id":1,"s":"a b","x":1.5,"list":[{"n":1,"t":"é"},{"n":null,"t":""}],"m":{"a":1},"d":"2020-01-02"}'
+    none = '{"id":2,"s":null,"x":null,"list":null,"m":null,"d":null}'
+    texts = [one, none, one + one, one + "x", one + " ", one + "," + none, "[" + one + "]", none.replace("2", "2.0"), none.replace("null", '"\ue010 }{"', 1), none.replace("null", "{}", 1), none.replace("null", '"\\"{"', 1), '{"id":3}', '{"id":"4","s":1}', one[:-1], '{"id":5,"s":"a","s":"b"}', one.replace("1.5", "1.50"), one.replace('"a":1', '"a":1,"a":2')]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows = lambda d: sorted((r["k"], r["n"], str(r["record"]), r["error"]) for r in json_values.records(d, "t", kind).collect())
+    direct = docs.select("k", json_values._direct(F.col("t"), kind).alias("r")).where("r is not null")
+    assert {r["k"] for r in direct.collect()} >= {0, 1, 10} and direct.where(F.col("k").isin(2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15)).count() == 0
+    assert rows(docs) == rows(docs.withColumn("t", F.concat(F.lit(" "), "t")))  # which the schema doesn't write
