@@ -92,7 +92,7 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     shown by ``json_docs.rendered``, or with ``outline`` described by its shape. Documents of other kinds,
     what is no JSON, what the schema can't hold and selections that match nothing are error rows.
     """
-    judged = _known(docs).where("text is not null").select("id", "text", _no_json().alias("other"))
+    judged = _known(docs).where("text is not null").select("id", "text", _no_json(F.col("kind")).alias("other"))
     apart = judged.where("other is not null").select("id", F.lit(0).alias("n"), F.lit(None).cast("string").alias("content"), F.col("other").alias("error"))
     typed = _records(judged.where("other is null").select("id", "text"), schema)
     part = typed.withColumn("part", select(F.col("root")) if select else F.col("root"))
@@ -107,9 +107,8 @@ def read_json(docs: DataFrame, schema: T.DataType, select: Callable[[Column], Co
     return part.withColumn("error", error).select("id", "n", F.when(F.col("error").isNull(), content).alias("content"), "error").unionByName(apart)
 
 
-def _no_json() -> Column:
+def _no_json(kind: Column) -> Column:
     """Why a text of a kind can't be read as JSON; null where it is to be tried."""
-    kind = F.col("kind")
     other = F.when(~kind.isin("json", "text", "unknown"), F.concat(F.lit("not JSON (it looks like "), kind, F.lit("): use read_docs")))
     return F.coalesce(other, F.when((kind != "json") & ~F.col("text").rlike(r"^\s*[\[{]"), "invalid JSON"))
 
@@ -131,16 +130,18 @@ def read_outlines(docs: DataFrame, schema: T.DataType | None = None) -> DataFram
 
     Rows of one id have an outline each. Records are dealt anew before they are read, as a small file of JSON is much work.
     """
-    known = _written(_known(docs))
-    apart = known.where("kind is null or kind <> 'json'") if schema else known  # the shape of JSON doesn't need its Markdown
-    ready = _marked(_converted(apart).withColumns({"total": F.char_length("markdown"), "headed": outline.may_have_headings(F.col("markdown"))})).where("error is null")
+    known = _known(docs)
+    apart = known.where("not kind <=> 'json'") if schema else known  # the shape of JSON doesn't need its Markdown
+    ready = _marked(_converted(_written(apart)).withColumns({"total": F.char_length("markdown"), "headed": outline.may_have_headings(F.col("markdown"))})).where("error is null")
     plain = ready.where("not headed").select("id", outline.no_headings(F.col("total")).alias("outline"))  # needs no line of its Markdown
     headed = ready.where("headed")
     made = outline.format_outline(headed.dropDuplicates(["key"]), "key", "markdown")
     made = headed.select("id", "key").join(made, "key").select("id", "outline").unionByName(plain)
     if schema is None:
         return made
-    asked = known.where("text is not null").where(_no_json().isNull()).select("id", "text").repartition("id", "text")
+    kind = detect.kind(F.col("text"), F.col("path"), F.col("content_type"))
+    is_asked = F.transform(F.array(kind), lambda k: F.col("text").isNotNull() & _no_json(k).isNull())[0]  # finds the kind once
+    asked = docs.where(is_asked).select("id", "text").repartition("id", "text")
     typed = _records(asked, schema)
     shaped = F.when(F.col("why").isNull() & F.col("root").isNotNull(), F.array(_shape(F.col("root"), typed.schema["root"].dataType)))
     return typed.select("id", F.explode(shaped).alias("outline")).unionByName(made)  # exploded, as a filter on the error would read each record again
